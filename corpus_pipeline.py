@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import bpe, langid, toxicity
+from edgeloom.llm import bpe, decontaminate, langid, ngram_join, toxicity
 from edgeloom.llm.common import fold, stage
 
 
@@ -20,12 +20,25 @@ def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return langid.identify(docs, model).where(~F.col("lang_rejected")).select(*docs.columns)
 
 
+def _ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest id stays; documents without words or id stay."""
+    groups = ngram_join.jaccard_components(docs)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    own = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"])
+    return own.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans that benchmark items hold go; documents that are mostly such spans go whole."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def _bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every whole text, with a digest of the text that decoding gives back."""
     return bpe.digests(docs.select("doc_id", "text")).drop("text")
 
 
-STAGES = [("toxicity", _toxicity), ("language_id", _language_id), ("bpe", _bpe)]
+STAGES = [("toxicity", _toxicity), ("language_id", _language_id), ("ngram_jaccard", _ngram_jaccard), ("decontamination", _decontamination), ("bpe", _bpe)]
 
 #: Learned models and token merging have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

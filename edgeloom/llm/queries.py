@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import bpe, langid, toxicity
+from edgeloom.llm import bpe, decontaminate, langid, ngram_join, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -25,10 +29,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {"op1_toxicity": op1_toxicity, "op3_bpe": op3_bpe, "op9_language_id": op9_language_id, "pipeline": corpus_pipeline.run}
+    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_bpe": op3_bpe, "op9_language_id": op9_language_id, "op10_ngram_jaccard": op10_ngram_jaccard, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
