@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import bpe, decontaminate, langid, ngram_join, token_files, toxicity
+from edgeloom.llm import bpe, decontaminate, langid, neighbours, ngram_join, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_bpe": op3_bpe, "op5_token_files": op5_token_files, "op9_language_id": op9_language_id, "op10_ngram_jaccard": op10_ngram_jaccard, "pipeline": corpus_pipeline.run}
+    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_bpe": op3_bpe, "op4_nearest": op4_nearest, "op5_token_files": op5_token_files, "op9_language_id": op9_language_id, "op10_ngram_jaccard": op10_ngram_jaccard, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
