@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import bpe, decontaminate, langid, neighbours, ngram_join, token_files, toxicity
+from edgeloom.llm import bpe, chat, decontaminate, langid, licenses, neighbours, ngram_join, token_files, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,18 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_turns(table(spark, sf_dir, "conversations"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
@@ -44,7 +56,19 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_bpe": op3_bpe, "op4_nearest": op4_nearest, "op5_token_files": op5_token_files, "op9_language_id": op9_language_id, "op10_ngram_jaccard": op10_ngram_jaccard, "pipeline": corpus_pipeline.run}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op2_decontamination": op2_decontamination,
+        "op3_bpe": op3_bpe,
+        "op4_nearest": op4_nearest,
+        "op5_token_files": op5_token_files,
+        "op6_chat_turns": op6_chat_turns,
+        "op7_licenses": op7_licenses,
+        "op8_url_filter": op8_url_filter,
+        "op9_language_id": op9_language_id,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
