@@ -85,27 +85,28 @@ def hex_channel(c: str | Column, k: int) -> Column:
     return F.conv(F.substring(_c(c), 2 + 2 * k, 2), 16, 10).cast("double") / 255.0
 
 
-def oklab(c: str | Column) -> tuple[Column, Column, Column]:
-    """L, a, b of a colour #rrggbb (the published OKLab matrices)."""
-    linear = []
-    for k in range(3):
-        v = hex_channel(c, k)
-        linear.append(F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4))))
-    r, g, b = linear
-    x = [F.pow(p * r + q * g + s * b, F.lit(1 / 3)) for p, q, s in LMS]
-    return tuple(p * x[0] + q * x[1] + s * x[2] for p, q, s in LAB)
-
-
-def srgb_hex(lightness: Column, a: Column, b: Column) -> Column:
-    """#rrggbb of an OKLab colour, channels held to 0..1."""
-    lms = [(lightness + p * a + q * b) for p, q in UNLAB]
-    cubes = [x * x * x for x in lms]
-    out = []
-    for p, q, s in UNLMS:
-        v = p * cubes[0] + q * cubes[1] + s * cubes[2]
-        v = F.when(v <= 0.0031308, 12.92 * v).otherwise(1.055 * F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055)
-        out.append(F.lpad(F.hex(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)) * 255 + 0.5).cast("long")), 2, "0"))
-    return F.lower(F.concat(F.lit("#"), *out))
+def let(value: Column, f) -> Column:
+    """f(value) with value worked out once: expressions that use it many times stay small."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _times(matrix, v: Column, n: int = 3) -> Column:
+    return F.array(*[sum((F.lit(row[k]) * v[k] for k in range(1, n)), F.lit(row[0]) * v[0]) for row in matrix])
+
+
+def oklab(c: str | Column) -> Column:
+    """[L, a, b] of a colour #rrggbb (the published OKLab matrices)."""
+    linear = F.transform(F.array(*[hex_channel(c, k) for k in range(3)]), lambda v: F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4))))
+    roots = let(linear, lambda v: F.transform(_times(LMS, v), lambda x: F.pow(x, F.lit(1 / 3))))
+    return let(roots, lambda v: _times(LAB, v))
+
+
+def srgb_hex(lab: Column) -> Column:
+    """#rrggbb of an OKLab colour [L, a, b], channels held to 0..1."""
+    cubes = let(lab, lambda v: F.transform(F.array(*[v[0] + p * v[1] + q * v[2] for p, q in UNLAB]), lambda x: x * x * x))
+    rgb = F.transform(let(cubes, lambda v: _times(UNLMS, v)), lambda v: F.when(v <= 0.0031308, 12.92 * v).otherwise(1.055 * F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055))
+    parts = F.transform(rgb, lambda v: F.lpad(F.hex(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)) * 255 + 0.5).cast("long")), 2, "0"))
+    return F.lower(F.concat(F.lit("#"), F.array_join(parts, "")))
 
 
 # The OKLab matrices as published.

@@ -4,6 +4,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: one marked-up page a part: an info block, a sentence with years, sections with links and nested lists
+_PAGE = """{{Infobox genre
+| name = @p_name@
+| stylistic_origins = [[@p_type@ music]], [[part @p_partkey % 50@|Part]], 19@p_partkey % 10@0s @p_brand@
+| derivatives = @p_brand@; @lower(p_type)@, x, @p_name@
+| color = #@substr(md5(concat('', p_partkey)), 1, 6)@
+}}
+The '''@p_name@''' is a kind of [[@lower(p_type)@ style#History|style]] that emerged in the early 19@40 + p_size@s<ref>note</ref>.
+== Styles ==
+* [[part @p_partkey % 40@]] is a genre of [[@p_brand@]]
+** [[part @p_partkey % 30@|p]]
+; [[File:x.png]] [[part @p_partkey % 20@]]
+| [[part @p_partkey % 60@]] || x
+== References ==
+* [[part 1]]
+{{Navbox
+| title = @p_type@ genres
+| list1 = [[part @p_partkey % 25@]] [[part @p_partkey % 35@]]
+}}"""
+
+
+def _page_sql() -> str:
+    """The page as a concat() that both engines know: quoted text, line breaks as chr(10), and expressions."""
+    parts: list[str] = []
+    for k, piece in enumerate(_PAGE.split("@")):
+        if k % 2:
+            parts.append(piece)
+            continue
+        for j, line in enumerate(piece.split("\n")):
+            parts += ["chr(10)"] * bool(j) + ["'" + line.replace("'", "''") + "'"]
+    return f"concat({', '.join(parts)})"
+
+
+_WIKI = f"SELECT p_partkey AS page, concat(p_name, ' ', p_partkey) AS title, p_name AS name, p_type AS type, p_brand AS brand, {_page_sql()} AS text FROM part"
+
 #: name: (tables and bindings it reads, select)
 BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
     # a container tree: regions, nations, suppliers, parts
@@ -32,6 +67,8 @@ BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
     # rectangles
     "boxes": (("embeddings",), "SELECT vec_id AS id, 1000 * CAST(embedding[{first}] AS DOUBLE) AS x, 1000 * CAST(embedding[{second}] AS DOUBLE) AS y, CAST(8 + label % 5 AS DOUBLE) AS w, CAST(4 + vec_id % 3 AS DOUBLE) AS h, CAST(vec_id % 100 AS DOUBLE) AS priority FROM embeddings"),
     "names": (("part", "supplier"), "SELECT concat('p:', p_partkey) AS id, concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN ' s' ELSE '' END) AS name, p_brand AS brand, p_type AS type FROM part WHERE p_partkey % 20 = 0"),
+    "wiki": (("part",), _WIKI),
+    "members": (("part",), "SELECT DISTINCT concat('Category:', p_type) AS category, concat('Category:', p_type, ' ', p_brand) AS member, TRUE AS is_category FROM part UNION ALL SELECT DISTINCT concat('Category:', p_type, ' ', p_brand), concat(p_name, ' ', p_partkey % 50), FALSE FROM part UNION ALL SELECT DISTINCT concat('Category:', p_type), concat('Music of ', p_name), FALSE FROM part WHERE p_size % 9 = 0"),
 }
 
 

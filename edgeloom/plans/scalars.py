@@ -125,8 +125,8 @@ def _lab_sql() -> str:
 @query("f13_oklab", "WITH src AS (SELECT DISTINCT concat('#', substr(md5(p_name), 1, 6)) AS c FROM part)" + _lab_sql())
 def f13(t):
     c = t.part.select(F.concat(F.lit("#"), F.substring(F.md5(F.col("p_name").cast("binary")), 1, 6)).alias("c")).distinct()
-    lab = text.oklab("c")
-    return c.select("c", *[F.round(x, 6).alias(n) for n, x in zip(("l", "a", "b"), lab)], text.srgb_hex(*lab).alias("back"))
+    c = c.withColumn("lab", text.oklab("c"))
+    return c.select("c", *[F.round(F.col("lab")[k], 6).alias(n) for k, n in enumerate(("l", "a", "b"))], text.srgb_hex(F.col("lab")).alias("back"))
 
 
 URLS = "concat(CASE e % 6 WHEN 0 THEN 'https://www.youtube.com/watch?v=' WHEN 1 THEN 'https://youtu.be/' WHEN 2 THEN 'https://youtube.com/embed/' WHEN 3 THEN 'https://m.youtube.com/shorts/' WHEN 4 THEN 'https://example.com/watch?v=' ELSE 'https://youtube.com/watch?list=a&v=' END, substr(md5(CAST(e AS VARCHAR(20))), 1, CASE WHEN e % 7 = 0 THEN 9 ELSE 11 END), CASE WHEN e % 5 = 0 THEN '&t=3' ELSE '' END)"
