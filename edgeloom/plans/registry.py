@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("scalars", "ingesting", "extracting", "relating", "graphs", "texts", "times", "curating")
+MODULES = ("scalars", "ingesting", "extracting", "relating", "graphs", "texts", "times", "curating", "streams", "files")
 
 
 def query(name: str, sql: str | None = None):

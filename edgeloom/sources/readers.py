@@ -24,7 +24,11 @@ def relationship_reviews(spark: SparkSession, path: str, types: list[str], nodes
     schema = "source_id string, " + ", ".join(f"{t} string" for t in types)
     rows = spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=True)
     rows = rows.join(nodes.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi")
-    cells = F.explode(F.flatten(F.array(*[F.transform(F.coalesce(F.from_json(t, REVIEW_CELL), F.array().cast(REVIEW_CELL)), lambda c, i, k=k, t=t: F.struct(F.lit(k).alias("k"), i.alias("i"), F.lit(t).alias("relation"), c["target"].alias("target"), c["confidence"].alias("confidence"))) for k, t in enumerate(types)])))
+    def cell(k: int, t: str):
+        read = F.coalesce(F.from_json(t, REVIEW_CELL), F.array().cast(REVIEW_CELL))
+        return F.transform(read, lambda c, i: F.struct(F.lit(k).alias("k"), i.alias("i"), F.lit(t).alias("relation"), c["target"].alias("target"), c["confidence"].alias("confidence")))
+
+    cells = F.explode(F.flatten(F.array(*[cell(k, t) for k, t in enumerate(types)])))
     each = rows.select("source_id", cells.alias("c")).select("source_id", "c.*").where("target is not null and trim(target) <> ''")
     each = each.withColumn("ordinal", F.row_number().over(Window.partitionBy("source_id").orderBy("k", "i")) - 1)
     titles = nodes.groupBy(F.lower("title").alias("_key")).agg(F.min("id").alias("to_id"))
