@@ -29,18 +29,18 @@ WORD = re.compile(r"[^\W_]+")
 class FMParams:
     """max_rows: the labelled rows that the model is fitted on at most, chosen by a hash of their ids."""
 
-    max_rows: int = 30_000
+    max_rows: int = 12_000
     min_rows: int = 3
     min_g: float = 12.0
     max_terms: int = 8_192
     factors: int = 4
-    steps: int = 150
+    steps: int = 100
     rate: float = 0.1
     decay: float = 2e-4
     seed: int = 7
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def _terms(word: str) -> tuple[int, ...]:
     mask = (1 << BITS) - 1
     return tuple(zlib.crc32(t.encode()) & mask for t in {word, "4" + word[:4], "5" + word[:5]})
