@@ -4,20 +4,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.llm import bpe, decontaminate, langid, ngram_join, toxicity
-from edgeloom.llm.common import fold, stage
+from edgeloom.llm.common import fold, packed, stage
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine, fitted on labels of this input, calls toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, fold("doc_id", 5) != 0)
-    return toxicity.score(docs, model).where("toxicity_score < 0.5").select(*docs.columns)
+    return toxicity.score(packed(docs, "text"), model).where("toxicity_score < 0.5").select("_row.*")
 
 
 def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or between two languages, go."""
     model = langid.train(docs, fold("doc_id", 4) != 2)
-    return langid.identify(docs, model).where(~F.col("lang_rejected")).select(*docs.columns)
+    return langid.identify(packed(docs, "text"), model).where(~F.col("lang_rejected")).select("_row.*")
 
 
 def _ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

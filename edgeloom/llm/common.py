@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 8 << 20  # of Arrow data that a Python worker is sent at once
+BATCH_BYTES = 4 << 20  # of Arrow data that a Python worker is sent at once
 
 
 def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
@@ -49,6 +49,11 @@ def fold(doc_id: str, modulus: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns beside all columns in the struct ``_row``, so that no column of docs clashes with what is added."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), *needed)
+
+
 def letters(text: str) -> bool:
     return any(map(str.isalpha, text))
 
@@ -75,7 +80,7 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(max(n, 1 << 21), base, np.uint64)
+            p = np.full(max(n, 1 << 19), base, np.uint64)
             p[0] = 1
             _POWERS[k] = np.cumprod(p)
     return _POWERS[0][:n], _POWERS[1][:n]
@@ -89,7 +94,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def pieces(offsets: np.ndarray, most: int = 2 << 20):
+def pieces(offsets: np.ndarray, most: int = 1 << 19):
     """Row ranges of about as many bytes at most; a longer row comes alone."""
     a, n = 0, len(offsets) - 1
     while a < n:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import bounded_batches, hashed_words, pieces, utf8
+from edgeloom.llm.common import bounded_batches, hashed_words, packed, pieces, utf8
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -274,8 +274,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParam
     n_chars, if there, is counted anew for texts that change. One pass takes out all runs that the text holds; words on both sides
     of a cut are not held against an item together.
     """
-    columns = docs.columns
-    found = contamination(docs, benchmark, p, tuple(columns))
+    found = contamination(packed(docs, "doc_id", "text"), benchmark, p, ("_row",))
     n_hit = F.aggregate("spans", F.lit(0), lambda n, s: n + (s["end"] - s["start"]))
     found = found.where(n_hit <= p.max_coverage * F.col("n_words"))
 
@@ -285,8 +284,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParam
 
         return pd.Series([t if not len(s) else _cleaned(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans)], dtype=object)
 
-    text = F.when(F.size("spans") > 0, cut("text", "spans")).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    hit, old = F.size("spans") > 0, F.col("_row.text")
+    out = found.withColumn("_text", F.when(hit, cut(old, "spans")).otherwise(old))
+    new = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(hit, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
