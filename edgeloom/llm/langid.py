@@ -25,8 +25,8 @@ _GAPS = re.compile(r"[\W\d_]+")
 
 
 def spelled(text: str) -> str:
-    """Lower-cased words with single blanks: marks, digits and layout say little about the language."""
-    return _GAPS.sub(" ", text.lower())
+    """Lower-cased words with a blank before and after each: marks, digits and layout say little about the language."""
+    return f" {_GAPS.sub(' ', text.lower()).strip()} "
 
 
 @dataclass(frozen=True)
@@ -35,10 +35,10 @@ class LangParams:
 
     sample_rows: int = 250
     sample_chars: int = 20_000
-    dictionary_bytes: int = 48_000
+    dictionary_bytes: int = 100_000
     folds: int = 3
-    level: int = 3
-    block_bytes: int = 4_096
+    level: int = 6
+    block_bytes: int = 1_024
     short_bytes: int = 4_096
     max_languages: int = 1_000
     min_margin: float = 0.004
@@ -70,7 +70,7 @@ def train(docs: DataFrame, learn=None, p: LangParams = LangParams()) -> LangMode
         for t in own:
             k = min(range(p.folds), key=lambda k: len(parts[k]))
             if len(parts[k]) + len(b := t.encode()) <= p.dictionary_bytes:
-                parts[k] += b + b"\n"
+                parts[k] += b
         out.append([x or b"\n" * 8 for x in parts])
     return LangModel(list(counts), out)
 
