@@ -7,6 +7,7 @@ from edgeloom.operators import edges as E
 from edgeloom.operators import graph as G
 from edgeloom.operators import regions as R
 from edgeloom.plans.bindings import sql_with
+from edgeloom.plans.graphs import TREE
 from edgeloom.plans.registry import query
 
 INB = "inb AS (SELECT concat('g:', l_suppkey % 60) AS to_id, concat('g:', 60 + l_partkey % 90) AS from_id, CASE (l_partkey + l_suppkey) % 3 WHEN 0 THEN 'subclass_of' WHEN 1 THEN 'derivative' ELSE 'influenced' END AS relation FROM lineitem WHERE l_orderkey % 25 = 3 GROUP BY ALL), nod AS (SELECT id, concat('t', id) AS title FROM (SELECT from_id AS id FROM inb UNION SELECT to_id FROM inb) q)"
@@ -134,10 +135,11 @@ def _index(t):
     return g2(t)
 
 
-@query("g29_reachable_parents", None)
+@query("g29_reachable_parents", TREE + """, y AS (SELECT concat('s:', l_suppkey) AS id, CAST(min(year(l_shipdate)) AS INTEGER) AS year FROM lineitem GROUP BY 1)
+SELECT e.to_id AS id, e.from_id AS parent_id, e.relation, e.source, e.ordinal, array_to_string(list_append(st.path_titles, n.title), ' / ') AS titles, y.year FROM shown e JOIN st ON st.id = e.from_id JOIN nodes n ON n.id = e.to_id LEFT JOIN y ON y.id = e.from_id WHERE st.depth = 3 AND NOT list_contains(st.path_ids, e.to_id)""")
 def g29(t):
-    y = t.years.groupBy("id").agg(F.min("year_start").alias("year"))
-    return R.reachable_parents(_index(t).where("depth = 3"), t.nodes, y).select("id", "parent_id", "relation", "source", "ordinal", "titles", "year")
+    y = t.lineitem.groupBy(F.concat(F.lit("s:"), "l_suppkey").alias("id")).agg(F.min(F.year("l_shipdate")).alias("year"))
+    return R.reachable_parents(_index(t).where("depth = 4"), t.nodes, y).select("id", "parent_id", "relation", "source", "ordinal", "titles", "year")
 
 
 @query("g30_regional_variants", """WITH b AS (SELECT p_partkey AS base FROM part WHERE p_partkey % 4 = 0), a AS (SELECT p_partkey AS base, p_partkey + p_size AS variant, p_brand AS region, p_size % 3 AS rank, 0 AS k FROM part UNION ALL SELECT p_partkey, p_partkey + p_size, p_type, p_size % 2, 1 FROM part UNION ALL SELECT p_partkey, p_partkey + 1, p_name, 0, 2 FROM part),
@@ -165,7 +167,9 @@ def g32(t):
     return R.scoped_nodes(t.nodes.where("id = 'r:2'").select("id"), t.edges.where("to_id not like 'p:%'"), promoted, t.edges)
 
 
-@query("g33_best_paths", None)
+@query("g33_best_paths", TREE + """, ix AS (SELECT e.to_id AS id, e.from_id AS parent_id, e.relation, e.source, e.ordinal, st.depth + 1 AS depth, st.title AS parent_title, list_append(st.path_ids, e.to_id) AS p FROM shown e JOIN st ON st.id = e.from_id WHERE st.depth < 16 AND NOT list_contains(st.path_ids, e.to_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN regexp_matches(lower(parent_title), '3|nation_1') THEN 0 ELSE 1 END, depth, parent_title, array_to_string(p, '>'), relation, source, ordinal) AS rn FROM ix WHERE list_contains(p, 'r:1'))
+SELECT id, parent_id, CAST(depth AS INTEGER) AS depth, array_to_string(p, '>') AS path FROM rk WHERE rn = 1""")
 def g33(t):
     i = _index(t).where("depth > 1").join(t.nodes.select(F.col("id").alias("parent_id"), F.col("title").alias("parent_title")), "parent_id")
     return R.best_paths(i, ("3", "nation_1"), "r:1").select("id", "parent_id", "depth", "path")
