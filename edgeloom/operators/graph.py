@@ -34,7 +34,7 @@ def reachability(roots: DataFrame, edges: DataFrame, titles: DataFrame, max_dept
     t = titles.select("id", "title")
     start = roots.select("id").distinct().join(t, "id")
     start = start.select("id", "title", F.col("id").alias("root_id"), F.col("title").alias("root_title"), F.lit(1).alias("depth"), F.array("id").alias("path_ids"), F.array("title").alias("path_titles"))
-    named = edges.select("from_id", "to_id").distinct().join(t.select(F.col("id").alias("to_id"), F.col("title").alias("to_title")), "to_id")
+    named = cut(edges.select("from_id", "to_id").distinct().join(t.select(F.col("id").alias("to_id"), F.col("title").alias("to_title")), "to_id"), "named")  # read at each level
 
     def expand(level: DataFrame) -> DataFrame:
         j = level.join(named, level["id"] == named["from_id"]).where(~F.array_contains("path_ids", F.col("to_id")))
@@ -62,6 +62,7 @@ def orphans(nodes: DataFrame, states: DataFrame) -> DataFrame:
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int, relations: list[str] | None = None) -> DataFrame:
     """(seed, id, depth) of what each seed (id) reaches within hops, at its least depth; many seeds at once."""
     e = (edges if relations is None else edges.where(F.col("relation").isin(*relations))).select("from_id", "to_id").distinct()
+    e = cut(e, "pairs")
     start = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).distinct()
     step = lambda level: level.join(e, level["id"] == e["from_id"]).select("seed", F.col("to_id").alias("id")).distinct()
     return frontier(start, ["seed", "id"], step, hops).where("depth > 0")
@@ -78,7 +79,7 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 
 def shortcuts(edges: DataFrame, candidates: DataFrame, max_depth: int = 8) -> DataFrame:
     """Of candidate edges (from_id, to_id), those whose end is also reached in 2 to max_depth steps."""
-    e = edges.select("from_id", "to_id").distinct()
+    e = cut(edges.select("from_id", "to_id").distinct(), "pairs")
     start = candidates.select(F.col("from_id").alias("seed")).distinct().join(e, F.col("seed") == F.col("from_id")).select("seed", F.col("to_id").alias("id"), F.lit(1).alias("depth")).distinct()
     # a node one step away may also be two or more away: levels are sets of (seed, node, depth), not of (seed, node)
     level, hit = cut(start, "shortcut"), None
@@ -268,7 +269,7 @@ def colours(vectors: DataFrame, roots: DataFrame, support: DataFrame, views: Dat
 
 def distance_map(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, floor: float = 0.18) -> DataFrame:
     """(seed, id, depth, strength, score) over undirected edges (a, b, strength): least depth, and of its paths the strongest product."""
-    e = edges.select("a", "b", "strength").union(edges.select("b", "a", "strength"))
+    e = cut(edges.select("a", "b", "strength").union(edges.select("b", "a", "strength")), "pairs")
     start = seeds.select(F.col("id").alias("seed"), "id", F.lit(1.0).alias("strength"), F.lit(0).alias("depth")).distinct()
     step = lambda level: level.withColumnRenamed("strength", "s").join(e, level["id"] == e["a"]).groupBy("seed", F.col("b").alias("id")).agg(F.max(F.col("s") * F.col("strength")).alias("strength"))
     out = frontier(start, ["seed", "id"], step, max_depth)
@@ -277,7 +278,7 @@ def distance_map(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, floor:
 
 def beam_walk(edges: DataFrame, seed: DataFrame, per_depth: tuple[int, ...] = (12, 8, 4, 2)) -> DataFrame:
     """(id, depth, score): at each depth the best new nodes by weight, then id; edges (from_id, to_id, weight)."""
-    e = edges.select("from_id", "to_id", "weight")
+    e = cut(edges.select("from_id", "to_id", "weight"), "pairs")
     level = cut(seed.select("id", F.lit(0).alias("depth"), F.lit(1.0).alias("score")), "beam")
     found = level
     for depth, keep in enumerate(per_depth, 1):
