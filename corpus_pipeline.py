@@ -21,11 +21,8 @@ def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays; documents without words or id stay."""
-    groups = ngram_join.jaccard_components(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    own = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"])
-    return own.unionByName(docs.where(F.col("doc_id").isNull()))
+    """Of each group of near-duplicates the row of the smallest id stays; rows without words stay."""
+    return ngram_join.one_each(docs)
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

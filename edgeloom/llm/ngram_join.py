@@ -68,8 +68,13 @@ def class_key(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def text_hash():
+    """Tells apart the texts that share a doc_id."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def _classes(docs: DataFrame, k: int, id_type: str) -> DataFrame:
-    """Rows (doc_id, cls, n) of all documents and rows (token, seen) of tokens that are common within a batch."""
+    """Rows (doc_id, own, cls, n) of all documents, own being a hash of the text, and rows (token, seen) of tokens that are common within a batch."""
 
     def run(batches):
         for b in batches:
@@ -79,14 +84,14 @@ def _classes(docs: DataFrame, k: int, id_type: str) -> DataFrame:
                 cls.append(class_key(s) if len(s) else None)
                 tokens.append(s)
             rows = len(n)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], ["doc_id", "cls", "n", "token", "seen"])
+            yield pa.RecordBatch.from_arrays([ids, b.column(2), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], ["doc_id", "own", "cls", "n", "token", "seen"])
             own, seen = np.unique(np.concatenate([np.zeros(0, np.uint64), *tokens]), return_counts=True)
             often = seen >= max(2, rows // HEAVY_SHARE // 2)
             m = int(often.sum())
             if m:
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(own[often].view(np.int64)), pa.array(seen[often])], ["doc_id", "cls", "n", "token", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), *[pa.nulls(m, pa.int64())] * 3, pa.array(own[often].view(np.int64)), pa.array(seen[often])], ["doc_id", "own", "cls", "n", "token", "seen"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, cls long, n long, token long, seen long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), text_hash().alias("own")).mapInArrow(run, f"doc_id {id_type}, own long, cls long, n long, token long, seen long")
 
 
 def _blocks(docs: DataFrame, k: int, percent: int, heavy, ranges: int) -> DataFrame:
@@ -232,14 +237,14 @@ def _compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return rows.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs: components of the exact Jaccard join at percent / 100."""
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, own, n, group) of every row of docs: the hash of its text, its set's size and its component; null: empty set."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
     id_type = dict(docs.dtypes)["doc_id"]
     found = stage(_classes(docs, k, id_type), "classes")
-    members = found.where("token is null").select("doc_id", "cls", "n")
+    members = found.where("token is null").select("doc_id", "own", "cls", "n")
     rows = members.count()
     common = found.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(HEAVY_LEAST, rows // HEAVY_SHARE))
     heavy = spark.sparkContext.broadcast(np.array([r["token"] for r in common.select("token").collect()], np.int64).view(np.uint64))
@@ -247,7 +252,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     ranges = 1 << max(5, (parts - 1).bit_length())
     postings = stage(_postings(_blocks(docs, k, percent, heavy, ranges), percent), "postings")
 
-    reps = members.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("rep")).select("cls", F.col("rep.doc_id").alias("doc_id"))
+    # a row of each class: neither may its id be missing nor name other texts too, so the text's hash goes with the id
+    reps = members.where("cls is not null").groupBy("cls").agg(F.min(_first()).alias("rep")).select("cls", F.col("rep.doc_id").alias("rep_id"), F.col("rep.own").alias("own"))
     listed = postings.groupBy("side", "tok").agg(F.min(F.struct("pos", "n", "cls")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
     listed = listed.select("side", "tok", F.col("pivot.cls").alias("cls_p"), F.col("pivot.n").alias("n_p"), F.col("pivot.pos").alias("pos_p"))
     shared = stage(postings.withColumnsRenamed({"cls": "cls_m", "n": "n_m", "pos": "pos_m"}).join(listed, ["side", "tok"]), "lists")
@@ -255,9 +261,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     star = shared.where((F.col("cls_m") != F.col("cls_p")) & _near("m", "p", percent)).select(F.col("cls_p").alias("a"), F.col("cls_m").alias("b")).distinct()
     star = stage(star, "star")
 
-    # the texts of one document of each class in a list that can still join two components
+    # the texts of one row of each class in a list that can still join two components
     needed = shared.select(F.col("cls_m").alias("cls")).distinct().join(reps, "cls")
-    texts = stage(docs.join(needed, "doc_id").select("cls", "text").dropDuplicates(["cls"]), "texts")
+    hashed = docs.withColumn("text_own", text_hash())
+    texts = stage(hashed.join(needed, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_own") == F.col("own"))).select("cls", "text").dropDuplicates(["cls"]), "texts")
     links = stage(_compare(star, texts, k, percent), "links")
     label = components(links)
 
@@ -272,7 +279,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     label = components(links.union(more))
     discard(shared, star, texts, placed)
 
-    grouped = members.join(label, members["cls"] == label["node"], "left").withColumn("group", F.coalesce("label", "cls"))
+    return members.join(label, members["cls"] == label["node"], "left").select("doc_id", "own", "n", F.coalesce("label", "cls").alias("group"))
+
+
+def _first():
+    """The order of rows within a class or component: the smallest id first, null last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs: components of the exact Jaccard join at percent / 100."""
+    grouped = _grouped(docs, k, percent)
     least = grouped.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     out = grouped.where("group is not null").join(least, "group").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.union(grouped.where("group is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of docs of each component: of the smallest id, or of none if no row has one; every row without words."""
+    grouped = _grouped(docs, k, percent)
+    kept = grouped.where("group is not null").groupBy("group").agg(F.min(_first()).alias("rep")).select(F.col("rep.doc_id").alias("_id"), F.col("rep.own").alias("_kept"))
+    hashed = docs.withColumn("_own", text_hash())
+    own = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_kept"))).dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    return own.unionByName(docs.where(~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")))
