@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 
 from edgeloom.operators.staging import cut
 
+MERGED = 32
 
-def frontier(seeds: DataFrame, key: list[str], expand: Callable[[DataFrame], DataFrame], max_depth: int) -> DataFrame:
-    """Rows with ``depth``: seeds at their depth, then level by level what expand(level) gives, of keys not seen before.
+
+def frontier(seeds: DataFrame, key: list[str], expand: Callable[[DataFrame], DataFrame], max_depth: int | None) -> DataFrame:
+    """Rows with ``depth``: seeds at their depth, then level by level what expand(level) gives, of keys not seen before; max_depth
+    None: until nothing is new. What was found is written as one table every ``MERGED`` levels, so that deep graphs keep plans short.
 
     expand must give one row a key, with the columns of seeds but depth.
     """
     level = cut(seeds, "frontier")
     found, depth = level, level.agg(F.max("depth")).first()[0]
-    while depth is not None and depth < max_depth:
+    while depth is not None and (max_depth is None or depth < max_depth):
         depth += 1
         level = cut(expand(level).join(found.select(*key), key, "left_anti").withColumn("depth", F.lit(depth)).select(*seeds.columns), "frontier")
         if level.isEmpty():
             break
         found = found.unionByName(level)
+        if depth % MERGED == 0:
+            found = cut(found, "found")
     return found
 
 
@@ -59,7 +64,7 @@ def orphans(nodes: DataFrame, states: DataFrame) -> DataFrame:
     return nodes.join(states.select("id"), "id", "left_anti").orderBy(F.desc_nulls_last("views"), F.lower("title"), "id")
 
 
-def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int, relations: list[str] | None = None) -> DataFrame:
+def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int | None, relations: list[str] | None = None) -> DataFrame:
     """(seed, id, depth) of what each seed (id) reaches within hops, at its least depth; many seeds at once."""
     e = (edges if relations is None else edges.where(F.col("relation").isin(*relations))).select("from_id", "to_id").distinct()
     e = cut(e, "pairs")
@@ -68,7 +73,7 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int, relations: list
     return frontier(start, ["seed", "id"], step, hops).where("depth > 0")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 64) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(seed, id, depth): all descendants of each seed with the least depth; cycles end by the visited pairs."""
     return neighbourhood(edges, seeds, max_depth)
 
