@@ -1,8 +1,10 @@
 """Jobs that must not stop at a fixed size."""
 
+from pyspark.sql import functions as F
 from test_scenarios import edge_frame, titles
 
 from edgeloom.operators import graph as G
+from edgeloom.operators import textsim as T
 
 
 def test_closure_of_a_deep_chain_and_a_cycle_at_its_end(spark):
@@ -10,3 +12,9 @@ def test_closure_of_a_deep_chain_and_a_cycle_at_its_end(spark):
     e = edge_frame(spark, [*[(f"c{k}", f"c{k + 1}") for k in range(n)], (f"c{n}", "x"), ("x", f"c{n}")])
     got = {r["id"]: r["depth"] for r in G.closure(e, titles(spark, ["c0"]).select("id")).collect()}
     assert got == {f"c{k}": k for k in range(1, n + 1)} | {"x": n + 1}
+
+
+def test_search_finds_the_reachable_below_a_million_others(spark):
+    docs = spark.range(1_000_002).select("id", F.when(F.col("id") < 1_000_001, "red ring").otherwise("a red one").alias("title"), F.lit(1.0).alias("views"))
+    states = docs.where("id = 1000001").select("id", F.lit(2).alias("depth"), F.array("title").alias("path_titles"))
+    assert [r["id"] for r in T.search_reachable(docs, states, "red ring", {"title": 1.0}, 3).collect()] == [1_000_001]
