@@ -163,27 +163,34 @@ class TrieEncoder:
             yield word, tuple(out)
 
 
-class Coder:
-    """Texts to ids and back with one vocabulary file."""
+class Words:
+    """Cuts texts into words, as the pre-tokenizer does; special tokens come as their ids."""
 
-    def __init__(self, path: str):
-        self.v = Vocabulary.load(path)
-        self.trie = TrieEncoder(self.v)
+    def __init__(self, specials: dict[str, int]):
+        self.specials = specials
         self.pieces = regex.compile(PATTERN).findall
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.v.specials, key=len, reverse=True))) + ")") if self.v.specials else None
+        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
 
-    def words(self, text: str) -> list:
-        """The text's words; special tokens come as their ids."""
-        if self.special is None or not any(s in text for s in self.v.specials):
+    def __call__(self, text: str) -> list:
+        if self.special is None or not any(s in text for s in self.specials):
             return self.pieces(text)
         out: list = []
         for part in self.special.split(text):
-            if part in self.v.specials:
-                out.append(self.v.specials[part])
+            if part in self.specials:
+                out.append(self.specials[part])
             elif part:
                 out += self.pieces(part)
         return out
 
+
+class Coder:
+    """Texts to ids and back with one vocabulary file."""
+
+    def __init__(self, path: str):
+        self.v = Vocabulary.load(path)
+        self.trie = TrieEncoder(self.v)
+        self.words = Words(self.v.specials)
+
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         each = [self.words(t) for t in texts]
         known = self.trie.encode({w for ws in each for w in ws if isinstance(w, str)})

@@ -1,5 +1,6 @@
 """Helpers that the text and vector operators share: scratch tables, Arrow batches, word hashing."""
 
+import hashlib
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder in spark.checkpoint.dir; a local folder only where none is named."""
+    """A new path below the shared folder in spark.checkpoint.dir; without one, a local folder in local mode and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="edgeloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -71,19 +74,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> k)
 
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BYTES[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]  # A-Z count as a-z
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(max(n, 1 << 19), base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.cumprod(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32  # A-Z count as a-z
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
+_LONG_WORD = 256  # bytes; longer words are hashed one by one
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,28 +98,57 @@ def pieces(offsets: np.ndarray, most: int = 1 << 19):
         a = b
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of rows in order, and how many each row has.
+def lowered(data: np.ndarray, start: int, end: int) -> bytes:
+    """The bytes of a word, A-Z as a-z."""
+    return _LOWER[data[start:end]].tobytes()
+
 
-    is_word: for each byte, whether words hold it. A-Z are taken as a-z.
+def word_places(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends in data of all words of rows in order, and how many words each row has.
+
+    is_word: for each byte, whether words hold it.
     """
     lo, hi = int(offsets[0]), int(offsets[-1])
-    n = len(offsets) - 1
     if hi == lo:
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
-    buf = data[lo:hi]
-    inside = np.zeros(len(buf) + 2, bool)
-    inside[1:-1] = is_word[buf]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
+    inside = np.zeros(hi - lo + 2, bool)
+    inside[1:-1] = is_word[data[lo:hi]]
     cuts = np.unique(offsets[:-1] - lo)
-    cuts = cuts[cuts < len(buf)]
+    cuts = cuts[cuts < hi - lo]
     begin = inside[1:-1] & ~inside[:-2]
     begin[cuts] = inside[1:-1][cuts]
     end = inside[1:-1] & ~inside[2:]
     end[cuts[cuts > 0] - 1] |= inside[1:-1][cuts[cuts > 0] - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    power, inverse = _powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTES[buf] * power[: len(buf)], out=total[1:])
-    words = mix((total[ends] - total[starts]) * inverse[starts])
-    at = np.searchsorted(starts, offsets - lo)
-    return words, np.diff(at)
+    return starts + lo, ends + lo, np.diff(np.searchsorted(starts, offsets - lo))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, A-Z taken as a-z.
+
+    Eight bytes at a time go through a bijection, begun with the length: words of up to eight bytes and equal length never
+    collide, longer ones as seldom as 64 random bits do.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lo = int(starts[0])
+    low = np.concatenate([_LOWER[data[lo : int(ends[-1])]], np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
+    at, size = starts - lo, ends - starts
+    out = mix(size.astype(np.uint64) * _LENGTH)
+    some = np.flatnonzero(size <= _LONG_WORD)
+    k = 0
+    while len(some):
+        left = size[some] - k
+        out[some] = mix(out[some] ^ (eight[at[some] + k] & _MASKS[np.minimum(left, 8)]))
+        k += 8
+        some = some[left > 8]
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(low[at[i] : at[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of rows in order, and how many each row has."""
+    starts, ends, counts = word_places(data, offsets, is_word)
+    return word_hashes(data, starts, ends), counts

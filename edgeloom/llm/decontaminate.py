@@ -3,7 +3,8 @@
 The automaton accepts all runs of words of all items. A document's words stream through it, which gives at each word the
 longest run that ends there and occurs in an item. A run of ``window`` words or more hits its words, and so does a whole item
 of fewer words. Between words that never follow each other in an item the automaton can hold one word at most, so it is only
-fed the stretches between such places; they are found by numpy for a batch at once.
+fed the stretches between such places; they are found by numpy for a batch at once, by 64-bit hashes of the words. A stretch goes
+through the automaton as the words themselves, so the result doesn't rest on hashes being unique.
 
 Words are lower-cased (A-Z) runs of the bytes 0-9, a-z and above 0x7F. Null and empty texts have no words; items without words
 match nothing; a null item id counts as the empty text; repeated items count once. Every row of the documents gives a row.
@@ -17,11 +18,12 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import bounded_batches, hashed_words, packed, pieces, utf8
+from edgeloom.llm.common import bounded_batches, lowered, packed, pieces, utf8, word_hashes, word_places
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -37,18 +39,32 @@ class DecontaminationParams:
     block_words: int = 400_000
 
 
-def word_hashes(texts: pa.Array):
-    """(hashes, counts by row) of consecutive row ranges."""
+def placed_words(texts: pa.Array):
+    """(bytes, begins, ends, counts by row) of the words of consecutive row ranges."""
     data, offsets = utf8(texts)
     for a, b in pieces(offsets):
-        yield hashed_words(data, offsets[a : b + 1], IS_WORD)
+        yield data, *word_places(data, offsets[a : b + 1], IS_WORD)
+
+
+def item_words(text: str) -> list[bytes]:
+    return [lowered(data, a, b) for data, starts, ends, _ in placed_words(pa.array([text])) for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    return word_hashes(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if words else np.zeros(0, np.uint64)
 
 
 @dataclass
 class Automaton:
-    """step, link, length: the suffix automaton's states; hits: items by state of a window; whole: (words, items) by state."""
+    """A generalised suffix automaton of item words, and the hashes that find what may match.
+
+    words: numbers of the items' words; vocabulary, pairs: hashes of words, sorted, and pairs of their places that follow each
+    other; step, link, length: the states; hits: items by state of a window; whole: (words, items) by state.
+    """
 
     window: int
+    words: dict[bytes, int]
     vocabulary: np.ndarray
     pairs: np.ndarray
     shortest: int
@@ -59,20 +75,26 @@ class Automaton:
     whole: dict[int, dict[int, set[str]]] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, items: list[tuple[str, np.ndarray]], window: int) -> "Automaton":
-        """items: ids and word hashes."""
-        items = [(i, h) for i, h in items if len(h)]
-        vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for _, h in items)]))
-        words = [(i, np.searchsorted(vocabulary, h)) for i, h in items]
-        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(w[:-1] * len(vocabulary) + w[1:] for _, w in words)]))
-        out = cls(window, vocabulary, pairs, min([window, *(len(w) for _, w in words)]))
-        for seq in {w.tobytes(): w for _, w in words}.values():
+    def build(cls, items: list[tuple[str, list[bytes]]], window: int) -> "Automaton":
+        """items: ids and words."""
+        items = [(i, w) for i, w in items if w]
+        numbers: dict[bytes, int] = {}
+        for _, ws in items:
+            for w in ws:
+                numbers.setdefault(w, len(numbers))
+        hashes = hashes_of(list(numbers))
+        vocabulary = np.unique(hashes)
+        place = np.searchsorted(vocabulary, hashes)
+        words = [(i, [numbers[w] for w in ws]) for i, ws in items]
+        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(place[w[:-1]] * len(vocabulary) + place[w[1:]] for _, w in words if len(w) > 1)]))
+        out = cls(window, numbers, vocabulary, pairs, min([window, *(len(w) for _, w in words)]))
+        for seq in {tuple(w) for _, w in words}:
             last = 0
-            for c in seq.tolist():
+            for c in seq:
                 last = out._extend(last, c)
         for item, seq in words:
             state = 0
-            for n, c in enumerate(seq.tolist(), 1):
+            for n, c in enumerate(seq, 1):
                 state = out.step[state][c]
                 if n >= window:
                     out.hits.setdefault(out.suffix(state, window), set()).add(item)
@@ -148,10 +170,11 @@ class Automaton:
                 out.append((start, i))
         return out, items
 
-    def scan(self, hashes: np.ndarray, counts: np.ndarray) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
+    def scan(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
         """Spans and items by row, of the rows that have any."""
-        if not len(self.vocabulary) or not len(hashes):
+        if not len(self.vocabulary) or not len(starts):
             return {}
+        hashes = word_hashes(data, starts, ends)
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         known = self.vocabulary[at] == hashes
         row = np.repeat(np.arange(len(counts)), counts)
@@ -166,7 +189,7 @@ class Automaton:
         begin = np.concatenate([[0], np.cumsum(counts)])
         out: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
         for a, b in zip(first[long].tolist(), end[long].tolist()):
-            spans, items = self.spans(at[a:b].tolist())
+            spans, items = self.spans([self.words.get(lowered(data, i, j), -1) for i, j in zip(starts[a:b].tolist(), ends[a:b].tolist())])
             if spans:
                 r = int(row[a])
                 own = out.setdefault(r, ([], set()))
@@ -187,16 +210,16 @@ def merged(spans) -> list[tuple[int, int]]:
 
 def _blocks(benchmark: DataFrame, p: DecontaminationParams):
     """Automata of the items, one after another; the driver holds the words of one block at a time."""
-    own: list[tuple[str, np.ndarray]] = []
+    own: list[tuple[str, list[bytes]]] = []
     total = 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where(F.col("text").isNotNull()).orderBy("item_id", "text")
     for r in rows.toLocalIterator():
-        hashes = np.concatenate([h for h, _ in word_hashes(pa.array([r["text"]]))])
-        if own and total + len(hashes) > p.block_words:
+        words = item_words(r["text"])
+        if own and total + len(words) > p.block_words:
             yield Automaton.build(own, p.window)
             own, total = [], 0
-        own.append((r["item_id"], hashes))
-        total += len(hashes)
+        own.append((r["item_id"], words))
+        total += len(words)
     yield Automaton.build(own, p.window)
 
 
@@ -222,8 +245,8 @@ def _scanned(docs: DataFrame, automaton: Automaton, columns: list[str]) -> DataF
     def run(batches):
         for b in batches:
             n_words, spans, items = [], [], []
-            for hashes, counts in word_hashes(b.column(b.num_columns - 1)):
-                found = shared.value.scan(hashes, counts)
+            for data, starts, ends, counts in placed_words(b.column(b.num_columns - 1)):
+                found = shared.value.scan(data, starts, ends, counts)
                 for r, n in enumerate(counts.tolist()):
                     s, i = found.get(r, ((), ()))
                     n_words.append(n)
@@ -244,7 +267,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParam
     whole, second = next(blocks), next(blocks, None)
     if second is None:
         return _scanned(docs, whole, columns)
-    keyed = docs.withColumn("_key", F.sha2(F.concat_ws("\x00", F.col("doc_id").cast("string"), "text"), 256))
+    # spans depend on nothing but the text; a null text has no words, as an empty one
+    keyed = docs.withColumn("_key", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
     out, more = _scanned(keyed, whole, [*columns, "_key"]), None
     for automaton in itertools.chain([second], blocks):
         part = _scanned(keyed.select("_key", "text").dropDuplicates(["_key"]), automaton, ["_key"]).where(F.size("spans") > 0).select("_key", "spans", "items")
@@ -252,9 +276,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParam
     more = more.groupBy("_key").agg(F.flatten(F.collect_list("spans")).alias("more_spans"), F.flatten(F.collect_list("items")).alias("more_items"))
     joined = out.join(more, "_key", "left")
 
-    @F.udf("array<struct<start:int,end:int>>")
-    def union(spans):
-        return merged((s["start"], s["end"]) for s in spans)
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def union(each: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "end": b} for a, b in merged((s["start"], s["end"]) for s in spans)] for spans in each], dtype=object)
 
     spans = F.when(F.col("more_spans").isNull(), F.col("spans")).otherwise(union(F.concat("spans", F.coalesce("more_spans", F.array().cast("array<struct<start:int,end:int>>")))))
     items = F.array_sort(F.array_union("items", F.coalesce("more_items", F.array().cast("array<string>"))))
@@ -279,9 +303,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParam
     found = found.where(n_hit <= p.max_coverage * F.col("n_words"))
 
     @F.pandas_udf("string")
-    def cut(texts, spans):
-        import pandas as pd
-
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if not len(s) else _cleaned(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans)], dtype=object)
 
     hit, old = F.size("spans") > 0, F.col("_row.text")

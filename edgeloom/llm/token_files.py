@@ -10,10 +10,12 @@ take one byte. A file holds one block of documents in ascending doc_id order:
 A control code tells how many bytes an id's rank takes, less one: 1 bit an id where no rank needs over 2 bytes, else 2. Control
 bytes fill from their lowest bits. Files are named in reading order, beside ``ranks.bin``: the magic and the ids by rank (uint32).
 
-Null and empty texts have the end id only. Repeated rows are written as often as they come, next to each other.
+Null and empty texts have the end id only. Every row is written as often as it comes: rows of equal doc_id stand next to each
+other in any order, and an id that many rows share is dealt over several files. Rows with a null id come first.
 """
 
-import base64
+import itertools
+import os
 import struct
 import uuid
 import zlib
@@ -22,17 +24,18 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs as pafs
-import tiktoken
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+from edgeloom.llm.bpe import Words
 from edgeloom.llm.common import bounded_batches, discard, scratch, stage
 
 MAGIC = b"ELTOKEN1"
 HEAD = struct.Struct("<8sqqqq")
-NO_ID = np.iinfo(np.int64).min
-SPECIAL = "<|endoftext|>"
+NO_ID = int(np.iinfo(np.int64).min)
+DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 
 
 # --- the code -----------------------------------------------------------------------------------------------------------
@@ -92,28 +95,66 @@ def read_block(content: bytes) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]
 # --- encoding -----------------------------------------------------------------------------------------------------------
 
 
-def load_encoding(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
+def load_tokenizer(path: str) -> Tokenizer:
+    """The vocabulary file's tokenizer without truncation and padding; on Spark, tasks take the place of its threads."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    out = Tokenizer.from_file(path)
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
+class Encoder:
+    """Whole texts to ids by the tokenizers library, which is given each distinct word once.
+
+    Ids of words are kept between batches, up to max_words words of up to max_letters letters.
+    """
+
+    def __init__(self, path: str, max_words: int = 200_000, max_letters: int = 64):
+        self.tokenizer = load_tokenizer(path)
+        self.max_words, self.max_letters = max_words, max_letters
+        self.words = Words({t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()})
+        self.known: dict = {}
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words = self.words(text) if text else []
+        known = self.known
+        new = set(words).difference(known)
+        if new:
+            if len(known) > self.max_words:
+                known = self.known = {}
+                new = set(words)
+            texts = sorted(w for w in new if isinstance(w, str))
+            known.update(zip(texts, (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))))
+            known.update((w, (w,)) for w in new if not isinstance(w, str))
+        ids = np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, words)), "<u4")
+        for w in new:
+            if isinstance(w, str) and len(w) > self.max_letters:
+                del known[w]
+        return ids
+
+
+def _parts(doc_ids: np.ndarray, own: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range that each row belongs to; an id that fills several ranges is dealt over them by own."""
+    first, last = np.searchsorted(bounds, doc_ids, "left"), np.searchsorted(bounds, doc_ids, "right")
+    return np.where(last > first, first + own % (last - first + 1), last)
 
 
 def _encoded(docs: DataFrame, bounds: np.ndarray, path: str, end_id: int) -> DataFrame:
     """(part, doc_id, n, ids): ids squeezed by zstandard, only to keep the shuffle small."""
 
     def run(batches):
-        enc = load_encoding(path)
+        encode = Encoder(path)
         squeeze = zstandard.ZstdCompressor(level=1, write_checksum=False)
         for b in batches:
             doc_ids = b.column(0).to_pylist()
-            n, out = [], []
+            n, out, own = [], [], []
             for text in b.column(1).to_pylist():
-                ids = enc.encode(text, allowed_special="all") if text and SPECIAL in text else enc.encode_ordinary(text or "")
-                ids.append(end_id)
-                x = np.array(ids, "<u4")
+                x = np.append(encode(text), np.uint32(end_id)).astype("<u4")
                 n.append(len(x))
                 out.append(squeeze.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()))
-            part = np.searchsorted(bounds, np.array([NO_ID if d is None else d for d in doc_ids], np.int64), "right")
+                own.append(zlib.crc32(out[-1]))
+            part = _parts(np.array([NO_ID if d is None else d for d in doc_ids], np.int64), np.array(own, np.int64), bounds)
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["part", "doc_id", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "part int, doc_id long, n long, ids binary")
@@ -163,10 +204,11 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path = vocabulary or public_tokenizers.path(DEFAULT_VOCABULARY)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / parts for k in range(1, parts)] or [0.5], 20_000).alias("q")).first()["q"]
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    cuts = docs.agg(F.percentile_approx(ids, [k / parts for k in range(1, parts)] or [0.5], 20_000).alias("q")).first()["q"]
+    bounds = np.sort(np.array(cuts or [], np.int64))
     rows = _encoded(docs, bounds, path, end_id).repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
     blocks = stage(_blocks(rows, block_ids), "token-blocks")
 
@@ -248,12 +290,12 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 def texts(spark, folder: str, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, text) decoded from the files; each document's last id, the end id, is left out."""
-    path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path = vocabulary or public_tokenizers.path(DEFAULT_VOCABULARY)
 
     def each(doc_ids, sizes, start, ids):
-        enc = load_encoding(path)
+        tokenizer = load_tokenizer(path)
         end = np.cumsum(sizes)
-        out = [enc.decode(ids[e - n : e - 1].tolist()) for e, n in zip(end.tolist(), sizes.tolist())]
+        out = [tokenizer.decode(ids[e - n : e - 1].tolist(), skip_special_tokens=False) for e, n in zip(end.tolist(), sizes.tolist())]
         return pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == NO_ID), pa.array(out, pa.string())], ["doc_id", "text"])
 
     return read_tokens(spark, folder, each, "doc_id long, text string")

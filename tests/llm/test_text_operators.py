@@ -7,11 +7,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from edgeloom.llm import bpe, decontaminate, langid, licenses, queries, token_files, toxicity
+from edgeloom.llm import bpe, common, decontaminate, langid, licenses, queries, token_files, toxicity
 
 SF = "/root/testdata/sf0.01"
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "same text"), (4, "same text"), (None, "no id"), (5, "é ß 日本 😀 ² Ⅷ"), (6, "<|endoftext|> a <|endoftext|>"), (7, "word " * 30_000)]
@@ -86,7 +87,7 @@ def test_decontamination_brute_force(spark, block):
     rng = random.Random(5)
     text = lambda n, extra="": " ".join(rng.choice(("a", "b", "C", "d", "É") + tuple(extra)) for _ in range(rng.randrange(n)))
     items = [(i, text(16)) for i in range(60)] + [(3, None), (None, "a b b a"), (70, ""), (71, "a"), (71, "a")]
-    docs = [(i, text(90, "z")) for i in range(200)] + ODD[:6]
+    docs = [(i, text(90, "z")) for i in range(200)] + ODD + [(None, "1"), (1, None), (900, "a b c d " * 2000)]
     got = decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), decontaminate.DecontaminationParams(block_words=block))
     assert sorted(map(tuple, got.collect()), key=str) == brute_hits(docs, items)
 
@@ -99,6 +100,38 @@ def test_decontamination_of_the_table_and_removal(spark):
     assert clean.columns == [*docs.columns, "spans"] and decontaminate.report(clean, bench).where("contaminated").count() == 0
 
 
+def thue_morse(n):
+    s = "a"
+    for _ in range(n):
+        s += s.translate({97: 98, 98: 97})
+    return s
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    """The Thue-Morse word and its complement have equal polynomial hashes modulo 2 ** 64; they are different words here."""
+    a, b = thue_morse(10), thue_morse(10).translate({97: 98, 98: 97})
+    ws = [a, b, thue_morse(5), thue_morse(5).translate({97: 98, 98: 97}), "x" * 300, "x" * 299 + "y", "abcdefgh", "abcdefgi", "abcdefghi"]
+    places = [np.cumsum([0, *map(len, ws[:-1])]), np.cumsum(list(map(len, ws)))]
+    assert len(set(common.word_hashes(np.frombuffer("".join(ws).encode(), np.uint8), *places).tolist())) == len(ws)
+    frame = lambda rows, k: spark.createDataFrame(rows, f"{k} long, text string")
+    got = decontaminate.report(frame([(1, f"p {a} q {b}"), (2, b)], "doc_id"), frame([(7, a)], "item_id")).orderBy("doc_id").collect()
+    assert [(r["n_hit"], r["n_items"]) for r in got] == [(1, 1), (0, 0)]
+
+
+def test_colliding_hashes_do_not_count_as_hits(spark, monkeypatch):
+    """With hashes of three bits, the words themselves still decide."""
+    monkeypatch.setattr(decontaminate, "word_hashes", lambda *x: common.word_hashes(*x) & np.uint64(7))
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    items = [(i, text(rng.randrange(1, 30))) for i in range(40)]
+    docs = [(i, text(60) + " " + items[i % 40][1]) for i in range(80)]
+    automaton = decontaminate.Automaton.build([(str(i), decontaminate.item_words(t)) for i, t in items], 10)
+    want = {r[0]: r[2] for r in brute_hits(docs, items)}
+    for i, t in docs:
+        found = [automaton.scan(*x) for x in decontaminate.placed_words(pa.array([t]))]
+        assert sum(e - s for f in found for own, _ in f.values() for s, e in decontaminate.merged(own)) == want[i]
+
+
 def test_decontamination_without_items(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(odd(spark), none).where("contaminated or n_hit > 0").count() == 0
@@ -161,7 +194,8 @@ def test_code_round_trip(n, most):
 
 def test_token_files(spark):
     t = reference()
-    for docs in (spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), odd(spark), odd(spark).limit(0)):
+    runs = spark.createDataFrame([(1, "a" + " " * 1_000_000 + "b"), (2, " " * 3_000_000), (3, "<|endoftext|>" * 3), (4, "x" * 300_000)], "doc_id long, text string")
+    for docs in (spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), odd(spark), runs, odd(spark).limit(0)):
         want, at = [], 0
         for d, text in sorted(docs.collect(), key=lambda r: (r[0] is not None, r[0] or 0)):
             ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -170,6 +204,27 @@ def test_token_files(spark):
         assert sorted(map(tuple, token_files.round_trip(docs).collect()), key=str) == sorted(want, key=str)
 
 
+def test_token_files_of_a_repeated_id(spark):
+    """Most rows have one id, which is dealt over several files: every row is there once, starts follow each other by id."""
+    rows = [(7, f"row {k}") for k in range(300)] + [(k, "other") for k in range(20)] + [(None, "none")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit("clash"))
+    got = token_files.round_trip(docs).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted([r[0] for r in rows], key=lambda d: (d is not None, d or 0))
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]).tolist()
+    t = reference()
+    crc = lambda x: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes())
+    assert sorted((str(r["doc_id"]), r["ids_crc32"]) for r in got) == sorted((str(d), crc(x)) for d, x in rows)
+    cuts = np.array([3, 7, 7, 7, 9])
+    at = token_files._parts(np.array([1, 3, 5, 7, 7, 7, 7, 8, 9, 10]), np.arange(10), cuts)
+    assert set(at[3:7]) == {1, 2, 3, 4} and at[0] == 0 and at[2] == 1 and at[7] == 4 and at[9] == 5
+
+
+def test_token_files_decode(spark, tmp_path):
+    folder = "file://" + str(tmp_path)
+    token_files.write_tokens(odd(spark), folder)
+    assert sorted(map(tuple, token_files.texts(spark, folder).collect()), key=str) == sorted(((d, t or "") for d, t in ODD), key=str)
+
+
 # --- language and licences ----------------------------------------------------------------------------------------------
 
 
