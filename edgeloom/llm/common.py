@@ -47,6 +47,35 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def part_target(df: DataFrame) -> int:
+    """Rows of one key that a task may get at most before the key is dealt over several."""
+    return max(500, df.count() // (2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", sizes: DataFrame | None = None, target: int | None = None) -> DataFrame:
+    """big joined with small on keys; keys that many rows of big share are dealt over several tasks by a salt.
+
+    Only such keys' rows of small are repeated, once for each salt. There are fewer of them than rows of big divided by the target, so
+    their list, which is broadcast, is bounded by the number of shuffle partitions. sizes: rows of big by key (keys, size), if
+    known. A null in a key joins nothing and is not salted.
+    """
+    spark = big.sparkSession
+    target = target or part_target(big)
+    sizes = big.groupBy(*keys).agg(F.count("*").alias("size")) if sizes is None else sizes
+    known = [F.col(k).isNotNull() for k in keys]
+    for k in known[1:]:
+        known[0] = known[0] & k
+    hot = [(*(r[k] for k in keys), -(-r["size"] // target)) for r in sizes.where(known[0] & (F.col("size") > target)).select(*keys, "size").collect()]
+    if not hot:
+        return big.join(small, keys, how)
+    kinds = dict(big.dtypes)
+    salts = F.broadcast(spark.createDataFrame(hot, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", _salts int"))
+    own = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.coalesce("_salts", F.lit(1))).cast("int")
+    dealt = big.join(salts, keys, "left").withColumn("_salt", own).drop("_salts")
+    copies = small.join(salts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def fold(doc_id: str, modulus: int):
     """crc32 of the id as text, modulo modulus; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus

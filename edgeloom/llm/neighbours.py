@@ -3,17 +3,22 @@
 Largest inner products are looked for as smallest distances: a vector x gets one more component sqrt(M^2 - |x|^2), M the
 largest norm, and a query the component 0. The lengthened vectors are projected by Gaussian (2-stable) directions: a squared
 projected distance, divided by the squared true distance, is chi-square distributed with as many degrees of freedom as there
-are directions. Points are therefore verified in the order of their projected distance, and a query stops at the projected
+are directions. Points are verified one after another in the order of their projected distance, and a query stops at the projected
 distance r at which a point as near as its k-th best one, d, would have been met with probability ``confidence``:
-chi2_cdf(r^2 / d^2) >= confidence.
+chi2_cdf(r^2 / d^2) >= confidence. The share of near points found is about ``confidence`` or more, whatever the data; how many
+points that takes depends on how much nearer than the rest the neighbours are. Each result row says how many were verified.
+
+The test bounds the chance to miss a nearer point, and says nothing of points exactly as near as the k-th, among which the ids
+decide: a query that meets such a tie goes on to the end.
 
 On Spark: equal vectors are one class, which holds its k + 1 smallest ids. A kd-tree over a bounded sample of projected
 classes cuts the space into cells of about ``cell_rows`` classes; each cell has its own kd-tree, made in the task that searches it.
 A query is first searched in its own cell, which bounds d; the test on the cells' boxes then names the other cells that it
 still has to visit. Queries of a cell come in blocks, so no task holds more than a cell and a block of queries.
 
-Vectors that are null, zero, of another length than the first found, or hold null or non-finite components take no part,
-nor do rows with a null id. Rows of equal id and vector count once. A candidate is any row of another id.
+Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id; vectors of different
+lengths are an error. Rows of equal id and vector count once. A candidate is any row of another id. Columns other than vec_id and
+embedding are not looked at. An empty table gives no rows.
 """
 
 import math
@@ -21,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import bounded_batches, discard, stage
+from edgeloom.llm.common import bounded_batches, spread_join, stage
 
 
 @dataclass(frozen=True)
@@ -33,9 +39,9 @@ class AnnParams:
 
     k: int = 20
     query_every: int = 20
-    directions: int = 8
-    confidence: float = 0.97
-    cell_rows: int = 8_192
+    directions: int = 16
+    confidence: float = 0.9
+    cell_rows: int = 32_768
     leaf_rows: int = 64
     query_rows: int = 1_024
     sample_rows: int = 50_000
@@ -124,36 +130,62 @@ def cut_cells(sample: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return axes, cuts
 
 
-def search(space: Space, k: int, leaf_rows: int, queries: np.ndarray, bound: np.ndarray, points: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the k best ids of the points and their products (-inf: none), given the k-th product known so far.
+MARGIN = 12  # results kept beyond the k-th, so that the last place is decided by the exact products
+FIRST = 128  # points verified before a query's first test
+
 
-    Leaves are visited in the order of their boxes' projected distances; each visit verifies all points of the leaf.
-    """
-    projected = space.project(points, False)
-    leaves = split(projected, leaf_rows)
-    far = box_distances(space.project(queries, True), *boxes(projected, leaves))
-    order = np.argsort(far, axis=1)
-    reach = np.take_along_axis(far, order, 1)
+@dataclass
+class Tree:
+    """A cell's points in the order of the leaves of its kd-tree, with the leaves' begins and boxes in the projection."""
+
+    points: np.ndarray
+    ids: np.ndarray
+    projected: np.ndarray
+    begins: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @classmethod
+    def build(cls, space: Space, leaf_rows: int, points: np.ndarray, ids: np.ndarray) -> "Tree":
+        z = space.project(points, False)
+        leaves = split(z, leaf_rows)
+        order = np.concatenate(leaves)
+        return cls(points[order], ids[order], z[order], np.cumsum([0, *map(len, leaves)]), *boxes(z, leaves))
+
+    def near(self, z: np.ndarray, far: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """Points nearer to z than limit in the projection and their squared distances, nearest first; far: of the boxes."""
+        leaves = np.flatnonzero(far < limit)
+        if not len(leaves):
+            return leaves, far[leaves]
+        rows = slice(None) if len(leaves) == len(far) else np.concatenate([np.arange(self.begins[j], self.begins[j + 1]) for j in leaves])
+        r = ((self.projected[rows] - z) ** 2).sum(1)
+        inside = np.flatnonzero(r < limit)
+        inside = inside[np.argsort(r[inside], kind="stable")]
+        return (inside if isinstance(rows, slice) else rows[inside]), r[inside]
+
+
+def search(space: Space, k: int, leaf_rows: int, queries: np.ndarray, bound: np.ndarray, tied: np.ndarray, points: np.ndarray, ids: np.ndarray):
+    """For each query the ids found, best first and at most k + MARGIN, their products, the points verified, and whether the k-th
+    place is tied. bound: the k-th product known so far; tied: whether it is so already."""
+    tree = Tree.build(space, leaf_rows, points, ids)
+    projected = space.project(queries, True)
     base = space.norm**2 + (queries * queries).sum(1)
-    best = np.full((len(queries), k), -np.inf)
-    found = np.full((len(queries), k), -1, np.int64)
-    active = np.arange(len(queries))
-    for step in range(len(leaves)):
-        kth = np.maximum(best[active].min(1), bound[active])
-        left = np.maximum(base[active] - 2 * kth, 0)  # squared distance of the k-th best; infinite while there are fewer
-        active = active[~(reach[active, step] >= space.stop * left)]
-        if not len(active):
-            break
-        leaf = order[active, step]
-        by = np.argsort(leaf, kind="stable")
-        for own in np.split(active[by], np.flatnonzero(np.diff(leaf[by])) + 1):
-            rows = leaves[order[own[0], step]]
-            scores = np.concatenate([best[own], queries[own] @ points[rows].T], axis=1)
-            names = np.concatenate([found[own], np.broadcast_to(ids[rows], (len(own), len(rows)))], axis=1)
-            top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-            best[own] = np.take_along_axis(scores, top, 1)
-            found[own] = np.take_along_axis(names, top, 1)
-    return found, best
+    for i, q in enumerate(queries):
+        tie, kth = bool(tied[i]), float(bound[i])
+        limit = lambda: math.inf if tie or kth == -math.inf else space.stop * max(base[i] - 2 * kth, 0.0)  # noqa: B023, E731
+        rows, r = tree.near(projected[i], box_distances(projected[i : i + 1], tree.low, tree.high)[0], limit())
+        best, found, done, step = np.zeros(0), np.zeros(0, np.int64), 0, FIRST
+        while done < len(rows):
+            own = rows[done : done + step]
+            done, step = done + len(own), step * 2
+            scores = np.concatenate([best, (tree.points[own] * q).sum(1)])
+            names = np.concatenate([found, tree.ids[own]])
+            top = np.lexsort((names, -scores))[: k + MARGIN]
+            best, found = scores[top], names[top]
+            if len(best) > k:
+                kth, tie = max(float(bound[i]), float(best[k - 1])), tie or best[k - 1] == best[k] >= bound[i]
+                rows = rows[: max(done, int(np.searchsorted(r, limit())))]
+        yield found, best, done, tie
 
 
 def _classes(vectors: DataFrame, p: AnnParams) -> DataFrame:
@@ -200,50 +232,58 @@ def nearest(vectors: DataFrame, p: AnnParams = AnnParams()) -> DataFrame:
     ends.sort(key=lambda r: r["cell"])
     table = spark.sparkContext.broadcast((np.array([r["cell"] for r in ends], np.int64), *(np.array([[r[f"{s}{j}"] for j in range(m)] for r in ends]).reshape(-1, m) for s in ("low", "high"))))
     k, leaf_rows = p.k + 1, p.leaf_rows
+    result = "query long, found array<long>, best array<double>, verified long, tied boolean"
 
-    def searched(key, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(own):
-            return pd.DataFrame({"query": pd.Series([], dtype="int64"), "found": [], "best": []})
-        found, best = search(shared.value, k, leaf_rows, np.array(asked["x"].tolist()), asked["bound"].to_numpy(), np.array(own["px"].tolist()), own["point"].to_numpy())
-        return pd.DataFrame({"query": asked["query"].to_numpy(), "found": list(found), "best": list(best)})
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1)
+
+    def searched(asked: pa.Table, own: pa.Table) -> pa.Table:
+        rows = []
+        if len(asked) and len(own):
+            rows = list(search(shared.value, k, leaf_rows, matrix(asked["x"]), asked["bound"].to_numpy(), asked["tied"].to_numpy(), matrix(own["px"]), own["point"].to_numpy()))
+        columns = [asked["query"].to_pylist()[: len(rows)], *zip(*rows)] if rows else [[]] * 5
+        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int64(), pa.bool_()]
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, types)], names=["query", "found", "best", "verified", "tied"])
 
     def visit(asked: DataFrame) -> DataFrame:
-        """asked: query, x, bound, cell. Each cell's points go to each block of its queries."""
+        """asked: query, x, bound, tied, cell. Each cell's points go to each block of its queries."""
+        asked = asked.join(asked.groupBy("cell").agg(F.count("*").alias("asked_here")), "cell")
         asked = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.greatest(F.lit(1), F.ceil(F.col("asked_here") / p.query_rows)))).drop("asked_here")
         blocks = asked.select(F.col("cell").alias("of"), F.col("block").alias("part")).distinct()
         own = points.select(F.col("cell").alias("of"), F.col("cls").alias("point"), F.col("x").alias("px")).join(blocks, "of")
-        return asked.groupBy("cell", "block").cogroup(own.groupBy("of", "part")).applyInPandas(searched, "query long, found array<long>, best array<double>")
-
-    def counted(asked: DataFrame) -> DataFrame:
-        return asked.join(asked.groupBy("cell").agg(F.count("*").alias("asked_here")), "cell")
+        return asked.groupBy("cell", "block").cogroup(own.groupBy("of", "part")).applyInArrow(searched, result)
 
     queries = points.where("asked").select(F.col("cls").alias("query"), "x", "home")
-    known = queries.withColumn("cell", F.col("home")).withColumn("bound", F.lit(float("-inf")))
-    first = stage(visit(counted(known.select("query", "x", "bound", "cell"))), "near-home")
+    known = queries.select("query", "x", F.lit(float("-inf")).alias("bound"), F.lit(False).alias("tied"), F.col("home").alias("cell"))
+    first = stage(visit(known), "near-home")
 
     def others(batches):
         names, low, high = table.value
         s = shared.value
         for b in batches:
             if len(b):
-                x = np.array(b["x"].tolist())
+                x, tied = np.array(b["x"].tolist()), b["tied"].to_numpy().astype(bool)
                 far = box_distances(s.project(x, True), low, high)
-                left = np.maximum(s.norm**2 + (x * x).sum(1) - 2 * b["bound"].to_numpy(), 0)
-                q, c = np.nonzero((far < s.stop * left[:, None]) & (names[None, :] != b["home"].to_numpy()[:, None]))
-                yield pd.DataFrame({"query": b["query"].to_numpy()[q], "x": b["x"].to_numpy()[q], "bound": b["bound"].to_numpy()[q], "cell": names[c]})
-
-    bounded = queries.join(first.select("query", F.array_min("best").alias("bound")), "query", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
-    further = visit(counted(bounded.mapInPandas(others, "query long, x array<double>, bound double, cell long")))
-    pairs = first.unionByName(further).select("query", F.explode(F.arrays_zip("found", "best")).alias("f")).select("query", F.col("f.found").alias("cls"), F.col("f.best").alias("s")).where("cls >= 0")
-    pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "cls"))).where(F.col("place") <= k + 4).select("query", "cls")
+                left = s.stop * np.maximum(s.norm**2 + (x * x).sum(1) - 2 * b["bound"].to_numpy(), 0)
+                q, c = np.nonzero(((far < left[:, None]) | tied[:, None]) & (names[None, :] != b["home"].to_numpy()[:, None]))
+                yield pd.DataFrame({"query": b["query"].to_numpy()[q], "x": b["x"].to_numpy()[q], "bound": b["bound"].to_numpy()[q], "tied": tied[q], "cell": names[c]})
+
+    kth = F.when(F.size("best") >= k, F.element_at("best", k)).otherwise(float("-inf"))
+    bounded = queries.join(first.select("query", kth.alias("bound"), "tied"), "query", "left").withColumns({"bound": F.coalesce("bound", F.lit(float("-inf"))), "tied": F.coalesce("tied", F.lit(False))})
+    further = stage(visit(bounded.mapInPandas(others, "query long, x array<double>, bound double, tied boolean, cell long")), "near-others")
+    either = first.unionByName(further)
+    verified = either.groupBy("query").agg(F.sum("verified").alias("verified"))
+    pairs = either.select("query", F.explode(F.arrays_zip("found", "best")).alias("f")).select("query", F.col("f.found").alias("cls"), F.col("f.best").alias("s"))
+    pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "cls"))).where(F.col("place") <= k + MARGIN).select("query", "cls")
     # exact products on the original vectors, then the members of the classes
     a, b = classes.select(F.col("cls").alias("query"), F.col("x").alias("qx")), classes.select("cls", "x", "members")
     dot = F.expr("aggregate(zip_with(qx, x, (u, v) -> u * v), double(0), (s, v) -> s + v)")
-    scored = pairs.join(b, "cls").join(a, "query").select("query", dot.alias("score"), F.explode("members").alias("vec_id"))
+    scored = spread_join(pairs, b, ["cls"]).join(a, "query").select("query", dot.alias("score"), F.explode("members").alias("vec_id"))
     top = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    scored = scored.withColumn("place", F.row_number().over(top)).where(F.col("place") <= k)
-    ids = vectors.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("x")).where(F.col("query_id") % p.query_every == 0)
-    ids = ids.join(classes.select("cls", "x").withColumnRenamed("cls", "query"), "x").select("query_id", "query").distinct()
-    out = ids.join(scored, "query").where("vec_id <> query_id")
+    scored = scored.withColumn("place", F.row_number().over(top)).where(F.col("place") <= k).join(verified, "query")
+    # a query's results are those of its class without itself; a class may hold any share of the queries
+    ids = vectors.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("x")).where(F.col("query_id") % p.query_every == 0).distinct()
+    ids = spread_join(ids, classes.where("asked").select("x", F.col("cls").alias("query")), ["x"]).select("query_id", "query")
+    out = spread_join(stage(ids, "near-queries"), scored, ["query"]).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("rank", rank).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score", "verified")

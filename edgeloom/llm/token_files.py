@@ -16,6 +16,7 @@ other in any order, and an id that many rows share is dealt over several files.
 
 import itertools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -104,34 +105,59 @@ def load_tokenizer(path: str) -> Tokenizer:
     return out
 
 
+_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
+_OTHER_SPACE = re.compile("[\x1c-\x1f]").search  # white space to this module, not to the pre-tokenizer
+
+
 class Encoder:
-    """Whole texts to ids by the tokenizers library, which is given each distinct word once.
+    """Whole texts to ids by the tokenizers library, which is given each distinct chunk of a worker's texts once.
 
-    Ids of words are kept between batches, up to max_words words of up to max_letters letters.
+    A chunk is a run without white space and the blank before it, or white space before such a one; no word of the pre-tokenizer
+    goes beyond a chunk. The ids of up to max_chunks chunks, and max_ids ids, are kept between batches.
     """
 
-    def __init__(self, path: str, max_words: int = 200_000, max_letters: int = 64):
+    def __init__(self, path: str, max_chunks: int = 400_000, max_ids: int = 4_000_000):
         self.tokenizer = load_tokenizer(path)
-        self.max_words, self.max_letters = max_words, max_letters
         self.words = Words({t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()})
-        self.known: dict = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = self.words(text) if text else []
-        known = self.known
-        new = set(words).difference(known)
+        self.max_chunks, self.max_ids = max_chunks, max_ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict = {}
+        self.ids, self.begin, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def chunks(self, text: str | None) -> list:
+        """Chunks of a text; special tokens come as their ids."""
+        if not text:
+            return []
+        if _OTHER_SPACE(text) or any(s in text for s in self.words.specials):
+            return self.words(text)
+        return _CHUNK(text)
+
+    def _learn(self, new: set) -> None:
+        texts, given = sorted(w for w in new if isinstance(w, str)), sorted(w for w in new if not isinstance(w, str))
+        made = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        size = np.concatenate([np.bincount(np.array(made.word_ids, np.int64), minlength=len(texts)), np.ones(len(given), np.int64)]).astype(np.int64)
+        self.place.update(zip([*texts, *given], range(len(self.size), len(self.size) + len(size))))
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.ids = np.concatenate([self.ids, np.array(made.ids, "<u4"), np.array(given, "<u4")])
+        self.size = np.concatenate([self.size, size])
+
+    def batch(self, texts: list) -> list[np.ndarray]:
+        """The ids of each text."""
+        each = [self.chunks(t) for t in texts]
+        flat = list(itertools.chain.from_iterable(each))
+        if len(self.place) > self.max_chunks or len(self.ids) > self.max_ids:
+            self._forget()
+        new = set(flat).difference(self.place)
         if new:
-            if len(known) > self.max_words:
-                known = self.known = {}
-                new = set(words)
-            texts = sorted(w for w in new if isinstance(w, str))
-            known.update(zip(texts, (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))))
-            known.update((w, (w,)) for w in new if not isinstance(w, str))
-        ids = np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, words)), "<u4")
-        for w in new:
-            if isinstance(w, str) and len(w) > self.max_letters:
-                del known[w]
-        return ids
+            self._learn(new)
+        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        size = self.size[at]
+        end = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.begin[at] - end[:-1], size) + np.arange(end[-1])]
+        cuts = end[np.cumsum([len(x) for x in each], dtype=np.int64)] if each else end[:0]
+        return np.split(ids, cuts[:-1]) if each else []
 
 
 def _parts(doc_ids: np.ndarray, own: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -149,8 +175,8 @@ def _encoded(docs: DataFrame, bounds: np.ndarray, path: str, end_id: int) -> Dat
         for b in batches:
             doc_ids = b.column(0).to_pylist()
             n, out, own = [], [], []
-            for text in b.column(1).to_pylist():
-                x = np.append(encode(text), np.uint32(end_id)).astype("<u4")
+            for ids in encode.batch(b.column(1).to_pylist()):
+                x = np.append(ids, np.uint32(end_id)).astype("<u4")
                 n.append(len(x))
                 out.append(squeeze.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()))
                 own.append(zlib.crc32(out[-1]))

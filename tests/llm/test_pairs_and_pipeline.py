@@ -75,7 +75,7 @@ def test_jaccard_brute_force(spark, seed):
 def test_jaccard_with_heavy_tokens(spark, monkeypatch):
     """Nearly every token counts as common to all documents."""
     monkeypatch.setattr(ngram_join, "HEAVY_LEAST", 3)
-    monkeypatch.setattr(ngram_join, "HEAVY_SHARE", 10_000)
+    monkeypatch.setattr(ngram_join, "HEAVY_SHARE", 1_000_000)
     rows = near_copies(5)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, ngram_join.jaccard_components(df).collect()), key=str) == brute_components(rows)
@@ -117,7 +117,7 @@ def test_nearest_recall(spark, cell_rows):
 def test_nearest_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.5, 0.5]), (40, [0.0, 0.0]), (60, None), (80, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (None, [1.0, 1.0]), (7, [-2.0, 0.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit("clash"))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit("clash")).withColumn("verified", F.lit("clash"))
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in neighbours.nearest(df).collect()}
     assert got == {(0, 1): (3, 1.0), (0, 2): (20, 1.0), (0, 3): (4, 0.5), (0, 4): (7, -2.0), (20, 1): (0, 1.0), (20, 2): (3, 1.0), (20, 3): (4, 0.5), (20, 4): (7, -2.0)}
     assert neighbours.nearest(df.limit(0)).count() == 0
@@ -134,6 +134,36 @@ def test_nearest_many_copies(spark):
     assert got[0] == [i for _, i in want[0]] and got[60] == [i for _, i in want[60]]
 
 
+def test_nearest_stops_where_neighbours_are_near(spark):
+    """In clusters, a query verifies few of the rows and still finds its neighbours."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(0, 60, 4000)] + 0.25 * rng.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, neighbours.AnnParams(cell_rows=1000)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["verified"]))
+    want = np.argsort(-(x[::20] @ x.T), axis=1)
+    recall = [len({i for i, _ in got[q]} & {i for i in want[q // 20].tolist() if i != q and i in want[q // 20][:21]}) / 20 for q in got]
+    assert len(got) == 200 and np.mean(recall) >= 0.9
+    assert np.mean([v[0][1] for v in got.values()]) < 0.25 * 4000
+
+
+def test_nearest_ties_go_to_the_smallest_ids(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(0, 400, 20)] + [(i, [0.5, *rng.normal(size=2).tolist()]) for i in range(400) if i % 20]
+    rows = [(i, v if i % 20 else [1.0 + i / 1e3, 0.0, 0.0]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_nearest(rows)
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, neighbours.AnnParams(cell_rows=100, k=30)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert {q: v[:20] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+    assert all(v[19:] == [i for i in range(400) if i % 20][:11] for v in got.values())
+
+
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 

@@ -192,6 +192,17 @@ def test_code_round_trip(n, most):
     assert (token_files.unpack(n, bits, np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8)) == x).all()
 
 
+def test_token_encoder_equals_the_library():
+    rng = random.Random(2)
+    letter = lambda: rng.choice(["a", "B", "é", "日", "'s", " ", " ", "  ", "\n", "\t", "\r", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "1", "²", ".", "!?", "<|endoftext|>", "😀", "\0"])
+    texts = ["".join(letter() for _ in range(rng.randrange(40))) for _ in range(3000)] + [None, "", " ", "\n\n x"]
+    want = [e.ids for e in reference().encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for most in (400_000, 20):
+        encoder = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"), most)
+        assert [x.tolist() for k in range(0, len(texts), 100) for x in encoder.batch(texts[k : k + 100])] == want
+    assert encoder.batch([]) == []
+
+
 def test_token_files(spark):
     t = reference()
     runs = spark.createDataFrame([(1, "a" + " " * 1_000_000 + "b"), (2, " " * 3_000_000), (3, "<|endoftext|>" * 3), (4, "x" * 300_000)], "doc_id long, text string")
