@@ -6,14 +6,17 @@ prefix without its last token, followed by that token. Depth-first, a node's las
 there: it is the one token t for which the last token at t's beginning and t are a pair that merging keeps apart. So a
 prefix that many words share is worked out once. Whether a pair is kept apart is worked out from the merges, once a pair.
 
-Null counts as empty: no tokens. Every row is encoded, repeated rows alike. Special tokens found in a text are single ids, as
-the tokenizers library does by default; decoding keeps them.
+Null counts as empty: no tokens. Every row is encoded, repeated rows alike; ids, null or repeated, play no part. Very long texts are
+encoded whole, also those of one word. Special tokens found in a text are single ids, as the tokenizers library does by default;
+decoding keeps them. An empty table gives no rows.
 """
 
 import hashlib
 import json
 from dataclasses import dataclass, field
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
@@ -236,21 +239,26 @@ def _coders(path: str | None):
     return get
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256 of each whole text encoded and decoded again.
+_DIGESTS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 
-    A worker keeps, for each word of the trie, the ids as text and the decoded bytes, so that a document's digests are joins of
-    its words' parts.
+
+def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """docs with n_tokens, ids_sha256 and decoded_sha256 of each whole text encoded and its ids decoded again; also token_ids, if asked.
+
+    A worker keeps, for each word of the trie, its ids and their decimal digits. A column of docs that has one of these names is
+    replaced.
     """
     bounded_batches(docs.sparkSession, 4 << 20)
     coder = _coders(path)
     parts: dict = {}
+    names = [*_DIGESTS, *(["token_ids"] if with_ids else [])]
+    schema = ", ".join(f"{c} {t}" for c, t in (_DIGESTS | {"token_ids": "array<int>"}).items() if c in names)
 
-    def part(c: Coder, word, known: dict) -> tuple[str, bytes, int]:
+    def part(word, known: dict) -> tuple[str, tuple]:
         ids = known[word] if isinstance(word, str) else (word,)
-        return ",".join(map(str, ids)), b"".join([c.v.tokens[i] for i in ids]), len(ids)
+        return ",".join(map(str, ids)), ids
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf(schema)
     def digest(texts: pd.Series) -> pd.DataFrame:
         c = coder()
         each = [c.words(t) if t else [] for t in texts]
@@ -261,13 +269,15 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             new = words
         known = c.trie.encode({w for w in new if isinstance(w, str)})
         for w in new:
-            parts[w] = part(c, w, known)
-        out = []
+            parts[w] = part(w, known)
+        token, out = c.v.tokens.__getitem__, []
         for ws in each:
             own = [parts[w] for w in ws]
-            ids = hashlib.sha256(",".join([p[0] for p in own]).encode()).hexdigest()
-            out.append((sum([p[2] for p in own]), ids, hashlib.sha256(b"".join([p[1] for p in own]).decode("utf-8", "replace").encode()).hexdigest()))
-        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            ids = list(chain.from_iterable([p[1] for p in own]))
+            digits = hashlib.sha256(",".join([p[0] for p in own]).encode()).hexdigest()
+            decoded = b"".join(map(token, ids)).decode("utf-8", "replace")
+            out.append((len(ids), digits, hashlib.sha256(decoded.encode()).hexdigest(), *([np.array(ids, np.int32)] if with_ids else [])))
+        return pd.DataFrame(out, columns=names)
 
     made = docs.withColumn("_bpe", digest("text"))
-    return made.withColumns({c: F.col(f"_bpe.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_bpe")
+    return made.withColumns({c: F.col(f"_bpe.{c}") for c in names}).drop("_bpe")

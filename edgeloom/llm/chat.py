@@ -6,12 +6,16 @@ mark. The features are independent given the role. Start, transition and feature
 of known role; marker probabilities also have fixed pseudo-counts, as markers say what they mean. Viterbi finds the likeliest
 roles of a whole conversation.
 
-A conversation is worked on in blocks of ``block_turns`` turn numbers, so a very long one is not gathered in one task: each block first
-gives its best scores from any role before it to any role at its end, these small tables are chained by conversation, and then
-each block is decoded between the roles found at its borders. The result is that of Viterbi over the whole.
-
-Null texts are empty segments; a null turn comes first; rows with equal conv_id, turn and text count once (the role is the
-smallest); segments of equal turn are ordered by text. Rows with a null role teach nothing. A null conv_id is one conversation.
+A conversation is worked on in blocks, so a very long one is not gathered in one task: each block first gives its best scores from
+any role before it to any role at its end, these small tables are chained by conversation, and then each block is decoded between
+the roles found at its borders. The result is that of Viterbi over the whole. A block holds ``block_turns`` turn numbers; where
+these have over ``block_rows`` rows, it holds a part of one turn's. The tables come from the features alone; texts are
+shuffled once, for decoding, and never serve as keys.
+
+Null texts are empty segments; a null turn comes first; segments of equal turn are ordered by a hash of the text. Every row gives a
+row, repeated rows too: equal rows stand next to each other and are segments like others. Rows with a null role, or another than the
+three, teach nothing. A null conv_id is one conversation. Very long texts are read whole. Columns other than conv_id, turn, role and
+text are not looked at. An empty table gives no rows.
 """
 
 import re
@@ -36,6 +40,7 @@ SIZES = (NONE + 1, len(LENGTHS) + 1, 8, 2)
 @dataclass(frozen=True)
 class ChatParams:
     block_turns: int = 512
+    block_rows: int = 8_192
     smoothing: float = 1.0
     marker_weight: float = 200.0
 
@@ -66,8 +71,9 @@ class ChatModel:
     step: np.ndarray
     seen: list[np.ndarray]
 
-    def emissions(self, texts) -> np.ndarray:
-        x = np.array([features(t) for t in texts], np.int64).reshape(-1, len(SIZES))
+    def emissions(self, seen) -> np.ndarray:
+        """seen: features of each segment."""
+        x = np.array(list(seen), np.int64).reshape(-1, len(SIZES))
         return sum(table[:, x[:, k]].T for k, table in enumerate(self.seen))
 
     def viterbi(self, emissions: np.ndarray, before: int | None = None, end: int | None = None) -> list[int]:
@@ -93,24 +99,38 @@ class ChatModel:
         return best
 
 
+BLOCK = ["b1", "b2", "b3"]  # a block's place: its turn numbers; the turn and the part of it where there are many rows
+
+
 def _rows(conversations: DataFrame, p: ChatParams) -> DataFrame:
-    role = F.min("role").alias("role") if "role" in conversations.columns else F.lit(None).cast("string").alias("role")
-    rows = conversations.withColumn("text", F.coalesce(F.col("text"), F.lit(""))).groupBy("conv_id", "turn", "text").agg(role)
-    return rows.withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / p.block_turns).cast("long"))
+    """conv_id, turn, role, text, own (a hash of the text, the order within a turn) and the block of each row."""
+    role = F.col("role").cast("string") if "role" in conversations.columns else F.lit(None).cast("string")
+    rows = conversations.select("conv_id", "turn", role.alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    place = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
+    rows = rows.withColumns({"own": F.xxhash64("text"), "b1": F.floor(place / p.block_turns).cast("long")})
+    many = rows.groupBy("conv_id", "b1").agg(F.ceil(F.count("*") / p.block_rows).alias("parts")).where("parts > 1").withColumnsRenamed({"conv_id": "c", "b1": "b"})
+    rows = rows.join(many, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("b1") == F.col("b")), "left")
+    part = F.floor((F.shiftright("own", 33) / float(1 << 31) + 1) / 2 * F.col("parts"))  # grows with own
+    return rows.withColumns({"b2": F.when(F.col("parts").isNull(), -1).otherwise(place).cast("long"), "b3": F.coalesce(part, F.lit(0)).cast("long")}).drop("c", "b", "parts")
 
 
-def train(conversations: DataFrame, learn=None, p: ChatParams = ChatParams()) -> ChatModel:
-    """From all rows (conv_id, turn, role, text) for which the column learn holds."""
-    bounded_batches(conversations.sparkSession)
-    rows = _rows(conversations.where(F.lit(True) if learn is None else learn), p).where(F.col("role").isin(*ROLES))
+def _seen(rows: DataFrame) -> DataFrame:
+    """The rows without their texts, with their features x."""
 
     @F.pandas_udf("array<int>")
     def seen(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t) for t in texts])
 
-    at = Window.partitionBy("conv_id", "block").orderBy("turn", "text")
-    known = rows.withColumn("previous", F.lag("role").over(at)).withColumn("first", F.row_number().over(at) == 1).withColumn("x", seen("text"))
-    pairs = F.explode(F.array(F.struct(F.lit("step").alias("kind"), F.coalesce("previous", F.when(F.col("first") & (F.col("block") <= 0), F.lit(""))).alias("a"), F.lit(0).alias("value")), *[F.struct(F.lit(f"{k}").alias("kind"), F.lit("").alias("a"), F.col("x")[k].alias("value")) for k in range(len(SIZES))]))
+    return rows.withColumn("x", seen("text")).select("conv_id", *BLOCK, "turn", "own", "role", "x")
+
+
+def train(conversations: DataFrame, learn=None, p: ChatParams = ChatParams()) -> ChatModel:
+    """From all rows (conv_id, turn, role, text) for which the column learn holds."""
+    bounded_batches(conversations.sparkSession)
+    rows = _seen(_rows(conversations.where(F.lit(True) if learn is None else learn), p)).where(F.col("role").isin(*ROLES))
+    at = Window.partitionBy("conv_id", *BLOCK).orderBy("turn", "own", "role")
+    known = rows.withColumn("previous", F.lag("role").over(at)).withColumn("first", F.row_number().over(at) == 1)
+    pairs = F.explode(F.array(F.struct(F.lit("step").alias("kind"), F.coalesce("previous", F.when(F.col("first") & (F.col("b1") <= 0), F.lit(""))).alias("a"), F.lit(0).alias("value")), *[F.struct(F.lit(f"{k}").alias("kind"), F.lit("").alias("a"), F.col("x")[k].alias("value")) for k in range(len(SIZES))]))
     counts = known.select("role", pairs.alias("c")).where("c.a is not null").groupBy("role", "c.kind", "c.a", "c.value").count().collect()
     start, step = np.full(3, p.smoothing), np.full((3, 3), p.smoothing)
     tables = [np.full((3, n), p.smoothing) for n in SIZES]
@@ -156,22 +176,23 @@ def recover(conversations: DataFrame, model: ChatModel, p: ChatParams = ChatPara
     shared = spark.sparkContext.broadcast(model)
     rows = _rows(conversations, p)
     kinds = dict(rows.dtypes)
-    spans = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n")).groupBy("conv_id").agg(F.count("*").alias("blocks"), F.min("block").alias("first_block")).where("blocks > 1").withColumnRenamed("conv_id", "c")
-    long = rows.join(spans, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "block", "turn", "text", (F.col("block") == F.col("first_block")).alias("first"))
+    # conversations of several blocks, by their features alone
+    spans = rows.select("conv_id", *BLOCK).distinct().groupBy("conv_id").agg(F.count("*").alias("blocks"), F.min(F.struct(*BLOCK)).alias("start")).where("blocks > 1").withColumnRenamed("conv_id", "c")
+    long = _seen(rows).join(spans, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", *BLOCK, "turn", "own", "x", (F.struct(*BLOCK) == F.col("start")).alias("first"))
 
     def transfers(batches):
         def one(b):
-            t = shared.value.transfer(shared.value.emissions(b["text"]), bool(b["first"].iloc[0]))
-            return {"conv_id": b["conv_id"].iloc[0], "block": b["block"].iloc[0], "t": t.ravel().tolist()}
+            t = shared.value.transfer(shared.value.emissions(b["x"]), bool(b["first"].iloc[0]))
+            return {"conv_id": b["conv_id"].iloc[0], **{c: b[c].iloc[0] for c in BLOCK}, "t": t.ravel().tolist()}
 
-        out = list(_grouped(batches, ["conv_id", "block"], one))
-        yield pd.DataFrame(out, columns=["conv_id", "block", "t"])
+        out = list(_grouped(batches, ["conv_id", *BLOCK], one))
+        yield pd.DataFrame(out, columns=["conv_id", *BLOCK, "t"])
 
-    key = f"conv_id {kinds['conv_id']}, block long"
-    tables = long.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "text").mapInPandas(transfers, f"{key}, t array<double>")
+    key = f"conv_id {kinds['conv_id']}, " + ", ".join(f"{c} long" for c in BLOCK)
+    tables = long.repartition("conv_id", *BLOCK).sortWithinPartitions("conv_id", *BLOCK, "turn", "own").mapInPandas(transfers, f"{key}, t array<double>")
 
     def chained(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("block")
+        b = b.sort_values(BLOCK)
         each = [np.array(t).reshape(-1, 3) for t in b["t"]]
         best, back = each[0][0], []
         for t in each[1:]:
@@ -182,30 +203,35 @@ def recover(conversations: DataFrame, model: ChatModel, p: ChatParams = ChatPara
         for x in reversed(back):
             ends.append(int(x[ends[-1]]))
         ends.reverse()
-        return pd.DataFrame({"conv_id": b["conv_id"], "block": b["block"], "before": [-1, *ends[:-1]], "end": ends})
+        return pd.DataFrame({"conv_id": b["conv_id"], **{c: b[c] for c in BLOCK}, "before": [-1, *ends[:-1]], "end": ends})
 
-    borders = tables.groupBy("conv_id").applyInPandas(chained, f"{key}, before int, end int").select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "before", "end")
-    placed = rows.join(borders, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")), "left").drop("c", "b")
+    # a block's border comes as a row in front of its segments, so that texts are shuffled once and not joined
+    borders = tables.groupBy("conv_id").applyInPandas(chained, f"{key}, before int, end int")
+    columns = {"turn": kinds["turn"], "own": "long", "role": "string", "text": "string"}
+    heads = borders.select("conv_id", *BLOCK, F.lit(0).alias("kind"), "before", "end", *[F.lit(None).cast(t).alias(c) for c, t in columns.items()])
+    placed = rows.select("conv_id", *BLOCK, F.lit(1).alias("kind"), F.lit(-1).alias("before"), F.lit(-1).alias("end"), *columns).unionByName(heads)
 
     def decoded(batches):
         def one(b):
-            before, end = b["before"].iloc[0], b["end"].iloc[0]
-            path = shared.value.viterbi(shared.value.emissions(b["text"]), None if pd.isna(before) or before < 0 else int(before), None if pd.isna(end) else int(end))
-            out = b[["conv_id", "turn", "role", "text"]].copy()
+            head, own = b[b["kind"] == 0], b[b["kind"] == 1]
+            before, end = (int(head["before"].iloc[0]), int(head["end"].iloc[0])) if len(head) else (-1, -1)
+            path = shared.value.viterbi(shared.value.emissions(features(t) for t in own["text"]), None if before < 0 else before, None if end < 0 else end)
+            out = own[["conv_id", "turn", "role", "text"]].copy()
             out["role_pred"] = [ROLES[s] for s in path]
             out["rendered"] = [render(r, t) for r, t in zip(out["role_pred"], out["text"])]
             return out.drop(columns="text")
 
-        some = []
-        for x in _grouped(batches, ["conv_id", "block"], one):
+        some, n = [], 0
+        for x in _grouped(batches, ["conv_id", *BLOCK], one):
             some.append(x)
-            if len(some) >= 500:
+            n += len(x)
+            if n >= 2_000:
                 yield pd.concat(some)
-                some = []
+                some, n = [], 0
         if some:
             yield pd.concat(some)
 
-    out = placed.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "text")
+    out = placed.repartition("conv_id", *BLOCK).sortWithinPartitions("conv_id", *BLOCK, "kind", "turn", "own")
     return out.mapInPandas(decoded, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, role_pred string, rendered string")
 
 

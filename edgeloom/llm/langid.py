@@ -1,11 +1,17 @@
 """Language identification by compression.
 
-Each language has a few zstandard raw-content dictionaries of sampled text. A text is reduced to its words, cut into blocks, each block is
-compressed with every dictionary, and the language whose dictionaries give the smallest total wins. The margin between
-the smallest and the second total, as a share of the second, rejects undecided texts.
+Each language has a zstandard raw-content dictionary of sampled text. A text is reduced to its words and cut into blocks; each
+block is compressed with every dictionary, and the language whose dictionary gives the smallest total wins. The margin between
+the smallest and the second total, as a share of the second, rejects undecided texts. Texts of all lengths go the same way.
+
+The dictionaries are filled from pieces of the learning texts, chosen by a hash of id, length and place, so a long text teaches as
+many short ones do.
 
 Null texts and texts without a letter get ``und`` with score 0 and are rejected. Ties go to the language with more learning
-rows, then to the smaller name. Rows with a null language teach nothing; without learning rows every text gets ``und``.
+rows, then to the smaller name. Rows with a null language or text teach nothing; without learning rows every text gets ``und``;
+with one language every other text gets it. Repeated rows are judged alike; equal pieces are learned once. Very long texts are read
+whole. Columns other than doc_id, text and lang are not looked at, and no column of docs is lost to the new ones' names in
+``language_id``. An empty table gives no rows.
 """
 
 import re
@@ -31,50 +37,58 @@ def spelled(text: str) -> str:
 
 @dataclass(frozen=True)
 class LangParams:
-    """sample_rows: learning rows read for each language at most (about); sample_chars: the longest of them."""
-
-    sample_rows: int = 250
-    sample_chars: int = 20_000
-    dictionary_bytes: int = 100_000
-    folds: int = 3
-    level: int = 6
+    """sample_pieces: pieces of piece_chars characters that a language is learned from at most (about); model_bytes: the longest that
+    all dictionaries together are."""
+
+    sample_pieces: int = 160
+    piece_chars: int = 2_000
+    dictionary_bytes: int = 200_000
+    model_bytes: int = 64_000_000
+    level: int = 3
     block_bytes: int = 1_024
-    short_bytes: int = 4_096
-    max_languages: int = 1_000
     min_margin: float = 0.004
 
 
 @dataclass
 class LangModel:
-    """For each language, most learning rows first, its dictionaries' contents."""
+    """For each language, most learning rows first, its dictionary's content."""
 
     languages: list[str]
-    contents: list[list[bytes]]
+    contents: list[bytes]
+
+
+def dictionary(pieces: set[str], most: int) -> bytes:
+    """Pieces by their checksums, as many as go into ``most`` bytes."""
+    out, size = [], 0
+    for t in sorted(pieces, key=lambda t: (zlib.crc32(t.encode()), t)):
+        b = t.encode()
+        if size + len(b) <= most:
+            out.append(b)
+            size += len(b)
+    return b"".join(out) or b"\n" * 8
 
 
 def train(docs: DataFrame, learn=None, p: LangParams = LangParams()) -> LangModel:
-    """From text and lang of the rows for which the column learn holds; reads a bounded sample of texts by a hash of ids."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= p.sample_chars) & (F.lit(True) if learn is None else learn))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.max_languages).collect()}
+    """From text and lang of the rows for which the column learn holds.
+
+    What comes to the driver is one count a language, and sample_pieces pieces of each; with very many languages, their share of
+    model_bytes gets smaller, and fewer pieces are drawn.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if learn is None else learn)).select("doc_id", F.col("text").cast("string").alias("text"), "lang")
+    rows = rows.withColumn("n", F.greatest(F.lit(1), F.ceil(F.length("text") / p.piece_chars)).cast("int"))
+    counts = {r["lang"]: r["pieces"] for r in rows.groupBy("lang").agg(F.count("*").alias("rows"), F.sum("n").alias("pieces")).orderBy(F.desc("rows"), "lang").collect()}
     if not counts:
         return LangModel([], [])
-    cut = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, p.sample_rows / n))])
-    unit = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) / float(1 << 30)
+    most = min(p.dictionary_bytes, p.model_bytes // len(counts))
+    wanted = max(1, min(p.sample_pieces, 2 * most // p.piece_chars))
+    cut = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, wanted / n))])
+    chosen = "filter(sequence(0, n - 1), i -> pmod(xxhash64(doc_id, length(text), i), 1L << 30) < share * (1L << 30))"
+    drawn = rows.withColumn("share", cut[F.col("lang")]).withColumn("i", F.explode(F.expr(chosen)))
+    drawn = drawn.select("lang", F.expr(f"substring(text, i * {p.piece_chars} + 1, {p.piece_chars})").alias("piece"))
     texts: dict[str, set[str]] = {lang: set() for lang in counts}
-    for r in rows.where(unit < cut[F.col("lang")]).select("lang", "text").toLocalIterator():
-        texts[r["lang"]].add(spelled(r["text"]))
-    out = []
-    for lang in counts:
-        own = sorted(texts[lang], key=lambda t: (zlib.crc32(t.encode()), t))
-        parts = [b""] * p.folds
-        for t in own:
-            k = min(range(p.folds), key=lambda k: len(parts[k]))
-            if len(parts[k]) + len(b := t.encode()) <= p.dictionary_bytes:
-                parts[k] += b
-        out.append([x or b"\n" * 8 for x in parts])
-    return LangModel(list(counts), out)
-
-
+    for r in drawn.toLocalIterator():
+        texts[r["lang"]].add(spelled(r["piece"]))
+    return LangModel(list(counts), [dictionary(texts[lang], most) for lang in counts])
 
 
 class Compressors:
@@ -83,22 +97,17 @@ class Compressors:
     def __init__(self, model: LangModel, p: LangParams):
         self.p, self.languages = p, model.languages
         self.each = []
-        for contents in model.contents:
-            own = []
-            for c in contents:
-                d = zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=p.level)
-                own.append(zstandard.ZstdCompressor(level=p.level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
-            self.each.append(own)
+        for content in model.contents:
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=p.level)
+            self.each.append(zstandard.ZstdCompressor(level=p.level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
 
     def sizes(self, text: str) -> np.ndarray:
-        """Bytes for each language; short texts take all dictionaries of a language, long ones one after another by block."""
+        """Compressed bytes of all blocks of the text with each language's dictionary."""
         data = spelled(text).encode()
         step = self.p.block_bytes
         blocks = [data[i : i + step] for i in range(0, len(data), step)]
-        if len(data) <= self.p.short_bytes:
-            return np.array([sum(len(c.compress(b)) for c in own for b in blocks) for own in self.each])
-        return np.array([sum(len(own[k % len(own)].compress(b)) for k, b in enumerate(blocks)) for own in self.each])
+        return np.array([sum(len(c.compress(b)) for b in blocks) for c in self.each])
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score and margin."""

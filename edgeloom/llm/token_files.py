@@ -20,6 +20,7 @@ import re
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -109,24 +110,42 @@ _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
 _OTHER_SPACE = re.compile("[\x1c-\x1f]").search  # white space to this module, not to the pre-tokenizer
 
 
+class IdTable:
+    """The ids of strings (or of given ids), side by side in one array."""
+
+    def __init__(self):
+        self.place: dict = {}
+        self.ids, self.begin, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, keys: list, ids: np.ndarray, size: np.ndarray) -> None:
+        self.place.update(zip(keys, range(len(self.size), len(self.size) + len(keys))))
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.ids = np.concatenate([self.ids, ids])
+        self.size = np.concatenate([self.size, size])
+
+    def gather(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of keys one after another, and where each key's begin, with their end."""
+        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+        size = self.size[at]
+        end = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.repeat(self.begin[at] - end[:-1], size) + np.arange(end[-1])], end
+
+
 class Encoder:
-    """Whole texts to ids by the tokenizers library, which is given each distinct chunk of a worker's texts once.
+    """Whole texts to ids by the tokenizers library, which is given each distinct word of a worker's texts once.
 
-    A chunk is a run without white space and the blank before it, or white space before such a one; no word of the pre-tokenizer
-    goes beyond a chunk. The ids of up to max_chunks chunks, and max_ids ids, are kept between batches.
+    A text is cut into chunks, runs without white space and the blank before them, or white space before such a one; no word of the
+    pre-tokenizer goes beyond a chunk. New chunks are cut into words, and new words encoded. The ids of up to most chunks and
+    words, and max_ids ids, are kept.
     """
 
-    def __init__(self, path: str, max_chunks: int = 400_000, max_ids: int = 4_000_000):
+    def __init__(self, path: str, most: int = 500_000, max_ids: int = 4_000_000):
         self.tokenizer = load_tokenizer(path)
         self.words = Words({t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()})
-        self.max_chunks, self.max_ids = max_chunks, max_ids
-        self._forget()
+        self.most, self.max_ids = most, max_ids
+        self.chunks, self.pieces = IdTable(), IdTable()
 
-    def _forget(self) -> None:
-        self.place: dict = {}
-        self.ids, self.begin, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def chunks(self, text: str | None) -> list:
+    def cut(self, text: str | None) -> list:
         """Chunks of a text; special tokens come as their ids."""
         if not text:
             return []
@@ -136,28 +155,37 @@ class Encoder:
 
     def _learn(self, new: set) -> None:
         texts, given = sorted(w for w in new if isinstance(w, str)), sorted(w for w in new if not isinstance(w, str))
-        made = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
-        size = np.concatenate([np.bincount(np.array(made.word_ids, np.int64), minlength=len(texts)), np.ones(len(given), np.int64)]).astype(np.int64)
-        self.place.update(zip([*texts, *given], range(len(self.size), len(self.size) + len(size))))
-        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
-        self.ids = np.concatenate([self.ids, np.array(made.ids, "<u4"), np.array(given, "<u4")])
-        self.size = np.concatenate([self.size, size])
+        each = [self.words.pieces(t) for t in texts]
+        flat = list(itertools.chain.from_iterable(each))
+        if len(self.pieces.place) > self.most or len(self.pieces.ids) > self.max_ids:
+            self.pieces = IdTable()
+        unknown = sorted(set(flat).difference(self.pieces.place))
+        if unknown:
+            made = self.tokenizer.encode(unknown, is_pretokenized=True, add_special_tokens=False)
+            self.pieces.add(unknown, np.array(made.ids, "<u4"), np.bincount(np.array(made.word_ids, np.int64), minlength=len(unknown)))
+        ids, end = self.pieces.gather(flat)
+        size = np.diff(end[np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])])
+        self.chunks.add([*texts, *given], np.concatenate([ids, np.array(given, "<u4")]), np.concatenate([size, np.ones(len(given), np.int64)]))
 
     def batch(self, texts: list) -> list[np.ndarray]:
         """The ids of each text."""
-        each = [self.chunks(t) for t in texts]
+        if not texts:
+            return []
+        each = [self.cut(t) for t in texts]
         flat = list(itertools.chain.from_iterable(each))
-        if len(self.place) > self.max_chunks or len(self.ids) > self.max_ids:
-            self._forget()
-        new = set(flat).difference(self.place)
+        if len(self.chunks.place) > self.most or len(self.chunks.ids) > self.max_ids:
+            self.chunks = IdTable()
+        new = set(flat).difference(self.chunks.place)
         if new:
             self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        size = self.size[at]
-        end = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(self.begin[at] - end[:-1], size) + np.arange(end[-1])]
-        cuts = end[np.cumsum([len(x) for x in each], dtype=np.int64)] if each else end[:0]
-        return np.split(ids, cuts[:-1]) if each else []
+        ids, end = self.chunks.gather(flat)
+        return np.split(ids, end[np.cumsum([len(x) for x in each], dtype=np.int64)][:-1])
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for each Python worker, whatever the number of its tasks."""
+    return Encoder(path)
 
 
 def _parts(doc_ids: np.ndarray, own: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -170,7 +198,7 @@ def _encoded(docs: DataFrame, bounds: np.ndarray, path: str, end_id: int) -> Dat
     """(part, doc_id, n, ids): ids squeezed by zstandard, only to keep the shuffle small."""
 
     def run(batches):
-        encode = Encoder(path)
+        encode = _encoder(path)
         squeeze = zstandard.ZstdCompressor(level=1, write_checksum=False)
         for b in batches:
             doc_ids = b.column(0).to_pylist()

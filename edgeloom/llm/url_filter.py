@@ -1,12 +1,21 @@
 """URL filter: rules by host and path, and for the rest a classifier of the words in the URL.
 
 The host's labels and the path are cut at marks, and each piece is split into words by the most likely sequence under a unigram
-model (Viterbi). The model's words are those that the pages' titles use, counted over all pages, and the seed words. A
-multinomial naive Bayes model over host words and path words (kept apart) scores the URL. It learns from all pages: those
-whose split host holds a seed word of unwanted sites count as block, the others as allow.
+model (Viterbi). The model's words are those of the pages' visible text, counted over all pages, and the seed and plain words. A
+multinomial naive Bayes model over host words and path words (kept apart; all numbers are one word) scores the URL.
 
-A null url, or one without ``://``, has an empty host and path and no words: its verdict is the class that is more frequent.
-Repeated rows are judged alike. Without pages there is nothing to judge.
+No label says which pages are unwanted, so the classes come from a few seed words: in the first round, pages whose split host
+holds one teach the class block, all others allow; in the second, the pages that the first round's model blocks do. What is learned
+is which other words unwanted hosts and paths are made of: a URL of such words without any seed word is blocked, and one seed
+word among wanted ones is not enough.
+
+Words and features below a share of all occurrences (``word_share``, ``feature_share``) count as unknown; so both models are of
+bounded size and alike at every size of the input.
+
+A null url, or one without ``://``, has an empty host and path and no words: its verdict is the class that is more frequent. A score
+of exactly 0 allows. A null html adds no words. Repeated rows are judged alike, and each counts. Very long URLs are split whole, in
+time proportional to their length. Columns other than page_id, url and html are not looked at. Without pages there is nothing to
+judge.
 """
 
 import math
@@ -18,10 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import bounded_batches
+from edgeloom.llm.common import bounded_batches, discard, stage
 
-# Words of sites that filters of this kind name.
-BLOCK_WORDS = "adult ads bet bets casino cheap farm free gambling loan pills poker porn pharma replica sex slots spam track tracker viagra win xxx".split()
+# Seed words, of sites that filters of this kind name.
+BLOCK_WORDS = "adult ads bets casino gambling pills poker porn spam viagra xxx".split()
 # Common parts of host names that say nothing bad.
 PLAIN_WORDS = "blog com de en es fr mail net news org shop site the web wiki www".split()
 # Action, host, path.
@@ -30,12 +39,13 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 
 @dataclass(frozen=True)
 class UrlParams:
-    """max_words, max_features: the most frequent ones that the models keep."""
+    """word_share, feature_share: least shares of all occurrences; rounds: how often the classes are learned."""
 
-    max_words: int = 50_000
-    max_features: int = 50_000
+    word_share: float = 1e-5
+    feature_share: float = 1e-5
     longest_word: int = 20
     smoothing: float = 0.5
+    rounds: int = 2
 
 
 def _lower_ascii(c):
@@ -65,7 +75,6 @@ def rule_of(rules=RULES):
 
 
 _LETTER = 2.5
-_LONGEST_PIECE = 80
 _PIECES = re.compile(r"[^\W_]+")
 
 
@@ -77,89 +86,111 @@ class UrlModel:
     unknown: float
     longest: int
     prior: float = 0.0
-    ratio: dict[str, float] = field(default_factory=dict)
+    ratio: dict[str, float] | None = None
     cache: dict[str, list[str]] = field(default_factory=dict)
 
     def split(self, piece: str) -> list[str]:
-        """The most likely words of a piece; a stretch that is no known word costs ``unknown`` and _LETTER a letter."""
+        """The most likely words of a piece; a stretch that is no known word costs ``unknown`` and _LETTER a letter.
+
+        best: by end, the least cost and the begin of its last word; open_: the same of ways whose last word is an unknown stretch.
+        Equal costs go to the longer last word.
+        """
         got = self.cache.get(piece)
         if got is not None:
             return got
-        if len(piece) > _LONGEST_PIECE:  # no name: cut before it is split, so that time stays in proportion
-            return [w for i in range(0, len(piece), _LONGEST_PIECE) for w in self.split(piece[i : i + _LONGEST_PIECE])]
         best: list[tuple[float, int]] = [(0.0, 0)]
+        open_ = (math.inf, 0)
         for end in range(1, len(piece) + 1):
-            options = []
-            for start in range(end):
-                c = self.cost.get(piece[start:end]) if end - start <= self.longest else None
-                options.append((best[start][0] + (self.unknown + _LETTER * (end - start) if c is None else c), start))
-            best.append(min(options))
+            open_ = min((open_[0] + _LETTER, open_[1]), (best[end - 1][0] + self.unknown + _LETTER, end - 1))
+            found = open_
+            for start in range(max(0, end - self.longest), end):
+                c = self.cost.get(piece[start:end])
+                if c is not None:
+                    found = min(found, (best[start][0] + c, start))
+            best.append(found)
         words, end = [], len(piece)
         while end:
             start = best[end][1]
             words.append(piece[start:end])
             end = start
         words.reverse()
-        if len(self.cache) >= 100_000:
-            self.cache.clear()
-        self.cache[piece] = words
+        if len(piece) <= 100:
+            if len(self.cache) >= 100_000:
+                self.cache.clear()
+            self.cache[piece] = words
         return words
 
+    def words(self, text: str) -> list[str]:
+        return [w for p in _PIECES.findall(text.lower()) for w in ([NUMBER] if p.isdigit() else self.split(p))]
+
     def features(self, host: str, path: str) -> list[str]:
-        out = [f"h:{w}" for p in _PIECES.findall(host.lower()) for w in self.split(p)]
-        return out + [f"p:{w}" for p in _PIECES.findall(path.lower()) for w in ([p] if p.isdigit() else self.split(p))]
+        return [f"h:{w}" for w in self.words(host)] + [f"p:{w}" for w in self.words(path)]
 
-    def unwanted(self, host: str) -> bool:
-        return any(w in _UNWANTED for p in _PIECES.findall(host.lower()) for w in self.split(p))
+    def unwanted(self, host: str, path: str) -> bool:
+        """By the seed words before anything is learned, then by what is."""
+        if self.ratio is None:
+            return not _SEEDS.isdisjoint(self.words(host))
+        return self.odds(host, path) > 0
 
     def odds(self, host: str, path: str) -> float:
         return self.prior + sum(self.ratio.get(f, 0.0) for f in self.features(host, path))
 
 
-_UNWANTED = frozenset(BLOCK_WORDS)
+NUMBER = "0"
+_SEEDS = frozenset(BLOCK_WORDS)
 
 
-def train(pages: DataFrame, p: UrlParams = UrlParams()) -> UrlModel:
-    """From all rows of pages (url, html); what comes to the driver is held to max_words and max_features."""
-    spark = pages.sparkSession
-    bounded_batches(spark)
-    title = F.regexp_extract(F.coalesce(F.col("html"), F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)
-    words = pages.select(F.explode(F.regexp_extract_all(F.lower(title), F.lit(r"(\p{L}+)"), 1)).alias("word"))
-    words = words.where(F.length("word").between(2, p.longest_word)).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(p.max_words)
-    counts = {r["word"]: float(r["n"]) for r in words.collect()}
+def unigrams(pages: DataFrame, p: UrlParams = UrlParams()) -> UrlModel:
+    """The model of words, from the visible text of all pages."""
+    text = F.coalesce(F.col("html"), F.lit(""))
+    for cut in (r"(?is)<(script|style)\b.*?</\1>", r"<[^>]*>", r"\S*[\p{L}\p{N}]\.\p{L}\S*"):  # marks, and names with points such as hosts
+        text = F.regexp_replace(text, cut, " ")
+    words = pages.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)).alias("word"))
+    words = stage(words.where(F.length("word").between(2, p.longest_word)).groupBy("word").agg(F.count("*").alias("n")), "url-words")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    counts = {r["word"]: float(r["n"]) for r in words.where(F.col("n") >= p.word_share * total).collect()}
+    discard(words)
     top = max([1.0, *counts.values()])
     for w in (*BLOCK_WORDS, *PLAIN_WORDS):
-        counts[w] = counts.get(w, 0.0) + top ** 0.5
+        counts[w] = counts.get(w, 0.0) + top**0.5
     total = sum(counts.values())
-    cost = {w: -math.log(n / total) for w, n in counts.items()}
-    model = UrlModel(cost, math.log(total), max(map(len, counts)))
-    shared = spark.sparkContext.broadcast(model)
+    return UrlModel({w: -math.log(n / total) for w, n in counts.items()}, math.log(total), max(map(len, counts)))
 
-    def counted(batches):
-        m = shared.value
-        n: dict[str, list[int]] = {}
-        for b in batches:
-            for host, path in zip(b["host"], b["path"]):
-                bad = int(m.unwanted(host))
-                n.setdefault("", [0, 0])[bad] += 1
-                for f in m.features(host, path):
-                    n.setdefault(f, [0, 0])[bad] += 1
-            if len(n) > 200_000:
-                yield pd.DataFrame([(f, *c) for f, c in n.items()], columns=["feature", "allow", "block"])
-                n = {}
-        yield pd.DataFrame([(f, *c) for f, c in n.items()], columns=["feature", "allow", "block"])
-
-    each = parts(pages.select("url")).select("host", "path").mapInPandas(counted, "feature string, allow long, block long").groupBy("feature").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).cache()
-    sums = each.where("feature <> ''").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"), F.count("*").alias("n")).first()
-    docs = each.where("feature = ''").first()
-    kept = each.where("feature <> ''").orderBy(F.desc(F.col("allow") + F.col("block")), "feature").limit(p.max_features).collect()
-    each.unpersist()
-    if docs:
+
+def train(pages: DataFrame, p: UrlParams = UrlParams()) -> UrlModel:
+    """From all rows of pages (url, html); what comes to the driver is bounded by the shares."""
+    spark = pages.sparkSession
+    bounded_batches(spark)
+    model = unigrams(pages, p)
+    urls = stage(parts(pages.select("url")).groupBy("host", "path").agg(F.count("*").alias("n")), "urls")
+    for _ in range(p.rounds):
+        shared = spark.sparkContext.broadcast(model)
+
+        def counted(batches):
+            m = shared.value  # noqa: B023
+            n: dict[str, list[int]] = {}
+            for b in batches:
+                for host, path, times in zip(b["host"], b["path"], b["n"]):
+                    bad = int(m.unwanted(host, path))
+                    n.setdefault("", [0, 0])[bad] += times
+                    for f in m.features(host, path):
+                        n.setdefault(f, [0, 0])[bad] += times
+                if len(n) > 200_000:
+                    yield pd.DataFrame([(f, *c) for f, c in n.items()], columns=["feature", "allow", "block"])
+                    n = {}
+            yield pd.DataFrame([(f, *c) for f, c in n.items()], columns=["feature", "allow", "block"])
+
+        each = stage(urls.mapInPandas(counted, "feature string, allow long, block long").groupBy("feature").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "url-features")
+        sums = each.where("feature <> ''").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"), F.count("*").alias("n")).first()
+        docs = each.where("feature = ''").first()
+        least = p.feature_share * ((sums["allow"] or 0) + (sums["block"] or 0))
+        kept = each.where((F.col("feature") != "") & (F.col("allow") + F.col("block") >= least)).collect()
+        discard(each)
         s, size = p.smoothing, sums["n"] or 1
-        model.prior = math.log((docs["block"] + s) / (docs["allow"] + s))
         low, high = (sums["allow"] or 0) + s * size, (sums["block"] or 0) + s * size
-        model.ratio = {r["feature"]: math.log((r["block"] + s) / high) - math.log((r["allow"] + s) / low) for r in kept}
-    model.cache.clear()
+        ratio = {r["feature"]: math.log((r["block"] + s) / high) - math.log((r["allow"] + s) / low) for r in kept}
+        model = UrlModel(model.cost, model.unknown, model.longest, math.log((docs["block"] + s) / (docs["allow"] + s)) if docs else 0.0, ratio)
+    discard(urls)
     return model
 
 
@@ -170,7 +201,7 @@ def judge(pages: DataFrame, model: UrlModel, rules=RULES) -> DataFrame:
     @F.pandas_udf("score double, words string")
     def scored(host: pd.Series, path: pd.Series) -> pd.DataFrame:
         m = shared.value
-        return pd.DataFrame({"score": np.array([m.odds(h, p) for h, p in zip(host, path)], float), "words": [" ".join(w for x in _PIECES.findall(h.lower()) for w in m.split(x)) for h in host]})
+        return pd.DataFrame({"score": np.array([m.odds(h, p) for h, p in zip(host, path)], float), "words": [" ".join(m.words(h)) for h in host]})
 
     out = parts(pages).withColumn("_rule", rule_of(rules)).withColumn("_s", scored("host", "path"))
     verdict = F.coalesce(F.col("_rule.action"), F.when(F.col("_s.score") > 0, "block").otherwise("allow"))

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -52,12 +53,42 @@ def test_pairwise_interactions_matter(spark):
         a, b = rng.random() < 0.5, rng.random() < 0.5
         rows.append((i, " ".join(["aaaa"] * a + ["bbbb"] * b + [f"w{rng.randrange(50)}"]), int(a == b)))
     docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
-    p = toxicity.FMParams(min_g=-1.0, steps=400)
-    model = toxicity.train(docs, labels, None, p)
+    model = toxicity.train(docs, labels)
     got = {r["doc_id"]: r["toxicity_score"] >= 0.5 for r in toxicity.score(docs, model).collect()}
     assert np.mean([got[i] == bool(y) for i, _, y in rows]) > 0.9
 
 
+def test_machine_brute_force():
+    """Bias, weights and the products of the vectors of all pairs of terms."""
+    rng = np.random.default_rng(1)
+    m = toxicity.FMModel(np.arange(30), 0.3, rng.normal(size=30), rng.normal(size=(30, 4)))
+    rows = [np.sort(rng.choice(30, n, replace=False)) for n in (0, 1, 2, 9, 30)]
+    want = [0.3 + sum(m.w[i] for i in r) + sum(m.v[i] @ m.v[j] for k, i in enumerate(r) for j in r[k + 1 :]) for r in rows]
+    assert np.allclose(m.raw(rows), want) and np.allclose(m.score(rows), 1 / (1 + np.exp(-np.array(want))))
+
+
+def test_pair_screen_brute_force():
+    rng = np.random.default_rng(5)
+    x = rng.random((800, 40)) < 0.3
+    y = np.where(x[:, 3] & x[:, 17], rng.random(800) < 0.9, rng.random(800) < 0.1)
+    rows = [np.flatnonzero(r) for r in x]
+
+    def g(seen):
+        t = np.array([[np.sum(seen & y), np.sum(seen & ~y)], [np.sum(~seen & y), np.sum(~seen & ~y)]], float)
+        e = t.sum(1, keepdims=True) * t.sum(0, keepdims=True) / t.sum()
+        return 2 * np.sum(t[t > 0] * np.log(t[t > 0] / e[t > 0]))
+
+    p = toxicity.FMParams(min_pair_g=4.0)
+    want = np.zeros(40, bool)
+    for i in range(40):
+        for j in range(i):
+            if g(x[:, i] & x[:, j]) - max(g(x[:, i]), g(x[:, j])) >= p.min_pair_g:
+                want[[i, j]] = True
+    got = toxicity.interacting(rows, y, 40, p, block=16)
+    assert (got == want).all() and got[3] and got[17] and not got.all()
+    assert not toxicity.interacting(rows, y, 40, toxicity.FMParams(min_pair_g=1e9)).any() and len(toxicity.interacting([], y[:0], 0, p)) == 0
+
+
 # --- decontamination ----------------------------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -254,17 +285,70 @@ def test_language_odd_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in rows.values()) and rows[25]["lang_pred"] == "en" and rows[70]["lang_pred"] == "de"
 
 
+def test_language_of_long_texts(spark):
+    """Long texts teach their language: alone, and beside short texts of another; and they are judged as short ones are."""
+    rng = random.Random(3)
+    german = lambda n: " ".join(rng.choice("der die das und ist nicht ein eine Haus Straße gehen über schön wird auch nur noch".split()) for _ in range(n))
+    english = lambda n: " ".join(rng.choice("the a and is not house street go over nice will also only still of to with".split()) for _ in range(n))
+    long = [(i, german(6000), "de") for i in range(40)]
+    short = [(100 + i, english(12), "en") for i in range(60)]
+    asked = [(300, german(12), None), (301, english(12), None), (302, english(9000), None), (303, german(9000), None)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.language_id(frame(long + short + asked)).collect()}
+    assert {got[i] for i, _, _ in long} == {"de"} and {got[i] for i, _, _ in short} == {"en"} and [got[i] for i in range(300, 304)] == ["de", "en", "en", "de"]
+    assert {r["lang_pred"] for r in langid.language_id(frame(long)).collect()} == {"de"} and langid.language_id(frame(long).limit(0)).count() == 0
+
+
+def test_language_sizes_brute_force(spark):
+    """The prediction is the language of the smallest total of compressed blocks, whatever the length."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    p = langid.LangParams()
+    model = langid.train(docs, None, p)
+    rows = [r["text"] for r in docs.select("text").limit(60).collect()] + ["x", "word " * 40_000]
+    for t in rows:
+        data = (" " + re.sub(r"[\W\d_]+", " ", t.lower()).strip() + " ").encode()
+        total = {}
+        for lang, content in zip(model.languages, model.contents):
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=p.level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+            total[lang] = sum(len(c.compress(data[i : i + 1024])) for i in range(0, len(data), 1024))
+        got = langid.Compressors(model, p).predict(t)
+        assert got[0] == min(model.languages, key=lambda k: (total[k], model.languages.index(k)))
+        best, second = sorted(total.values())[:2]
+        assert abs(got[2] - (second - best) / second) < 1e-12
+
+
 def test_licenses(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     cues = {"mit": "MIT License", "apache": "Apache License", "gpl": "GNU General Public", "cc": "CC BY", "reserved": "All rights reserved"}
     wrong = [r for r in licenses.licenses(docs).join(docs, "doc_id").collect() if r["families"] != ",".join(sorted(f for f, c in cues.items() if c in r["text"]))]
     assert not wrong
-    extra = odd(spark).unionByName(spark.createDataFrame([(50, "x\nReleased under the MIT License.\ny")], "doc_id long, text string"))
-    rows = licenses.licenses(extra).collect()
-    assert len(rows) == len(ODD) + 1 and {(r["doc_id"], r["families"], r["first_line"]) for r in rows if r["n_lines"]} == {(50, "mit", 1)}
     assert licenses.licenses(odd(spark).limit(0)).count() == 0
 
 
+GPL = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+MIT = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files, to deal\n# in the Software without restriction."
+
+
+def test_license_paragraphs(spark):
+    """Wrapped notices are one paragraph; each row counts its own paragraphs, repeated or not; talk of licences is none."""
+    one = "x.\nReleased under the MIT License.\ny"
+    rows = [(50, one), (50, one), (50, "another text of this id"), (51, "Title.\n\n" + GPL), (52, MIT), (53, "The general asked for a license to use the software program. All of it was released."), (54, f"{one}.\n\n{GPL}\n"), (None, one)]
+    docs = odd(spark).unionByName(spark.createDataFrame(rows, "doc_id long, text string")).withColumns({"families": F.lit("clash"), "words": F.lit(1)})
+    got = [(r["doc_id"], r["families"], r["n_paragraphs"], r["first_paragraph"]) for r in licenses.licenses(docs).collect()]
+    assert len(got) == len(ODD) + len(rows)
+    assert sorted((g for g in got if g[2]), key=str) == sorted([(50, "mit", 1, 1), (50, "mit", 1, 1), (51, "gpl", 1, 2), (52, "mit", 1, 0), (54, "gpl,mit", 2, 1), (None, "mit", 1, 1)], key=str)
+
+
+def test_license_cues_lose_nothing():
+    """Without its cue words no template keeps enough of its pairs."""
+    p = licenses.LicenseParams()
+    cues = set(licenses.cue_words(p.least_overlap))
+    for _, t in licenses.TEMPLATES:
+        pairs = licenses._pairs(t)
+        assert sum(not cues & set(x.split()) for x in pairs) < p.least_overlap * len(pairs)
+
+
 def test_licenses_run_no_python(spark):
     plan = licenses.licenses(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
