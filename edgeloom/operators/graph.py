@@ -49,6 +49,13 @@ def reachability(roots: DataFrame, edges: DataFrame, titles: DataFrame, max_dept
     return frontier(start, ["id"], expand, max_depth)
 
 
+def skipped(states: DataFrame, edges: DataFrame, max_depth: int = 16) -> DataFrame:
+    """(cycle, depth): how many edges of reachable nodes lead back into the node's own path, and how many start at max_depth."""
+    j = edges.join(states.select(F.col("id").alias("from_id"), "depth", "path_ids"), "from_id")
+    deep = F.col("depth") >= max_depth
+    return j.agg(F.count_if(~deep & F.array_contains("path_ids", F.col("to_id"))).alias("cycle"), F.count_if(deep).alias("depth"))
+
+
 def parent_index(states: DataFrame, edges: DataFrame, roots: DataFrame, titles: DataFrame, max_depth: int = 16, top: str = "root") -> DataFrame:
     """One row for each edge whose parent is reachable above max_depth and whose child is not on the parent's path, once a
     (child, parent, relation, source, ordinal); and one row for each root under the synthetic parent ``top``."""
@@ -211,16 +218,27 @@ def nearest_typed(edges: DataFrame, seeds: DataFrame, kinds: DataFrame, wanted:
 
 
 # How much affinity an edge passes on, forward by relation and source, and back by relation.
-FORWARD = {"subgenre": 1.0, "derivative": 0.76, "fusion_genre": 0.68, "regional_scene": 0.58}
-BACKWARD = {"subgenre": 0.34, "derivative": 0.28, "fusion_genre": 0.26, "regional_scene": 0.82}
-SOURCES = {"manual_curation": 1.1, "infobox": 1.0, "wikidata": 0.9, "inbound_index": 0.72}
+FORWARD = {
+    "broader_genres": 1.0, "subgenres": 1.0, "subgenre": 1.0, "source_genres": 0.42, "derived_genres": 0.76, "derivative": 0.76, "fusion_components": 0.68,
+    "fusion_descendants": 0.68, "fusion_genre": 0.68, "regional_variations": 0.72, "regional_scene": 0.58,
+}
+BACKWARD = {
+    "broader_genres": 0.34, "subgenres": 0.34, "subgenre": 0.34, "source_genres": 0.20, "derived_genres": 0.28, "derivative": 0.28, "fusion_components": 0.26,
+    "fusion_descendants": 0.26, "fusion_genre": 0.26, "regional_variations": 0.82, "regional_scene": 0.82,
+}
+SOURCES = {"gpt_review": 1.18, "manual_curation": 1.1, "infobox": 1.0, "wikidata": 0.9, "inbound_index": 0.72}
+OTHER_SOURCE = 0.82
 
 
 def flow_edges(edges: DataFrame) -> DataFrame:
-    """(src, dst, w): affinity flows with the edge and, weaker, against it, unless blocked (block_forward, block_reverse)."""
-    pick = lambda m, c: F.coalesce(F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(v))])[F.col(c)], F.lit(0.0))
-    fwd = edges.where("not block_forward").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), (pick(FORWARD, "relation") * pick(SOURCES, "source")).alias("w"))
-    back = edges.where("not block_reverse").select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"), (pick(BACKWARD, "relation") * pick(SOURCES, "source")).alias("w"))
+    """(src, dst, w): affinity flows with the edge and, weaker, against it, unless blocked (block_forward, block_reverse).
+
+    An unlisted relation passes nothing on; an unlisted source, or none, counts OTHER_SOURCE.
+    """
+    pick = lambda m, c, other: F.coalesce(F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(v))])[F.col(c)], F.lit(other))
+    source = pick(SOURCES, "source", OTHER_SOURCE)
+    fwd = edges.where("not block_forward").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), (pick(FORWARD, "relation", 0.0) * source).alias("w"))
+    back = edges.where("not block_reverse").select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"), (pick(BACKWARD, "relation", 0.0) * source).alias("w"))
     return fwd.union(back).where("w > 0")
 
 
@@ -281,17 +299,53 @@ def distance_map(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, floor:
     return out.withColumn("score", F.round(F.greatest(F.lit(floor), F.col("strength")) / (1 + F.col("depth")), 6))
 
 
-def beam_walk(edges: DataFrame, seed: DataFrame, per_depth: tuple[int, ...] = (12, 8, 4, 2)) -> DataFrame:
-    """(id, depth, score): at each depth the best new nodes by weight, then id; edges (from_id, to_id, weight)."""
-    e = cut(edges.select("from_id", "to_id", "weight"), "pairs")
-    level = cut(seed.select("id", F.lit(0).alias("depth"), F.lit(1.0).alias("score")), "beam")
-    found = level
-    for depth, keep in enumerate(per_depth, 1):
-        new = level.join(e, level["id"] == e["from_id"]).groupBy(F.col("to_id").alias("id")).agg(F.max(F.col("score") * F.col("weight")).alias("score"))
-        new = new.join(found.select("id"), "id", "left_anti").orderBy(F.desc("score"), "id").limit(keep)
-        level = cut(new.select("id", F.lit(depth).alias("depth"), "score"), "beam")
-        found = found.union(level)
-    return found
+# The order of relations in the focus walk, and how much an edge counts at its upper and lower end.
+WALK_RANK = {
+    "broader_genres": 0, "subgenres": 1, "subgenre": 1, "derived_genres": 2, "derivative": 2, "fusion_components": 3, "fusion_descendants": 3, "fusion_genre": 3,
+    "regional_variations": 4, "origin_parent": 5,
+}
+DOWNWARD, UPWARD = 1.0, 0.35
+
+
+def beam_walk(nodes: DataFrame, edges: DataFrame, seed: DataFrame, per_depth: tuple[int, ...] = (12, 8, 4, 2), totals: tuple[int, ...] = (16, 10, 5, 2)) -> DataFrame:
+    """(id, distance, direction, score, connections): the focus around a seed, up and down the edges.
+
+    nodes: (id, title, views, rank); edges: (from_id, to_id, relation). Each direction keeps at each depth the best ``per_depth`` new
+    nodes by score, the relation's order, the node's rank and title; a node of both directions has the smaller distance and the
+    direction ``both``. Of all nodes of a distance the best ``totals`` stay. A node's score is 4 log2(1 + weighted degree) + 1.2
+    log10(views + 10), scaled to 0..1 over the focus. What is kept is bounded by the totals; candidates are reduced by a join, a
+    minimum a node and a top-k each depth.
+    """
+    ends = edges.select(F.col("from_id").alias("id"), F.lit(DOWNWARD).alias("w")).union(edges.select("to_id", F.lit(UPWARD)))
+    degree = ends.groupBy("id").agg(F.count("*").alias("connections"), F.sum("w").alias("w"))
+    score = F.log2(F.coalesce("w", F.lit(0.0)) + 1) * 4.0 + F.log10(F.greatest(F.coalesce("views", F.lit(0.0)), F.lit(0.0)) + 10) * 1.2
+    known = cut(nodes.join(degree, "id", "left").select("id", "title", "rank", F.coalesce("connections", F.lit(0)).alias("connections"), F.round(score, 9).alias("raw")), "beam")
+    order = F.coalesce(F.create_map(*[x for k, v in WALK_RANK.items() for x in (F.lit(k), F.lit(v))])[F.col("relation")], F.lit(99))
+    start = seed.select("id").join(known, "id", "left_semi").distinct()
+
+    def walk(steps: DataFrame, direction: str) -> DataFrame:
+        """steps: (at, id, relation order)."""
+        seen = level = cut(start, "beam")
+        out = None
+        for depth, keep in enumerate(per_depth, 1):
+            new = steps.join(level.select(F.col("id").alias("at")), "at").groupBy("id").agg(F.min("order").alias("order"))
+            new = new.join(seen, "id", "left_anti").join(known, "id").orderBy(F.desc("raw"), "order", "rank", "title", "id").limit(keep)
+            level = cut(new.select("id", F.lit(depth).alias("distance")), "beam")
+            seen = seen.union(level.select("id"))
+            own = level.withColumn("direction", F.lit(direction))
+            out = own if out is None else out.union(own)
+        return out
+
+    pairs = cut(edges.select("from_id", "to_id", order.alias("order")), "beam")
+    both = walk(pairs.select(F.col("to_id").alias("at"), F.col("from_id").alias("id"), "order"), "up").union(walk(pairs.select(F.col("from_id").alias("at"), F.col("to_id").alias("id"), "order"), "down"))
+    focus = both.groupBy("id").agg(F.min("distance").alias("distance"), F.when(F.count("*") > 1, "both").otherwise(F.min("direction")).alias("direction"))
+    focus = focus.union(start.select("id", F.lit(0), F.lit("selected"))).join(known, "id")
+    n = F.row_number().over(Window.partitionBy("distance").orderBy(F.desc("raw"), "rank", "title", "id"))
+    most = F.element_at(F.array(F.lit(1), *[F.lit(t) for t in totals]), F.col("distance") + 1)
+    kept = focus.withColumn("_n", n).where(F.col("_n") <= most)
+    ends = kept.agg(F.min("raw").alias("_lo"), F.max("raw").alias("_hi"))
+    scaled = (F.col("raw") - F.col("_lo")) / F.greatest(F.lit(0.001), F.col("_hi") - F.col("_lo"))
+    return kept.join(F.broadcast(ends), F.lit(True)).select("id", "distance", "direction", scaled.alias("score"), "connections")
 
 
 def bounded_descendants(edges: DataFrame, seed: DataFrame, titles: DataFrame, max_depth: int = 8, budget: int = 200) -> DataFrame:

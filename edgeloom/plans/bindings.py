@@ -50,23 +50,24 @@ BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
     "links": (("region", "nation", "supplier", "lineitem"), """
         SELECT concat('r:', n_regionkey) AS from_id, concat('n:', n_nationkey) AS to_id, 'subgenre' AS relation, CASE n_nationkey % 3 WHEN 0 THEN 'infobox' WHEN 1 THEN 'wikidata' ELSE 'manual_curation' END AS source, CAST(NULL AS VARCHAR(20)) AS evidence_relation, CAST(n_nationkey AS BIGINT) AS k FROM nation
         UNION ALL SELECT concat('n:', s_nationkey), concat('s:', s_suppkey), 'regional_scene', CASE s_suppkey % 3 WHEN 0 THEN 'infobox' WHEN 1 THEN 'wikidata' ELSE 'manual_curation' END, CAST(NULL AS VARCHAR(20)), s_suppkey FROM supplier
-        UNION ALL SELECT concat('s:', l_suppkey), concat('p:', l_partkey), CASE l_partkey % 4 WHEN 0 THEN 'derivative' WHEN 1 THEN 'subgenre' WHEN 2 THEN 'related' ELSE 'fusion_genre' END, CASE (l_partkey + l_suppkey) % 3 WHEN 0 THEN 'infobox' WHEN 1 THEN 'wikidata' ELSE 'inbound_index' END, CASE WHEN l_partkey % 8 = 2 THEN 'subgenre' WHEN l_partkey % 16 = 6 THEN 'stylistic_origin_of' END, l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey % 5 = 0 OR l_suppkey % 7 = 0) d"""),
+        UNION ALL SELECT concat('s:', l_suppkey), concat('p:', l_partkey), CASE l_partkey % 4 WHEN 0 THEN 'derivative' WHEN 1 THEN 'subgenre' WHEN 2 THEN 'related' ELSE 'fusion_genre' END, CASE (l_partkey + l_suppkey) % 3 WHEN 0 THEN 'infobox' WHEN 1 THEN 'wikidata' ELSE 'inbound_index' END, CASE WHEN l_partkey % 8 = 2 THEN 'subgenre' WHEN l_partkey % 16 = 6 THEN 'stylistic_origin_of' END, l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) d"""),
     "edges": (("links",), "SELECT from_id, to_id, relation, source, CAST(row_number() OVER (PARTITION BY from_id ORDER BY k, to_id) - 1 AS INTEGER) AS ordinal, evidence_relation FROM links"),
-    # successions of parts within orders: a directed graph with cycles
-    "steps": (("lineitem",), "SELECT l_orderkey, l_linenumber, l_partkey % 200 AS a, lead(l_partkey % 200) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem WHERE l_orderkey % 40 = 0"),
-    "succ": (("steps",), "SELECT concat('g:', a) AS from_id, concat('g:', b) AS to_id, count(*) AS n FROM steps WHERE b IS NOT NULL AND a <> b GROUP BY a, b"),
-    "succ_edges": (("succ",), "SELECT from_id, to_id, CASE WHEN n > 1 THEN 'subgenre' WHEN length(from_id) % 2 = 0 THEN 'derivative' ELSE 'related' END AS relation, CASE WHEN length(to_id) = 3 THEN 'manual_curation' WHEN n % 2 = 0 THEN 'wikidata' WHEN length(from_id) = 4 THEN 'inbound_index' ELSE 'infobox' END AS source, CAST(0 AS INTEGER) AS ordinal, CASE WHEN length(from_id) = 3 THEN 'stylistic_origin_of' END AS evidence_relation FROM succ"),
+    # successions of a customer's orders by priority and status: a directed graph with cycles, that grows with the customers
+    "visits": (("orders",), "SELECT o_custkey, o_orderkey, o_orderdate, concat('g:', o_custkey, ':', substr(o_orderpriority, 1, 1), o_orderstatus) AS id FROM orders"),
+    "steps": (("visits",), "SELECT o_orderkey, id AS a, lead(id) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM visits"),
+    "succ": (("steps",), "SELECT a AS from_id, b AS to_id, count(*) AS n FROM steps WHERE b IS NOT NULL AND a <> b GROUP BY a, b"),
+    "succ_edges": (("succ",), "SELECT from_id, to_id, CASE WHEN n > 1 OR from_id LIKE '%P' THEN 'subgenre' WHEN from_id LIKE '%F' THEN 'derivative' ELSE 'related' END AS relation, CASE WHEN to_id LIKE '%:1P' THEN 'manual_curation' WHEN to_id LIKE '%F' THEN 'wikidata' WHEN from_id LIKE '%:2_' THEN 'inbound_index' ELSE 'infobox' END AS source, CAST(0 AS INTEGER) AS ordinal, CASE WHEN from_id LIKE '%:3_' THEN 'stylistic_origin_of' END AS evidence_relation FROM succ"),
     # parts bought in one order: an undirected weighted graph
-    "together": (("lineitem",), "SELECT concat('g:', x.k) AS a, concat('g:', y.k) AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey AS o, l_partkey % 300 AS k FROM lineitem WHERE l_orderkey % 10 = 0) x JOIN (SELECT DISTINCT l_orderkey AS o, l_partkey % 300 AS k FROM lineitem WHERE l_orderkey % 10 = 0) y ON x.o = y.o AND x.k < y.k GROUP BY x.k, y.k"),
+    "together": (("lineitem",), "SELECT concat('g:', x.k) AS a, concat('g:', y.k) AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey AS o, l_partkey AS k FROM lineitem) x JOIN (SELECT DISTINCT l_orderkey AS o, l_partkey AS k FROM lineitem) y ON x.o = y.o AND x.k < y.k GROUP BY x.k, y.k"),
     # events as a log of versions of users
     "versions": (("events",), "SELECT concat('u:', user_id) AS id, concat(event_type, ':', CAST(CAST(floor(value) AS BIGINT) AS VARCHAR(20))) AS content, ts, event_id, event_type FROM events"),
     "old_rows": (("versions",), "SELECT id, content AS hash, ts AS last_fetched_at, ts AS last_changed_at, CASE WHEN event_id % 4 = 0 THEN ts END AS deleted_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) AS rn FROM versions WHERE event_id % 3 <> 0) q WHERE rn = 1"),
     "new_rows": (("versions",), "SELECT id, content AS hash, ts AS fetched_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) AS rn FROM versions WHERE event_id % 5 <> 1) q WHERE rn = 1"),
     # years of orders, weighted by what was bought
-    "years": (("orders", "lineitem"), "SELECT concat('p:', l_partkey) AS id, CAST(extract(YEAR FROM o_orderdate) AS INTEGER) AS year_start, CAST(extract(YEAR FROM l_shipdate) AS INTEGER) AS year_end, l_quantity AS weight, l_returnflag AS kind FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey % 4 = 0"),
+    "years": (("orders", "lineitem"), "SELECT concat('p:', l_partkey) AS id, CAST(extract(YEAR FROM o_orderdate) AS INTEGER) AS year_start, CAST(extract(YEAR FROM l_shipdate) AS INTEGER) AS year_end, l_quantity AS weight, l_returnflag AS kind FROM lineitem JOIN orders ON o_orderkey = l_orderkey"),
     # rectangles
     "boxes": (("embeddings",), "SELECT vec_id AS id, 1000 * CAST(embedding[{first}] AS DOUBLE) AS x, 1000 * CAST(embedding[{second}] AS DOUBLE) AS y, CAST(8 + label % 5 AS DOUBLE) AS w, CAST(4 + vec_id % 3 AS DOUBLE) AS h, CAST(vec_id % 100 AS DOUBLE) AS priority FROM embeddings"),
-    "names": (("part", "supplier"), "SELECT concat('p:', p_partkey) AS id, concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN ' s' ELSE '' END) AS name, p_brand AS brand, p_type AS type FROM part WHERE p_partkey % 20 = 0"),
+    "names": (("part", "supplier"), "SELECT concat('p:', p_partkey) AS id, concat(p_name, ' ', p_brand, CASE WHEN p_partkey % 3 = 0 THEN ' s' ELSE '' END) AS name, p_brand AS brand, p_type AS type FROM part"),
     "wiki": (("part",), _WIKI),
     "members": (("part",), "SELECT DISTINCT concat('Category:', p_type) AS category, concat('Category:', p_type, ' ', p_brand) AS member, TRUE AS is_category FROM part UNION ALL SELECT DISTINCT concat('Category:', p_type, ' ', p_brand), concat(p_name, ' ', p_partkey % 50), FALSE FROM part UNION ALL SELECT DISTINCT concat('Category:', p_type), concat('Music of ', p_name), FALSE FROM part WHERE p_size % 9 = 0"),
 }

@@ -10,27 +10,26 @@ from edgeloom.plans.bindings import sql_with
 from edgeloom.plans.graphs import TREE
 from edgeloom.plans.registry import query
 
-INB = "inb AS (SELECT concat('g:', l_suppkey % 60) AS to_id, concat('g:', 60 + l_partkey % 90) AS from_id, CASE (l_partkey + l_suppkey) % 3 WHEN 0 THEN 'subclass_of' WHEN 1 THEN 'derivative' ELSE 'influenced' END AS relation FROM lineitem WHERE l_orderkey % 25 = 3 GROUP BY ALL), nod AS (SELECT id, concat('t', id) AS title FROM (SELECT from_id AS id FROM inb UNION SELECT to_id FROM inb) q)"
+INB = "inb AS (SELECT to_id, from_id, CASE WHEN from_id LIKE '%:1_' OR from_id LIKE '%:2_' OR from_id LIKE '%:4_' THEN 'subclass_of' WHEN from_id LIKE '%:3_' THEN 'derivative' ELSE 'influenced' END AS relation FROM succ), nod AS (SELECT id, concat('t', id) AS title FROM (SELECT from_id AS id FROM inb UNION SELECT to_id FROM inb) q)"
 
 
 def inbound(t):
-    k = (F.col("l_partkey") + F.col("l_suppkey")) % 3
-    rel = F.when(k == 0, "subclass_of").when(k == 1, "derivative").otherwise("influenced")
-    e = t.lineitem.where("l_orderkey % 25 = 3").select(F.concat(F.lit("g:"), F.col("l_suppkey") % 60).alias("to_id"), F.concat(F.lit("g:"), F.col("l_partkey") % 90 + 60).alias("from_id"), rel.alias("relation")).distinct()
+    rel = F.when(F.rlike("from_id", F.lit(":[124].$")), "subclass_of").when(F.rlike("from_id", F.lit(":3.$")), "derivative").otherwise("influenced")
+    e = t.succ.select("to_id", "from_id", rel.alias("relation"))
     n = e.select(F.col("from_id").alias("id")).union(e.select("to_id")).distinct()
     return e, n.withColumn("title", F.concat(F.lit("t"), "id"))
 
 
-@query("g19_infer_inbound", f"""WITH RECURSIVE {INB}, ex AS (SELECT 'g:7' AS id), sub AS (SELECT DISTINCT to_id AS p, from_id AS c FROM inb WHERE relation = 'subclass_of' AND to_id <> 'g:7'),
+@query("g19_infer_inbound", sql_with("succ", recursive=True) + f""", {INB}, sub AS (SELECT DISTINCT to_id AS p, from_id AS c FROM inb WHERE relation = 'subclass_of' AND to_id NOT LIKE '%:5P'),
 gr AS (SELECT from_id AS p, to_id AS c FROM inb WHERE relation = 'derivative' UNION SELECT p, c FROM sub), h AS (SELECT p AS s, c AS id, 1 AS d FROM gr WHERE p IN (SELECT p FROM sub) UNION SELECT h.s, g.c, h.d + 1 FROM h JOIN gr g ON g.p = h.id WHERE h.d < 4 AND g.c <> h.s),
 a AS (SELECT p, c, CASE WHEN EXISTS (SELECT 1 FROM h WHERE h.s = sub.p AND h.id = sub.c AND d >= 2) THEN 'related' ELSE 'subgenre' END AS relation, 'subclass_of' AS evidence, 0 AS k FROM sub
- UNION ALL SELECT to_id, from_id, CASE WHEN length(from_id) = 5 THEN 'subgenre' ELSE 'related' END, CASE WHEN length(from_id) = 5 THEN 'summary_taxonomy' ELSE concat('inverse_', relation) END, 1 FROM inb WHERE relation <> 'subclass_of' AND to_id <> 'g:7'),
+ UNION ALL SELECT to_id, from_id, CASE WHEN from_id LIKE '%F' THEN 'subgenre' ELSE 'related' END, CASE WHEN from_id LIKE '%F' THEN 'summary_taxonomy' ELSE concat('inverse_', relation) END, 1 FROM inb WHERE relation <> 'subclass_of' AND to_id NOT LIKE '%:5P'),
 b AS (SELECT *, row_number() OVER (PARTITION BY p, c ORDER BY CASE relation WHEN 'subgenre' THEN 0 ELSE 1 END, k, evidence) AS rn FROM a WHERE NOT EXISTS (SELECT 1 FROM inb i WHERE i.from_id = a.p AND i.relation = a.relation AND i.to_id = a.c))
 SELECT p AS from_id, c AS to_id, relation, evidence, CAST(row_number() OVER (PARTITION BY p ORDER BY lower(concat('t', c)), c) - 1 AS INTEGER) AS ordinal FROM b WHERE rn = 1""")
 def g19(t):
     e, n = inbound(t)
-    cues = e.where("length(from_id) = 5").select(F.col("from_id").alias("child"), F.col("to_id").alias("parent"))
-    return R.infer_inbound(e, n, cues, n.where("id = 'g:7'"), max_depth=4)
+    cues = e.where("from_id like '%F'").select(F.col("from_id").alias("child"), F.col("to_id").alias("parent"))
+    return R.infer_inbound(e, n, cues, n.where("id like '%:5P'"), max_depth=4)
 
 
 MAPPED = "mp AS (SELECT id, concat('box ', length(title), kind) AS container, kind, CASE WHEN length(id) % 2 = 0 THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence FROM nodes WHERE length(title) % 4 <> 1)"
@@ -116,10 +115,10 @@ def g26(t):
     return R.alias_proxies(c, t.spark.createDataFrame([("Brand#3", "red ring")], "alias string, name string"), ("ECONOMY", "STANDARD", "PROMO", "SMALL"))
 
 
-@query("g27_overlay", sql_with("nodes", "edges") + """, cu AS (SELECT DISTINCT concat('Supplier#', lpad(CAST(l_suppkey AS VARCHAR), 9, '0')) AS ft, CASE WHEN l_partkey % 11 = 0 THEN 'nobody' ELSE concat('NATION_', l_partkey % 30) END AS tt, 'child' AS relation FROM lineitem WHERE l_orderkey % 50 = 1)
+@query("g27_overlay", sql_with("nodes", "edges") + """, cu AS (SELECT DISTINCT concat('Supplier#', lpad(CAST(l_suppkey AS VARCHAR), 9, '0')) AS ft, CASE WHEN l_partkey % 11 = 0 THEN 'nobody' ELSE concat('NATION_', l_partkey % 30) END AS tt, 'child' AS relation FROM lineitem)
 SELECT from_id, to_id, relation, source, ordinal FROM edges WHERE source <> 'manual_curation' UNION ALL SELECT from_id, to_id, 'subgenre', 'manual_curation', CAST(row_number() OVER (PARTITION BY from_id ORDER BY to_id) - 1 AS INTEGER) FROM (SELECT DISTINCT a.id AS from_id, b.id AS to_id FROM cu JOIN nodes a ON a.title = ft JOIN nodes b ON b.title = tt) q""")
 def g27(t):
-    cu = t.lineitem.where("l_orderkey % 50 = 1").select(F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("from_title"), F.when(F.col("l_partkey") % 11 == 0, "nobody").otherwise(F.concat(F.lit("NATION_"), F.col("l_partkey") % 30)).alias("to_title"), F.lit("child").alias("relation")).distinct()
+    cu = t.lineitem.select(F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("from_title"), F.when(F.col("l_partkey") % 11 == 0, "nobody").otherwise(F.concat(F.lit("NATION_"), F.col("l_partkey") % 30)).alias("to_title"), F.lit("child").alias("relation")).distinct()
     return R.overlay(t.edges, cu, t.nodes, names={"child": "subgenre"})[0]
 
 

@@ -139,13 +139,13 @@ def x15(t):
     return X.crawl(t.members, t.members.where("category like '%S' or category like '%Y'").select("category"), 3)
 
 
-@query("x16_link_expansion", sql_with("wiki") + f""", lk AS (SELECT DISTINCT page, {CAP.format(NORM.format('link'))} AS title FROM (SELECT page, unnest({LINKS.format('text')}) AS link FROM wiki WHERE page % 2 = 0) q WHERE NOT starts_with(lower(link), 'file:')),
+@query("x16_link_expansion", sql_with("wiki") + f""", lk AS (SELECT DISTINCT page, {CAP.format(NORM.format('link'))} AS title FROM (SELECT page, unnest({LINKS.format('text')}) AS link FROM wiki) q WHERE NOT starts_with(lower(link), 'file:')),
 ok AS (SELECT * FROM lk WHERE title IN (SELECT concat('Part ', p_partkey) FROM part WHERE p_size % 2 = 0))
 SELECT 'new' AS kind, title AS what FROM (SELECT DISTINCT title FROM ok) q WHERE title NOT IN (SELECT concat('Part ', p_partkey) FROM part WHERE p_partkey % 5 = 0)
-UNION ALL SELECT 'bare', CAST(page AS VARCHAR) FROM wiki WHERE page % 2 = 0 AND page NOT IN (SELECT page FROM ok)""")
+UNION ALL SELECT 'bare', CAST(page AS VARCHAR) FROM wiki WHERE page NOT IN (SELECT page FROM ok)""")
 def x16(t):
     titles = t.part.select(F.concat(F.lit("Part "), "p_partkey").alias("title"), "p_partkey", "p_size")
-    new, bare = X.link_expansion(t.wiki.where("page % 2 = 0").select("page"), t.wiki, titles.where("p_partkey % 5 = 0"), titles.where("p_size % 2 = 0"))
+    new, bare = X.link_expansion(t.wiki.select("page"), t.wiki, titles.where("p_partkey % 5 = 0"), titles.where("p_size % 2 = 0"))
     return new.select(F.lit("new").alias("kind"), F.col("title").alias("what")).union(bare.select(F.lit("bare"), F.col("page").cast("string")))
 
 

@@ -38,6 +38,13 @@ def g2(t):
     return p.select("id", "parent_id", "relation", "source", "ordinal", "root_id", "parent_depth", "depth", F.array_join("path_ids", ">").alias("path"))
 
 
+@query("g1_skipped", TREE + """ SELECT count(*) FILTER (WHERE depth < 3 AND list_contains(path_ids, to_id)) AS cycle, count(*) FILTER (WHERE depth >= 3) AS depth FROM (SELECT from_id, to_id FROM shown UNION ALL SELECT to_id, from_id FROM shown) e JOIN st ON st.id = e.from_id WHERE st.depth <= 3""")
+def g1b(t):
+    """Edges both ways, so that some lead back into a path; nodes as far as depth 3."""
+    e = shown(t).select("from_id", "to_id")
+    return G.skipped(states(t).where("depth <= 3"), e.union(e.select("to_id", "from_id")), 3)
+
+
 @query("g3_orphans", TREE + " SELECT id, title, views FROM nodes WHERE id NOT IN (SELECT id FROM st) ORDER BY views DESC NULLS LAST, lower(title), id LIMIT 50")
 def g3(t):
     return G.orphans(t.nodes, states(t)).limit(50).select("id", "title", "views")
@@ -47,18 +54,18 @@ def _near_sql(edges: str, seeds: str, hops: int) -> str:
     return f", h AS (SELECT id AS seed, id, 0 AS depth FROM ({seeds}) s UNION SELECT h.seed, e.to_id, h.depth + 1 FROM h JOIN (SELECT DISTINCT from_id, to_id FROM {edges}) e ON e.from_id = h.id WHERE h.depth < {hops}) SELECT seed, id, CAST(min(depth) AS INTEGER) AS depth FROM h GROUP BY seed, id HAVING min(depth) > 0"
 
 
-SEEDS = "SELECT from_id AS id FROM succ GROUP BY from_id HAVING count(*) > 5"
+SEEDS = "SELECT from_id AS id FROM succ GROUP BY from_id HAVING count(*) > 1"
 
 
 @query("g4_neighbourhood", sql_with("succ", recursive=True) + _near_sql("succ", SEEDS, 3))
 def g4(t):
-    return G.neighbourhood(t.succ, t.succ.groupBy("from_id").count().where("count > 5").select(F.col("from_id").alias("id")), 3)
+    return G.neighbourhood(t.succ, t.succ.groupBy("from_id").count().where("count > 1").select(F.col("from_id").alias("id")), 3)
 
 
-@query("g5_shortcuts", sql_with("succ", recursive=True) + """, c AS (SELECT from_id, to_id FROM succ WHERE length(from_id) = 4), h AS (SELECT DISTINCT from_id AS s, to_id AS id, 1 AS depth FROM succ WHERE from_id IN (SELECT from_id FROM c)
-UNION SELECT h.s, e.to_id, h.depth + 1 FROM h JOIN succ e ON e.from_id = h.id WHERE h.depth < 4 AND e.to_id <> h.s) SELECT from_id, to_id FROM c WHERE EXISTS (SELECT 1 FROM h WHERE h.s = c.from_id AND h.id = c.to_id AND h.depth >= 2)""")
+@query("g5_shortcuts", sql_with("succ", recursive=True) + """, c AS (SELECT from_id, to_id FROM succ), h AS (SELECT DISTINCT from_id AS s, to_id AS id, 1 AS depth FROM succ WHERE from_id IN (SELECT from_id FROM c)
+UNION SELECT h.s, e.to_id, h.depth + 1 FROM h JOIN succ e ON e.from_id = h.id WHERE h.depth < 8 AND e.to_id <> h.s) SELECT from_id, to_id FROM c WHERE EXISTS (SELECT 1 FROM h WHERE h.s = c.from_id AND h.id = c.to_id AND h.depth >= 2)""")
 def g5(t):
-    return G.shortcuts(t.succ, t.succ.where("length(from_id) = 4"), 4)
+    return G.shortcuts(t.succ, t.succ, 8)
 
 
 DISPLAY = "('subgenre', 'derivative', 'fusion_genre', 'regional_scene')"
@@ -75,28 +82,48 @@ def _ids(t):
     return t.succ.select(F.col("from_id").alias("id")).union(t.succ.select("to_id")).distinct()
 
 
+def _cycle_edges(t):
+    customer = F.substring_index("id", ":", 2)
+    starts = _ids(t).groupBy(customer.alias("c")).agg(F.min("id").alias("id")).select("id")
+    return starts, G.cycle_edges(starts, t.succ_edges, _ids(t).withColumn("title", F.col("id")), E.DISPLAY)
+
+
 @query("g6_cycle_edges")
 def g6b(t):
-    starts = t.succ.select(F.min("from_id").alias("id")).union(t.succ.select(F.max("from_id")))
-    return G.cycle_edges(starts, t.succ_edges, _ids(t).withColumn("title", F.col("id")), E.DISPLAY)
+    return _cycle_edges(t)[1]
+
+
+@query("g6_acyclic", sql_with("succ", recursive=True) + """, s AS (SELECT min(id) AS id FROM (SELECT from_id AS id FROM succ UNION SELECT to_id FROM succ) q GROUP BY split_part(id, ':', 2)), h AS (SELECT id, id AS node FROM s UNION SELECT h.id, e.to_id FROM h JOIN succ e ON e.from_id = h.node)
+SELECT count(DISTINCT node) AS reached, CAST(0 AS BIGINT) AS on_cycles FROM h""")
+def g6c(t):
+    """Of what the starts reach: the nodes, and those still on a cycle of edges that are neither ignored nor manual (none)."""
+    starts, ignored = _cycle_edges(t)
+    reached = G.closure(t.succ, starts).select("id").union(starts).distinct()
+    key = ["from_id", "to_id", "relation", "source", "ordinal"]
+    manual = t.succ_edges.where("source = 'manual_curation'")
+    beside = G.reversed_edges(manual).select("from_id", "to_id").distinct()
+    left = t.succ_edges.where("source <> 'manual_curation'").join(ignored, key, "left_anti").join(beside, ["from_id", "to_id"], "left_anti")
+    left = left.join(reached.select(F.col("id").alias("from_id")), "from_id", "left_semi")
+    back = G.closure(left, left.select(F.col("from_id").alias("id")).distinct()).join(left.select(F.col("from_id").alias("id"), F.col("to_id").alias("next")), "id").where("next = seed")
+    return reached.agg(F.count("*").alias("reached")).crossJoin(F.broadcast(back.agg(F.countDistinct("seed").alias("on_cycles"))))
 
 
-@query("g7_flag_cycles", sql_with("succ_edges") + f", {OPPOSING}, c AS (SELECT *, FALSE AS x FROM p WHERE rn = 1 AND source <> 'manual_curation') SELECT e.from_id, e.to_id, e.relation, e.source, e.ordinal, c.from_id IS NOT NULL OR length(e.to_id) = 4 AS is_ignored, CASE WHEN c.from_id IS NOT NULL THEN 'cycle:opposing' WHEN length(e.to_id) = 4 THEN 'hand' END AS ignored_reason FROM succ_edges e LEFT JOIN c ON c.from_id = e.from_id AND c.to_id = e.to_id AND c.relation = e.relation AND c.source = e.source")
+@query("g7_flag_cycles", sql_with("succ_edges") + f", {OPPOSING}, c AS (SELECT *, FALSE AS x FROM p WHERE rn = 1 AND source <> 'manual_curation') SELECT e.from_id, e.to_id, e.relation, e.source, e.ordinal, c.from_id IS NOT NULL OR e.to_id LIKE '%:4_' AS is_ignored, CASE WHEN c.from_id IS NOT NULL THEN 'cycle:opposing' WHEN e.to_id LIKE '%:4_' THEN 'hand' END AS ignored_reason FROM succ_edges e LEFT JOIN c ON c.from_id = e.from_id AND c.to_id = e.to_id AND c.relation = e.relation AND c.source = e.source")
 def g7(t):
-    own = F.when(F.length("to_id") == 4, "hand").when(F.length("from_id") == 4, "cycle:old")
+    own = F.when(F.col("to_id").like("%:4_"), "hand").when(F.col("from_id").like("%:4_"), "cycle:old")
     stored = t.succ_edges.withColumn("ignored_reason", own).withColumn("is_ignored", F.col("ignored_reason").isNotNull())
     return G.flag_edges(stored, G.opposing(t.succ_edges, E.DISPLAY).withColumn("reason", F.lit("opposing")), "cycle")
 
 
-@query("g8_named_cycles", sql_with("succ", recursive=True) + """, w AS (SELECT [from_id, to_id] AS path FROM succ UNION ALL SELECT list_append(path, e.to_id) FROM w JOIN succ e ON e.from_id = path[-1] WHERE len(path) < 3 AND NOT list_contains(path, e.to_id) AND e.to_id > path[1])
+@query("g8_named_cycles", sql_with("succ", recursive=True) + """, w AS (SELECT [from_id, to_id] AS path FROM succ UNION ALL SELECT list_append(path, e.to_id) FROM w JOIN succ e ON e.from_id = path[-1] WHERE len(path) < 6 AND NOT list_contains(path, e.to_id) AND e.to_id > path[1])
 SELECT CAST(len(path) AS INTEGER) AS length, array_to_string(path, '>') AS cycle FROM w JOIN succ e ON e.from_id = path[-1] AND e.to_id = path[1] WHERE list_min(path) = path[1]""")
 def g8(t):
-    return G.named_cycles(t.succ, 3)
+    return G.named_cycles(t.succ, 6)
 
 
-@query("g9_closure", sql_with("succ", recursive=True) + ", h AS (SELECT from_id AS seed, from_id AS id FROM (SELECT DISTINCT from_id FROM succ WHERE length(from_id) = 3) s UNION SELECT h.seed, e.to_id FROM h JOIN succ e ON e.from_id = h.id) SELECT seed, count(*) - 1 AS n, max(id) AS last FROM h WHERE seed <> id OR TRUE GROUP BY seed HAVING count(*) > 1")
+@query("g9_closure", sql_with("succ", recursive=True) + ", h AS (SELECT from_id AS seed, from_id AS id FROM (SELECT DISTINCT from_id FROM succ) s UNION SELECT h.seed, e.to_id FROM h JOIN succ e ON e.from_id = h.id) SELECT seed, count(*) - 1 AS n, max(id) AS last FROM h WHERE seed <> id OR TRUE GROUP BY seed HAVING count(*) > 1")
 def g9(t):
-    c = G.closure(t.succ, t.succ.where("length(from_id) = 3").select(F.col("from_id").alias("id")).distinct())
+    c = G.closure(t.succ, t.succ.select(F.col("from_id").alias("id")).distinct())
     return c.groupBy("seed").agg(F.count("*").alias("n"), F.greatest(F.max("id"), F.col("seed")).alias("last"))
 
 
@@ -106,37 +133,38 @@ def g10(t):
     return G.nearest_typed(G.reversed_edges(t.edges), t.nodes.where("kind = 'part'").select("id"), t.nodes, {"nation": 0, "region": 1})
 
 
-FLOWS = """fe AS (SELECT from_id, to_id, relation, source, ordinal % 17 = 5 AS block_forward, ordinal % 13 = 2 AS block_reverse FROM shown),
-sw AS (SELECT * FROM (VALUES ('manual_curation', 1.1::DOUBLE), ('infobox', 1.0), ('wikidata', 0.9), ('inbound_index', 0.72)) v(source, sw)), rw AS (SELECT * FROM (VALUES ('subgenre', 1.0::DOUBLE, 0.34::DOUBLE), ('derivative', 0.76, 0.28), ('fusion_genre', 0.68, 0.26), ('regional_scene', 0.58, 0.82)) v(relation, f, b)),
-fl AS (SELECT from_id AS src, to_id AS dst, f * sw AS w FROM fe JOIN sw USING (source) JOIN rw USING (relation) WHERE NOT block_forward UNION ALL SELECT to_id, from_id, b * sw FROM fe JOIN sw USING (source) JOIN rw USING (relation) WHERE NOT block_reverse),
-f AS (SELECT src, dst, sum(w) AS w FROM fl WHERE dst NOT LIKE 'r:%' GROUP BY ALL), pin AS (SELECT id, id AS root, 1.0::DOUBLE AS value FROM nodes WHERE kind = 'region')"""
+FLOWS = """fe AS (SELECT from_id, to_id, relation, CASE source WHEN 'inbound_index' THEN 'unlisted' WHEN 'manual_curation' THEN 'gpt_review' ELSE source END AS source, ordinal % 17 = 5 AS block_forward, ordinal % 13 = 2 AS block_reverse FROM shown),
+sw AS (SELECT * FROM (VALUES ('gpt_review', 1.18::DOUBLE), ('manual_curation', 1.1), ('infobox', 1.0), ('wikidata', 0.9)) v(source, sw)), rw AS (SELECT * FROM (VALUES ('subgenre', 1.0::DOUBLE, 0.34::DOUBLE), ('derivative', 0.76, 0.28), ('fusion_genre', 0.68, 0.26), ('regional_scene', 0.58, 0.82)) v(relation, f, b)),
+fl AS MATERIALIZED (SELECT from_id AS src, to_id AS dst, f * coalesce(sw, 0.82) AS w FROM fe LEFT JOIN sw USING (source) JOIN rw USING (relation) WHERE NOT block_forward UNION ALL SELECT to_id, from_id, b * coalesce(sw, 0.82) FROM fe LEFT JOIN sw USING (source) JOIN rw USING (relation) WHERE NOT block_reverse),
+f AS MATERIALIZED (SELECT src, dst, sum(w) AS w FROM fl WHERE dst NOT LIKE 'r:%' GROUP BY ALL), pin AS (SELECT id, id AS root, 1.0::DOUBLE AS value FROM nodes WHERE kind = 'region')"""
 
 
 def _rounds(n: int) -> str:
     out, last = FLOWS, "pin"
     for k in range(n):
-        out += f""",\nm{k} AS (SELECT id, root, sum(value) AS value FROM (SELECT dst AS id, root, value * w AS value FROM {last} v JOIN f ON f.src = v.id UNION ALL SELECT id, root, 0.05 * value FROM {last} WHERE id NOT LIKE 'r:%') q GROUP BY ALL),
-v{k} AS (SELECT * FROM pin UNION ALL SELECT id, root, value / sum(value) OVER (PARTITION BY id) FROM m{k})"""
+        out += f""",\nm{k} AS MATERIALIZED (SELECT id, root, sum(value) AS value FROM (SELECT dst AS id, root, value * w AS value FROM {last} v JOIN f ON f.src = v.id UNION ALL SELECT id, root, 0.05 * value FROM {last} WHERE id NOT LIKE 'r:%') q GROUP BY ALL),
+v{k} AS MATERIALIZED (SELECT * FROM pin UNION ALL SELECT id, root, value / sum(value) OVER (PARTITION BY id) FROM m{k})"""
         last = f"v{k}"
     return out
 
 
 def _flows(t):
-    return G.flow_edges(shown(t).withColumns({"block_forward": F.col("ordinal") % 17 == 5, "block_reverse": F.col("ordinal") % 13 == 2}))
+    source = F.when(F.col("source") == "inbound_index", "unlisted").when(F.col("source") == "manual_curation", "gpt_review").otherwise(F.col("source"))
+    return G.flow_edges(shown(t).withColumns({"source": source, "block_forward": F.col("ordinal") % 17 == 5, "block_reverse": F.col("ordinal") % 13 == 2}))
 
 
-def _affinity(t, rounds=4):
+def _affinity(t, rounds=30):
     return G.affinity(t.nodes, roots(t), _flows(t), rounds)
 
 
-@query("g11_affinity", sql_with("nodes", "edges") + f",\n{SHOWN},\n{_rounds(4)}\nSELECT id, root, round(value, 6) AS value FROM v3")
+@query("g11_affinity", sql_with("nodes", "edges") + f",\n{SHOWN},\n{_rounds(30)}\nSELECT id, root, round(value, 6) AS value FROM v29")
 def g11(t):
     return _affinity(t).select("id", "root", F.round("value", 6).alias("value"))
 
 
-@query("g12_floor_confidence", sql_with("nodes", "edges") + f",\n{SHOWN},\n{_rounds(4)}" + """,
-dr AS (SELECT dst AS id, src AS root, sum(w) AS w FROM fl WHERE src = 'r:1' AND dst NOT LIKE 'r:%' GROUP BY ALL), low AS (SELECT DISTINCT dr.id FROM dr LEFT JOIN v3 ON v3.id = dr.id AND v3.root = dr.root WHERE coalesce(v3.value, 0) < 0.5 AND dr.id IN (SELECT id FROM v3)),
-fv AS (SELECT * FROM v3 WHERE id NOT IN (SELECT id FROM low) UNION ALL SELECT id, root, sum(value) FROM (SELECT id, root, value * 0.5 AS value FROM v3 WHERE id IN (SELECT id FROM low) UNION ALL SELECT id, root, 0.5 FROM dr WHERE id IN (SELECT id FROM low)) q GROUP BY ALL),
+@query("g12_floor_confidence", sql_with("nodes", "edges") + f",\n{SHOWN},\n{_rounds(30)}" + """,
+dr AS (SELECT dst AS id, src AS root, sum(w) AS w FROM fl WHERE src = 'r:1' AND dst NOT LIKE 'r:%' GROUP BY ALL), low AS (SELECT DISTINCT dr.id FROM dr LEFT JOIN v29 ON v29.id = dr.id AND v29.root = dr.root WHERE coalesce(v29.value, 0) < 0.5 AND dr.id IN (SELECT id FROM v29)),
+fv AS (SELECT * FROM v29 WHERE id NOT IN (SELECT id FROM low) UNION ALL SELECT id, root, sum(value) FROM (SELECT id, root, value * 0.5 AS value FROM v29 WHERE id IN (SELECT id FROM low) UNION ALL SELECT id, root, 0.5 FROM dr WHERE id IN (SELECT id FROM low)) q GROUP BY ALL),
 sup AS (SELECT dst AS id, sum(w) AS w FROM fl GROUP BY 1), tp AS (SELECT id, max(value) AS top FROM fv GROUP BY id)
 SELECT tp.id, CAST(round(CASE WHEN kind = 'region' THEN 1.0 ELSE greatest(0, least(1, 0.14 + (1 - exp(-coalesce(w, 0) / 1.35)) * 0.56 + top * 0.14 + least(1, log10(coalesce(views, 0) + 1) / 6) * 0.16)) END, 4) AS DOUBLE) AS confidence FROM tp JOIN nodes USING (id) LEFT JOIN sup ON sup.id = tp.id""")
 def g12(t):
@@ -157,24 +185,42 @@ def g12b(t):
 STRONG = "(0.3 + 0.1 * least(n, 6))"
 
 
+def _distances(depth: int) -> str:
+    out = ", x0 AS MATERIALIZED (SELECT id AS seed, id, depth, s FROM d0)"
+    for k in range(1, depth + 1):
+        out += f""",
+x{k} AS MATERIALIZED (SELECT * FROM x{k - 1} UNION ALL SELECT seed, u.b, {k}, max(x.s * u.s) FROM x{k - 1} x JOIN u ON u.a = x.id WHERE depth = {k - 1} AND NOT EXISTS (SELECT 1 FROM x{k - 1} v WHERE v.seed = x.seed AND v.id = u.b) GROUP BY seed, u.b)"""
+    return out
+
+
 @query("g13_distance_map", sql_with("together", recursive=True) + f""", u AS (SELECT a, b, CAST({STRONG} AS DOUBLE) AS s FROM together WHERE n > 1 UNION ALL SELECT b, a, CAST({STRONG} AS DOUBLE) FROM together WHERE n > 1),
-d0 AS (SELECT 'g:1' AS id, 0 AS depth, 1.0::DOUBLE AS s UNION ALL SELECT 'g:2', 0, 1.0), x0 AS (SELECT id AS seed, id, depth, s FROM d0),
-x1 AS (SELECT * FROM x0 UNION ALL SELECT seed, u.b, 1, max(x.s * u.s) FROM x0 x JOIN u ON u.a = x.id WHERE NOT EXISTS (SELECT 1 FROM x0 v WHERE v.seed = x.seed AND v.id = u.b) GROUP BY seed, u.b),
-x2 AS (SELECT * FROM x1 UNION ALL SELECT seed, u.b, 2, max(x.s * u.s) FROM x1 x JOIN u ON u.a = x.id WHERE depth = 1 AND NOT EXISTS (SELECT 1 FROM x1 v WHERE v.seed = x.seed AND v.id = u.b) GROUP BY seed, u.b)
-SELECT seed, id, CAST(depth AS INTEGER) AS depth, round(s, 6) AS strength, round(greatest(0.18, s) / (1 + depth), 6) AS score FROM x2""")
+d0 AS (SELECT 'g:1' AS id, 0 AS depth, 1.0::DOUBLE AS s UNION ALL SELECT 'g:2', 0, 1.0){_distances(4)}
+SELECT seed, id, CAST(depth AS INTEGER) AS depth, round(s, 6) AS strength, round(greatest(0.18, s) / (1 + depth), 6) AS score FROM x4""")
 def g13(t):
     e = t.together.where("n > 1").select("a", "b", (0.3 + 0.1 * F.least(F.col("n"), F.lit(6))).alias("strength"))
     seeds = t.spark.sql("SELECT 'g:1' AS id UNION ALL SELECT 'g:2'")
-    return G.distance_map(e, seeds, 2).select("seed", "id", "depth", F.round("strength", 6).alias("strength"), "score")
+    return G.distance_map(e, seeds, 4).select("seed", "id", "depth", F.round("strength", 6).alias("strength"), "score")
+
+
+def _walk_sql() -> str:
+    """The focus walk around a nation, unrolled: four depths up (u) and down (d)."""
+    out = """, ee AS (SELECT from_id, to_id, CASE relation WHEN 'subgenre' THEN 1 WHEN 'derivative' THEN 2 WHEN 'fusion_genre' THEN 3 ELSE 99 END AS k FROM edges),
+dg AS (SELECT id, count(*) AS c, sum(w) AS w FROM (SELECT from_id AS id, 1.0::DOUBLE AS w FROM ee UNION ALL SELECT to_id, 0.35 FROM ee) q GROUP BY id),
+nn AS MATERIALIZED (SELECT n.id, title, length(title) AS rk, coalesce(c, 0) AS c, round(log2(coalesce(w, 0) + 1) * 4.0 + log10(greatest(coalesce(views, 0), 0) + 10) * 1.2, 9) AS raw FROM nodes n LEFT JOIN dg ON dg.id = n.id)"""
+    for side, at, to in (("u", "to_id", "from_id"), ("d", "from_id", "to_id")):
+        out += f""",\n{side}0 AS MATERIALIZED (SELECT 'n:3' AS id, 0 AS depth)"""
+        for k, keep in enumerate((12, 8, 4, 2), 1):
+            out += f""",\n{side}{k} AS MATERIALIZED (SELECT * FROM {side}{k - 1} UNION ALL SELECT id, {k} FROM (SELECT c.id FROM (SELECT {to} AS id, min(k) AS k FROM ee JOIN {side}{k - 1} p ON p.id = {at} AND p.depth = {k - 1} WHERE {to} NOT IN (SELECT id FROM {side}{k - 1}) GROUP BY 1) c JOIN nn ON nn.id = c.id ORDER BY raw DESC, k, rk, title, c.id LIMIT {keep}) z)"""
+    return out + """,
+bo AS (SELECT id, min(depth) AS depth, CASE WHEN count(*) > 1 THEN 'both' ELSE min(way) END AS way FROM (SELECT id, depth, 'up' AS way FROM u4 WHERE depth > 0 UNION ALL SELECT id, depth, 'down' FROM d4 WHERE depth > 0) q GROUP BY id UNION ALL SELECT 'n:3', 0, 'selected'),
+kp AS (SELECT * FROM (SELECT bo.id, depth, way, c, raw, row_number() OVER (PARTITION BY depth ORDER BY raw DESC, rk, title, bo.id) AS n FROM bo JOIN nn ON nn.id = bo.id) q WHERE n <= [1, 16, 10, 5, 2][depth + 1])
+SELECT id, CAST(depth AS INTEGER) AS distance, way AS direction, round((raw - min(raw) OVER ()) / greatest(0.001, max(raw) OVER () - min(raw) OVER ()), 6) AS score, c AS connections FROM kp"""
 
 
-@query("g14_beam_walk", sql_with("succ") + """, w AS (SELECT from_id, to_id, CAST(1.0 / (1 + length(to_id) + n) AS DOUBLE) AS weight FROM succ), s AS (SELECT min(from_id) AS id FROM succ),
-b1 AS (SELECT to_id AS id, max(weight) AS score FROM w JOIN s ON s.id = from_id WHERE to_id NOT IN (SELECT id FROM s) GROUP BY to_id ORDER BY score DESC, id LIMIT 5),
-b2 AS (SELECT to_id AS id, max(score * weight) AS score FROM w JOIN b1 ON b1.id = from_id WHERE to_id NOT IN (SELECT id FROM s UNION SELECT id FROM b1) GROUP BY to_id ORDER BY score DESC, id LIMIT 3)
-SELECT id, CAST(0 AS INTEGER) AS depth, 1.0::DOUBLE AS score FROM s UNION ALL SELECT id, 1, round(score, 6) FROM b1 UNION ALL SELECT id, 2, round(score, 6) FROM b2""")
+@query("g14_beam_walk", sql_with("nodes", "edges") + _walk_sql())
 def g14(t):
-    e = t.succ.select("from_id", "to_id", (1.0 / (1 + F.length("to_id") + F.col("n"))).alias("weight"))
-    return G.beam_walk(e, t.succ.select(F.min("from_id").alias("id")), (5, 3)).select("id", "depth", F.round("score", 6).alias("score"))
+    nodes = t.nodes.select("id", "title", "views", F.length("title").alias("rank"))
+    return G.beam_walk(nodes, t.edges, t.nodes.where("id = 'n:3'")).withColumn("score", F.round("score", 6))
 
 
 @query("g15_bounded_descendants", sql_with("nodes", "edges", recursive=True) + """, h AS (SELECT 'r:1' AS id, 0 AS depth UNION SELECT e.to_id, h.depth + 1 FROM h JOIN edges e ON e.from_id = h.id WHERE h.depth < 8)
@@ -183,16 +229,19 @@ def g15(t):
     return G.bounded_descendants(t.edges, t.nodes.where("id = 'r:1'").select("id"), t.nodes, 8, 60)
 
 
-@query("g16_trace_paths", TREE + """, k AS (SELECT path_ids FROM st WHERE id LIKE 'p:%' AND length(id) = 4 ORDER BY depth, id LIMIT 18), i AS (SELECT path_ids, unnest(range(1, len(path_ids))) AS i FROM k)
+@query("g16_trace_paths", TREE + """, k AS (SELECT path_ids FROM st WHERE id LIKE 'p:%' ORDER BY depth, id LIMIT 18), i AS (SELECT path_ids, unnest(range(1, len(path_ids))) AS i FROM k)
 SELECT DISTINCT path_ids[i] AS from_id, path_ids[i + 1] AS to_id FROM i""")
 def g16(t):
-    return G.trace_paths(states(t), t.nodes.where("kind = 'part' and length(id) = 4"))[1]
+    return G.trace_paths(states(t), t.nodes.where("kind = 'part'"))[1]
 
 
-@query("g17_redundant_edges", sql_with("succ", recursive=True) + """, h AS (SELECT DISTINCT from_id AS s, to_id AS id, 1 AS depth FROM succ UNION SELECT h.s, e.to_id, h.depth + 1 FROM h JOIN succ e ON e.from_id = h.id WHERE h.depth < 3 AND e.to_id <> h.s)
-SELECT from_id, to_id, n FROM succ c WHERE EXISTS (SELECT 1 FROM h WHERE h.s = c.from_id AND h.id = c.to_id AND h.depth >= 2)""")
+@query("g17_redundant_edges", sql_with("succ", recursive=True) + """, h AS (SELECT DISTINCT from_id AS s, to_id AS id, 1 AS depth FROM succ UNION SELECT h.s, e.to_id, h.depth + 1 FROM h JOIN succ e ON e.from_id = h.id WHERE h.depth < 5 AND e.to_id <> h.s),
+r AS (SELECT from_id, to_id, n, row_number() OVER (PARTITION BY from_id ORDER BY n DESC, to_id) AS k FROM succ c WHERE EXISTS (SELECT 1 FROM h WHERE h.s = c.from_id AND h.id = c.to_id AND h.depth >= 2))
+SELECT from_id, to_id, n FROM r WHERE k > CASE WHEN from_id LIKE '%O' THEN 1 ELSE 0 END""")
 def g17(t):
-    return G.redundant(t.succ, 3)
+    ranked = t.succ.withColumn("rank", -F.col("n"))
+    keep = t.succ.where("from_id like '%O'").select(F.col("from_id").alias("id"), F.lit(1).alias("n")).distinct()
+    return G.redundant(ranked.withColumnRenamed("n", "times"), 5, keep).select("from_id", "to_id", F.col("times").alias("n"))
 
 
 @query("g18_wrong_direction", sql_with("nodes", "edges") + """, i AS (SELECT id, coalesce(views, 0) AS v, title LIKE '%3' AS b, kind = 'nation' AS p FROM nodes)

@@ -102,18 +102,19 @@ def j8(t):
 
 
 @query("j9_normalised_join", sql_with("names") + """
-, k AS (SELECT id, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM names) SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.key = y.key AND x.id < y.id""")
+, k AS (SELECT id, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM names) SELECT id, min(id) OVER (PARTITION BY key) AS first, count(*) OVER (PARTITION BY key) AS n FROM k""")
 def j9(t):
     from edgeloom.functions.text import lookup_key
 
     k = t.names.select("id", lookup_key("name").alias("key"))
-    return k.select(F.col("id").alias("a"), "key").join(k.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b")
+    # every row with the first of its key, so a key that very many rows share gives as many rows, not all their pairs
+    return k.join(k.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")), "key").select("id", "first", "n")
 
 
-@query("j10_token_candidates", """WITH tok AS (SELECT DISTINCT p_partkey, unnest(string_split(concat(p_name, ' ', lower(p_brand)), ' ')) AS w FROM part WHERE p_partkey % 7 = 0), al AS (SELECT DISTINCT p_type, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_size > 45)
+@query("j10_token_candidates", """WITH tok AS (SELECT DISTINCT p_partkey, unnest(string_split(concat(p_name, ' ', lower(p_brand)), ' ')) AS w FROM part), al AS (SELECT DISTINCT p_type, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_size > 45)
 SELECT DISTINCT p_partkey, p_type FROM tok JOIN al USING (w)""")
 def j10(t):
-    tok = t.part.where("p_partkey % 7 = 0").select("p_partkey", F.explode(F.split(F.concat_ws(" ", "p_name", F.lower("p_brand")), " ")).alias("w")).distinct()
+    tok = t.part.select("p_partkey", F.explode(F.split(F.concat_ws(" ", "p_name", F.lower("p_brand")), " ")).alias("w")).distinct()
     al = t.part.where("p_size > 45").select("p_type", F.explode(F.split("p_name", " ")).alias("w")).distinct()
     return tok.join(al, "w").select("p_partkey", "p_type").distinct()
 
@@ -200,7 +201,7 @@ def a10(t):
     return A.merge_edges(e, 0.3, 1.5).select("a", "b", "weight", F.array_join(F.map_keys("sources"), ",").alias("sources"))
 
 
-EVID = "SELECT l_partkey AS id, l_returnflag AS source, round(l_discount * 8, 2) AS score, round(l_tax * 10, 2) AS confidence, concat('o', l_orderkey) AS evidence FROM lineitem WHERE l_partkey % 9 = 0"
+EVID = "SELECT l_partkey AS id, l_returnflag AS source, round(l_discount * 8, 2) AS score, round(l_tax * 10, 2) AS confidence, concat('o', l_orderkey) AS evidence FROM lineitem"
 
 
 @query("a11_merge_evidence", f"""WITH e AS ({EVID}), s AS (SELECT id, max(score) AS score, max(confidence) AS confidence, count(DISTINCT source) AS n_sources FROM e GROUP BY id),
@@ -265,12 +266,16 @@ def w6(t):
     return R.top_neighbours(t.together.withColumnRenamed("n", "weight"), 5)
 
 
-@query("w7_levels", """WITH d AS (SELECT p_partkey AS id, p_retailprice AS views, p_size AS children, p_partkey % 5 AS depth, p_partkey % 3 = 0 AS has_media, length(p_name) + p_size AS label_length FROM part), m AS (SELECT max(ln(1 + views)) AS v, max(ln(1 + children)) AS c FROM d),
-s AS (SELECT d.*, round(CAST(0.5 * ln(1 + views) / v + 0.25 * ln(1 + children) / c + CASE WHEN has_media THEN 0.1 ELSE 0 END + 0.15 / greatest(depth, 1) - greatest(0, label_length - 24) * 0.004 AS DOUBLE), 6) AS score FROM d, m), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank, count(*) OVER () AS total FROM s)
-SELECT id, score, rank, CAST(CASE WHEN rank <= 20 THEN 0 WHEN rank <= 100 THEN 1 WHEN rank <= 400 THEN 2 ELSE 3 END AS INTEGER) AS tier, round(1 - ln(rank) / ln(1 + total), 6) AS scale FROM r""")
+@query("w7_levels", """WITH d AS (SELECT p_partkey AS id, concat(p_name, CASE WHEN p_partkey % 4 = 1 THEN ' music of the old town' ELSE '' END) AS label, p_retailprice AS views, p_size AS children, p_partkey % 7 AS parents, p_partkey % 5 AS depth, p_partkey % 3 = 0 AS has_playlist FROM part), m AS (SELECT greatest(1.0, max(ln(1 + views))) AS v, greatest(1, max(children)) AS c, greatest(1, max(parents)) AS p FROM d),
+s AS (SELECT d.*, CAST(round(greatest(0.0, least(1.0, children / c::DOUBLE * 0.52 + ln(1 + views) / v * 0.31 + parents / p::DOUBLE * 0.12 + CASE WHEN id = 17 THEN 0.2 ELSE 0 END + CASE WHEN depth <= 1 THEN 0.08 WHEN depth <= 2 THEN 0.035 ELSE 0 END + CASE WHEN has_playlist THEN 0.025 ELSE 0 END - greatest(0, len(regexp_extract_all(label, '([a-zA-Z0-9]+)', 1)) - 3) * 0.045 - CASE WHEN regexp_matches(label, 'music (of|in)') THEN 0.28 ELSE 0 END)), 6) AS DOUBLE) AS score FROM d, m),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, children DESC, views DESC, parents DESC, lower(label), id) - 1 AS rank, count(*) OVER () AS total FROM s),
+x AS (SELECT *, 0.35 + pow(rank / greatest(1, total - 1)::DOUBLE, 0.72) * 1.65 AS a FROM r), y AS (SELECT *, greatest(0.28, least(2.0, CASE WHEN depth <= 1 OR id = 17 THEN least(0.42, a) WHEN depth <= 2 THEN least(1.15, a) WHEN has_playlist THEN least(1.55, a) ELSE a END)) AS sc FROM x)
+SELECT id, score, rank, CAST(round(sc, 4) AS DOUBLE) AS show_scale, CAST(round(greatest(0.05, round(sc, 4) - 0.15), 4) AS DOUBLE) AS hide_scale, CAST(CASE WHEN sc <= 0.5 THEN 0 WHEN sc <= 0.8 THEN 1 WHEN sc <= 1.15 THEN 2 WHEN sc <= 1.5 THEN 3 WHEN sc < 2.0 THEN 4 ELSE 5 END AS INTEGER) AS tier FROM y""")
 def w7(t):
-    d = t.part.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("views"), F.col("p_size").alias("children"), (F.col("p_partkey") % 5).alias("depth"), (F.col("p_partkey") % 3 == 0).alias("has_media"), (F.length("p_name") + F.col("p_size")).alias("label_length"))
-    return R.levels(d).select("id", "score", "rank", "tier", "scale")
+    k = F.col("p_partkey")
+    label = F.concat("p_name", F.when(k % 4 == 1, " music of the old town").otherwise(""))
+    d = t.part.select(k.alias("id"), label.alias("title"), label.alias("label"), F.col("p_retailprice").alias("views"), F.col("p_size").alias("children"), (k % 7).alias("parents"), (k % 5).alias("depth"), (k % 3 == 0).alias("has_playlist"))
+    return R.levels(d, 17).select("id", "score", "rank", "show_scale", "hide_scale", "tier")
 
 
 @query("w8_best_rank_rows", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag FROM (SELECT *, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS r, min(CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) OVER (PARTITION BY l_orderkey) AS b FROM lineitem) q WHERE r = b")

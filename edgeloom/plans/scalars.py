@@ -200,7 +200,7 @@ def v3(t):
     return E.neighbor_edges(*_reviews(t))
 
 
-TRACKS = "SELECT concat('o:', l_orderkey) AS id, concat('t', l_partkey, '-', l_suppkey) AS track_id, concat('https://youtu.be/', l_partkey) AS url, concat('v', l_suppkey) AS video, l_linenumber AS ordinal FROM lineitem WHERE l_orderkey % 5 = 0"
+TRACKS = "SELECT concat('o:', l_orderkey) AS id, concat('t', l_partkey, '-', l_suppkey) AS track_id, concat('https://youtu.be/', l_partkey) AS url, concat('v', l_suppkey) AS video, l_linenumber AS ordinal FROM lineitem"
 BLOCKED = "SELECT CASE WHEN p_partkey % 3 = 0 THEN concat('t', p_partkey, '-', p_partkey % 100) END AS track_id, CASE WHEN p_partkey % 3 = 1 THEN concat('https://youtu.be/', p_partkey) END AS url, CASE WHEN p_partkey % 3 = 2 THEN concat('v', p_partkey) END AS video FROM part WHERE p_partkey % 25 = 7"
 
 

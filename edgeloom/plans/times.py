@@ -54,13 +54,14 @@ def y4(t):
     return Y.evaluate(Y.year_hints(obs(t)), stored)
 
 
-LEVEL = "h AS (SELECT concat('g:', l_partkey % 200) AS id, CAST(1950 + min(l_partkey + l_suppkey) % 70 AS INTEGER) AS year, CAST(count(*) % 3 AS INTEGER) AS level FROM lineitem GROUP BY 1), s AS (SELECT *, year // 10 AS d FROM h WHERE level >= 1 ORDER BY year, id LIMIT 80)"
+LEVEL = "h AS (SELECT id, CAST(1950 + min(o_orderkey) % 70 AS INTEGER) AS year, CAST(count(*) % 3 AS INTEGER) AS level FROM visits GROUP BY 1), s AS (SELECT *, year // 10 AS d FROM h WHERE level >= 1 ORDER BY year, id LIMIT 2000), c AS (SELECT from_id, to_id FROM succ JOIN s a ON a.id = from_id JOIN s b ON b.id = to_id WHERE a.d <> b.d)"
 
 
-@query("y5_timeline", sql_with("succ") + f", {LEVEL} SELECT from_id, to_id FROM succ JOIN s a ON a.id = from_id JOIN s b ON b.id = to_id WHERE a.d <> b.d")
+@query("y5_timeline", sql_with("visits", "succ") + f", {LEVEL} SELECT from_id, to_id, CAST(NULL AS INTEGER) AS year FROM c UNION ALL SELECT id, NULL, year FROM s WHERE id IN (SELECT from_id FROM c UNION SELECT to_id FROM c)")
 def y5(t):
-    h = t.lineitem.groupBy(F.concat(F.lit("g:"), F.col("l_partkey") % 200).alias("id")).agg((F.min(F.col("l_partkey") + F.col("l_suppkey")) % 70 + 1950).cast("int").alias("year"), (F.count("*") % 3).cast("int").alias("level"))
-    return Y.timeline(h, t.succ.select("from_id", "to_id"), 1, 80)[1]
+    h = t.visits.groupBy("id").agg((F.min("o_orderkey") % 70 + 1950).cast("int").alias("year"), (F.count("*") % 3).cast("int").alias("level"))
+    nodes, edges = Y.timeline(h, t.succ.select("from_id", "to_id"), 1, 2000)
+    return edges.select("from_id", "to_id", F.lit(None).cast("int").alias("year")).union(nodes.select("id", F.lit(None).cast("string"), "year"))
 
 
 @query("y6_inferred_years", sql_with("nodes", "edges") + """, n0 AS (SELECT id, CASE kind WHEN 'region' THEN 0 WHEN 'nation' THEN 1 WHEN 'supplier' THEN 2 ELSE 3 END AS depth, CASE WHEN kind = 'region' AND id <> 'r:0' THEN 1900 WHEN length(title) % 3 = 0 THEN 1950 END AS year FROM nodes), m AS (SELECT min(year) AS m FROM n0),

@@ -44,11 +44,12 @@ def replace_run(stored: DataFrame, incoming: DataFrame, run: str) -> DataFrame:
 def decisions(spark: SparkSession, path: str, allowed: list[str], keys: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Valid and rejected lines of a JSONL file of review decisions (key, decision, confidence, note).
 
-    Rejected, with a reason: broken JSON, a missing field, an unknown decision or key. The last line of a key wins; the
-    confidence is held to 0..1; a decision below ``least`` still needs a human.
+    Rejected, with a reason: broken JSON, a missing field, an unknown decision or key. The last line of a key wins, by file
+    name and place in the file (the struct ``line``), so a file may be read in parts and be one of many; the confidence is held to 0..1; a decision below ``least`` still needs a human.
     """
     schema = "key string, decision string, confidence double, note string, _corrupt string"
-    lines = spark.read.text(path, lineSep="\n").select("value", F.monotonically_increasing_id().alias("line"), F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("j")).select("line", "value", "j.*")
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path, lineSep="\n").select("value", place.alias("line"), F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("j")).select("line", "value", "j.*")
     return decide(lines, allowed, keys, least)
 
 

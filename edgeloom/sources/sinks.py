@@ -1,5 +1,7 @@
 """Sinks: bounded work batches, rebuilt tables, snapshot logs."""
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +21,27 @@ def export_batches(nodes: DataFrame, path: str) -> None:
 
 
 def rebuild(df: DataFrame, path: str, partition: str | None = None) -> None:
-    """Replace a derived table, or with ``partition`` only the partitions that df has."""
-    w = df.write.mode("overwrite")
+    """Replace a derived table, or with ``partition`` only the partitions that df has.
+
+    A whole table is written beside the old one and then takes its place by renaming, so a failure while writing leaves the old table,
+    and one between the two renames leaves it complete beside the path. Partitions are staged and moved by Spark's dynamic overwrite.
+    """
     if partition:
-        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(partition)
-    w.parquet(path)
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        return
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    new, old, here = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path.rstrip('/')}-new-{mark}", f"{path.rstrip('/')}-old-{mark}", path.rstrip("/")))
+    df.write.parquet(new.toString())
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(here)
+    if had and not fs.rename(here, old):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(new, here):
+        if had:
+            fs.rename(old, here)
+        raise OSError(f"cannot move the new table to {path}")
+    if had:
+        fs.delete(old, True)
 
 
 def snapshot(nodes: DataFrame, edges: DataFrame, run: str, note: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Structured Streaming jobs: upserts of page changes, change feed, windows, counters, staleness alerts.
 
-Sinks that keep a table write it whole per batch id below a folder, so a batch that runs again writes the same path; the newest
-complete batch is the state. The final state equals the batch operators' result.
+Sinks that keep a table rewrite the hash buckets that a batch touches, below a folder named by the batch id, so a batch that runs
+again writes the same path. The final state equals the batch operators' result.
 """
 
 from collections.abc import Iterator
@@ -15,29 +15,52 @@ from edgeloom.operators.ingest import upsert
 
 
 class StateTable:
-    """A table of which every batch writes a version: folder/batch=N. A repeated batch id starts from the version before it."""
+    """A keyed table in hash buckets, of which a batch rewrites only those that its keys fall into.
 
-    def __init__(self, spark: SparkSession, folder: str, empty: DataFrame):
-        self.spark, self.folder, self.empty = spark, folder.rstrip("/"), empty
+    Batch N writes folder/batch=N/bucket=B, whole buckets; it counts once Spark has marked it complete. A bucket's content is that of
+    its newest complete batch, so a batch id that runs again starts from the ones before it and writes the same place. The last
+    two versions of each bucket are kept, for readers that are under way, and older ones deleted.
+    """
 
-    def _path(self, batch: int) -> str:
-        return f"{self.folder}/batch={batch:012d}"
+    def __init__(self, spark: SparkSession, folder: str, empty: DataFrame, key: list[str], buckets: int = 64):
+        self.spark, self.folder, self.empty, self.key, self.buckets = spark, folder.rstrip("/"), empty, key, buckets
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.folder)
+    def _list(self, path: str) -> list[str]:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
+        return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+
+    def _versions(self) -> dict[int, list[int]]:
+        """For each bucket the complete batches that wrote it, in order; as many as buckets times the versions that are kept."""
+        out: dict[int, list[int]] = {}
+        for batch in sorted(int(n.split("=")[1]) for n in self._list(self.folder) if n.startswith("batch=")):
+            names = self._list(self._path(batch))
+            for n in names if "_SUCCESS" in names else ():
+                if n.startswith("bucket="):
+                    out.setdefault(int(n.split("=")[1]), []).append(batch)
+        return out
+
+    def _path(self, batch: int, bucket: int | None = None) -> str:
+        return f"{self.folder}/batch={batch:012d}" + ("" if bucket is None else f"/bucket={bucket}")
 
-    def read(self, before: int | None = None) -> DataFrame:
-        done = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.schema(self.empty.schema).parquet(self._path(done[-1])) if done else self.empty
+    def bucket(self):
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        return sorted(r[0] for r in rows.select(self.bucket()).distinct().collect())
+
+    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        newest = {b: [v for v in vs if before is None or v < before] for b, vs in self._versions().items() if buckets is None or b in buckets}
+        paths = [self._path(vs[-1], b) for b, vs in sorted(newest.items()) if vs]
+        return self.spark.read.schema(self.empty.schema).parquet(*paths) if paths else self.empty
 
     def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(self._path(batch))
+        """df: all rows of the buckets that the batch touches."""
+        df.select(*self.empty.columns, self.bucket().alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._path(batch))
+        for b, versions in self._versions().items():
+            for old in [v for v in versions if v <= batch][:-2]:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(old, b))
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def upsert_stream(changes: DataFrame, table: StateTable, checkpoint: str):
@@ -47,8 +70,30 @@ def upsert_stream(changes: DataFrame, table: StateTable, checkpoint: str):
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        last = batch.groupBy("id").agg(F.max_by(F.struct("hash", "fetched_at"), F.struct("fetched_at", "seq")).alias("v")).select("id", "v.hash", "v.fetched_at")
-        table.write(upsert(table.read(before=batch_id), last).select(*table.empty.columns), batch_id)
+        last = batch.groupBy("id").agg(F.max_by(F.struct("hash", "fetched_at"), F.struct("fetched_at", "seq")).alias("v")).select("id", "v.hash", "v.fetched_at").persist()
+        table.write(upsert(table.read(batch_id, table.touched(last)), last).select(*table.empty.columns), batch_id)
+        last.unpersist()
+
+    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+
+def children_stream(changes: DataFrame, children: StateTable, revisions: StateTable, checkpoint: str):
+    """ST1 with I4 and I6: changes (id, hash, fetched_at, seq, items) replace the children (id, item) of each changed id, and add a
+    revision (id, batch, before, after) with the counts of children where they differ. The children's table has the key id, so a
+    bucket holds whole families."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        last = batch.groupBy("id").agg(F.max_by("items", F.struct("fetched_at", "seq")).alias("items")).persist()
+        touched = children.touched(last)
+        stored = children.read(batch_id, touched)
+        incoming = last.select("id", F.explode_outer(F.array_distinct("items")).alias("item"))
+        kept = stored.join(last.select("id"), "id", "left_anti").select("id", "item")
+        before = stored.where("item is not null").groupBy("id").agg(F.count("*").alias("before"))
+        after = incoming.groupBy("id").agg(F.count("item").alias("after"))
+        moved = after.join(before, "id", "left").select("id", F.lit(batch_id).cast("long").alias("batch"), F.coalesce("before", F.lit(0).cast("long")).alias("before"), "after").where("before <> after")
+        revisions.write(revisions.read(batch_id, touched).unionByName(moved), batch_id)
+        children.write(kept.union(incoming), batch_id)  # last: a batch that runs again still finds the children of before
+        last.unpersist()
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
