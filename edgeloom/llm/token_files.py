@@ -123,9 +123,12 @@ class IdTable:
         self.ids = np.concatenate([self.ids, ids])
         self.size = np.concatenate([self.size, size])
 
-    def gather(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of keys one after another, and where each key's begin, with their end."""
-        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+    def find(self, keys: list) -> np.ndarray:
+        """The keys' places; -1: not here."""
+        return np.fromiter(map(self.place.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the keys at these places one after another, and where each key's begin, with their end."""
         size = self.size[at]
         end = np.concatenate([[0], np.cumsum(size)])
         return self.ids[np.repeat(self.begin[at] - end[:-1], size) + np.arange(end[-1])], end
@@ -154,16 +157,16 @@ class Encoder:
         return _CHUNK(text)
 
     def _learn(self, new: set) -> None:
-        texts, given = sorted(w for w in new if isinstance(w, str)), sorted(w for w in new if not isinstance(w, str))
-        each = [self.words.pieces(t) for t in texts]
+        texts, given = [w for w in new if isinstance(w, str)], [w for w in new if not isinstance(w, str)]
+        each = [[t] if t.isascii() and t[1:].isalpha() and (t[0] == " " or t[0].isalpha()) else self.words.pieces(t) for t in texts]
         flat = list(itertools.chain.from_iterable(each))
         if len(self.pieces.place) > self.most or len(self.pieces.ids) > self.max_ids:
             self.pieces = IdTable()
-        unknown = sorted(set(flat).difference(self.pieces.place))
+        unknown = list(set(flat).difference(self.pieces.place))
         if unknown:
             made = self.tokenizer.encode(unknown, is_pretokenized=True, add_special_tokens=False)
             self.pieces.add(unknown, np.array(made.ids, "<u4"), np.bincount(np.array(made.word_ids, np.int64), minlength=len(unknown)))
-        ids, end = self.pieces.gather(flat)
+        ids, end = self.pieces.gather(self.pieces.find(flat))
         size = np.diff(end[np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])])
         self.chunks.add([*texts, *given], np.concatenate([ids, np.array(given, "<u4")]), np.concatenate([size, np.ones(len(given), np.int64)]))
 
@@ -175,10 +178,13 @@ class Encoder:
         flat = list(itertools.chain.from_iterable(each))
         if len(self.chunks.place) > self.most or len(self.chunks.ids) > self.max_ids:
             self.chunks = IdTable()
-        new = set(flat).difference(self.chunks.place)
-        if new:
-            self._learn(new)
-        ids, end = self.chunks.gather(flat)
+        at = self.chunks.find(flat)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            missing = [flat[i] for i in new.tolist()]
+            self._learn(set(missing))
+            at[new] = self.chunks.find(missing)
+        ids, end = self.chunks.gather(at)
         return np.split(ids, end[np.cumsum([len(x) for x in each], dtype=np.int64)][:-1])
 
 
