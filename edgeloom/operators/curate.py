@@ -14,17 +14,44 @@ OWNERSHIP = [
     ("summary rlike '(?i)originat|emerged|developed in'", ("owned", "prose names the origin")),
     ("source_type = 'prose'", ("associated", "mention only")),
 ]
+CONTAINER = "' by |dependent territories of |styles of music|music genres'"
+BROAD = ("africa", "asia", "europe", "north america", "south america", "oceania", "latin america", "caribbean", "middle eastern", "african diaspora")
+CULTURAL = "'music of latin america|music of the caribbean|latin american|caribbean music|middle eastern|north american|celtic music'"
+ASIDE = "lower(section) in ('see also', 'references', 'external links'"
+MUSIC_PAGE = "(source_title like 'music of %' or source_title like 'music in %')"
+# Rules for proposed parents of regions; source_title is lower-cased. Countries: (lower-cased name) in ``countries``.
 RELATION_RULES = [
+    (f"lower(child) rlike {CONTAINER} or lower(parent) rlike {CONTAINER}", ("needs_review", "container name")),
+    ("source_type = 'wikipedia_list' and has_context and relation = 'part_of'", ("accepted", "row context")),
+    ("source_type = 'wikipedia_list' and has_context", ("needs_review", "unexpected relation of a list")),
+    ("source_type = 'manual' and has_alias and relation = 'part_of'", ("accepted", "regional alias")),
+    ("source_type = 'manual' and has_alias", ("needs_review", "unexpected relation of an alias")),
+    ("source_type <> 'wikipedia_category'", ("needs_review", "not category-backed")),
     ("child = parent", ("rejected", "self edge")),
-    ("lower(child) rlike '^(?:lists? of|music by)' or lower(parent) rlike '^(?:lists? of|music by)'", ("needs_review", "container name")),
-    ("source_type = 'list' and has_context and relation = 'part_of'", ("accepted", "row context")),
-    ("source_type = 'list' and has_context", ("needs_review", "unexpected relation")),
-    ("source_type <> 'category'", ("needs_review", "not category-backed")),
-    ("relation = 'admin_parent' and (source_title like '% by %' or source_title like 'music in %')", ("accepted", "administrative category")),
+    ("relation = 'admin_parent' and (source_title like '% by %' or contains(source_title, 'dependent territor') or source_title like 'category:music in %')", ("accepted", "administrative category")),
     ("relation = 'admin_parent'", ("needs_review", "no administrative evidence")),
     ("relation = 'part_of'", ("accepted", "direct containment")),
-    ("relation = 'historical_region_of' and source_title rlike 'ancient|medieval|history'", ("accepted", "historical category")),
+    ("relation = 'cultural_region_of' and lower(child) = 'nordic' and parent_is_country", ("rejected", "points from the broader region")),
+    (f"relation = 'cultural_region_of' and source_title rlike {CULTURAL}", ("accepted", "cultural category")),
+    ("relation = 'diaspora_region_of' and contains(source_title, 'diaspora')", ("accepted", "diaspora category")),
+    ("relation = 'historical_region_of' and source_title rlike 'ancient|medieval|renaissance|history'", ("accepted", "historical category")),
+    ("relation in ('cultural_region_of', 'diaspora_region_of', 'historical_region_of')", ("needs_review", "parallel relation")),
 ]
+# Rules for proposed members of regions.
+MEMBER_RULES = [
+    (f"lower(region) rlike {CONTAINER}", ("rejected", "container as region")),
+    ("lower(title) like 'list of %' or lower(title) like 'category:%'", ("rejected", "artifact as member")),
+    ("source_type = 'wikipedia_category'", ("accepted", "category membership")),
+    (f"source_type = 'wikipedia_list' and {ASIDE})", ("needs_review", "generic list section")),
+    ("source_type = 'wikipedia_list' and relation in ('regional_scene', 'local_scene', 'traditional_region', 'indigenous_region', 'historical_region', 'diaspora_region', 'cultural_region')", ("accepted", "list section")),
+    (f"source_type = 'wikipedia_article' and {ASIDE}, 'further reading')", ("needs_review", "generic article section")),
+    ("source_type = 'wikipedia_article' and model in ('deterministic-region-page-links-v1', 'deterministic-region-page-links-v2')", ("accepted", "filtered link")),
+    (f"source_type = 'wikipedia_article' and {MUSIC_PAGE} and lower(section) = lower(title)", ("accepted", "section heading")),
+    (f"source_type = 'wikipedia_article' and {MUSIC_PAGE} and lower(section) rlike 'classical|dance|folk|genre|indigenous|local|popular|regional|scene|style|tradition'", ("accepted", "section of the page")),
+    ("source_title rlike 'music genres|folk music traditions'", ("accepted", "regional list")),
+]
+#: Relations of members that only mention a region.
+MENTIONS = ("regional_style_mention", "influence_or_context")
 
 
 def ruled(rows: DataFrame, rules: list, default: tuple[str, str] = ("needs_review", "no rule")) -> DataFrame:
@@ -55,9 +82,77 @@ def resolve_variants(staged: DataFrame, nodes: DataFrame) -> DataFrame:
     return j.select("candidate", "base", status.alias("status"), F.when(status == "resolved", F.col("node")).alias("node"))
 
 
+# Score and confidence of a kind of evidence that a node belongs to a country.
+EVIDENCE = {
+    "accepted_region_relationship": (0.94, 0.72), "country_music_page_child": (0.9, 0.82), "title_region_hint": (0.78, 0.74),
+    "origin_region_hint": (0.72, 0.7), "category_region_hint": (0.66, 0.62), "wikipedia_content_mention": (0.54, 0.5),
+}
+ORIGIN_MENTION = (0.62, 0.58)
+ORIGIN_WORDS = r"\b(?:originated|emerged|developed|formed|scene|from|based in|popular in)\b"
+
+
+def _names_in(texts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, country, n): how many aliases of a country (country, alias; lower-cased words) the words of texts (id, text) hold.
+
+    Candidates share the alias's first word with the text, so no text meets all aliases.
+    """
+    from edgeloom.functions.text import lookup_key
+
+    t = texts.select("id", lookup_key("text").alias("t")).where("t <> ''")
+    a = aliases.select("country", lookup_key("alias").alias("a")).where("a <> ''").distinct().withColumn("w", F.element_at(F.split("a", " "), 1))
+    words = t.select("id", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
+    some = words.join(a, "w").select("id", "country", "a").join(t, "id")
+    inside = F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "a", F.lit(" ")))
+    return some.where(inside).groupBy("id", "country").agg(F.countDistinct("a").alias("n"))
+
+
+def country_evidence(aliases: DataFrame, accepted: DataFrame, children: DataFrame, titles: DataFrame, categories: DataFrame, origins: DataFrame, contents: DataFrame) -> DataFrame:
+    """Evidence (id, country, source, score, confidence, evidence) of six kinds that nodes belong to countries.
+
+    aliases: (country, alias); accepted: (id, country, confidence, evidence) from member edges; children: (id, country, evidence) of
+    countries' own pages; titles, categories, origins, contents: (id, text), several rows of an id counting as one text.
+    A content counts with two names or more, and more so if it speaks of an origin.
+    """
+    from edgeloom.functions.text import lookup_key
+
+    def given(source: str, rows: DataFrame, confidence=None) -> DataFrame:
+        score, sure = EVIDENCE[source]
+        return rows.select("id", "country", F.lit(source).alias("source"), F.lit(score).alias("score"), (F.lit(sure) if confidence is None else confidence).alias("confidence"), "evidence")
+
+    def hinted(source: str, texts: DataFrame, what: str) -> DataFrame:
+        joined = texts.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("text"))
+        return given(source, _names_in(joined, aliases).withColumn("evidence", F.concat(F.lit(f"{what} names "), F.col("country").cast("string"))))
+
+    sure = F.greatest(F.lit(0.72), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.72))))
+    out = given("accepted_region_relationship", accepted, sure).union(given("country_music_page_child", children))
+    out = out.union(hinted("title_region_hint", titles, "title")).union(hinted("category_region_hint", categories, "category")).union(hinted("origin_region_hint", origins, "origin"))
+    mention = _names_in(contents, aliases).where("n >= 2").join(contents.select("id", F.rlike(lookup_key("text"), F.lit(ORIGIN_WORDS)).alias("_o")), "id")
+    pick = lambda k: F.when(F.col("_o"), ORIGIN_MENTION[k]).otherwise(EVIDENCE["wikipedia_content_mention"][k])
+    text = F.concat(F.lit("content names "), F.col("country").cast("string"))
+    return out.union(mention.select("id", "country", F.lit("wikipedia_content_mention"), pick(0), pick(1), text))
+
+
 def affinities(evidence: DataFrame, accept: float = 0.55, sure: float = 0.5) -> DataFrame:
-    """(id, country, score, ...): merged evidence above both thresholds."""
-    return merge_evidence(evidence, ["id", "country"]).where((F.col("score") >= accept) & (F.col("confidence") >= sure))
+    """(id, country, score, ...): merged evidence above both thresholds; two kinds or more add .08 to the score, .06 to the confidence."""
+    merged = merge_evidence(evidence, ["id", "country"])
+    raw = evidence.groupBy("id", "country").agg(F.max("confidence").alias("_c"), F.min(F.col("source") == "wikipedia_content_mention").alias("_only"))
+    bonus = F.when(F.col("n_sources") >= 2, 0.06).otherwise(0.0)
+    merged = merged.join(raw, ["id", "country"]).withColumns({"confidence": F.least(F.lit(1.0), F.col("_c") + bonus), "needs_review": F.col("_only")}).drop("_c", "_only")
+    return merged.where((F.col("score") >= accept) & (F.col("confidence") >= sure))
+
+
+def variant_changes(classified: DataFrame, mentions: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a classification of (id, region, status, target) changes: (members, staged).
+
+    A row whose status is ``variant`` makes the existing variant a member of the region: members (region, node, confidence) are
+    upserted, the best confidence wins. A ``staged`` row becomes a candidate (candidate key, base, region, name) unless stored.
+    mentions: (id, region, confidence, name), name being the candidate's title.
+    """
+    j = classified.join(mentions, ["id", "region"])
+    new = j.where("status = 'variant'").select("region", F.col("target").alias("node"), "confidence")
+    members = stored.select("region", "node", "confidence").union(new).groupBy("region", "node").agg(F.max("confidence").alias("confidence"))
+    key = F.concat_ws(":", F.lit("variant"), F.col("id").cast("string"), F.col("region").cast("string"))
+    return members, j.where("status = 'staged'").select(key.alias("candidate"), F.col("id").alias("base"), "region", "name").distinct()
 
 
 def approve(nodes: DataFrame, signals: dict[str, DataFrame], forced: DataFrame) -> DataFrame:
@@ -89,6 +184,76 @@ def coverage(regions: DataFrame, direct: DataFrame, page: DataFrame) -> DataFram
     return j.groupBy(kind.alias("covered")).agg(F.count("*").alias("n"))
 
 
+def promotion_audit(regions: DataFrame, edges: DataFrame, members: DataFrame, longest: int = 6, most: int = 25) -> tuple[DataFrame, DataFrame]:
+    """Whether staged regions may be promoted: (metric, value, ready), and (kind, what) samples.
+
+    regions: (id, name); edges: (child, parent, relation, status); members: (region, node, title, relation, status, confidence).
+    Cycles are those of accepted containment of up to ``longest`` edges, each once. Mentions are no members. Samples are the first
+    cycles by length, else the most confident members.
+    """
+    from edgeloom.operators.graph import named_cycles
+
+    own = members.where(~F.col("relation").isin(*MENTIONS))
+    kept, inside = edges.where("status = 'accepted'"), own.where("status = 'accepted'")
+    names = lambda c: regions.select(F.col("id").alias(c), F.lower("name").alias(f"_{c}"))
+    artifact = F.lower("title").like("list of %") | F.lower("title").like("category:%")
+    cycles = named_cycles(kept.where("relation in ('part_of', 'admin_parent')").select(F.col("child").alias("from_id"), F.col("parent").alias("to_id")), longest)
+    boxes = kept.join(names("child"), "child").join(names("parent"), "parent").where("_child rlike ' by |styles of music|music genres' or _parent rlike ' by |styles of music|music genres'")
+    counts = edges.agg(*[F.count_if(c).alias(f"region_{n}") for n, c in _states().items()])
+    counts = counts.crossJoin(F.broadcast(own.agg(*[F.count_if(c).alias(f"member_{n}") for n, c in _states().items()], F.count_if(artifact & (F.col("status") == "accepted")).alias("artifact_members"))))
+    counts = counts.select(F.explode(F.create_map(*[x for c in counts.columns for x in (F.lit(c), F.col(c))])).alias("metric", "value"))
+    broad = inside.join(names("region"), "region").where(F.col("_region").isin(*BROAD))
+    out = counts.union(audit([("cycles", cycles), ("container_edges", boxes), ("broad_members", broad), ("duplicate_members", inside.groupBy("region", "node", "relation").count().where("count > 1"))]))
+    blocking = F.col("metric").isin("region_pending", "member_pending", "cycles", "container_edges", "artifact_members")
+    ready = out.agg((F.sum(F.when(blocking, F.col("value")).otherwise(0)) == 0).alias("ready"))
+    first = cycles.orderBy("length", "cycle").limit(most).select(F.lit("cycle").alias("kind"), F.col("cycle").alias("what"))
+    best = inside.join(regions.select(F.col("id").alias("region"), "name"), "region").orderBy(F.desc("confidence"), "name", "title", "relation").limit(most)
+    best = best.select(F.lit("accepted").alias("kind"), F.concat_ws(" > ", "name", "relation", "title").alias("what"))
+    none = first.agg((F.count("*") == 0).alias("_none"))
+    return out.join(F.broadcast(ready), F.lit(True)), first.union(best.join(F.broadcast(none), F.lit(True)).where("_none").drop("_none"))
+
+
+def _states() -> dict[str, Column]:
+    return {"accepted": F.col("status") == "accepted", "rejected": F.col("status") == "rejected", "pending": ~F.col("status").isin("accepted", "rejected")}
+
+
+def coverage_counts(promoted: DataFrame, members: DataFrame, inferred: DataFrame, most: int = 25) -> tuple[DataFrame, DataFrame]:
+    """(metric, value) of how promoted regions (region, name, views) are covered by members (region, source_type, status) and by inferred
+    ones (kind); and the most viewed regions (region, name) without any accepted member."""
+    good = members.where("status = 'accepted'")
+    direct = promoted.join(good.select("region"), "region", "left_semi")
+    article = promoted.join(good.where("source_type = 'wikipedia_article'").select("region"), "region", "left_semi")
+    without = promoted.join(good.select("region"), "region", "left_anti")
+    parts = [("promoted", promoted), ("with_direct", direct), ("without_direct", without), ("with_article", article), ("accepted", good), ("article", good.where("source_type = 'wikipedia_article'"))]
+    parts += [("pending", members.where("status in ('proposed', 'needs_review')")), ("rejected", members.where("status = 'rejected'"))]
+    kinds = inferred.groupBy(F.concat(F.lit("inferred:"), "kind").alias("metric")).agg(F.count("*").alias("value"))
+    return audit(parts).union(kinds), without.orderBy(F.desc(F.coalesce("views", F.lit(0))), "name", "region").limit(most).select("region", "name")
+
+
+def apply_member_decisions(decisions: DataFrame, regions: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decisions about one member each (region, node, decision, target_names) applied to members (region, node, status): (members,
+    decisions with their outcome).
+
+    extract: the member is accepted, and made if it is missing; demote: it becomes a candidate; move: the node becomes an accepted
+    member of every target that has a name among the regions (id, name), and then a candidate here; without any such target
+    nothing moves and a human is asked.
+    """
+    names = regions.groupBy(F.lower("name").alias("_k")).agg(F.min("id").alias("target"))
+    moves = decisions.where("decision = 'move'").select("region", "node", F.explode("target_names").alias("_t")).join(names, F.lower("_t") == F.col("_k")).select("region", "node", "target").distinct()
+    done = moves.select("region", "node").distinct().withColumn("_moved", F.lit(True))
+    d = decisions.select("region", "node", "decision").distinct().join(done, ["region", "node"], "left")
+    outcome = F.when((F.col("decision") == "move") & F.col("_moved").isNull(), "needs_human").otherwise("done")
+    d = d.withColumn("outcome", outcome)
+    to = F.when(F.col("decision") == "extract", "accepted").when(F.col("outcome") == "done", "candidate")
+    changed = d.select("region", "node", to.alias("_to")).where("_to is not null")
+    kept = members.join(changed, ["region", "node"], "left").select("region", "node", F.coalesce("_to", "status").alias("status"))
+    made = d.where("decision = 'extract'").select("region", "node", F.lit("accepted").alias("status")).join(members.select("region", "node"), ["region", "node"], "left_anti")
+    moved = moves.select(F.col("target").alias("region"), "node", F.lit("accepted").alias("status"))
+    # a member that is accepted by one of these is accepted
+    rank = F.min(F.struct(F.when(F.col("status") == "accepted", 0).otherwise(1).alias("k"), "status"))
+    return kept.union(made).union(moved).groupBy("region", "node").agg(rank.alias("s")).select("region", "node", "s.status"), d.drop("_moved")
+
+
 def apply_decisions(decisions: DataFrame, regions: DataFrame, edges: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Decisions (id, decision, target_name, new_name) applied as one set operation a kind: (regions, edges, members).
 
@@ -115,19 +280,40 @@ def apply_decisions(decisions: DataFrame, regions: DataFrame, edges: DataFrame,
     return r, e, m
 
 
-def cleanup(regions: DataFrame, members: DataFrame, overrides: DataFrame, hidden: tuple[str, ...] = ("rejected", "collapsed")) -> tuple[DataFrame, DataFrame]:
-    """Regions with overrides (id, status, kind) and 'Music in' titles as 'Music of'; members of hidden regions rejected; of several
-    regions that own a node the most confident stays, the rest are rejected with a reason."""
+def cleanup(regions: DataFrame, members: DataFrame, overrides: DataFrame, hidden: tuple[str, ...] = ("rejected", "collapsed"), listed: DataFrame | None = None, cities: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """After a review: regions (id, title, status, kind) with overrides (id, status, kind), 'Music in' titles as 'Music of' and
+    visible; and members (region, node, confidence) with status and reason.
+
+    Members of hidden regions are rejected, listed ones (region, node, accepted) become what the list says, and of several visible
+    regions that own a node the most confident stays. A region is hidden by its status or by ``cities`` (id).
+    """
     o = overrides.select("id", F.col("status").alias("_s"), F.col("kind").alias("_k"))
     r = regions.join(o, "id", "left").select("id", F.regexp_replace("title", r"^Music in ", "Music of ").alias("title"), F.coalesce("_s", "status").alias("status"), F.coalesce("_k", "kind").alias("kind"))
+    if cities is not None:
+        r = r.join(cities.select("id").distinct().withColumn("_city", F.lit(True)), "id", "left").withColumn("visible", ~F.col("status").isin(*hidden) & F.col("_city").isNull()).drop("_city")
+    else:
+        r = r.withColumn("visible", ~F.col("status").isin(*hidden))
     gone = r.where(F.col("status").isin(*hidden)).select(F.col("id").alias("region"), F.lit(True).alias("_gone"))
     m = members.join(gone, "region", "left")
-    n = F.row_number().over(Window.partitionBy("node", F.col("_gone").isNull()).orderBy(F.desc("confidence"), "region"))
+    m = m.withColumn("_listed", F.lit(None).cast("boolean")) if listed is None else m.join(listed.select("region", "node", F.col("accepted").alias("_listed")), ["region", "node"], "left")
+    out = F.coalesce("_gone", F.lit(False)) | F.coalesce(~F.col("_listed"), F.lit(False))
+    m = m.withColumn("_out", out)
+    n = F.row_number().over(Window.partitionBy("node", "_out").orderBy(F.desc(F.coalesce("_listed", F.lit(False))), F.desc("confidence"), "region"))
     m = m.withColumn("_n", n)
-    reason = F.when(F.col("_gone"), "hidden region").when(F.col("_n") > 1, "better owner")
+    reason = F.when(F.col("_gone"), "hidden region").when(~F.col("_listed"), "listed").when(F.col("_n") > 1, "better owner")
     return r, m.select("region", "node", F.when(reason.isNull(), "accepted").otherwise("rejected").alias("status"), reason.alias("reason"))
 
 
+def fix_parents(edges: DataFrame, wrong: DataFrame, required: DataFrame) -> DataFrame:
+    """Edges (child, parent, relation, status) with wrong ones (child, parent) rejected and required ones (child, parent, relation)
+    accepted, and put in where they are missing."""
+    bad = wrong.select("child", "parent").distinct().withColumn("_bad", F.lit(True))
+    need = required.select("child", "parent", F.col("relation").alias("_need")).distinct()
+    j = edges.join(need, ["child", "parent"], "full").join(bad, ["child", "parent"], "left")
+    status = F.when(F.col("_need").isNotNull(), "accepted").when(F.col("_bad"), "rejected").otherwise(F.col("status"))
+    return j.select("child", "parent", F.coalesce("relation", "_need").alias("relation"), status.alias("status"))
+
+
 def review_queue(rows: DataFrame, decided: DataFrame, needs: Column, order: list, most: int) -> DataFrame:
     """Rows that need review and have no decision yet, the first in order."""
     return rows.where(needs).join(decided.select("id").distinct(), "id", "left_anti").orderBy(*order).limit(most)

@@ -217,6 +217,18 @@ def nearest_typed(edges: DataFrame, seeds: DataFrame, kinds: DataFrame, wanted:
     return near.withColumn("_n", n).where("_n = 1").select("seed", "id", "kind", "depth")
 
 
+def typed_reach(edges: DataFrame, seeds: DataFrame, kinds: DataFrame, wanted: tuple[str, ...], max_depth: int = 8) -> DataFrame:
+    """(seed, id, kind, depth): all that each seed reaches of the wanted kinds."""
+    return closure(edges, seeds, max_depth).join(kinds.select("id", "kind"), "id").where(F.col("kind").isin(*wanted)).select("seed", "id", "kind", "depth")
+
+
+def best_typed(edges: DataFrame, seeds: DataFrame, kinds: DataFrame, wanted: dict[str, int], max_depth: int = 8) -> DataFrame:
+    """(seed, id, kind, depth): of what each seed reaches, the best by the kind's rank, then the nearest, then by id."""
+    rank = F.create_map(*[x for k, v in wanted.items() for x in (F.lit(k), F.lit(v))])
+    n = F.row_number().over(Window.partitionBy("seed").orderBy(rank[F.col("kind")], "depth", "id"))
+    return typed_reach(edges, seeds, kinds, tuple(wanted), max_depth).withColumn("_n", n).where("_n = 1").drop("_n")
+
+
 # How much affinity an edge passes on, forward by relation and source, and back by relation.
 FORWARD = {
     "broader_genres": 1.0, "subgenres": 1.0, "subgenre": 1.0, "source_genres": 0.42, "derived_genres": 0.76, "derivative": 0.76, "fusion_components": 0.68,

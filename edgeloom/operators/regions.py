@@ -203,6 +203,25 @@ def map_context(items: DataFrame, tree: DataFrame, kinds: DataFrame) -> DataFram
     return j.withColumn("_n", n).where("_n = 1").select("feature", "item").join(rep, "feature")
 
 
+def annotated_items(items: DataFrame, tree: DataFrame, kinds: DataFrame, max_depth: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Map items (item, region, score) with their nearest country and their best group above; and the countries' lists.
+
+    tree: (from_id, to_id) from a region to its parts; kinds: (id, kind), groups being continents before cultural regions before others
+    that are no countries. Lists: (country, place, item): the items under a country by score, then name, from 0.
+    """
+    own = items.select(F.col("region").alias("id")).distinct()
+    up = closure(tree.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")), own, max_depth).union(own.select(F.col("id").alias("seed"), "id", F.lit(0)))
+    up = up.join(kinds, "id")
+    order = F.when(F.col("kind") == "continent", 0).when(F.col("kind") == "cultural", 1).otherwise(2)
+    first = lambda rows, by, c: rows.groupBy(F.col("seed").alias("region")).agg(F.min(F.struct(*by)).alias("_m")).select("region", F.col("_m.id").alias(c))
+    country = first(up.where("kind = 'country'"), ["depth", "id"], "country")
+    group = first(up.where("kind <> 'country' and depth > 0"), [order.alias("k"), "depth", "id"], "group")
+    rows = items.join(country, "region", "left").join(group, "region", "left")
+    n = F.row_number().over(Window.partitionBy("country").orderBy(F.desc("score"), "item"))
+    lists = rows.where("country is not null").select("country", (n - 1).alias("place"), "item")
+    return rows.select("item", "region", "score", "country", "group"), lists
+
+
 def scoped_nodes(seed: DataFrame, tree: DataFrame, promoted: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
     """(id, hop, region): nodes promoted from a container's tree (container, id) and their children, the best row a node."""
     below = closure(tree, seed, max_depth).select("id", "depth").union(seed.select("id", F.lit(0))).groupBy("id").agg(F.min("depth").alias("depth"))

@@ -57,6 +57,10 @@ BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
     "steps": (("visits",), "SELECT o_orderkey, id AS a, lead(id) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM visits"),
     "succ": (("steps",), "SELECT a AS from_id, b AS to_id, count(*) AS n FROM steps WHERE b IS NOT NULL AND a <> b GROUP BY a, b"),
     "succ_edges": (("succ",), "SELECT from_id, to_id, CASE WHEN n > 1 OR from_id LIKE '%P' THEN 'subgenre' WHEN from_id LIKE '%F' THEN 'derivative' ELSE 'related' END AS relation, CASE WHEN to_id LIKE '%:1P' THEN 'manual_curation' WHEN to_id LIKE '%F' THEN 'wikidata' WHEN from_id LIKE '%:2_' THEN 'inbound_index' ELSE 'infobox' END AS source, CAST(0 AS INTEGER) AS ordinal, CASE WHEN from_id LIKE '%:3_' THEN 'stylistic_origin_of' END AS evidence_relation FROM succ"),
+    # staged regions, their parents and their members, as a review finds them
+    "staged_edges": (("succ",), "SELECT from_id AS child, to_id AS parent, CASE WHEN to_id LIKE '%P' THEN 'part_of' WHEN to_id LIKE '%O' THEN 'admin_parent' ELSE 'cultural_region_of' END AS relation, CASE WHEN from_id LIKE '%:5_' THEN 'rejected' WHEN from_id LIKE '%:4_' THEN 'proposed' ELSE 'accepted' END AS status FROM succ"),
+    "staged_regions": (("visits",), "SELECT id, CASE WHEN id LIKE '%:1F' THEN concat('Styles of music ', id) WHEN id LIKE '%:2F' THEN 'Asia' ELSE concat('Land ', id) END AS name, CAST(count(*) AS BIGINT) AS views FROM visits GROUP BY id"),
+    "staged_members": (("visits", "lineitem"), "SELECT id AS region, l_partkey AS node, CASE WHEN l_partkey % 50 = 0 THEN concat('List of ', l_partkey) ELSE concat('Part ', l_partkey) END AS title, CASE WHEN l_tax > 0.06 THEN 'regional_style_mention' ELSE 'regional_scene' END AS relation, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'rejected' ELSE 'proposed' END AS status, CASE l_linestatus WHEN 'F' THEN 'wikipedia_article' ELSE 'wikipedia_list' END AS source_type, l_discount AS confidence FROM lineitem JOIN visits ON o_orderkey = l_orderkey"),
     # parts bought in one order: an undirected weighted graph
     "together": (("lineitem",), "SELECT concat('g:', x.k) AS a, concat('g:', y.k) AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey AS o, l_partkey AS k FROM lineitem) x JOIN (SELECT DISTINCT l_orderkey AS o, l_partkey AS k FROM lineitem) y ON x.o = y.o AND x.k < y.k GROUP BY x.k, y.k"),
     # events as a log of versions of users

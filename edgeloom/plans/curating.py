@@ -159,6 +159,28 @@ def g31(t):
     return R.map_context(it, t.edges.where("from_id like 'r:%'"), kinds)
 
 
+_ITEMS = """it AS (SELECT concat('i', s_suppkey) AS item, CASE s_suppkey % 3 WHEN 0 THEN concat('r:', s_suppkey % 5) WHEN 1 THEN concat('n:', s_nationkey) ELSE concat('s:', s_suppkey) END AS region, round(s_acctbal, 0) AS score FROM supplier),
+an AS (SELECT it.*, CASE WHEN region LIKE 'n:%' THEN region WHEN region LIKE 's:%' THEN concat('n:', s.s_nationkey) END AS country FROM it LEFT JOIN supplier s ON concat('s:', s.s_suppkey) = region), ag AS (SELECT an.*, concat('r:', n_regionkey) AS grp FROM an LEFT JOIN nation ON concat('n:', n_nationkey) = country)"""
+
+
+def _annotated(t):
+    k = F.col("s_suppkey")
+    region = F.when(k % 3 == 0, F.concat(F.lit("r:"), k % 5)).when(k % 3 == 1, F.concat(F.lit("n:"), "s_nationkey")).otherwise(F.concat(F.lit("s:"), k))
+    it = t.supplier.select(F.concat(F.lit("i"), k).alias("item"), region.alias("region"), F.round("s_acctbal", 0).alias("score"))
+    kind = F.when(F.col("kind") == "nation", "country").when(F.col("kind") == "region", "continent").when(F.col("kind") == "supplier", "cultural").otherwise("part")
+    return R.annotated_items(it, t.edges.where("to_id not like 'p:%'"), t.nodes.select("id", kind.alias("kind")))
+
+
+@query("g31_annotated", f"WITH {_ITEMS} SELECT item, region, score, country, CASE WHEN country IS NOT NULL THEN grp END AS grp FROM ag")
+def g31b(t):
+    return _annotated(t)[0].withColumnRenamed("group", "grp")
+
+
+@query("g31_lists", f"WITH {_ITEMS} SELECT country, CAST(row_number() OVER (PARTITION BY country ORDER BY score DESC, item) - 1 AS INTEGER) AS place, item FROM ag WHERE country IS NOT NULL")
+def g31c(t):
+    return _annotated(t)[1]
+
+
 @query("g32_scoped_nodes", sql_with("nodes", "edges") + """, tr AS (SELECT 'r:2' AS id, 0 AS depth UNION SELECT to_id, 1 FROM edges WHERE from_id = 'r:2' UNION SELECT b.to_id, 2 FROM edges a JOIN edges b ON b.from_id = a.to_id WHERE a.from_id = 'r:2'), o AS (SELECT id, 0 AS hop, depth, id AS region FROM tr WHERE id LIKE 's:%'),
 k AS (SELECT * FROM o UNION ALL SELECT DISTINCT e.to_id, 1, o.depth, o.region FROM o JOIN edges e ON e.from_id = o.id) SELECT id, CAST(hop AS INTEGER) AS hop, region FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hop, depth, region) AS rn FROM k) q WHERE rn = 1""")
 def g32(t):
@@ -195,6 +217,18 @@ def t10(t):
     return C.classify_ownership(o, o.select("id", "region", (F.col("id") % 6 == 1).alias("majority")), o.where("id % 9 = 0").select("id", "region", (F.col("id") + 1).alias("variant")))
 
 
+@query("t10_variants", f"""WITH c AS (SELECT *, CASE WHEN source_type = 'category' AND section LIKE '%by country' THEN 'rejected' WHEN contains(lower(title), lower(region)) OR id % 6 = 1 THEN 'owned' WHEN id % 9 = 0 THEN 'variant' WHEN source_type = 'prose' THEN 'staged' ELSE 'needs_review' END AS s FROM ({OWN}) q),
+m AS (SELECT p_brand AS region, p_partkey AS node, CAST(0.5 AS DOUBLE) AS confidence FROM part WHERE p_size > 25 UNION ALL SELECT region, id + 1, round(0.4 + id % 7 / 10.0, 2)::DOUBLE FROM c WHERE s = 'variant')
+SELECT 'member' AS kind, CAST(node AS VARCHAR) AS key, region, max(confidence) AS confidence FROM m GROUP BY region, node UNION ALL SELECT 'staged', concat('variant:', id, ':', region), region, NULL FROM c WHERE s = 'staged'""")
+def t10b(t):
+    o = own(t)
+    classified = C.classify_ownership(o, o.select("id", "region", (F.col("id") % 6 == 1).alias("majority")), o.where("id % 9 = 0").select("id", "region", (F.col("id") + 1).alias("variant")))
+    mentions = o.select("id", "region", F.round(0.4 + F.col("id") % 7 / 10.0, 2).alias("confidence"), F.col("title").alias("name"))
+    stored = t.part.where("p_size > 25").select(F.col("p_brand").alias("region"), F.col("p_partkey").alias("node"), F.lit(0.5).alias("confidence"))
+    members, staged = C.variant_changes(classified, mentions, stored)
+    return members.select(F.lit("member").alias("kind"), F.col("node").cast("string").alias("key"), "region", "confidence").union(staged.select(F.lit("staged"), "candidate", "region", F.lit(None).cast("double")))
+
+
 @query("t11_resolve_variants", """WITH n AS (SELECT concat('p:', p_partkey) AS id, concat(p_name, ' ', p_size) AS title, lower(concat(p_name, ' ', p_size)) AS k FROM part), s AS (SELECT p_partkey AS candidate, concat('p:', p_partkey) AS base, CASE p_partkey % 3 WHEN 0 THEN concat(p_name, '-', p_size % 7) WHEN 1 THEN concat('Old ', p_name, ' ', p_size) ELSE 'other' END AS name FROM part),
 j AS (SELECT s.*, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS k FROM s), m AS (SELECT k, min(id) AS node FROM n GROUP BY k)
 SELECT candidate, base, CASE WHEN m.node IS NOT NULL AND m.node <> base THEN 'resolved' WHEN ends_with(j.k, n.k) THEN 'rejected' ELSE 'staged' END AS status, CASE WHEN m.node IS NOT NULL AND m.node <> base THEN m.node END AS node FROM j LEFT JOIN m ON m.k = j.k JOIN n ON n.id = base""")
@@ -205,14 +239,42 @@ def t11(t):
     return C.resolve_variants(t.part.select(k.alias("candidate"), F.concat(F.lit("p:"), k).alias("base"), name.alias("name")), n)
 
 
-EVID = "SELECT l_partkey AS id, l_suppkey % 7 AS country, concat(l_returnflag, l_linestatus) AS source, round(0.3 + l_discount * 5, 2) AS score, round(0.4 + l_tax * 4, 2) AS confidence, concat('o', l_orderkey) AS evidence FROM lineitem WHERE l_partkey % 6 = 0"
+_PART_TEXTS = "SELECT p_partkey AS id, concat(CASE WHEN p_size % 3 = 0 THEN 'It emerged in NATION_' ELSE 'Known in NATION_' END, p_partkey % 25, ' and Old Land ', CASE WHEN p_size % 2 = 0 THEN p_partkey % 25 ELSE p_size % 25 END, '.') AS content, concat(p_name, ' of nation-', p_size % 30) AS title, concat('Category: Old Land ', (p_partkey + p_size) % 40) AS category, concat('origin nation ', p_size) AS origin FROM part"
+_WORDS = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _hint(source: str, column: str, score: float, sure: float) -> str:
+    return f"SELECT id, country, '{source}' AS source, {score}::DOUBLE AS score, {sure}::DOUBLE AS confidence, concat('{source.split('_')[0]} names ', country) AS evidence FROM (SELECT DISTINCT id, country FROM tx JOIN al ON contains(concat(' ', {_WORDS.format(column)}, ' '), concat(' ', alias, ' '))) q"
+
+
+_AFFINITY = f"""WITH al AS (SELECT n_nationkey AS country, {_WORDS.format("n_name")} AS alias FROM nation UNION ALL SELECT n_nationkey, concat('old land ', n_nationkey) FROM nation), tx AS ({_PART_TEXTS}),
+ev AS (SELECT l_partkey AS id, CAST(s_nationkey AS BIGINT) AS country, 'accepted_region_relationship' AS source, 0.94::DOUBLE AS score, greatest(0.72, least(1.0, l_discount * 9)) AS confidence, concat('o', l_orderkey) AS evidence FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 47
+UNION ALL SELECT l_partkey, s_nationkey, 'country_music_page_child', 0.9, 0.82, concat('c', l_orderkey) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity < 3
+UNION ALL {_hint("title_region_hint", "title", 0.78, 0.74)} UNION ALL {_hint("category_region_hint", "category", 0.66, 0.62)} UNION ALL {_hint("origin_region_hint", "origin", 0.72, 0.7)}
+UNION ALL SELECT id, country, 'wikipedia_content_mention', CASE WHEN content LIKE '%emerged%' THEN 0.62 ELSE 0.54 END, CASE WHEN content LIKE '%emerged%' THEN 0.58 ELSE 0.5 END, concat('content names ', country) FROM (SELECT id, country, any_value(content) AS content FROM tx JOIN al ON contains(concat(' ', {_WORDS.format("content")}, ' '), concat(' ', alias, ' ')) GROUP BY id, country HAVING count(DISTINCT alias) >= 2) q)"""
+
 
+def _evidence(t):
+    t.part.createOrReplaceTempView("bound_part")
+    tx = t.spark.sql(_PART_TEXTS.replace("FROM part", "FROM bound_part"))
+    sold = t.lineitem.join(t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("country")), "l_suppkey")
+    of = lambda df, mark: df.select(F.col("l_partkey").alias("id"), "country", (F.col("l_discount") * 9).alias("confidence"), F.concat(F.lit(mark), "l_orderkey").alias("evidence"))
+    key = F.col("n_nationkey").cast("long").alias("country")
+    aliases = t.nation.select(key, F.col("n_name").alias("alias")).union(t.nation.select(key, F.concat(F.lit("Old Land "), "n_nationkey")))
+    texts = lambda c: tx.select("id", F.col(c).alias("text"))
+    return C.country_evidence(aliases, of(sold.where("l_quantity > 47"), "o"), of(sold.where("l_quantity < 3"), "c"), texts("title"), texts("category"), texts("origin"), texts("content"))
+
+
+@query("t12_evidence", _AFFINITY + " SELECT id, country, source, score, round(confidence, 6) AS confidence, evidence FROM ev")
+def t12b(t):
+    return _evidence(t).withColumn("confidence", F.round("confidence", 6))
 
-@query("t12_affinities", f"""WITH e AS ({EVID}), s AS (SELECT id, country, max(score) AS score, max(confidence) AS confidence, count(DISTINCT source) AS n FROM e GROUP BY ALL), h AS (SELECT id, country, least(1.0, score + CASE WHEN n > 1 THEN 0.08 ELSE 0 END) AS score, least(1.0, confidence + CASE WHEN n > 1 THEN 0.08 ELSE 0 END) AS confidence FROM s)
-SELECT id, country, round(score, 6) AS score, round(confidence, 6) AS confidence FROM h WHERE score >= 0.55 AND confidence >= 0.5""")
+
+@query("t12_affinities", _AFFINITY + """, s AS (SELECT id, country, max(score) AS score, max(confidence) AS confidence, count(DISTINCT source) AS n, bool_and(source = 'wikipedia_content_mention') AS lone FROM ev GROUP BY ALL),
+h AS (SELECT id, country, least(1.0, score + CASE WHEN n > 1 THEN 0.08 ELSE 0 END) AS score, least(1.0, confidence + CASE WHEN n > 1 THEN 0.06 ELSE 0 END) AS confidence, n AS n_sources, lone AS needs_review FROM s)
+SELECT id, country, round(score, 6) AS score, round(confidence, 6) AS confidence, n_sources, needs_review FROM h WHERE score >= 0.55 AND confidence >= 0.5""")
 def t12(t):
-    t.lineitem.createOrReplaceTempView("bound_lineitem")
-    return C.affinities(t.spark.sql(EVID.replace("FROM lineitem", "FROM bound_lineitem"))).select("id", "country", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
+    return C.affinities(_evidence(t)).select("id", "country", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"), "n_sources", "needs_review")
 
 
 # --- curation -----------------------------------------------------------------------------------------------------------
@@ -225,28 +287,59 @@ def q1(t):
     return C.approve(n, {"pages": n.where("id % 3 = 0"), "claims": t.lineitem.where("l_quantity > 48").select(F.col("l_partkey").alias("id"))}, n.where("id % 11 = 0"))
 
 
-REL = "SELECT p_partkey AS id, CASE WHEN p_size % 9 = 0 THEN 'Lists of things' ELSE p_name END AS child, CASE WHEN p_size % 8 = 0 THEN p_name ELSE p_brand END AS parent, CASE p_partkey % 3 WHEN 0 THEN 'part_of' WHEN 1 THEN 'admin_parent' ELSE 'historical_region_of' END AS relation, CASE p_partkey % 4 WHEN 0 THEN 'list' WHEN 1 THEN 'manual' ELSE 'category' END AS source_type, p_size % 2 = 0 AS has_context, CASE p_size % 5 WHEN 0 THEN 'music by city' WHEN 1 THEN 'music in x' WHEN 2 THEN 'ancient music' ELSE 'other' END AS source_title FROM part"
+REL = """SELECT p_partkey AS id, CASE WHEN p_size % 9 = 0 THEN 'Cities by size' WHEN p_size % 9 = 1 THEN 'Nordic' ELSE p_name END AS child, CASE WHEN p_size % 8 = 0 THEN p_name WHEN p_size % 8 = 1 THEN 'Sweden' ELSE p_brand END AS parent, CASE p_partkey % 5 WHEN 0 THEN 'part_of' WHEN 1 THEN 'admin_parent' WHEN 2 THEN 'historical_region_of' WHEN 3 THEN 'cultural_region_of' ELSE 'diaspora_region_of' END AS relation,
+CASE p_partkey % 7 WHEN 0 THEN 'wikipedia_list' WHEN 1 THEN 'manual' WHEN 2 THEN 'wikipedia_article' ELSE 'wikipedia_category' END AS source_type, p_size % 2 = 0 AS has_context, p_size % 3 = 0 AS has_alias, p_size % 8 = 1 AS parent_is_country, CASE p_partkey % 11 WHEN 0 THEN 'music by city' WHEN 1 THEN 'category:music in x' WHEN 2 THEN 'medieval music' WHEN 3 THEN 'celtic music' WHEN 4 THEN 'african diaspora' ELSE 'other' END AS source_title FROM part"""
 
 
-@query("q2_relation_review", f"""SELECT id, s[1] AS status, s[2] AS reason FROM (SELECT id, CASE WHEN child = parent THEN ['rejected', 'self edge'] WHEN child LIKE 'Lists of%' THEN ['needs_review', 'container name'] WHEN source_type = 'list' AND has_context AND relation = 'part_of' THEN ['accepted', 'row context'] WHEN source_type = 'list' AND has_context THEN ['needs_review', 'unexpected relation'] WHEN source_type <> 'category' THEN ['needs_review', 'not category-backed']
- WHEN relation = 'admin_parent' AND (source_title LIKE '% by %' OR source_title LIKE 'music in %') THEN ['accepted', 'administrative category'] WHEN relation = 'admin_parent' THEN ['needs_review', 'no administrative evidence'] WHEN relation = 'part_of' THEN ['accepted', 'direct containment'] WHEN source_title LIKE '%ancient%' THEN ['accepted', 'historical category'] ELSE ['needs_review', 'no rule'] END AS s FROM ({REL}) q) r""")
+@query("q2_relation_review", f"""SELECT id, s[1] AS status, s[2] AS reason FROM (SELECT id, CASE WHEN child LIKE '% by %' THEN ['needs_review', 'container name'] WHEN source_type = 'wikipedia_list' AND has_context THEN CASE WHEN relation = 'part_of' THEN ['accepted', 'row context'] ELSE ['needs_review', 'unexpected relation of a list'] END
+WHEN source_type = 'manual' AND has_alias THEN CASE WHEN relation = 'part_of' THEN ['accepted', 'regional alias'] ELSE ['needs_review', 'unexpected relation of an alias'] END WHEN source_type <> 'wikipedia_category' THEN ['needs_review', 'not category-backed'] WHEN child = parent THEN ['rejected', 'self edge']
+WHEN relation = 'admin_parent' THEN CASE WHEN source_title IN ('music by city', 'category:music in x') THEN ['accepted', 'administrative category'] ELSE ['needs_review', 'no administrative evidence'] END WHEN relation = 'part_of' THEN ['accepted', 'direct containment']
+WHEN relation = 'cultural_region_of' AND child = 'Nordic' AND parent_is_country THEN ['rejected', 'points from the broader region'] WHEN relation = 'cultural_region_of' AND source_title = 'celtic music' THEN ['accepted', 'cultural category'] WHEN relation = 'diaspora_region_of' AND source_title = 'african diaspora' THEN ['accepted', 'diaspora category']
+WHEN relation = 'historical_region_of' AND source_title = 'medieval music' THEN ['accepted', 'historical category'] ELSE ['needs_review', 'parallel relation'] END AS s FROM ({REL}) q) r""")
 def q2(t):
     t.part.createOrReplaceTempView("bound_part")
     return C.ruled(t.spark.sql(REL.replace("FROM part", "FROM bound_part")), C.RELATION_RULES).select("id", "status", "reason")
 
 
+MEM = """SELECT p_partkey AS id, CASE WHEN p_size % 13 = 0 THEN 'Islands by name' ELSE p_brand END AS region, CASE WHEN p_size % 11 = 0 THEN 'List of songs' WHEN p_size % 11 = 1 THEN 'Category:Songs' ELSE p_name END AS title, CASE p_partkey % 3 WHEN 0 THEN 'regional_scene' WHEN 1 THEN 'local_scene' ELSE 'other' END AS relation,
+CASE p_partkey % 5 WHEN 0 THEN 'wikipedia_category' WHEN 1 THEN 'wikipedia_list' WHEN 2 THEN 'manual' ELSE 'wikipedia_article' END AS source_type, CASE p_partkey % 6 WHEN 0 THEN 'See also' WHEN 1 THEN 'Further reading' WHEN 2 THEN p_name WHEN 3 THEN 'Folk dance' ELSE '' END AS section, CASE p_partkey % 7 WHEN 0 THEN 'music of x' WHEN 1 THEN 'list of music genres' WHEN 2 THEN 'music in y' ELSE 'z' END AS source_title, CASE WHEN p_size % 10 = 0 THEN 'deterministic-region-page-links-v2' ELSE 'other' END AS model FROM part"""
+
+
+@query("q2_member_review", f"""SELECT id, s[1] AS status, s[2] AS reason FROM (SELECT id, CASE WHEN region LIKE '% by %' THEN ['rejected', 'container as region'] WHEN title IN ('List of songs', 'Category:Songs') THEN ['rejected', 'artifact as member'] WHEN source_type = 'wikipedia_category' THEN ['accepted', 'category membership'] WHEN source_type = 'wikipedia_list' AND section = 'See also' THEN ['needs_review', 'generic list section'] WHEN source_type = 'wikipedia_list' AND relation <> 'other' THEN ['accepted', 'list section']
+WHEN source_type = 'wikipedia_article' AND section IN ('See also', 'Further reading') THEN ['needs_review', 'generic article section'] WHEN source_type = 'wikipedia_article' AND model <> 'other' THEN ['accepted', 'filtered link'] WHEN source_type = 'wikipedia_article' AND source_title IN ('music of x', 'music in y') AND section = title THEN ['accepted', 'section heading'] WHEN source_type = 'wikipedia_article' AND source_title IN ('music of x', 'music in y') AND section = 'Folk dance' THEN ['accepted', 'section of the page']
+WHEN source_title = 'list of music genres' THEN ['accepted', 'regional list'] ELSE ['needs_review', 'no rule'] END AS s FROM ({MEM}) q) r""")
+def q2b(t):
+    t.part.createOrReplaceTempView("bound_part")
+    return C.ruled(t.spark.sql(MEM.replace("FROM part", "FROM bound_part")), C.MEMBER_RULES).select("id", "status", "reason")
+
+
 @query("q3_triage", "SELECT CASE WHEN p_name LIKE '%ring%' THEN 'accepted' WHEN p_size < 10 THEN 'rejected' ELSE 'needs_review' END AS status, CASE WHEN p_name LIKE '%ring%' THEN 'known kind' WHEN p_size < 10 THEN 'too small' ELSE 'no rule' END AS reason, count(*) AS n FROM part GROUP BY ALL")
 def q3(t):
     rules = [("p_name like '%ring%'", ("accepted", "known kind")), ("p_size < 10", ("rejected", "too small"))]
     return C.ruled(t.part, rules).groupBy("status", "reason").agg(F.count("*").alias("n"))
 
 
-@query("q4_promotion_audit", sql_with("edges") + """ SELECT 'edges' AS metric, count(*) AS value FROM edges UNION ALL SELECT 'loops', count(*) FROM edges WHERE from_id = to_id UNION ALL SELECT 'duplicates', count(*) FROM (SELECT 1 FROM edges GROUP BY to_id, relation HAVING count(*) > 1) q UNION ALL SELECT 'two_cycles', count(*) FROM edges a JOIN edges b ON a.from_id = b.to_id AND a.to_id = b.from_id""")
+_AUDIT = """, kp AS (SELECT * FROM staged_edges WHERE status = 'accepted'), ow AS (SELECT * FROM staged_members WHERE relation <> 'regional_style_mention'), ce AS (SELECT DISTINCT child AS f, parent AS t FROM kp WHERE relation IN ('part_of', 'admin_parent')),
+w AS (SELECT [f, t] AS path FROM ce WHERE f <> t UNION ALL SELECT list_append(path, e.t) FROM w JOIN ce e ON e.f = path[-1] WHERE len(path) < 6 AND NOT list_contains(path, e.t) AND e.t > path[1]),
+cy AS (SELECT DISTINCT CAST(len(path) AS INTEGER) AS length, array_to_string(path, '>') AS cycle FROM w JOIN ce e ON e.f = path[-1] AND e.t = path[1] WHERE list_min(path) = path[1])"""
+
+
+def _promotion(t):
+    return C.promotion_audit(t.staged_regions, t.staged_edges, t.staged_members)
+
+
+@query("q4_promotion_audit", sql_with("staged_edges", "staged_regions", "staged_members", recursive=True) + _AUDIT + """, m AS (SELECT 'region_accepted' AS metric, count(*) FILTER (WHERE status = 'accepted') AS value FROM staged_edges UNION ALL SELECT 'region_rejected', count(*) FILTER (WHERE status = 'rejected') FROM staged_edges UNION ALL SELECT 'region_pending', count(*) FILTER (WHERE status = 'proposed') FROM staged_edges
+UNION ALL SELECT 'member_accepted', count(*) FILTER (WHERE status = 'accepted') FROM ow UNION ALL SELECT 'member_rejected', count(*) FILTER (WHERE status = 'rejected') FROM ow UNION ALL SELECT 'member_pending', count(*) FILTER (WHERE status = 'proposed') FROM ow UNION ALL SELECT 'artifact_members', count(*) FROM ow WHERE status = 'accepted' AND title LIKE 'List of %' UNION ALL SELECT 'cycles', count(*) FROM cy
+UNION ALL SELECT 'container_edges', count(*) FROM kp WHERE child LIKE '%:1F' OR parent LIKE '%:1F' UNION ALL SELECT 'broad_members', count(*) FROM ow WHERE status = 'accepted' AND region LIKE '%:2F' UNION ALL SELECT 'duplicate_members', count(*) FROM (SELECT 1 FROM ow WHERE status = 'accepted' GROUP BY region, node, relation HAVING count(*) > 1) q)
+SELECT metric, value, (SELECT sum(value) FROM m WHERE metric IN ('region_pending', 'member_pending', 'cycles', 'container_edges', 'artifact_members')) = 0 AS ready FROM m""")
 def q4(t):
-    e = t.edges
-    dup = e.groupBy("to_id", "relation").count().where("count > 1")
-    back = G.reversed_edges(e).select("from_id", "to_id")
-    return C.audit([("edges", e), ("loops", e.where("from_id = to_id")), ("duplicates", dup), ("two_cycles", e.join(back, ["from_id", "to_id"]))])
+    return _promotion(t)[0]
+
+
+@query("q4_samples", sql_with("staged_edges", "staged_regions", "staged_members", recursive=True) + _AUDIT + """, s1 AS (SELECT 'cycle' AS kind, cycle AS what FROM cy ORDER BY length, cycle LIMIT 25), s2 AS (SELECT 'accepted' AS kind, concat(name, ' > ', relation, ' > ', title) AS what FROM ow JOIN staged_regions r ON r.id = region WHERE status = 'accepted' ORDER BY confidence DESC, name, title, relation LIMIT 25)
+SELECT * FROM s1 UNION ALL SELECT * FROM s2 WHERE (SELECT count(*) FROM s1) = 0""")
+def q4b(t):
+    return _promotion(t)[1]
 
 
 @query("q5_readiness_audit", sql_with("nodes", "edges") + """, m AS (SELECT 'unnamed' AS metric, count(*) AS value FROM nodes WHERE title IS NULL OR title = '' UNION ALL SELECT 'childless', count(*) FROM nodes WHERE kind <> 'part' AND id NOT IN (SELECT from_id FROM edges) UNION ALL SELECT 'parentless', count(*) FROM nodes WHERE kind <> 'region' AND id NOT IN (SELECT to_id FROM edges) UNION ALL SELECT 'dangling', count(*) FROM edges WHERE to_id NOT IN (SELECT id FROM nodes))
@@ -264,10 +357,31 @@ def q6(t):
     return C.coverage(t.nodes.select("id"), by("wikidata"), by("infobox"))
 
 
-@query("q7_decisions", """WITH r AS (SELECT s_suppkey AS id, s_name AS name FROM supplier), d AS (SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN 'keep' WHEN 1 THEN 'anchor' WHEN 2 THEN 'move' WHEN 3 THEN 'rename' WHEN 4 THEN 'collapse' ELSE 'demote' END AS decision, CASE WHEN s_suppkey % 4 = 0 THEN 'nobody' ELSE concat('supplier#', lpad(CAST(s_suppkey // 2 AS VARCHAR), 9, '0')) END AS tn, CASE WHEN s_suppkey % 9 = 0 THEN concat('Supplier#', lpad('1', 9, '0')) ELSE concat('New ', s_suppkey) END AS nn FROM supplier WHERE s_suppkey % 5 <> 0),
-x AS (SELECT d.*, t.id AS target, decision = 'rename' AND EXISTS (SELECT 1 FROM r o WHERE lower(o.name) = lower(nn) AND o.id <> d.id) AS clash FROM d LEFT JOIN r t ON lower(t.name) = tn), s AS (SELECT *, CASE WHEN (decision IN ('anchor', 'move') AND target IS NULL) OR clash THEN 'needs_human' WHEN decision = 'collapse' THEN 'collapsed' WHEN decision = 'keep' THEN 'kept' ELSE 'done' END AS st FROM x)
-SELECT r.id, CASE WHEN decision = 'rename' AND st = 'done' THEN nn ELSE name END AS name, coalesce(st, 'open') AS status FROM r LEFT JOIN s ON s.id = r.id""")
-def q7(t):
+def _covered(t):
+    inferred = t.staged_members.where("status = 'proposed'").select(F.col("relation").alias("kind"))
+    return C.coverage_counts(t.staged_regions.select(F.col("id").alias("region"), "name", "views"), t.staged_members, inferred)
+
+
+_GOOD = ", g AS (SELECT DISTINCT region FROM staged_members WHERE status = 'accepted'), wo AS (SELECT * FROM staged_regions WHERE id NOT IN (SELECT region FROM g))"
+
+
+@query("q6_counts", sql_with("staged_regions", "staged_members") + _GOOD + """ SELECT 'promoted' AS metric, count(*) AS value FROM staged_regions UNION ALL SELECT 'with_direct', count(*) FROM staged_regions WHERE id IN (SELECT region FROM g) UNION ALL SELECT 'without_direct', count(*) FROM wo UNION ALL SELECT 'with_article', count(*) FROM staged_regions WHERE id IN (SELECT region FROM staged_members WHERE status = 'accepted' AND source_type = 'wikipedia_article')
+UNION ALL SELECT 'accepted', count(*) FILTER (WHERE status = 'accepted') FROM staged_members UNION ALL SELECT 'article', count(*) FILTER (WHERE status = 'accepted' AND source_type = 'wikipedia_article') FROM staged_members UNION ALL SELECT 'pending', count(*) FILTER (WHERE status = 'proposed') FROM staged_members UNION ALL SELECT 'rejected', count(*) FILTER (WHERE status = 'rejected') FROM staged_members
+UNION ALL SELECT concat('inferred:', relation), count(*) FROM staged_members WHERE status = 'proposed' GROUP BY relation""")
+def q6b(t):
+    return _covered(t)[0]
+
+
+@query("q6_uncovered", sql_with("staged_regions", "staged_members") + _GOOD + " SELECT id AS region, name FROM wo ORDER BY views DESC, name, id LIMIT 25")
+def q6c(t):
+    return _covered(t)[1]
+
+
+_DECIDED = """WITH r AS (SELECT s_suppkey AS id, s_name AS name FROM supplier), d AS (SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN 'keep' WHEN 1 THEN 'anchor' WHEN 2 THEN 'move' WHEN 3 THEN 'rename' WHEN 4 THEN 'collapse' ELSE 'demote' END AS decision, CASE WHEN s_suppkey % 4 = 0 THEN 'nobody' ELSE concat('supplier#', lpad(CAST(s_suppkey // 2 AS VARCHAR), 9, '0')) END AS tn, CASE WHEN s_suppkey % 9 = 0 THEN concat('Supplier#', lpad('1', 9, '0')) ELSE concat('New ', s_suppkey) END AS nn FROM supplier WHERE s_suppkey % 5 <> 0),
+x AS (SELECT d.*, t.id AS target, decision = 'rename' AND EXISTS (SELECT 1 FROM r o WHERE lower(o.name) = lower(nn) AND o.id <> d.id) AS clash FROM d LEFT JOIN r t ON lower(t.name) = tn), s AS (SELECT *, CASE WHEN (decision IN ('anchor', 'move') AND target IS NULL) OR clash THEN 'needs_human' WHEN decision = 'collapse' THEN 'collapsed' WHEN decision = 'keep' THEN 'kept' ELSE 'done' END AS st FROM x)"""
+
+
+def _decided(t):
     k = F.col("s_suppkey")
     r = t.supplier.select(k.alias("id"), F.col("s_name").alias("name"), F.lit("open").alias("status"))
     kinds = F.element_at(F.array(*[F.lit(x) for x in ("keep", "anchor", "move", "rename", "collapse", "demote")]), (k % 6 + 1).cast("int"))
@@ -275,17 +389,79 @@ def q7(t):
     d = t.supplier.where("s_suppkey % 5 <> 0").select(k.alias("id"), kinds.alias("decision"), F.when(k % 4 == 0, "nobody").otherwise(F.concat(F.lit("supplier#"), pad(F.floor(k / 2)))).alias("target_name"), F.when(k % 9 == 0, F.concat(F.lit("Supplier#"), pad(F.lit(1)))).otherwise(F.concat(F.lit("New "), k)).alias("new_name"))
     e = t.supplier.select(k.alias("child"), F.floor(k / 3).alias("parent"))
     m = t.lineitem.select(F.col("l_suppkey").alias("region"), F.col("l_partkey").alias("node"), F.lit("accepted").alias("status")).distinct()
-    return C.apply_decisions(d, r, e, m)[0]
+    return C.apply_decisions(d, r, e, m)
 
 
-@query("q8_cleanup", """WITH r AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN 'rejected' WHEN s_suppkey % 5 = 0 THEN 'collapsed' ELSE 'open' END AS status FROM supplier), m AS (SELECT l_suppkey AS region, l_partkey AS node, max(l_discount) AS confidence FROM lineitem GROUP BY ALL),
-j AS (SELECT m.*, status <> 'open' AS gone, row_number() OVER (PARTITION BY node, status = 'open' ORDER BY confidence DESC, region) AS rn FROM m JOIN r ON r.id = region) SELECT region, node, CASE WHEN gone OR rn > 1 THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN gone THEN 'hidden region' WHEN rn > 1 THEN 'better owner' END AS reason FROM j""")
-def q8(t):
+@query("q7_decisions", _DECIDED + " SELECT r.id, CASE WHEN decision = 'rename' AND st = 'done' THEN nn ELSE name END AS name, coalesce(st, 'open') AS status FROM r LEFT JOIN s ON s.id = r.id")
+def q7(t):
+    return _decided(t)[0]
+
+
+@query("q7_edges", _DECIDED + """, e AS (SELECT s_suppkey AS child, s_suppkey // 3 AS parent FROM supplier), c AS (SELECT id, target FROM s WHERE decision = 'collapse' AND target IS NOT NULL), f AS (SELECT child, coalesce(target, parent) AS parent FROM e LEFT JOIN c ON c.id = parent UNION SELECT id, target FROM s WHERE decision = 'anchor' AND target IS NOT NULL AND target <> id)
+SELECT DISTINCT child, parent FROM f WHERE child <> parent""")
+def q7b(t):
+    return _decided(t)[1]
+
+
+@query("q7_members", _DECIDED + """, m AS (SELECT DISTINCT l_suppkey AS region, l_partkey AS node FROM lineitem) SELECT DISTINCT coalesce(c.target, region) AS region, node, CASE WHEN w.id IS NOT NULL THEN 'candidate' ELSE 'accepted' END AS status FROM m LEFT JOIN (SELECT id, target FROM s WHERE decision IN ('move', 'collapse') AND target IS NOT NULL) c ON c.id = region LEFT JOIN (SELECT id FROM s WHERE decision = 'demote') w ON w.id = region""")
+def q7c(t):
+    return _decided(t)[2]
+
+
+_MEMBER_DECISIONS = """WITH m AS (SELECT l_suppkey AS region, l_partkey AS node, CASE max(l_returnflag) WHEN 'R' THEN 'candidate' ELSE 'accepted' END AS status FROM lineitem WHERE l_quantity <= 40 GROUP BY ALL), d AS (SELECT DISTINCT l_suppkey AS region, l_partkey AS node, CASE (l_suppkey + l_partkey) % 3 WHEN 0 THEN 'extract' WHEN 1 THEN 'move' ELSE 'demote' END AS decision FROM lineitem WHERE l_quantity > 40),
+tg AS (SELECT region, node, unnest([region // 2, CASE WHEN node % 4 = 0 THEN -1 ELSE region // 5 END]) AS target FROM d WHERE decision = 'move' AND node % 8 <> 0), mv AS (SELECT DISTINCT region, node, target FROM tg WHERE target IN (SELECT s_suppkey FROM supplier)), o AS (SELECT d.*, CASE WHEN decision = 'move' AND NOT EXISTS (SELECT 1 FROM mv WHERE mv.region = d.region AND mv.node = d.node) THEN 'needs_human' ELSE 'done' END AS outcome FROM d)"""
+
+
+def _member_decisions(t):
+    m = t.lineitem.where("l_quantity <= 40").groupBy(F.col("l_suppkey").alias("region"), F.col("l_partkey").alias("node")).agg(F.when(F.max("l_returnflag") == "R", "candidate").otherwise("accepted").alias("status"))
+    k = (F.col("l_suppkey") + F.col("l_partkey")) % 3
+    name = lambda c: F.concat(F.lit("SUPPLIER#"), F.lpad(c.cast("string"), 9, "0"))
+    other = F.when(F.col("l_partkey") % 4 == 0, "nobody").otherwise(name(F.floor(F.col("l_suppkey") / 5)))
+    targets = F.when(F.col("l_partkey") % 8 != 0, F.array(name(F.floor(F.col("l_suppkey") / 2)), other)).otherwise(F.array(F.lit("nobody")))
+    d = t.lineitem.where("l_quantity > 40").select(F.col("l_suppkey").alias("region"), F.col("l_partkey").alias("node"), F.when(k == 0, "extract").when(k == 1, "move").otherwise("demote").alias("decision"), targets.alias("target_names")).distinct()
+    return C.apply_member_decisions(d, t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), m)
+
+
+@query("q7_member_decisions", _MEMBER_DECISIONS + """, a AS (SELECT m.region, m.node, CASE WHEN o.decision = 'extract' THEN 'accepted' WHEN o.outcome = 'done' THEN 'candidate' ELSE m.status END AS status FROM m LEFT JOIN o ON o.region = m.region AND o.node = m.node UNION ALL SELECT region, node, 'accepted' FROM o WHERE decision = 'extract' UNION ALL SELECT target, node, 'accepted' FROM mv)
+SELECT region, node, min(status) AS status FROM a GROUP BY ALL""")
+def q7d(t):
+    return _member_decisions(t)[0]
+
+
+@query("q7_outcomes", _MEMBER_DECISIONS + " SELECT region, node, decision, outcome FROM o")
+def q7e(t):
+    return _member_decisions(t)[1]
+
+
+_CLEANED = """WITH r AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN 'rejected' WHEN s_suppkey % 5 = 0 THEN 'collapsed' ELSE 'open' END AS status FROM supplier), m AS (SELECT l_suppkey AS region, l_partkey AS node, max(l_discount) AS confidence FROM lineitem GROUP BY ALL), li AS (SELECT l_suppkey AS region, l_partkey AS node, bool_or(l_returnflag = 'A') AS accepted FROM lineitem WHERE l_quantity > 48 GROUP BY ALL),
+j AS (SELECT m.*, status <> 'open' AS gone, accepted, status <> 'open' OR coalesce(NOT accepted, FALSE) AS ou FROM m JOIN r ON r.id = m.region LEFT JOIN li ON li.region = m.region AND li.node = m.node), k AS (SELECT *, row_number() OVER (PARTITION BY node, ou ORDER BY coalesce(accepted, FALSE) DESC, confidence DESC, region) AS rn FROM j)"""
+
+
+def _cleaned(t):
     k = F.col("s_suppkey")
     r = t.supplier.select(k.alias("id"), F.concat(F.lit("Music in "), "s_name").alias("title"), F.when(k % 5 == 0, "collapsed").otherwise("open").alias("status"), F.lit("sub").alias("kind"))
     o = t.supplier.where("s_suppkey % 7 = 0").select(k.alias("id"), F.lit("rejected").alias("status"), F.lit("city").alias("kind"))
     m = t.lineitem.groupBy(F.col("l_suppkey").alias("region"), F.col("l_partkey").alias("node")).agg(F.max("l_discount").alias("confidence"))
-    return C.cleanup(r, m, o)[1]
+    listed = t.lineitem.where("l_quantity > 48").groupBy(F.col("l_suppkey").alias("region"), F.col("l_partkey").alias("node")).agg(F.bool_or(F.col("l_returnflag") == "A").alias("accepted"))
+    return C.cleanup(r, m, o, listed=listed, cities=t.supplier.where("s_nationkey = 3").select(k.alias("id")))
+
+
+@query("q8_cleanup", _CLEANED + " SELECT region, node, CASE WHEN gone OR NOT coalesce(accepted, TRUE) OR rn > 1 THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN gone THEN 'hidden region' WHEN NOT coalesce(accepted, TRUE) THEN 'listed' WHEN rn > 1 THEN 'better owner' END AS reason FROM k")
+def q8(t):
+    return _cleaned(t)[1]
+
+
+@query("q8_regions", _CLEANED + " SELECT id, concat('Music of ', s_name) AS title, status, CASE WHEN id % 7 = 0 THEN 'city' ELSE 'sub' END AS kind, status = 'open' AND s_nationkey <> 3 AS visible FROM r JOIN supplier ON s_suppkey = id")
+def q8b(t):
+    return _cleaned(t)[0]
+
+
+@query("q8_parents", sql_with("staged_edges") + """, b AS (SELECT child, parent FROM staged_edges WHERE relation = 'cultural_region_of'), n AS (SELECT DISTINCT parent AS child, child AS parent, 'part_of' AS need FROM staged_edges WHERE status = 'proposed')
+SELECT coalesce(e.child, n.child) AS child, coalesce(e.parent, n.parent) AS parent, coalesce(relation, need) AS relation, CASE WHEN need IS NOT NULL THEN 'accepted' WHEN b.child IS NOT NULL THEN 'rejected' ELSE status END AS status FROM staged_edges e FULL JOIN n ON n.child = e.child AND n.parent = e.parent LEFT JOIN b ON b.child = e.child AND b.parent = e.parent""")
+def q8c(t):
+    e = t.staged_edges
+    required = e.where("status = 'proposed'").select(F.col("parent").alias("child"), F.col("child").alias("parent"), F.lit("part_of").alias("relation"))
+    return C.fix_parents(e, e.where("relation = 'cultural_region_of'").select("child", "parent"), required)
 
 
 @query("q9_review_queue", "SELECT p_partkey AS id, p_size FROM part WHERE p_size > 30 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) ORDER BY p_size DESC, p_partkey LIMIT 30")

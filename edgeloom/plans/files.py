@@ -53,6 +53,13 @@ def s3(t):
     return t.spark.read.schema("from_id string, to_id string, relation string, batch_key string").json(path).select("batch_key", "from_id", "to_id", "relation")
 
 
+@query("s3_samples", TREE + """, rt AS (SELECT root_id FROM st GROUP BY root_id ORDER BY count(*) DESC, root_id LIMIT 3), n AS (SELECT root_id AS batch_key, id, k FROM (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY depth, id) AS k FROM st WHERE root_id IN (SELECT root_id FROM rt)) q WHERE k <= 40)
+SELECT batch_key, string_agg(concat(nodes.id, ': ', title), ' | ' ORDER BY concat(nodes.id, ': ', title)) AS samples FROM n JOIN nodes USING (id) WHERE k <= 5 GROUP BY batch_key""")
+def s3b(t):
+    nodes, _ = sinks.batches(states(t), shown(t), 3, 40)
+    return sinks.batch_samples(nodes, t.nodes.select("id", F.col("title").alias("text")), 5).select("batch_key", F.array_join("samples", " | ").alias("samples"))
+
+
 @query("s4_playlist", """WITH r AS (SELECT o_orderkey AS line, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE concat('n:', o_custkey % 40) END AS id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE concat('song ', o_orderkey) END AS song, CASE o_orderkey % 4 WHEN 0 THEN concat('https://youtu.be/', o_orderkey) WHEN 1 THEN concat('http://www.youtube.com/watch?v=', o_orderkey) WHEN 2 THEN concat('https://example.com/', o_orderkey) ELSE concat('https://m.youtube.com/watch?v=', o_orderkey) END AS url, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 50 AS INTEGER) END AS ordinal FROM orders),
 v AS (SELECT *, greatest(coalesce((SELECT max(n_nationkey) FROM nation WHERE concat('n:', n_nationkey) = r.id), -1), coalesce(max(ordinal) OVER (PARTITION BY id), -1)) AS m, sum(CASE WHEN ordinal IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY line) AS run FROM r WHERE id <> '' AND song IS NOT NULL AND url NOT LIKE '%example%') SELECT id, song, url, CAST(coalesce(ordinal, m + run) AS INTEGER) AS ordinal FROM v""")
 def s4(t):

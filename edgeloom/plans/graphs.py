@@ -133,6 +133,21 @@ def g10(t):
     return G.nearest_typed(G.reversed_edges(t.edges), t.nodes.where("kind = 'part'").select("id"), t.nodes, {"nation": 0, "region": 1})
 
 
+UP = """, h AS (SELECT id AS seed, id, 0 AS depth FROM nodes WHERE kind = 'supplier' UNION SELECT h.seed, e.from_id, h.depth + 1 FROM h JOIN (SELECT DISTINCT from_id, to_id FROM edges) e ON e.to_id = h.id WHERE h.depth < 8),
+k AS (SELECT seed, h.id, kind, CAST(min(depth) AS INTEGER) AS depth FROM h JOIN nodes n ON n.id = h.id WHERE kind IN ('nation', 'region') AND depth > 0 GROUP BY ALL)"""
+
+
+@query("g10_group", sql_with("nodes", "edges", recursive=True) + UP + " SELECT seed, id, kind, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY CASE kind WHEN 'region' THEN 0 ELSE 1 END, depth, id) AS rn FROM k) q WHERE rn = 1")
+def g10b(t):
+    return G.best_typed(G.reversed_edges(t.edges), t.nodes.where("kind = 'supplier'").select("id"), t.nodes, {"region": 0, "nation": 1})
+
+
+@query("g10_descendants", sql_with("nodes", "edges", recursive=True) + """, h AS (SELECT id AS seed, id, 0 AS depth FROM nodes WHERE kind = 'region' UNION SELECT h.seed, e.to_id, h.depth + 1 FROM h JOIN (SELECT DISTINCT from_id, to_id FROM edges) e ON e.from_id = h.id WHERE h.depth < 8)
+SELECT seed, h.id, kind, CAST(min(depth) AS INTEGER) AS depth FROM h JOIN nodes n ON n.id = h.id WHERE kind IN ('nation', 'supplier') GROUP BY ALL""")
+def g10c(t):
+    return G.typed_reach(t.edges, t.nodes.where("kind = 'region'").select("id"), t.nodes, ("nation", "supplier"))
+
+
 FLOWS = """fe AS (SELECT from_id, to_id, relation, CASE source WHEN 'inbound_index' THEN 'unlisted' WHEN 'manual_curation' THEN 'gpt_review' ELSE source END AS source, ordinal % 17 = 5 AS block_forward, ordinal % 13 = 2 AS block_reverse FROM shown),
 sw AS (SELECT * FROM (VALUES ('gpt_review', 1.18::DOUBLE), ('manual_curation', 1.1), ('infobox', 1.0), ('wikidata', 0.9)) v(source, sw)), rw AS (SELECT * FROM (VALUES ('subgenre', 1.0::DOUBLE, 0.34::DOUBLE), ('derivative', 0.76, 0.28), ('fusion_genre', 0.68, 0.26), ('regional_scene', 0.58, 0.82)) v(relation, f, b)),
 fl AS MATERIALIZED (SELECT from_id AS src, to_id AS dst, f * coalesce(sw, 0.82) AS w FROM fe LEFT JOIN sw USING (source) JOIN rw USING (relation) WHERE NOT block_forward UNION ALL SELECT to_id, from_id, b * coalesce(sw, 0.82) FROM fe LEFT JOIN sw USING (source) JOIN rw USING (relation) WHERE NOT block_reverse),

@@ -213,11 +213,15 @@ def a11(t):
     return m.select("id", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"), "n_sources", "needs_review", F.array_join("evidence", " | ").alias("evidence"))
 
 
-@query("a12_stats", sql_with("nodes", "edges") + """
-SELECT 'nodes' AS metric, count(*) AS value FROM nodes UNION ALL SELECT 'named', count(views) FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'related', count(*) FILTER (WHERE relation = 'related') FROM edges UNION ALL SELECT 'targets', count(DISTINCT to_id) FROM edges""")
+@query("a12_stats", sql_with("nodes", "edges", "names") + """
+SELECT 'nodes' AS metric, count(*) AS value FROM nodes UNION ALL SELECT 'named', count(views) FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'related', count(*) FILTER (WHERE relation = 'related') FROM edges UNION ALL SELECT 'targets', count(DISTINCT to_id) FROM edges
+UNION ALL SELECT 'resolved', count(*) FROM edges WHERE to_id IN (SELECT id FROM nodes) UNION ALL SELECT 'aliases', count(DISTINCT name) FROM names UNION ALL SELECT concat('queue:', event_type), count(*) FROM events GROUP BY event_type UNION ALL SELECT 'last_snapshot', max(event_id) FROM events""")
 def a12(t):
     n = A.metrics({"nodes": F.count("*"), "named": F.count("views")}, t.nodes)
-    return n.union(A.metrics({"edges": F.count("*"), "related": F.count_if(F.col("relation") == "related"), "targets": F.countDistinct("to_id")}, t.edges))
+    e = t.edges.join(t.nodes.select(F.col("id").alias("to_id"), F.lit(True).alias("known")), "to_id", "left")
+    n = n.union(A.metrics({"edges": F.count("*"), "related": F.count_if(F.col("relation") == "related"), "targets": F.countDistinct("to_id"), "resolved": F.count("known")}, e))
+    queue = t.events.groupBy(F.concat(F.lit("queue:"), "event_type").alias("metric")).agg(F.count("*").alias("value"))
+    return n.union(A.metrics({"aliases": F.countDistinct("name")}, t.names)).union(queue).union(A.metrics({"last_snapshot": F.max("event_id")}, t.events))
 
 
 @query("a13_shortfalls", """WITH m AS (SELECT l_suppkey AS id, l_partkey AS member, CASE l_linenumber % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS playable FROM lineitem WHERE l_quantity > 40)

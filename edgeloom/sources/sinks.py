@@ -16,6 +16,13 @@ def batches(states: DataFrame, edges: DataFrame, top_roots: int, per_root: int)
     return nodes, inside
 
 
+def batch_samples(nodes: DataFrame, texts: DataFrame, most: int, length: int = 200) -> DataFrame:
+    """(batch_key, samples): of each batch the texts (id, text) of its first ``most`` nodes by depth then id, as sorted 'id: text' strings."""
+    n = F.row_number().over(Window.partitionBy("batch_key").orderBy("depth", "id"))
+    first = nodes.join(texts.select("id", "text"), "id").withColumn("_n", n).where(F.col("_n") <= most)
+    return first.groupBy("batch_key").agg(F.sort_array(F.collect_list(F.concat(F.col("id"), F.lit(": "), F.substring("text", 1, length)))).alias("samples"))
+
+
 def export_batches(nodes: DataFrame, path: str) -> None:
     nodes.repartition("batch_key").write.mode("overwrite").partitionBy("batch_key").json(path)
 
