@@ -217,6 +217,42 @@ def _states() -> dict[str, Column]:
     return {"accepted": F.col("status") == "accepted", "rejected": F.col("status") == "rejected", "pending": ~F.col("status").isin("accepted", "rejected")}
 
 
+#: Regions that need no parent.
+TOPS = ("music", "africa", "americas", "asia", "europe", "north america", "south america", "oceania", "world")
+
+
+def readiness_audit(regions: DataFrame, edges: DataFrame, members: DataFrame, candidates: DataFrame, sources: DataFrame, kept: DataFrame) -> DataFrame:
+    """(metric, value, ready): whether the graph of regions can be shown.
+
+    regions: (id, name, title, kind, promoted, state); edges: (child, parent, status); members: (region, node, relation, status);
+    candidates: (status); sources: any rows; kept: (region, review), high-confidence decisions to leave a finding as it is, reviews being
+    ``zero_child``, ``parentless`` and ``broad``. Blocking are open members and candidates, promoted cities without members, regions
+    without a parent, invalid titles, duplicates and members of broad regions.
+    """
+    own = members.where(~F.col("relation").isin(*MENTIONS))
+    inside, promoted = own.where("status = 'accepted'"), regions.where("promoted")
+    left = lambda df, review, key="id": df.join(kept.where(F.col("review") == review).select(F.col("region").alias(key)), key, "left_anti")
+    owners = inside.select(F.col("region").alias("id"))
+    empty = left(promoted.where("kind = 'city' and coalesce(state, '') <> 'reviewed_empty'").join(owners, "id", "left_anti"), "zero_child")
+    gone = "coalesce(state, '') not in ('approved_root', 'approved_superregion', 'collapsed', 'rejected', 'demoted_source')"
+    parents = edges.where("status = 'accepted'").select(F.col("child").alias("id"))
+    alone = left(promoted.where(gone).where(~F.lower("name").isin(*TOPS)).join(parents, "id", "left_anti"), "parentless")
+    title = F.trim(F.regexp_replace(F.coalesce("title", F.lit("")), r"\s+", " "))
+    valid = ~F.lower(title).like("list of %") & (title.rlike(r"^Music of [^\s|<>][^|<>]*$") | title.rlike(r"^[^\s|<>][^|<>]* music$"))
+    invalid = promoted.where("coalesce(state, '') not in ('collapsed', 'rejected', 'demoted_source')").where(~valid)
+    broad = left(inside.join(regions.where(F.lower("name").isin(*BROAD)).select(F.col("id").alias("region")), "region", "left_semi"), "broad", "region")
+    proxies = regions.where(F.col("name").rlike("^[a-z]") & (F.col("name") == F.lower("name")) & F.lower("title").rlike("folk music|styles of music"))
+    blocking = {
+        "open_members": own.where("status = 'needs_review'"), "open_candidates": candidates.where("status in ('discovered', 'queued_for_crawl', 'needs_gpt_review')"),
+        "childless_cities": empty, "parentless": alone, "invalid_titles": invalid, "duplicates": inside.groupBy("region", "node", "relation").count().where("count > 1"),
+        "broad_members": broad,
+    }
+    told = {"regions": regions, "promoted": promoted, "edges": edges, "members": members, "candidates": candidates, "sources": sources, "accepted_edges": edges.where("status = 'accepted'"), "accepted_members": inside, "style_proxies": proxies}
+    stops = audit(list(blocking.items()))
+    ready = stops.agg((F.sum("value") == 0).alias("ready"))
+    return stops.union(audit(list(told.items()))).join(F.broadcast(ready), F.lit(True))
+
+
 def coverage_counts(promoted: DataFrame, members: DataFrame, inferred: DataFrame, most: int = 25) -> tuple[DataFrame, DataFrame]:
     """(metric, value) of how promoted regions (region, name, views) are covered by members (region, source_type, status) and by inferred
     ones (kind); and the most viewed regions (region, name) without any accepted member."""

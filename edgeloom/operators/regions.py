@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.operators.graph import closure, shortcuts
 from edgeloom.operators.ingest import max_merge
+from edgeloom.operators.staging import cut
 
 SELECTED = ("from_id", "to_id", "relation", "evidence")
 
@@ -130,6 +131,55 @@ def collapse(metrics: DataFrame, edges: DataFrame, members: DataFrame, listed: t
     return mapping, repoint(edges.select("child", "parent", "confidence").join(mapping.select(F.col("old").alias("child")), "child", "left_anti"), mapping, "parent", ["child", "parent"]).where("child <> parent"), repoint(members, mapping, "container", ["container", "node"])
 
 
+def hierarchy_pass(regions: DataFrame, edges: DataFrame, members: DataFrame, kinds: DataFrame, required: DataFrame, titles: DataFrame, merges: DataFrame, proxies: DataFrame, listed: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The ordered pass that makes a tree of regions accessible: (regions, edges, members).
+
+    regions: (id, name, kind, special); edges: (child, parent, confidence), all accepted; members: (region, node, confidence, status), status
+    accepted or candidate. In order: kinds by name (name, kind) and titles (id, title); required parents (child, parent); merges (old, new)
+    and style proxies (id) with a single parent, a country; then low-value regions, which go into the country parent of the best
+    confidence, then name. Super-regions, countries, continents, cities and special-map regions with any member or child stay. What points
+    at a merged region points at its target, and a target that is merged itself passes it on once. At last a parent that is a
+    continent or super-region is rejected where the child has a country as a parent too.
+
+    Returned: regions (id, kind, title, target, visible), edges (child, parent, confidence, status), members (region, node, confidence,
+    status). Every step is a join over whole tables; only rule tables are small.
+    """
+    r = regions.join(kinds.select("name", F.col("kind").alias("_k")), "name", "left").join(titles.select("id", F.col("title").alias("_t")), "id", "left")
+    r = cut(r.select("id", "name", F.coalesce("_k", "kind").alias("kind"), "special", F.coalesce("_t", "name").alias("title")), "hierarchy")
+    e = edges.select("child", "parent", "confidence").union(required.select("child", "parent", F.lit(1.0)))
+    e = cut(e.where("child <> parent").groupBy("child", "parent").agg(F.max("confidence").alias("confidence")), "hierarchy")
+    kind = lambda c: r.select(F.col("id").alias(c), F.col("kind").alias(f"{c}_kind"), F.col("name").alias(f"{c}_name"))
+    named = e.join(kind("child"), "child").join(kind("parent"), "parent")
+    country = named.where("parent_kind = 'country'").withColumn("_n", F.row_number().over(Window.partitionBy("child").orderBy(F.desc("confidence"), "parent_name", "parent"))).where("_n = 1").select(F.col("child").alias("id"), F.col("parent").alias("home"))
+    ups = named.groupBy(F.col("child").alias("id")).agg(F.count("*").alias("parents"), F.count_if(F.col("parent_kind") == "country").alias("country_parents"))
+    downs = named.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("children"), F.count_if(F.col("child_kind") == "country").alias("country_children"))
+    held = members.groupBy(F.col("region").alias("id")).agg(F.count_if(F.col("status") == "accepted").alias("owned"), F.count_if(F.col("status") != "accepted").alias("candidates"))
+    m = r.join(ups, "id", "left").join(downs, "id", "left").join(held, "id", "left").join(country, "id", "left").na.fill(0, ["parents", "country_parents", "children", "country_children", "owned", "candidates"])
+    wide = F.col("kind").isin("cultural_region", "subregion") & (F.col("children") >= 5) & (F.col("owned") >= 1)
+    m = m.withColumn("super", (F.col("kind") == "continent") | F.col("name").isin(*listed) | (F.col("country_children") >= 2) | (F.col("children") >= 8) | wide)
+    # for the collapse, countries below don't make a super-region
+    stays = (F.col("kind") == "continent") | F.col("name").isin(*listed) | (F.col("children") >= 8) | wide
+    total = F.col("owned") + F.col("candidates") + F.col("children")
+    loose = F.when(F.col("kind").isin("cultural_region", "diaspora_region", "historical_region"), (F.col("owned") == 0) & (F.col("children") == 0)).otherwise((F.col("owned") < 2) & (F.col("children") < 3))
+    low = ~F.col("kind").isin("country", "continent", "city") & ~(F.col("special") & (total > 0)) & ~stays & (F.col("country_parents") > 0) & ((total <= 1) | ((F.col("candidates") == 0) & loose))
+    m = m.join(merges.select(F.col("old").alias("id"), F.col("new").alias("_merge")), "id", "left").join(proxies.select("id", F.lit(True).alias("_proxy")), "id", "left")
+    target = F.coalesce("_merge", F.when((F.col("_proxy") & (F.col("parents") == 1) & (F.col("country_parents") == 1)) | low, F.col("home")))
+    m = cut(m.withColumn("target", F.when(target != F.col("id"), target)).select("id", "kind", "title", "target", "super"), "hierarchy")
+    step = m.where("target is not null").select(F.col("id").alias("old"), F.col("target").alias("new"))
+    mapping = cut(step.join(step.select(F.col("old").alias("new"), F.col("new").alias("_next")), "new", "left").select("old", F.coalesce("_next", "new").alias("new")).where("old <> new"), "hierarchy")
+    own = e.join(mapping.select(F.col("old").alias("child")), "child", "left_anti")
+    e = repoint(own, mapping, "parent", ["child", "parent"]).where("child <> parent")
+    held = repoint(members, mapping, "region", ["region", "node", "status"]).groupBy("region", "node").agg(F.max("confidence").alias("confidence"), F.min("status").alias("status"))
+    top = lambda c: m.select(F.col("id").alias(c), F.col("kind").alias("_k"), F.col("super").alias("_s"))
+    e = e.join(top("parent"), "parent").withColumn("_home", F.max(F.col("_k") == "country").over(Window.partitionBy("child")))
+    broader = F.col("_home") & (F.col("_k") != "country") & F.col("_s")
+    e = cut(e.select("child", "parent", "confidence", F.when(broader, "rejected").otherwise("accepted").alias("status")), "hierarchy")
+    seen = held.select(F.col("region").alias("id")).union(e.where("status = 'accepted'").select(F.col("parent").alias("id"))).distinct().withColumn("_seen", F.lit(True))
+    out = m.join(mapping.withColumnRenamed("old", "id"), "id", "left").join(seen, "id", "left")
+    visible = F.col("new").isNull() & F.coalesce("_seen", F.lit(False))
+    return out.select("id", "kind", "title", F.col("new").alias("target"), visible.alias("visible")), e, held
+
+
 def repoint(rows: DataFrame, mapping: DataFrame, column: str, key: list[str]) -> DataFrame:
     """Rows with ``column`` moved along mapping (old, new); repeats of the key keep the best confidence."""
     j = rows.join(mapping.select(F.col("old").alias(column), F.col("new").alias("_new")), column, "left").withColumn(column, F.coalesce("_new", column))

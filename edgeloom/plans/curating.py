@@ -6,6 +6,7 @@ from edgeloom.operators import curate as C
 from edgeloom.operators import edges as E
 from edgeloom.operators import graph as G
 from edgeloom.operators import regions as R
+from edgeloom.operators import triage as T
 from edgeloom.plans.bindings import sql_with
 from edgeloom.plans.graphs import TREE
 from edgeloom.plans.registry import query
@@ -106,6 +107,47 @@ def g25(t):
     return R.collapse(mt, ed, ed.select(F.col("parent").alias("container"), F.col("child").alias("node"), "confidence"))[1]
 
 
+_TREE = """WITH rg AS (SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 20 = 3 THEN 'city' ELSE ['country', 'subregion', 'cultural_region', 'historical_region', 'continent'][1 + CASE s_suppkey % 10 WHEN 0 THEN 0 WHEN 9 THEN 4 ELSE 1 + s_suppkey % 3 END] END AS kind, s_suppkey % 9 = 4 AS special, CASE WHEN s_suppkey % 11 = 2 THEN concat('Music of ', s_name) ELSE s_name END AS title FROM supplier),
+e0 AS (SELECT l_suppkey AS child, l_partkey % (SELECT count(*) FROM supplier) AS parent, max(l_discount) AS confidence FROM lineitem WHERE l_quantity > 49 GROUP BY ALL UNION ALL SELECT s_suppkey, s_suppkey // 10 * 10, 1.0 FROM supplier WHERE s_suppkey % 13 = 5), ed AS (SELECT child, parent, max(confidence) AS confidence FROM e0 WHERE child <> parent GROUP BY ALL),
+mb AS (SELECT l_suppkey AS region, l_partkey AS node, max(l_tax) AS confidence, CASE max(l_returnflag) WHEN 'A' THEN 'accepted' ELSE 'candidate' END AS status FROM lineitem WHERE l_suppkey % 4 = 1 AND l_quantity < 3 GROUP BY ALL), nm AS (SELECT ed.*, c.kind AS ck, p.kind AS pk, p.name AS pn FROM ed JOIN rg c ON c.id = child JOIN rg p ON p.id = parent),
+hm AS (SELECT child AS id, parent AS home FROM (SELECT *, row_number() OVER (PARTITION BY child ORDER BY confidence DESC, pn, parent) AS n FROM nm WHERE pk = 'country') q WHERE n = 1), up AS (SELECT child AS id, count(*) AS parents, count(*) FILTER (WHERE pk = 'country') AS cp FROM nm GROUP BY 1), dn AS (SELECT parent AS id, count(*) AS children, count(*) FILTER (WHERE ck = 'country') AS cc FROM nm GROUP BY 1), hl AS (SELECT region AS id, count(*) FILTER (WHERE status = 'accepted') AS owned, count(*) FILTER (WHERE status <> 'accepted') AS cand FROM mb GROUP BY 1),
+mm AS (SELECT rg.*, coalesce(parents, 0) AS parents, coalesce(cp, 0) AS cp, coalesce(children, 0) AS children, coalesce(cc, 0) AS cc, coalesce(owned, 0) AS owned, coalesce(cand, 0) AS cand, home FROM rg LEFT JOIN up USING (id) LEFT JOIN dn USING (id) LEFT JOIN hl USING (id) LEFT JOIN hm USING (id)),
+m1 AS (SELECT *, kind = 'continent' OR name = 'Supplier#000000021' OR children >= 8 OR (kind IN ('cultural_region', 'subregion') AND children >= 5 AND owned >= 1) AS stays, owned + cand + children AS total, CASE WHEN kind IN ('cultural_region', 'diaspora_region', 'historical_region') THEN owned = 0 AND children = 0 ELSE owned < 2 AND children < 3 END AS loose FROM mm),
+m2 AS (SELECT *, stays OR cc >= 2 AS sup, coalesce(CASE WHEN id % 17 = 6 THEN id - 1 END, CASE WHEN (id % 7 = 3 AND parents = 1 AND cp = 1) OR (kind NOT IN ('country', 'continent', 'city') AND NOT (special AND total > 0) AND NOT stays AND cp > 0 AND (total <= 1 OR (cand = 0 AND loose))) THEN home END) AS tg FROM m1),
+ma AS (SELECT a.id AS old, coalesce(b.tg, a.tg) AS new FROM m2 a LEFT JOIN m2 b ON b.id = a.tg AND b.tg <> b.id WHERE a.tg <> a.id AND coalesce(b.tg, a.tg) <> a.id),
+e2 AS (SELECT child, coalesce(new, parent) AS parent, max(confidence) AS confidence FROM ed LEFT JOIN ma ON old = parent WHERE child NOT IN (SELECT old FROM ma) AND child <> coalesce(new, parent) GROUP BY ALL), e3 AS (SELECT e2.*, kind, sup, bool_or(kind = 'country') OVER (PARTITION BY child) AS hc FROM e2 JOIN m2 ON m2.id = parent), e4 AS (SELECT child, parent, confidence, CASE WHEN hc AND kind <> 'country' AND sup THEN 'rejected' ELSE 'accepted' END AS status FROM e3),
+h2 AS (SELECT coalesce(new, region) AS region, node, max(confidence) AS confidence, min(status) AS status FROM mb LEFT JOIN ma ON old = region GROUP BY ALL)"""
+
+
+def _hierarchy(t):
+    k, n = F.col("s_suppkey"), t.supplier.count()
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("country", "subregion", "cultural_region", "historical_region", "continent")]), (F.when(k % 10 == 0, 0).when(k % 10 == 9, 4).otherwise(k % 3 + 1) + 1).cast("int"))
+    regions = t.supplier.select(k.alias("id"), F.col("s_name").alias("name"), kinds.alias("kind"), (k % 9 == 4).alias("special"))
+    edges = t.lineitem.where("l_quantity > 49").groupBy(F.col("l_suppkey").alias("child"), (F.col("l_partkey") % n).alias("parent")).agg(F.max("l_discount").alias("confidence"))
+    members = t.lineitem.where("l_suppkey % 4 = 1 and l_quantity < 3").groupBy(F.col("l_suppkey").alias("region"), F.col("l_partkey").alias("node")).agg(F.max("l_tax").alias("confidence"), F.when(F.max("l_returnflag") == "A", "accepted").otherwise("candidate").alias("status"))
+    own = lambda when, *c: t.supplier.where(when).select(*c)
+    cities = own("s_suppkey % 20 = 3", F.col("s_name").alias("name"), F.lit("city").alias("kind"))
+    required = own("s_suppkey % 13 = 5", k.alias("child"), (F.floor(k / 10) * 10).alias("parent"))
+    titles = own("s_suppkey % 11 = 2", k.alias("id"), F.concat(F.lit("Music of "), "s_name").alias("title"))
+    merges = own("s_suppkey % 17 = 6", k.alias("old"), (k - 1).alias("new"))
+    return R.hierarchy_pass(regions, edges, members, cities, required, titles, merges, own("s_suppkey % 7 = 3", k.alias("id")), ("Supplier#000000021",))
+
+
+@query("g25_regions", _TREE + ", sn AS (SELECT region AS id FROM h2 UNION SELECT parent FROM e4 WHERE status = 'accepted') SELECT m2.id, kind, title, ma.new AS target, ma.new IS NULL AND m2.id IN (SELECT id FROM sn) AS visible FROM m2 LEFT JOIN ma ON ma.old = m2.id")
+def g25b(t):
+    return _hierarchy(t)[0]
+
+
+@query("g25_edges", _TREE + " SELECT child, parent, confidence, status FROM e4")
+def g25c(t):
+    return _hierarchy(t)[1]
+
+
+@query("g25_members", _TREE + " SELECT region, node, confidence, status FROM h2")
+def g25d(t):
+    return _hierarchy(t)[2]
+
+
 @query("g26_alias_proxies", """WITH c AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN concat('Music of ', p_name) WHEN 1 THEN p_brand ELSE p_name END AS name, p_type AS kind FROM part), tg AS (SELECT lower(name) AS t, min(id) AS new FROM c WHERE kind IN ('ECONOMY', 'STANDARD', 'PROMO', 'SMALL') GROUP BY 1),
 v AS (SELECT id, 'red ring' AS t FROM c WHERE lower(name) = 'brand#3' UNION SELECT id, lower(regexp_replace(regexp_replace(name, '(?i)^music of (?:the )?', ''), '(?i) music$', '')) FROM c WHERE name LIKE 'Music of %')
 SELECT id AS old, min(new) AS new FROM v JOIN tg ON tg.t = v.t WHERE id <> new GROUP BY id""")
@@ -313,10 +355,34 @@ def q2b(t):
     return C.ruled(t.spark.sql(MEM.replace("FROM part", "FROM bound_part")), C.MEMBER_RULES).select("id", "status", "reason")
 
 
-@query("q3_triage", "SELECT CASE WHEN p_name LIKE '%ring%' THEN 'accepted' WHEN p_size < 10 THEN 'rejected' ELSE 'needs_review' END AS status, CASE WHEN p_name LIKE '%ring%' THEN 'known kind' WHEN p_size < 10 THEN 'too small' ELSE 'no rule' END AS reason, count(*) AS n FROM part GROUP BY ALL")
+_CANDIDATES = """SELECT p_partkey AS id, CASE p_partkey % 12 WHEN 0 THEN concat('Category:Music of ', p_name) WHEN 1 THEN concat('Music in ', p_name, ' County') WHEN 2 THEN concat(p_name, ' award') WHEN 3 THEN 'Music by city' WHEN 4 THEN concat('Ancient ', p_name) WHEN 5 THEN concat(p_name, ' folk music') WHEN 6 THEN concat('Music history of ', p_name)
+WHEN 7 THEN concat(p_name, ' (1850-1900)') WHEN 8 THEN 'Music of the Caribbean' WHEN 9 THEN concat('Indigenous ', p_name, ' music') WHEN 10 THEN concat(p_name, ' library') ELSE concat(p_name, ' music') END AS title, CASE p_size % 5 WHEN 0 THEN 'Category:Music by country' WHEN 1 THEN 'Styles of music' WHEN 2 THEN 'Music by city' WHEN 3 THEN 'X by state' END AS source_title,
+['music_region_page', 'music_region_category', 'region_container_category', 'regional_music_list', 'cultural_region_page', 'regional_genre_page', 'unknown_music_candidate', 'other'][1 + p_partkey % 8] AS candidate_type, p_size / 50.0::DOUBLE AS confidence FROM part"""
+_TRIAGED = f"""WITH c AS ({_CANDIDATES}), b AS (SELECT *, p AS t, CASE source_title WHEN 'Category:Music by country' THEN 'music by country' ELSE lower(coalesce(source_title, '')) END AS s, id % 12 AS k FROM (SELECT *, regexp_replace(lower(title), '^category:', '') AS p FROM c) q),
+n AS (SELECT *, CASE WHEN k IN (0, 1) THEN regexp_replace(t, '^music (of|in) ', '') WHEN k = 8 THEN 'caribbean' END AS region, CASE WHEN k = 1 THEN CASE WHEN s LIKE '%by city%' THEN 'city' ELSE 'subregion' END WHEN k = 4 THEN 'historical_region' WHEN k = 9 THEN 'cultural_region' WHEN s LIKE '%by country%' THEN 'country' WHEN s LIKE '%by state%' OR k = 8 THEN 'subregion' ELSE 'unknown' END AS kd FROM b)"""
+
+
+def _candidates(t):
+    k, name = F.col("p_partkey"), F.col("p_name")
+    cat = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    titles = [cat("Category:Music of ", name), cat("Music in ", name, " County"), cat(name, " award"), F.lit("Music by city"), cat("Ancient ", name), cat(name, " folk music"), cat("Music history of ", name), cat(name, " (1850-1900)"), F.lit("Music of the Caribbean"), cat("Indigenous ", name, " music"), cat(name, " library"), cat(name, " music")]
+    title = F.element_at(F.array(*titles), (k % 12 + 1).cast("int"))
+    source = F.element_at(F.array(*[F.lit(x) for x in ("Category:Music by country", "Styles of music", "Music by city", "X by state", None)]), (F.col("p_size") % 5 + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("music_region_page", "music_region_category", "region_container_category", "regional_music_list", "cultural_region_page", "regional_genre_page", "unknown_music_candidate", "other")]), (k % 8 + 1).cast("int"))
+    return t.part.select(k.alias("id"), title.alias("title"), source.alias("source_title"), kind.alias("candidate_type"), (F.col("p_size") / 50.0).alias("confidence"))
+
+
+@query("q3_triage", _TRIAGED + """, x AS (SELECT *, id % 8 AS o, CASE WHEN k = 2 THEN ['reject', 'unknown', '0.96'] WHEN k = 3 THEN ['needs_review', 'unknown', '0.6'] WHEN id % 8 IN (0, 1) THEN ['accept', kd, '0.88'] WHEN id % 8 = 2 THEN ['needs_review', 'unknown', '0.72'] WHEN id % 8 = 3 THEN ['accept', 'unknown', '0.82'] WHEN id % 8 = 4 THEN ['needs_review', kd, '0.7']
+WHEN id % 8 = 5 THEN CASE WHEN k IN (4, 5, 9) OR s = 'styles of music' THEN ['accept', kd, '0.74'] ELSE ['needs_review', kd, '0.58'] END WHEN id % 8 = 6 AND (k = 6 OR ((k IN (5, 9, 11)) AND s IN ('styles of music', 'music by city'))) THEN ['needs_review', kd, '0.62'] ELSE ['needs_review', kd, '0.5'] END AS r FROM n)
+SELECT id, r[1] AS status, region, r[2] AS kind, CASE WHEN r[1] = 'reject' THEN 0.96 ELSE greatest(confidence, CAST(r[3] AS DOUBLE)) END::DOUBLE AS sure FROM x""")
 def q3(t):
-    rules = [("p_name like '%ring%'", ("accepted", "known kind")), ("p_size < 10", ("rejected", "too small"))]
-    return C.ruled(t.part, rules).groupBy("status", "reason").agg(F.count("*").alias("n"))
+    return T.triage(_candidates(t)).select("id", "status", "region", "kind", "sure")
+
+
+@query("q3_final", _TRIAGED + """, x AS (SELECT *, CASE WHEN k IN (2, 10) THEN ['reject', 'unknown', '0.9'] WHEN k = 7 THEN ['reject', 'unknown', '0.82'] WHEN id % 8 = 2 THEN ['accept', kd, '0.78'] WHEN id % 8 = 1 THEN ['accept', kd, '0.82'] WHEN id % 8 = 4 THEN ['accept', kd, '0.76'] WHEN id % 8 = 6 THEN ['accept', CASE WHEN k = 6 THEN 'historical_region' ELSE kd END, '0.7'] ELSE ['accept', kd, '0.72'] END AS r FROM n)
+SELECT id, r[1] AS status, region, r[2] AS kind, greatest(confidence, CAST(r[3] AS DOUBLE)) AS sure FROM x""")
+def q3b(t):
+    return T.triage(_candidates(t), final=True).select("id", "status", "region", "kind", "sure")
 
 
 _AUDIT = """, kp AS (SELECT * FROM staged_edges WHERE status = 'accepted'), ow AS (SELECT * FROM staged_members WHERE relation <> 'regional_style_mention'), ce AS (SELECT DISTINCT child AS f, parent AS t FROM kp WHERE relation IN ('part_of', 'admin_parent')),
@@ -342,13 +408,23 @@ def q4b(t):
     return _promotion(t)[1]
 
 
-@query("q5_readiness_audit", sql_with("nodes", "edges") + """, m AS (SELECT 'unnamed' AS metric, count(*) AS value FROM nodes WHERE title IS NULL OR title = '' UNION ALL SELECT 'childless', count(*) FROM nodes WHERE kind <> 'part' AND id NOT IN (SELECT from_id FROM edges) UNION ALL SELECT 'parentless', count(*) FROM nodes WHERE kind <> 'region' AND id NOT IN (SELECT to_id FROM edges) UNION ALL SELECT 'dangling', count(*) FROM edges WHERE to_id NOT IN (SELECT id FROM nodes))
-SELECT metric, value, (SELECT sum(value) FROM m) = 0 AS ready FROM m""")
+_READY = """, rg AS (SELECT id, name, CASE WHEN id LIKE '%F' THEN concat('Music of ', name) WHEN id LIKE '%O' THEN concat(name, ' music') ELSE 'List of x' END AS title, CASE WHEN id LIKE '%:3_' THEN 'city' ELSE 'subregion' END AS kind, views > 1 OR id LIKE '%:3_' AS promoted, CASE WHEN id LIKE '%:4P' THEN 'reviewed_empty' WHEN id LIKE '%:5P' THEN 'collapsed' END AS state FROM staged_regions),
+ow AS (SELECT * FROM staged_members WHERE relation <> 'regional_style_mention'), ac AS (SELECT * FROM ow WHERE status = 'accepted'), pm AS (SELECT * FROM rg WHERE promoted), kp AS (SELECT id AS region, ['zero_child', 'parentless', 'broad'][1 + length(id) % 3] AS review FROM staged_regions WHERE id LIKE '%:3F' OR id LIKE '%:2F'), cd AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'discovered' ELSE 'done' END AS status FROM orders)"""
+
+
+@query("q5_readiness_audit", sql_with("staged_regions", "staged_members", "staged_edges") + _READY + """, st AS (SELECT 'open_members' AS metric, count(*) AS value FROM ow WHERE status = 'needs_review' UNION ALL SELECT 'open_candidates', count(*) FROM cd WHERE status = 'discovered' UNION ALL SELECT 'childless_cities', count(*) FROM pm WHERE kind = 'city' AND coalesce(state, '') <> 'reviewed_empty' AND id NOT IN (SELECT region FROM ac) AND id NOT IN (SELECT region FROM kp WHERE review = 'zero_child')
+UNION ALL SELECT 'parentless', count(*) FROM pm WHERE coalesce(state, '') <> 'collapsed' AND lower(name) <> 'asia' AND id NOT IN (SELECT child FROM staged_edges WHERE status = 'accepted') AND id NOT IN (SELECT region FROM kp WHERE review = 'parentless') UNION ALL SELECT 'invalid_titles', count(*) FROM pm WHERE coalesce(state, '') <> 'collapsed' AND title LIKE 'List of %'
+UNION ALL SELECT 'duplicates', count(*) FROM (SELECT 1 FROM ac GROUP BY region, node, relation HAVING count(*) > 1) q UNION ALL SELECT 'broad_members', count(*) FROM ac WHERE region LIKE '%:2F' AND region NOT IN (SELECT region FROM kp WHERE review = 'broad')),
+tl AS (SELECT 'regions' AS metric, count(*) AS value FROM rg UNION ALL SELECT 'promoted', count(*) FROM pm UNION ALL SELECT 'edges', count(*) FROM staged_edges UNION ALL SELECT 'members', count(*) FROM staged_members UNION ALL SELECT 'candidates', count(*) FROM cd UNION ALL SELECT 'sources', count(*) FROM supplier UNION ALL SELECT 'accepted_edges', count(*) FROM staged_edges WHERE status = 'accepted' UNION ALL SELECT 'accepted_members', count(*) FROM ac UNION ALL SELECT 'style_proxies', CAST(0 AS BIGINT))
+SELECT metric, value, (SELECT sum(value) FROM st) = 0 AS ready FROM (SELECT * FROM st UNION ALL SELECT * FROM tl) q""")
 def q5(t):
-    n, e = t.nodes, t.edges
-    src, dst = e.select(F.col("from_id").alias("id")), e.select(F.col("to_id").alias("id"))
-    m = C.audit([("unnamed", n.where("title is null or title = ''")), ("childless", n.where("kind <> 'part'").join(src, "id", "left_anti")), ("parentless", n.where("kind <> 'region'").join(dst, "id", "left_anti")), ("dangling", dst.join(n, "id", "left_anti"))])
-    return m.join(F.broadcast(m.agg((F.sum("value") == 0).alias("ready"))), F.lit(True))
+    r = t.staged_regions
+    title = F.when(F.col("id").like("%F"), F.concat(F.lit("Music of "), "name")).when(F.col("id").like("%O"), F.concat("name", F.lit(" music"))).otherwise("List of x")
+    regions = r.select("id", "name", title.alias("title"), F.when(F.col("id").like("%:3_"), "city").otherwise("subregion").alias("kind"), ((F.col("views") > 1) | F.col("id").like("%:3_")).alias("promoted"), F.when(F.col("id").like("%:4P"), "reviewed_empty").when(F.col("id").like("%:5P"), "collapsed").alias("state"))
+    review = F.element_at(F.array(F.lit("zero_child"), F.lit("parentless"), F.lit("broad")), F.length("id") % 3 + 1)
+    kept = r.where("id like '%:3F' or id like '%:2F'").select(F.col("id").alias("region"), review.alias("review"))
+    candidates = t.orders.select(F.when(F.col("o_orderstatus") == "F", "discovered").otherwise("done").alias("status"))
+    return C.readiness_audit(regions, t.staged_edges, t.staged_members, candidates, t.supplier, kept)
 
 
 @query("q6_coverage", sql_with("nodes", "edges") + """, c AS (SELECT id, id IN (SELECT to_id FROM edges WHERE source = 'wikidata') AS d, id IN (SELECT to_id FROM edges WHERE source = 'infobox') AS p FROM nodes) SELECT CASE WHEN d AND p THEN 'both' WHEN d THEN 'direct' WHEN p THEN 'page' ELSE 'none' END AS covered, count(*) AS n FROM c GROUP BY 1""")
