@@ -138,6 +138,24 @@ def template_links(pages: DataFrame, cues: tuple[str, ...] = ("genre", "style"))
     return own.select("page", owner.alias("owner"), F.explode(F.regexp_extract_all("block", F.lit(LINK), 1)).alias("link")).distinct()
 
 
+def page_job(picked: DataFrame, pages: DataFrame, dictionary: DataFrame, stored: DataFrame, nested: float = 0.7, template: float = 0.66) -> tuple[DataFrame, DataFrame]:
+    """What the pages of owners (owner, page) say: (evidence, edges).
+
+    Evidence (owner, target_id, how, where, confidence, page) comes from links in sections, from the first links of nested bullets, where
+    the bullet above is the place, and from navigation templates; links resolve by dictionary (key, id). Edges (owner, target_id, confidence)
+    are the stored ones with the best evidence put in: an owner and a target meet once.
+    """
+    own = pages.join(picked.select("page").distinct(), "page", "left_semi")
+    known = dictionary.select("key", F.col("id").alias("target_id"))
+    named = lambda df: df.where((F.col("link") != "") & ~skipped_link("link")).withColumn("key", F.lower(link_title("link"))).join(known, "key")
+    found = section_links(own, dictionary).select("page", "target_id", F.lit("section").alias("how"), F.col("section").alias("where"), "confidence")
+    found = found.union(named(nested_context(own)).select("page", "target_id", F.lit("nested"), "context", F.lit(nested)))
+    found = found.union(named(template_links(own)).select("page", "target_id", F.lit("template"), "owner", F.lit(template))).distinct()
+    evidence = picked.join(found, "page").select("owner", "target_id", "how", "where", "confidence", "page")
+    best = stored.select("owner", "target_id", "confidence").union(evidence.select("owner", "target_id", "confidence"))
+    return evidence, best.groupBy("owner", "target_id").agg(F.max("confidence").alias("confidence"))
+
+
 def page_list(*sources: DataFrame) -> DataFrame:
     """(owner, title, priority) of several page lists in order of priority, each (owner, lower title) once."""
     all_ = None

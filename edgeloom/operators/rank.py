@@ -91,7 +91,8 @@ def best_rank_rows(df: DataFrame, key: list[str], rank) -> DataFrame:
 
 
 def random_row(df: DataFrame, seed: int) -> DataFrame:
-    return df.orderBy(F.rand(seed)).limit(1)
+    """A row (id, ...) drawn by a hash of its id and the seed: each as likely as another, and the same one when a task runs again."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))).cast("binary")), "id").limit(1)
 
 
 def ordered_first(df: DataFrame, order: list, n: int) -> DataFrame:

@@ -86,11 +86,21 @@ e AS (SELECT concat('k', p_partkey) AS child, concat('k', p_partkey % 30 * 3) AS
 d AS (SELECT a.id AS from_id, b.id AS to_id, relation, row_number() OVER (PARTITION BY a.id, b.id ORDER BY CASE relation WHEN 'admin_parent' THEN 0 ELSE 1 END) AS rn FROM e JOIN m a ON a.container_id = parent JOIN m b ON b.container_id = child WHERE a.id <> b.id)
 SELECT from_id, to_id, relation, CAST(row_number() OVER (PARTITION BY from_id ORDER BY to_id) - 1 AS INTEGER) AS ordinal FROM d WHERE rn = 1""")
 def g24(t):
+    return _promoted(t)[1]
+
+
+@query("g24_nodes", """WITH c AS (SELECT concat('k', p_partkey) AS container_id, p_name AS name, p_size AS priority FROM part WHERE p_partkey % 3 = 0), n AS (SELECT lower(p_name) AS t, min(concat('p:', p_partkey)) AS id FROM part WHERE p_partkey % 7 = 1 GROUP BY 1), j AS (SELECT c.*, n.id FROM c LEFT JOIN n ON t = lower(name))
+SELECT container_id, id, FALSE AS is_new FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority, container_id) AS rn FROM j WHERE id IS NOT NULL) q WHERE rn = 1 UNION ALL SELECT container_id, concat('c:', container_id), TRUE FROM j WHERE id IS NULL""")
+def g24b(t):
+    return _promoted(t)[0]
+
+
+def _promoted(t):
     k = F.col("p_partkey")
     c = t.part.where("p_partkey % 3 = 0").select(F.concat(F.lit("k"), k).alias("container_id"), F.col("p_name").alias("name"), F.col("p_size").alias("priority"))
     n = t.part.where("p_partkey % 7 = 1").select(F.concat(F.lit("p:"), k).alias("id"), F.col("p_name").alias("title"))
     e = t.part.select(F.concat(F.lit("k"), k).alias("child"), F.concat(F.lit("k"), k % 30 * 3).alias("parent"), F.when(F.col("p_size") % 2 == 0, "admin_parent").otherwise("part_of").alias("relation"))
-    return R.promote(c, n, e)[1]
+    return R.promote(c, n, e)
 
 
 METRICS = "mt AS (SELECT s_suppkey AS id, s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN 'country' WHEN 1 THEN 'sub_region' ELSE 'cultural' END AS kind, s_suppkey % 3 AS owned, s_suppkey % 2 AS candidates, s_suppkey % 5 AS children, CASE WHEN s_suppkey % 10 = 3 THEN 2 ELSE 0 END AS country_children, s_suppkey % 9 = 4 AS special FROM supplier), ed AS (SELECT DISTINCT l_suppkey AS child, l_partkey % 20 * 4 % (SELECT count(*) FROM supplier) AS parent, round(l_discount * 10, 2) AS confidence FROM lineitem WHERE l_quantity > 44)"

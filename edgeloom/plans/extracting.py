@@ -98,16 +98,32 @@ def x10(t):
     return X.template_links(t.wiki)
 
 
-@query("x11_page_job", sql_with("wiki") + f",\n{LINES},\n{FOUND}" + r""",
+_JOB = sql_with("wiki") + f",\n{LINES},\n{FOUND}" + r""",
 src AS (SELECT type AS owner, title, page, 0 AS pr FROM wiki WHERE page % 3 = 0 UNION ALL SELECT type, upper(title), page, 1 FROM wiki WHERE page % 2 = 0),
-one AS (SELECT owner, page, pr, row_number() OVER (PARTITION BY owner, lower(title) ORDER BY pr, title) AS rn FROM src)
-SELECT owner, target_id, max(confidence) AS confidence, count(*) AS n FROM one JOIN best b ON b.page = one.page AND b.rn = 1 WHERE one.rn = 1 GROUP BY owner, target_id""")
-def x11(t):
+one AS (SELECT owner, page FROM (SELECT owner, page, row_number() OVER (PARTITION BY owner, lower(title) ORDER BY pr, title) AS rn FROM src) q WHERE rn = 1),
+b AS (SELECT page, CAST(pos AS INTEGER) AS pos, section, CAST(len(regexp_extract(line, '^([*#]+)', 1)) AS INTEGER) AS depth, regexp_extract(line, '\[\[([^\]|#]+)(?:[^\]|]*)(?:\|[^\]]*)?\]\]', 1) AS link FROM lines WHERE kind = 'list'),
+ne AS (SELECT page, link, coalesce((SELECT max_by(a.link, a.pos) FROM b a WHERE a.page = b.page AND a.section = b.section AND a.pos < b.pos AND a.depth < b.depth), section) AS context FROM b),
+nb AS (SELECT page, unnest(regexp_extract_all(text, '(?s)(\{\{Navbox.*?\n\}\})', 1)) AS b FROM wiki), te AS (SELECT DISTINCT page, trim(regexp_replace(lower(regexp_extract(b, '\|\s*title\s*=\s*([^\n]*)', 1)), '\bgenres?\b', '')) AS owner, unnest(""" + LINKS.format("b") + f""") AS link FROM nb),
+fd AS (SELECT page, target_id, 'section' AS how, section AS "where", confidence FROM best WHERE rn = 1 UNION SELECT page, dict.id, 'nested', context, 0.7 FROM ne JOIN dict ON key = lower({NORM.format("link")}) UNION SELECT page, dict.id, 'template', owner, 0.66 FROM te JOIN dict ON key = lower({NORM.format("link")})),
+ev AS (SELECT owner, target_id, how, "where", confidence, page FROM one JOIN fd USING (page))"""
+
+
+def _page_job(t):
     own = t.wiki.select(F.col("type").alias("owner"), "title", "page")
     pages = X.page_list(own.where("page % 3 = 0"), own.where("page % 2 = 0").withColumn("title", F.upper("title")))
     picked = pages.join(own.select(F.lower("title").alias("low"), "page").distinct(), F.lower("title") == F.col("low")).select("owner", "page")
-    links = X.section_links(t.wiki.join(picked.select("page").distinct(), "page", "left_semi"), dictionary(t))
-    return picked.join(links, "page").groupBy("owner", "target_id").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n"))
+    stored = t.part.select(F.col("p_type").alias("owner"), F.col("p_size").cast("long").alias("target_id"), F.lit(0.64).alias("confidence"))
+    return X.page_job(picked, t.wiki, dictionary(t), stored)
+
+
+@query("x11_evidence", _JOB + ' SELECT owner, target_id, how, "where", confidence, page FROM ev')
+def x11(t):
+    return _page_job(t)[0]
+
+
+@query("x11_page_job", _JOB + " SELECT owner, target_id, max(confidence) AS confidence FROM (SELECT owner, target_id, confidence FROM ev UNION ALL SELECT p_type, p_size, 0.64 FROM part) q GROUP BY ALL")
+def x11b(t):
+    return _page_job(t)[1]
 
 
 TITLES = "CASE p_partkey % 8 WHEN 0 THEN concat('Music of the ', p_name) WHEN 1 THEN concat('Category:Music of ', p_name) WHEN 2 THEN concat('List of ', p_name, ' styles') WHEN 3 THEN concat('List of ', p_name) WHEN 4 THEN concat(p_name, ' (country)') WHEN 5 THEN concat('Template:', p_name) WHEN 6 THEN concat('Category:', p_name) ELSE p_name END"

@@ -293,7 +293,7 @@ def w9(t):
     return t.nodes.orderBy(F.desc_nulls_last("views"), "title", "id").offset(10).limit(25).select("id", "views")
 
 
-@query("w10_random_row")
+@query("w10_random_row", sql_with("nodes") + " SELECT id FROM nodes WHERE views IS NOT NULL ORDER BY md5(concat(id, ':5')), id LIMIT 1")
 def w10(t):
     return R.random_row(t.nodes.where("views is not null"), 5).select("id")
 

@@ -104,7 +104,7 @@ def st4(t):
     return table.read()
 
 
-@query("st5_stale_alerts")
+@query("st5_stale_alerts", """WITH l AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM events) SELECT user_id, epoch_us(ts) // 1000 AS last_ms FROM l WHERE epoch_us(nx) // 1000 - epoch_us(ts) // 1000 > 43200000 OR (nx IS NULL AND epoch_us(ts) // 1000 + 43200000 <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events))""")
 def st5(t):
     folder = _folder(t)
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
