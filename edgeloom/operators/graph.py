@@ -254,14 +254,44 @@ def flow_edges(edges: DataFrame) -> DataFrame:
     return fwd.union(back).where("w > 0")
 
 
+WIDE = 64  # roots up to which a node's mix is kept in columns
+
+
 def affinity(nodes: DataFrame, roots: DataFrame, flows: DataFrame, rounds: int = 30, own: float = 0.05, every: int = 5) -> DataFrame:
     """(id, root, value): each node's mix of roots after Jacobi rounds over flows (src, dst, w).
 
     A round mixes the neighbours' vectors by weight with ``own`` times the node's own, and scales to sum 1; roots stay as they are;
-    nodes that nothing reaches keep what they have. Vectors are rows, so a round is one join and one sum.
+    nodes that nothing reaches keep what they have. With few roots a node's vector is one row of columns, so a round is one join and
+    one sum of as many rows as flows; with more roots than WIDE, vectors are rows of (id, root).
     """
-    pinned = roots.select("id", F.col("id").alias("root"), F.lit(1.0).alias("value"))
     free = cut(flows.join(roots.select(F.col("id").alias("dst")), "dst", "left_anti").groupBy("src", "dst").agg(F.sum("w").alias("w")), "flows")
+    few = sorted(r["id"] for r in roots.select("id").distinct().limit(WIDE + 1).collect())
+    v = _wide_rounds(free, few, rounds, own, every, flows) if 0 < len(few) <= WIDE else _long_rounds(free, roots, rounds, own, every)
+    return v.join(nodes.select("id"), "id", "left_semi")
+
+
+def _wide_rounds(free: DataFrame, roots: list, rounds: int, own: float, every: int, flows: DataFrame) -> DataFrame:
+    names = [f"c{k}" for k in range(len(roots))]
+    kind = flows.schema["src"].dataType
+    pinned = flows.sparkSession.createDataFrame([(r, *(1.0 if r == x else 0.0 for x in roots)) for r in roots], "id string, " + ", ".join(f"{c} double" for c in names)).withColumn("id", F.col("id").cast(kind))
+    mixed = None
+    for k in range(rounds):
+        v = pinned if mixed is None else pinned.unionByName(mixed)
+        sent = v.join(free, v["id"] == free["src"]).select(F.col("dst").alias("id"), "w", *names)
+        if mixed is not None:
+            sent = sent.unionByName(mixed.select("id", F.lit(own).alias("w"), *names))
+        sums = sent.groupBy("id").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in names])
+        total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
+        mixed = sums.withColumn("_t", total).where("_t > 0").select("id", *[(F.col(c) / F.col("_t")).alias(c) for c in names])
+        if (k + 1) % every == 0 or k == rounds - 1:
+            mixed = cut(mixed, "affinity")
+    v = pinned if mixed is None else pinned.unionByName(mixed)
+    each = F.explode(F.array(*[F.struct(F.lit(r).cast(kind).alias("root"), F.col(c).alias("value")) for r, c in zip(roots, names)]))
+    return v.select("id", each.alias("e")).select("id", "e.root", "e.value").where("value > 0")
+
+
+def _long_rounds(free: DataFrame, roots: DataFrame, rounds: int, own: float, every: int) -> DataFrame:
+    pinned = roots.select("id", F.col("id").alias("root"), F.lit(1.0).alias("value"))
     v = pinned
     for k in range(rounds):
         sent = v.join(free, v["id"] == free["src"]).select(F.col("dst").alias("id"), "root", (F.col("value") * F.col("w")).alias("value"))
@@ -272,7 +302,7 @@ def affinity(nodes: DataFrame, roots: DataFrame, flows: DataFrame, rounds: int =
         v = pinned.union(scaled)
         if (k + 1) % every == 0 or k == rounds - 1:
             v = cut(v, "affinity")
-    return v.join(nodes.select("id"), "id", "left_semi")
+    return v
 
 
 def root_floor(vectors: DataFrame, direct: DataFrame, floor: float = 0.5) -> DataFrame:
