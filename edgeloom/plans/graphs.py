@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from edgeloom.functions import text
 from edgeloom.operators import edges as E
 from edgeloom.operators import graph as G
 from edgeloom.plans.bindings import sql_with
@@ -191,7 +192,25 @@ def g12(t):
     return G.colours(v, palette, support, t.nodes.select("id", "views")).select("id", "confidence")
 
 
-@query("g12_colours")
+def _colour_sql() -> str:
+    """Palette colours to OKLab, the mix of the four top roots, and back to #rrggbb."""
+    dot = lambda row, names: "(" + " + ".join(f"({c}::DOUBLE) * {n}" for c, n in zip(row, names)) + ")"
+    channels = ", ".join(f"CAST(concat('0x', substr(c, {2 + 2 * k}, 2)) AS INTEGER) / 255.0::DOUBLE AS x{k}" for k in range(3))
+    linear = ", ".join(f"CASE WHEN x{k} <= 0.04045 THEN x{k} / 12.92 ELSE pow((x{k} + 0.055) / 1.055, 2.4) END AS y{k}" for k in range(3))
+    roots = ", ".join(f"pow({dot(row, ('y0', 'y1', 'y2'))}, 1.0::DOUBLE / 3) AS m{k}" for k, row in enumerate(text.LMS))
+    lab = ", ".join(f"{dot(row, ('m0', 'm1', 'm2'))} AS l{k}" for k, row in enumerate(text.LAB))
+    cubes = ", ".join(f"pow(z0 + {dot(row, ('z1', 'z2'))}, 3) AS q{k}" for k, row in enumerate(text.UNLAB))
+    rgb = ", ".join(f"{dot(row, ('q0', 'q1', 'q2'))} AS r{k}" for k, row in enumerate(text.UNLMS))
+    hexes = ", ".join(f"format('{{:02x}}', CAST(floor(greatest(0.0, least(1.0, CASE WHEN r{k} <= 0.0031308 THEN 12.92 * r{k} ELSE 1.055 * pow(greatest(r{k}, 0.0), 1.0::DOUBLE / 2.4) - 0.055 END)) * 255 + 0.5) AS INTEGER))" for k in range(3))
+    return f""",
+p0 AS (SELECT id AS root, concat('#', substr(md5(id), 1, 6)) AS c FROM nodes WHERE kind = 'region'), p1 AS (SELECT root, {channels} FROM p0), p2 AS (SELECT root, {linear} FROM p1), p3 AS (SELECT root, {roots} FROM p2), pal AS MATERIALIZED (SELECT root, {lab} FROM p3),
+t4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY value DESC, root) AS n FROM v29) q JOIN pal USING (root) WHERE n <= 4), mx AS (SELECT id, max(value) AS top, {", ".join(f"sum(value * l{k}) / sum(value) AS x{k}" for k in range(3))} FROM t4 GROUP BY id), sup AS (SELECT dst AS id, sum(w) AS w FROM fl GROUP BY 1),
+cf AS (SELECT mx.*, CASE WHEN kind = 'region' THEN 1.0::DOUBLE ELSE greatest(0, least(1, 0.14 + (1 - exp(-coalesce(w, 0) / 1.35)) * 0.56 + top * 0.14 + least(1, log10(coalesce(views, 0) + 1) / 6) * 0.16)) END AS conf FROM mx JOIN nodes USING (id) LEFT JOIN sup ON sup.id = mx.id),
+z AS (SELECT id, conf, greatest(0.56, least(0.74, x0)) AS z0, x1 * (0.52 + conf * 0.42) AS z1, x2 * (0.52 + conf * 0.42) AS z2 FROM cf), q AS (SELECT id, conf, {cubes} FROM z), r AS (SELECT id, conf, {rgb} FROM q)
+SELECT id, CAST(round(conf, 4) AS DOUBLE) AS confidence, concat('#', {hexes}) AS colour FROM r"""
+
+
+@query("g12_colours", sql_with("nodes", "edges") + f",\n{SHOWN},\n{_rounds(30)}" + _colour_sql())
 def g12b(t):
     palette = roots(t).withColumn("colour", F.concat(F.lit("#"), F.substring(F.md5(F.col("id").cast("binary")), 1, 6)))
     return G.colours(_affinity(t), palette, _flows(t).groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("w")), t.nodes.select("id", "views"))
