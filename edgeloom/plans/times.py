@@ -6,7 +6,7 @@ from edgeloom.operators import temporal as Y
 from edgeloom.plans.bindings import sql_with
 from edgeloom.plans.registry import query
 
-OBS = "obs AS (SELECT DISTINCT id, year_start AS start, greatest(year_end, year_start) AS end_, weight / 10 AS weight, CASE kind WHEN 'R' THEN 'medium' WHEN 'A' THEN 'high' ELSE 'low' END AS confidence, CASE kind WHEN 'R' THEN 'emergence' WHEN 'A' THEN 'popularity' ELSE 'influence' END AS kind, 'summary' AS source FROM years)"
+OBS = "obs AS (SELECT DISTINCT id, year_start AS start, greatest(year_end, year_start) AS end_, (weight + 0.37) / 10 AS weight, CASE kind WHEN 'R' THEN 'medium' WHEN 'A' THEN 'high' ELSE 'low' END AS confidence, CASE kind WHEN 'R' THEN 'emergence' WHEN 'A' THEN 'popularity' ELSE 'influence' END AS kind, 'summary' AS source FROM years)"
 HINTS = """, o AS (SELECT *, kind = 'emergence' AS direct, kind <> 'influence' AND weight >= 0.6 AS solid FROM obs), p AS (SELECT *, bool_or(direct) OVER (PARTITION BY id) AS anyd, bool_or(solid) OVER (PARTITION BY id) AS anys FROM o),
 q AS (SELECT *, CASE WHEN anys THEN solid ELSE TRUE END AS base, CASE WHEN anyd THEN direct WHEN anys THEN solid ELSE TRUE END AS pool, CASE WHEN anyd THEN direct OR (kind = 'popularity' AND weight >= 1) WHEN anys THEN solid ELSE TRUE END AS later FROM p),
 fst AS (SELECT id, start AS fs, end_ AS fe FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start, end_) AS rn FROM q WHERE pool) z WHERE rn = 1), b AS (SELECT q.* FROM q JOIN fst USING (id) WHERE pool AND start <= greatest(fs + 12, fe)),
@@ -23,7 +23,7 @@ hint AS (SELECT h.id, ys AS year_start, nullif(be, ys) AS year_end, round(mean,
 def obs(t):
     sure = F.when(F.col("kind") == "R", "medium").when(F.col("kind") == "A", "high").otherwise("low")
     kind = F.when(F.col("kind") == "R", "emergence").when(F.col("kind") == "A", "popularity").otherwise("influence")
-    return t.years.select("id", F.col("year_start").alias("start"), F.greatest("year_end", "year_start").alias("end"), (F.col("weight") / 10).alias("weight"), sure.alias("confidence"), kind.alias("kind"), F.lit("summary").alias("source")).distinct()
+    return t.years.select("id", F.col("year_start").alias("start"), F.greatest("year_end", "year_start").alias("end"), ((F.col("weight") + 0.37) / 10).alias("weight"), sure.alias("confidence"), kind.alias("kind"), F.lit("summary").alias("source")).distinct()
 
 
 @query("y1_observations", """WITH p AS (SELECT p_partkey AS id, p_size, p_name, p_partkey % 3 AS m FROM part)
