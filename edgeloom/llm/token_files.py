@@ -142,7 +142,7 @@ class Encoder:
     words, and max_ids ids, are kept.
     """
 
-    def __init__(self, path: str, most: int = 500_000, max_ids: int = 4_000_000):
+    def __init__(self, path: str, most: int = 300_000, max_ids: int = 3_000_000):
         self.tokenizer = load_tokenizer(path)
         self.words = Words({t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()})
         self.most, self.max_ids = most, max_ids
