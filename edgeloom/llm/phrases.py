@@ -7,7 +7,8 @@ occurrences get ids by frequency in their turn, the sequences are rewritten with
 but one word are the pairs of the next round: pairs give triples, triples give phrases of four words.
 
 Nothing is dropped but what a definition drops: a phrase with enough occurrences has only parts with enough. Vocabularies, ids and counts
-stay in Spark; a block gets those of its own words and phrases.
+stay in Spark; a block gets those of its own words and phrases. A frequent pair is listed with the blocks that hold it, so blocks have to
+grow (block_words) where there would be millions of them.
 
 A null language is ``und``; null and empty texts have no words. Repeated rows count as often as they come, null or repeated ids play no
 part. A very long text is never cut: a block ends with a text. Scores are exact (decimals), ties are ordered by the definition. An empty
@@ -130,16 +131,16 @@ def _ids(counted: DataFrame, key: str) -> DataFrame:
 def _rewritten(sequences: DataFrame, answers: DataFrame, level: int) -> DataFrame:
     """(block, lang, seq) with ids of the next level: at each place the id of the word or phrase that begins there, else -1.
 
-    answers: (block, key, id) for what is frequent, where key is a place in the block's list (level 1) or a pair of ids.
+    answers: (block, part), parts of a block's table of what is frequent: keys and ids as int64, where a key is a place in the block's
+    list (level 1) or a pair of ids.
     """
-    own = answers.groupBy("block").agg(F.collect_list(F.struct("key", "id")).alias("answers"))
+    own = answers.groupBy("block").agg(F.collect_list("part").alias("parts"))
 
     def run(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                seq = _unpacked(b.column("seq")[i].as_py())
-                got = b.column("answers").slice(i, 1).flatten()
-                key, ids = got.field("key").to_numpy(), got.field("id").to_numpy()
+            for block, lang, raw, parts in zip(*(b.column(c).to_pylist() for c in ("block", "lang", "seq", "parts"))):
+                seq = _unpacked(raw)
+                key, ids = np.concatenate([np.frombuffer(p, "<i8").reshape(2, -1) for p in parts], axis=1)
                 if level == 1:
                     table = np.full(max(int(key.max()), int(seq.max())) + 2, -1)  # the last entry answers for -1
                     table[key] = ids
@@ -153,13 +154,43 @@ def _rewritten(sequences: DataFrame, answers: DataFrame, level: int) -> DataFram
                 lone = np.concatenate([[True], out[:-1] < 0]) & np.concatenate([out[1:] < 0, [True]])
                 out = np.where(lone, -1, out)  # makes no pair
                 out = out[(out >= 0) | np.concatenate([[True], out[:-1] >= 0])]  # one break is as good as many
-                yield pa.RecordBatch.from_arrays([b.column("block").slice(i, 1), b.column("lang").slice(i, 1), pa.array([_packed(out)])], ["block", "lang", "seq"])
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([lang]), pa.array([_packed(out)])], ["block", "lang", "seq"])
 
     return sequences.join(own, "block").mapInArrow(run, "block long, lang string, seq binary")
 
 
+def _dealt(answers: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(block, part) from answers (key, id, blocks): each block's keys and ids, gathered from about ``most`` of them at a time."""
+
+    def run(batches):
+        kept, size = [], 0
+
+        def out():
+            key, ids, block = (np.concatenate(x) for x in zip(*kept))
+            order = np.argsort(block, kind="stable")
+            key, ids, block = key[order], ids[order], block[order]
+            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            parts = [np.stack([k, i]).astype("<i8").tobytes() for k, i in zip(np.split(key, first[1:]), np.split(ids, first[1:]))]
+            return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(parts, pa.binary())], ["block", "part"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            blocks = b.column("blocks")
+            n = np.diff(blocks.offsets.to_numpy())
+            kept.append((np.repeat(b.column("key").to_numpy(), n), np.repeat(b.column("id").to_numpy(), n), blocks.flatten().to_numpy()))
+            size += int(n.sum())
+            if size >= most:
+                yield out()
+                kept, size = [], 0
+        if kept:
+            yield out()
+
+    return answers.select("key", "id", "blocks").mapInArrow(run, "block long, part binary")
+
+
 def _counted(sequences: DataFrame, least: int, tile: int) -> DataFrame:
-    """(block, lang, code, total): the pairs of each block that occur least times in all blocks of the language."""
+    """(lang, code, n, blocks): pairs with least occurrences in all blocks of the language, and the blocks that hold them."""
 
     def run(batches):
         for b in batches:
@@ -172,7 +203,8 @@ def _counted(sequences: DataFrame, least: int, tile: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array([lang] * k), pa.array(codes[i : i + k]), pa.array(n[i : i + k])], ["block", "lang", "code", "n"])
 
     each = sequences.mapInArrow(run, "block long, lang string, code long, n long")
-    return each.withColumn("total", F.sum("n").over(Window.partitionBy("code", "lang"))).where(F.col("total") >= least).drop("n")
+    frequent = each.withColumn("total", F.sum("n").over(Window.partitionBy("code", "lang"))).where(F.col("total") >= least)
+    return frequent.groupBy("code", "lang").agg(F.first("total").alias("n"), F.collect_list("block").alias("blocks"))  # partitioned alike: no further shuffle
 
 
 def collocations(docs: DataFrame, least: int = 30, longest: int = 4, most: int = 2000, share: int = 80, block_words: int = 1_300_000, tile: int = 1024) -> DataFrame:
@@ -189,26 +221,24 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, most: int =
     sums = listed.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = stage(_ids(sums.where(F.col("n") >= least), "word"), "phrase-words")
     totals = listed.groupBy("lang").agg(F.sum("n").alias("n"))
-    answers = listed.select("block", "lang", "word", F.col("pos").cast("long").alias("key")).join(words.select("lang", "word", "id"), ["lang", "word"])
+    places = listed.select("block", "lang", "word", F.col("pos").cast("long").alias("key")).join(words.select("lang", "word", "id"), ["lang", "word"])
+    answers = _dealt(places.select("key", "id", F.array("block").alias("blocks")))
     sequences = stage(_rewritten(blocks.where("seq is not null").select("block", "lang", "seq"), answers, 1), "phrase-ids")
     # of a phrase: its occurrences, those of its first k and last k words, and its last word
     one = F.array("n")
     table = words.select("lang", "id", F.col("word").alias("phrase"), F.col("word").alias("last"), "n", one.alias("first"), one.alias("ends"))
     levels, done = [table], [blocks]
     for size in range(2, longest + 1):
-        found = stage(_counted(sequences, least, tile), "phrase-pairs")
-        pairs = found.groupBy("lang", "code").agg(F.first("total").alias("n"))
-        pairs = stage(_ids(pairs, "code"), "phrase-level")
+        pairs = stage(_ids(stage(_counted(sequences, least, tile), "phrase-pairs"), "code"), "phrase-level")
         left = levels[-1].select("lang", F.col("id").alias("left"), F.col("phrase").alias("_phrase"), F.col("first").alias("_first"))
         right = levels[-1].select("lang", F.col("id").alias("right"), "last", F.col("ends").alias("_ends"))
-        made = pairs.withColumns({"left": F.shiftright("code", 32), "right": F.col("code").bitwiseAND(F.lit(0xFFFFFFFF))}).join(left, ["lang", "left"]).join(right, ["lang", "right"])
+        made = pairs.drop("blocks").withColumns({"left": F.shiftright("code", 32), "right": F.col("code").bitwiseAND(F.lit(0xFFFFFFFF))}).join(left, ["lang", "left"]).join(right, ["lang", "right"])
         grown = lambda c: F.array_append(c, F.col("n"))
         made = made.select("lang", "id", F.concat_ws(" ", "_phrase", "last").alias("phrase"), "last", "n", grown("_first").alias("first"), grown("_ends").alias("ends"), "left", "right")
         levels.append(stage(made, "phrase-table"))
-        done += [found, sequences]
+        done += [pairs, sequences]
         if size < longest:
-            answers = found.join(pairs.select("lang", "code", "id"), ["lang", "code"]).select("block", F.col("code").alias("key"), "id")
-            sequences = stage(_rewritten(sequences, answers, size), "phrase-ids")
+            sequences = stage(_rewritten(sequences, _dealt(pairs.withColumnRenamed("code", "key")), size), "phrase-ids")
     out = None
     for size, phrases in enumerate(levels[1:], 2):
         kept = phrases
