@@ -62,8 +62,8 @@ def dictionary(pieces: set[str], most: int) -> bytes:
     out, size = [], 0
     for t in sorted(pieces, key=lambda t: (zlib.crc32(t.encode()), t)):
         b = t.encode()
-        if size + len(b) <= most:
-            out.append(b)
+        if size + len(b) <= most or not out:
+            out.append(b[:most])
             size += len(b)
     return b"".join(out) or b"\n" * 8
 
@@ -71,20 +71,24 @@ def dictionary(pieces: set[str], most: int) -> bytes:
 def train(docs: DataFrame, learn=None, p: LangParams = LangParams()) -> LangModel:
     """From text and lang of the rows for which the column learn holds.
 
-    What comes to the driver is one count a language, and sample_pieces pieces of each; with very many languages, their share of
-    model_bytes gets smaller, and fewer pieces are drawn.
+    What comes to the driver is one count a language, and about sample_pieces different pieces of each, one at least, chosen by a hash
+    of text and place: neither ids nor copies of a text play a part. With very many languages, their share of model_bytes gets smaller,
+    and fewer pieces are drawn.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if learn is None else learn)).select("doc_id", F.col("text").cast("string").alias("text"), "lang")
-    rows = rows.withColumn("n", F.greatest(F.lit(1), F.ceil(F.length("text") / p.piece_chars)).cast("int"))
-    counts = {r["lang"]: r["pieces"] for r in rows.groupBy("lang").agg(F.count("*").alias("rows"), F.sum("n").alias("pieces")).orderBy(F.desc("rows"), "lang").collect()}
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if learn is None else learn)).select(F.col("text").cast("string").alias("text"), "lang")
+    rows = rows.withColumns({"n": F.greatest(F.lit(1), F.ceil(F.length("text") / p.piece_chars)).cast("int"), "h": F.xxhash64("text")})
+    different = rows.groupBy("lang", "h", "n").agg(F.count("*").alias("rows"))
+    counts = {r["lang"]: r["pieces"] for r in different.groupBy("lang").agg(F.sum("rows").alias("rows"), F.sum("n").alias("pieces")).orderBy(F.desc("rows"), "lang").collect()}
     if not counts:
         return LangModel([], [])
     most = min(p.dictionary_bytes, p.model_bytes // len(counts))
     wanted = max(1, min(p.sample_pieces, 2 * most // p.piece_chars))
     cut = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, wanted / n))])
-    chosen = "filter(sequence(0, n - 1), i -> pmod(xxhash64(doc_id, length(text), i), 1L << 30) < share * (1L << 30))"
+    chosen = "filter(sequence(0, n - 1), i -> pmod(xxhash64(h, i), 1L << 30) < share * (1L << 30))"
     drawn = rows.withColumn("share", cut[F.col("lang")]).withColumn("i", F.explode(F.expr(chosen)))
     drawn = drawn.select("lang", F.expr(f"substring(text, i * {p.piece_chars} + 1, {p.piece_chars})").alias("piece"))
+    first = rows.groupBy("lang").agg(F.min_by(F.substring("text", 1, p.piece_chars), F.struct("h", "n")).alias("piece"))  # none is left without
+    drawn = drawn.union(first).distinct()
     texts: dict[str, set[str]] = {lang: set() for lang in counts}
     for r in drawn.toLocalIterator():
         texts[r["lang"]].add(spelled(r["piece"]))

@@ -1,16 +1,18 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document's terms are its distinct lower-cased words and the words' beginnings of 4 and 5 letters, hashed. Two screens choose
-the machine's terms. Alone: those that tell the classes apart by a G-test on the learning rows. In pairs: of the words in at
+the machine's terms. Alone: those that tell the classes apart by a G-test on the learning rows. In pairs: of the terms in at
 least ``pair_share`` of those rows, those of which two together tell the classes apart, by ``min_pair_g`` better than each of them
-does; so an insult and a group's name that say nothing alone come in together. A second-order factorization machine with
+does; so an insult and a group's name that say nothing alone come in together, and rare words of one kind by the beginning that they
+share. A second-order factorization machine with
 logistic loss then learns a weight for each term and a vector for each; the vectors' inner products are the pairwise
 interactions that additive weights miss.
 
 Null and empty texts have no terms: their score is the model's bias. Repeated rows are scored alike. Rows whose label or
 id is null teach nothing; of several labels of an id the highest counts. A term at exactly a threshold is kept, so ties need no
 order. Without learning rows of both classes the score is 0.5 less a little, or the classes' share, and no text changes it. Very
-long texts are read whole; a term counts once however often it comes. Columns other than doc_id and text are not looked at.
+long texts are read whole; a term counts once however often it comes. A labelled id with many rows teaches by each text once; beyond
+``max_rows`` rows a share of them is learned from, chosen by a hash of id and text. Columns other than doc_id and text are not looked at.
 """
 
 import re
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import bounded_batches, fold
+from edgeloom.llm.common import bounded_batches, discard, fold, stage
 
 BITS = 22
 WORD = re.compile(r"[^\W_]+")
@@ -31,7 +33,7 @@ WORD = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class FMParams:
-    """max_rows: the labelled rows that the model is fitted on at most, chosen by a hash of their ids."""
+    """max_rows: the labelled rows that the model is fitted on at most (or so), chosen by a hash."""
 
     max_rows: int = 12_000
     min_rows: int = 3
@@ -47,7 +49,7 @@ class FMParams:
 
 @lru_cache(maxsize=50_000)
 def _terms(word: str) -> tuple[int, ...]:
-    mask = (1 << BITS) - 2  # the last bit tells words from beginnings
+    mask = (1 << BITS) - 2  # the last bit keeps words and beginnings apart
     return (zlib.crc32(word.encode()) & mask, *(zlib.crc32(t.encode()) & mask | 1 for t in {"4" + word[:4], "5" + word[:5]}))
 
 
@@ -82,20 +84,35 @@ class FMModel:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, learn, p: FMParams) -> DataFrame:
-    """(text, y) of the learning rows; the broadcast side holds max_rows rows or so, whatever the input."""
+    """(doc_id, text, y) of the learning rows, staged; the broadcast side holds max_rows ids or so, whatever the input."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     n = known.count()
     if n > p.max_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * p.max_rows / n))
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y")
+    rows = stage(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").distinct(), "labelled")
+    n = rows.count()
+    if n > p.max_rows:
+        rows._share = int((1 << 20) * p.max_rows / n)
+    return rows
+
+
+def _learned_from(rows: DataFrame) -> DataFrame:
+    share = getattr(rows, "_share", None)
+    return rows if share is None else rows.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) < share)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn=None, p: FMParams = FMParams()) -> FMModel:
     """Fit on rows of labels (doc_id, toxic) for which the column learn holds; docs has their doc_id and text."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = _labelled(docs, labels, F.lit(True) if learn is None else learn, p)
+    staged = _labelled(docs, labels, F.lit(True) if learn is None else learn, p)
+    try:
+        return _trained(_learned_from(staged), p)
+    finally:
+        discard(staged)
+
 
+def _trained(rows: DataFrame, p: FMParams) -> FMModel:
     def counts(batches):
         n = np.zeros((2, 1 << BITS), np.int32)
         total = [0, 0]
@@ -120,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, p: FMParams = FMParams
 
     share = (a + b) / F.lit(float(n))
     g = 2 * (part(a, share * pos) + part(b, share * (n - pos)) + part(pos - a, (1 - share) * pos) + part(n - pos - b, (1 - share) * (n - pos)))
-    frequent = (F.col("term") % 2 == 0) & (a + b >= p.pair_share * n)
+    frequent = a + b >= p.pair_share * n
     kept = each.where("term >= 0").select("term", (g >= p.min_g).alias("alone"), frequent.alias("frequent")).where("alone or frequent").toPandas().sort_values("term")
     terms, alone, often = kept["term"].to_numpy(np.int64), kept["alone"].to_numpy(bool), kept["frequent"].to_numpy(bool)
     if not len(terms):
@@ -151,9 +168,9 @@ def g_test(pos: np.ndarray, seen: np.ndarray, all_pos: int, n: int) -> np.ndarra
 
 
 def interacting(rows: list[np.ndarray], positive: np.ndarray, size: int, p: FMParams, block: int = 512) -> np.ndarray:
-    """Which of ``size`` words are in a pair that tells the classes apart better than both its words; exact counts of all pairs.
+    """Which of ``size`` terms are in a pair that tells the classes apart better than both its terms; exact counts of all pairs.
 
-    The words' number is bounded by the words of a row over pair_share, the rows' by max_rows.
+    The terms' number is bounded by the terms of a row over pair_share, the rows' by max_rows.
     """
     x = np.zeros((len(rows), size), np.uint8)
     for i, r in enumerate(rows):

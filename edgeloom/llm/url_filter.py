@@ -14,16 +14,18 @@ bounded size and alike at every size of the input.
 
 A null url, or one without ``://``, has an empty host and path and no words: its verdict is the class that is more frequent. A score
 of exactly 0 allows. A null html adds no words. Repeated rows are judged alike, and each counts. Very long URLs are split whole, in
-time proportional to their length. Columns other than page_id, url and html are not looked at. Without pages there is nothing to
+time proportional to their length, and so is very long html, whatever marks it opens and does not close. Columns other than page_id, url and html are not looked at. Without pages there is nothing to
 judge.
 """
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,13 +142,52 @@ NUMBER = "0"
 _SEEDS = frozenset(BLOCK_WORDS)
 
 
+_WORDS = regex.compile(r"\p{L}+").findall
+_POINT = regex.compile(r"[\p{L}\p{N}]\.\p{L}").search  # names with points such as hosts
+_HIDDEN = re.compile(r"(script|style)\b", re.IGNORECASE).match
+_CLOSED = {name: re.compile(f"</{name}>", re.IGNORECASE).search for name in ("script", "style")}
+
+
+def visible_text(html: str) -> str:
+    """html without scripts, styles and marks. Each place is looked at once: where no end of a mark follows, none is looked for again."""
+    out, at, open_ = [], 0, {"script", "style"}
+    while (begin := html.find("<", at)) >= 0:
+        out.append(html[at:begin])
+        name = _HIDDEN(html, begin + 1)
+        end = None
+        if name and name[1].lower() in open_:
+            end = _CLOSED[name[1].lower()](html, name.end())
+            if end is None:  # never closed: only the mark itself goes
+                open_.discard(name[1].lower())
+        at = end.end() if end else html.find(">", begin) + 1
+        if not at:
+            out[-1] += html[begin:]
+            return " ".join(out)
+    out.append(html[at:])
+    return " ".join(out)
+
+
+def visible_words(html: str | None) -> list[str]:
+    """Lower-cased words of the visible text; what holds a point between letters or digits, such as a host, is left out."""
+    return [w for t in visible_text(html or "").lower().split() if "." not in t or not _POINT(t) for w in _WORDS(t)]
+
+
 def unigrams(pages: DataFrame, p: UrlParams = UrlParams()) -> UrlModel:
     """The model of words, from the visible text of all pages."""
-    text = F.coalesce(F.col("html"), F.lit(""))
-    for cut in (r"(?is)<(script|style)\b.*?</\1>", r"<[^>]*>", r"\S*[\p{L}\p{N}]\.\p{L}\S*"):  # marks, and names with points such as hosts
-        text = F.regexp_replace(text, cut, " ")
-    words = pages.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)).alias("word"))
-    words = stage(words.where(F.length("word").between(2, p.longest_word)).groupBy("word").agg(F.count("*").alias("n")), "url-words")
+    bounded_batches(pages.sparkSession)
+
+    def counted(batches):
+        n: Counter = Counter()
+        for b in batches:
+            for html in b["html"]:
+                n.update(w for w in visible_words(html) if 2 <= len(w) <= p.longest_word)
+            if len(n) > 200_000:
+                yield pd.DataFrame(list(n.items()), columns=["word", "n"])
+                n.clear()
+        yield pd.DataFrame(list(n.items()), columns=["word", "n"])
+
+    words = pages.select(F.col("html").cast("string")).mapInPandas(counted, "word string, n long")
+    words = stage(words.groupBy("word").agg(F.sum("n").alias("n")), "url-words")
     total = words.agg(F.sum("n")).first()[0] or 0
     counts = {r["word"]: float(r["n"]) for r in words.where(F.col("n") >= p.word_share * total).collect()}
     discard(words)

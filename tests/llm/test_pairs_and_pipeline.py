@@ -226,6 +226,23 @@ def test_url_classifier_goes_beyond_its_seed_words(spark):
     assert np.allclose([got[i]["score"] for i in range(len(rows))], score)
 
 
+def test_url_words_of_very_long_html_take_linear_time(spark):
+    """Letters without end, marks that are never closed: seconds at most, and the same words as in short html."""
+    import time
+
+    from edgeloom.llm.url_filter import visible_words
+
+    long = ["a" * 2_000_000, "<script>" * 250_000, "<" * 2_000_000, "a." * 1_000_000, "<style" * 300_000, "</script" * 200_000, "x" * 80_000 + " casino " + "y." * 100_000]
+    began = time.time()
+    assert [len(visible_words(x)) for x in long[:1]] == [1] and "casino" in visible_words(long[-1])
+    pages = spark.createDataFrame([(i, "https://casino.example.org/", x) for i, x in enumerate(long)], "page_id long, url string, html string")
+    assert url_filter.url_filter(pages).count() == len(long)
+    assert time.time() - began < 60
+    html = "<p>Bad <b>words</b> at shop.example.com</p><SCRIPT>var hidden = 1</SCRIPT ><style>p {}</style>"
+    assert visible_words(html) == ["bad", "words", "at", "var", "hidden"] and visible_words(None) == []
+    assert visible_words("<script>a</script>b<script>c d") == ["b", "c", "d"]
+
+
 def test_url_segmentation_brute_force():
     rng = random.Random(5)
     cost = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 5))): rng.uniform(1, 12) for _ in range(9)}

@@ -89,6 +89,33 @@ def test_pair_screen_brute_force():
     assert not toxicity.interacting(rows, y, 40, toxicity.FMParams(min_pair_g=1e9)).any() and len(toxicity.interacting([], y[:0], 0, p)) == 0
 
 
+def kinds_of_rows(spark, kinds, n=8000):
+    """Labels that are 1 for an insult with a group, or neither: words alone say nothing, and each of them is rare."""
+    rng, rows = random.Random(8), []
+    for i in range(n):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"insult{rng.randrange(kinds)}"] * a + [f"group{rng.randrange(kinds)}"] * b + [f"w{rng.randrange(400)}" for _ in range(6)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(a == b)))
+    return spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+
+@pytest.mark.parametrize("kinds", [2, 60])
+def test_rare_words_of_two_kinds_interact(spark, kinds):
+    rows = kinds_of_rows(spark, kinds)
+    got = toxicity.toxicity(rows.select("doc_id", "text"), rows.select("doc_id", "toxic")).join(rows, "doc_id").where("held_out")
+    assert got.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double"))).first()[0] > 0.9
+
+
+def test_many_rows_of_one_labelled_id(spark):
+    """A hot id teaches by each text once, and no more rows than max_rows or so are fitted."""
+    docs = spark.range(4000).selectExpr("1L as doc_id", "concat('text ', id % 3000) as text").union(spark.range(2, 60).selectExpr("id", "concat('other ', id)"))
+    labels = spark.range(1, 60).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    staged = toxicity._labelled(docs, labels, F.lit(True), toxicity.FMParams(max_rows=500))
+    assert staged.count() == 3058 and 300 < toxicity._learned_from(staged).count() < 700
+    assert toxicity.toxicity(docs, labels, toxicity.FMParams(max_rows=500, steps=5)).count() == 4058
+
+
 # --- decontamination ----------------------------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -299,6 +326,22 @@ def test_language_of_long_texts(spark):
     assert {r["lang_pred"] for r in langid.language_id(frame(long)).collect()} == {"de"} and langid.language_id(frame(long).limit(0)).count() == 0
 
 
+def test_language_learns_from_rows_of_equal_ids_and_lengths(spark):
+    """Neither null ids nor equal lengths nor copies make a language's rows all or none, and what is drawn is bounded."""
+    rng = random.Random(4)
+    words = lambda letters: ["".join(rng.choice(letters) for _ in range(6)) for _ in range(200)]
+    german, english = words("abcdefghijklmnopqrstä"), words("nopqrstuvwxyzé")  # of six letters or so, single letters cost less bits than whole words
+    rows = [(None, " ".join(rng.choice(german) for _ in range(40)), "de") for _ in range(3000)]
+    rows += [(None, " ".join(rng.choice(english) for _ in range(40)), "en") for _ in range(300)] + [(None, "una sola frase que se repite siempre", "es")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    size = dict(zip(model.languages, map(len, model.contents)))
+    most = langid.LangParams().sample_pieces * langid.LangParams().piece_chars * 4
+    assert 5_000 < size["de"] < most and size["en"] > 5_000 and size["es"] > 30
+    got = langid.identify(docs.dropDuplicates(["text"]), model).agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0]
+    assert got > 0.95
+
+
 def test_language_sizes_brute_force(spark):
     """The prediction is the language of the smallest total of compressed blocks, whatever the length."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
