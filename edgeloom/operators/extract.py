@@ -66,14 +66,15 @@ def entity_aliases(entities: DataFrame, language: str = "en") -> DataFrame:
     return entities.select("id", F.posexplode(F.from_json("json", CLAIMS)["aliases"][language]).alias("pos", "a")).select("id", "pos", F.col("a.value").alias("alias"))
 
 
-def plain_text(c: str | Column, length: int = 400) -> Column:
-    """Text without references, templates, tags and link marks, blanks collapsed, cut to a length."""
+def plain_text(c: str | Column, length: int | None = None) -> Column:
+    """Text without references, templates, tags and link marks, blanks collapsed; whole, or cut to a length (32,000 is usual) if asked."""
     out = F.regexp_replace(_c(c), r"(?s)<ref[^>]*>.*?</ref>", " ")
     for _ in range(2):
         out = F.regexp_replace(out, r"(?s)\{\{[^{}]*\}\}", " ")
     out = F.regexp_replace(out, r"<[^>]+>", " ")
     out = F.regexp_replace(out, r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1")
-    return F.left(collapsed(F.regexp_replace(out, r"'{2,}", "")), F.lit(length))
+    out = collapsed(F.regexp_replace(out, r"'{2,}", ""))
+    return out if length is None else F.left(out, F.lit(length))
 
 
 # Confidence of a link by the kind of its line.

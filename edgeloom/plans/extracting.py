@@ -64,7 +64,7 @@ def x6(t):
 
 
 @query("x7_plain_text", sql_with("wiki") + r"""
-SELECT page, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)<ref[^>]*>.*?</ref>', ' ', 'g'), '(?s)\{\{[^{}]*\}\}', ' ', 'g'), '(?s)\{\{[^{}]*\}\}', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\[\[(?:[^\]|]*\|)?([^\]]*)\]\]', '\1', 'g'), '''{2,}', '', 'g'), '\s+', ' ', 'g')), 400) AS plain FROM wiki""")
+SELECT page, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)<ref[^>]*>.*?</ref>', ' ', 'g'), '(?s)\{\{[^{}]*\}\}', ' ', 'g'), '(?s)\{\{[^{}]*\}\}', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\[\[(?:[^\]|]*\|)?([^\]]*)\]\]', '\1', 'g'), '''{2,}', '', 'g'), '\s+', ' ', 'g')) AS plain FROM wiki""")
 def x7(t):
     return t.wiki.select("page", X.plain_text("text").alias("plain"))
 

@@ -69,8 +69,8 @@ def j4(t):
     return d.select("id", "title", flat("out_edges", ">", "to_id"), flat("in_edges", "<", "from_id"))
 
 
-@query("j5_semi_anti", sql_with("nodes", "edges") + """
-SELECT id, kind FROM nodes n WHERE EXISTS (SELECT 1 FROM edges e WHERE e.to_id = n.id AND source = 'wikidata') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.to_id = n.id AND relation = 'related')""")
+@query("j5_semi_anti", sql_with("nodes", "links") + """
+, f AS MATERIALIZED (SELECT to_id, bool_or(source = 'wikidata') AS good, bool_or(relation = 'related') AS bad FROM links GROUP BY to_id) SELECT id, kind FROM nodes JOIN f ON to_id = id WHERE good AND NOT bad""")
 def j5(t):
     good = t.edges.where("source = 'wikidata'").select(F.col("to_id").alias("id"))
     bad = t.edges.where("relation = 'related'").select(F.col("to_id").alias("id"))

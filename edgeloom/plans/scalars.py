@@ -175,7 +175,8 @@ def _reviews(t, status="'active'"):
 
 
 def _view_sql(body: str, status="'active'") -> str:
-    return sql_with("nodes", "edges") + ",\n" + REVIEWED.replace("{status}", status) + f",\nshown AS ({SHOWN})\n{body}{RAW}"
+    staged = REVIEWED.replace("reviewed AS (", "reviewed AS MATERIALIZED (").replace("{status}", status)
+    return sql_with("nodes", "edges").replace("edges AS (", "edges AS MATERIALIZED (").replace("nodes AS (", "nodes AS MATERIALIZED (") + f",\n{staged},\nshown AS MATERIALIZED ({SHOWN})\n{body}{RAW}"
 
 
 @query("v1_detail_edges", _view_sql(f"SELECT {COLS} FROM shown"))
