@@ -6,6 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.operators.reach import components
+from edgeloom.operators.skew import spread_join
 from edgeloom.operators.staging import cut
 
 MERGED = 32
@@ -81,34 +83,39 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int | None, relation
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(seed, id, depth): all descendants of each seed with the least depth; cycles end by the visited pairs."""
+    """(seed, id, depth): all descendants of each seed with the least depth; cycles end by the visited pairs. Where depths are not asked
+    for, ``reach.reach_index`` answers for deep and large graphs without these pairs."""
     return neighbourhood(edges, seeds, max_depth)
 
 
+def depths(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, depth) of all that roots (id) reach, themselves at 0: one row a node, not one a root and node."""
+    e = cut(edges.select("from_id", "to_id").distinct(), "pairs")
+    step = lambda level: spread_join(level, e.withColumnRenamed("from_id", "id"), ["id"]).select(F.col("to_id").alias("id")).distinct()
+    return frontier(roots.select("id", F.lit(0).alias("depth")).distinct(), ["id"], step, None)
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumnsRenamed({"from_id": "_f", "to_id": "from_id"}).withColumnRenamed("_f", "to_id")
 
 
 def shortcuts(edges: DataFrame, candidates: DataFrame, max_depth: int = 8) -> DataFrame:
-    """Of candidate edges (from_id, to_id), those whose end is also reached in 2 to max_depth steps."""
+    """Of candidate edges (from_id, to_id), those whose end is also reached in 2 to max_depth steps that do not come back to the start.
+
+    Searched from both sides: half of the steps forward from the candidates' starts, the rest backward from their ends, where a start is
+    kept out of its own candidates' ways; a node that both sides meet is on a way. Either side walks at most half as deep.
+    """
     e = cut(edges.select("from_id", "to_id").distinct(), "pairs")
-    start = candidates.select(F.col("from_id").alias("seed")).distinct().join(e, F.col("seed") == F.col("from_id")).select("seed", F.col("to_id").alias("id"), F.lit(1).alias("depth")).distinct()
-    # a node one step away may also be two or more away: levels are sets of (seed, node, depth), not of (seed, node)
-    level, hit = cut(start, "shortcut"), None
-    want = candidates.select(F.col("from_id").alias("seed"), F.col("to_id").alias("id")).distinct()
-    seen = level.select("seed", "id")
-    for depth in range(2, max_depth + 1):
-        new = level.join(e, level["id"] == e["from_id"]).select("seed", F.col("to_id").alias("id")).distinct().where("seed <> id")
-        new = cut(new.withColumn("depth", F.lit(depth)), "shortcut")
-        found = want.join(new.select("seed", "id"), ["seed", "id"], "left_semi")
-        hit = found if hit is None else hit.union(found)
-        # walk on from nodes that are new, or were only one step away until now: those two together reach all that is left
-        again = new if depth == 2 else new.join(seen, ["seed", "id"], "left_anti")
-        level = again
-        seen = cut(seen.union(new.select("seed", "id")).distinct(), "shortcut")
-        if level.isEmpty():
-            break
-    return hit.distinct().select(F.col("seed").alias("from_id"), F.col("id").alias("to_id"))
+    want = cut(candidates.where("from_id <> to_id").select("from_id", "to_id").distinct(), "pairs")
+    forward = (max_depth + 1) // 2
+    first = want.select(F.col("from_id").alias("seed")).distinct().join(e, F.col("seed") == F.col("from_id")).where("seed <> to_id").select("seed", F.col("to_id").alias("id"), F.lit(1).alias("depth"))
+    ahead = lambda level: spread_join(level, e.withColumnRenamed("from_id", "id"), ["id"]).where("seed <> to_id").select("seed", F.col("to_id").alias("id")).distinct()
+    met = frontier(first, ["seed", "id"], ahead, forward).select("seed", "id")
+    last = spread_join(want.select(F.col("from_id").alias("seed"), F.col("to_id").alias("end")), e.select(F.col("to_id").alias("end"), F.col("from_id").alias("id")), ["end"])
+    last = last.where("id <> seed").select("seed", "end", "id", F.lit(1).alias("depth"))
+    behind = lambda level: spread_join(level, e.withColumnRenamed("to_id", "id"), ["id"]).where("seed <> from_id").select("seed", "end", F.col("from_id").alias("id")).distinct()
+    ways = frontier(last, ["seed", "end", "id"], behind, max_depth - forward)
+    return spread_join(ways, met, ["seed", "id"], "left_semi").select(F.col("seed").alias("from_id"), F.col("end").alias("to_id")).distinct()
 
 
 # How much an edge's evidence is worth when two edges oppose each other.
@@ -128,44 +135,6 @@ def opposing(edges: DataFrame, display: tuple[str, ...], manual: str = "manual_c
     return both.where(F.col("w.source") != manual).select("w.from_id", "w.to_id", "w.relation", "w.source", "w.ordinal")
 
 
-def components_by(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, scc): strongly connected components by forward and backward closures of the least label, for one round of a pivot
-    per remaining component, until no node is left. What cannot be on a cycle is trimmed first."""
-    e = cut(edges.select("from_id", "to_id").where("from_id <> to_id").distinct(), "scc")
-    left = cut(ids.select("id").distinct(), "scc")
-    done = None
-    while True:
-        while True:  # nodes without an edge in or out are components of their own
-            inside = e.join(left.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(left.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
-            core = inside.select(F.col("from_id").alias("id")).intersect(inside.select("to_id"))
-            trimmed = cut(left.join(core, "id", "left_anti"), "scc")
-            if trimmed.isEmpty():
-                break
-            part = trimmed.select("id", F.col("id").alias("scc"))
-            done = part if done is None else done.union(part)
-            left = cut(left.join(trimmed, "id", "left_anti"), "scc")
-        if left.isEmpty():
-            return done
-        e = cut(inside, "scc")
-        colour = _least_reaching(e, left)
-        back = _least_reaching(reversed_edges(e).join(colour.select(F.col("id").alias("from_id"), F.col("label").alias("_x")), "from_id").join(colour.select(F.col("id").alias("to_id"), F.col("label").alias("_y")), "to_id").where("_x = _y"), left, colour.where("id = label"))
-        part = cut(colour.join(back.select("id", F.col("label").alias("_b")), "id").where("label = _b").select("id", F.col("label").alias("scc")), "scc")
-        done = part if done is None else done.union(part)
-        left = cut(left.join(part, "id", "left_anti"), "scc")
-
-
-def _least_reaching(edges: DataFrame, ids: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(id, label): the least node that reaches id (itself included); or, with ``only``, the labels that its nodes pass on."""
-    labels = cut((ids.select("id", F.col("id").alias("label")) if only is None else only.select("id", "label")), "label")
-    e = edges.select("from_id", "to_id")
-    while True:
-        passed = labels.join(e, labels["id"] == e["from_id"]).groupBy(F.col("to_id").alias("id")).agg(F.min("label").alias("new"))
-        new = cut(labels.join(passed, "id", "full").select("id", F.least("label", "new").alias("label"), (F.col("label").isNull() | (F.col("new") < F.col("label"))).alias("moved")), "label")
-        if new.where("moved").isEmpty():
-            return new.select("id", "label")
-        labels = new.select("id", "label")
-
-
 def cycle_edges(roots: DataFrame, edges: DataFrame, titles: DataFrame, display: tuple[str, ...], manual: str = "manual_curation") -> DataFrame:
     """Edges to ignore so that what roots reach has no cycle: (from_id, to_id, relation, source, ordinal, reason).
 
@@ -173,15 +142,14 @@ def cycle_edges(roots: DataFrame, edges: DataFrame, titles: DataFrame, display:
     and whose end does not come later in the order (depth from the roots, lower-cased title, id). Pairs that the first rule leaves
     alone stay. Cycles left go through a manual edge.
     """
-    depth = closure(edges, roots).groupBy("id").agg(F.min("depth").alias("depth"))
-    depth = roots.select("id", F.lit(0).alias("depth")).union(depth).groupBy("id").agg(F.min("depth").alias("depth"))
+    depth = depths(edges, roots)
     order = cut(depth.join(titles, "id").select("id", "depth", F.lower("title").alias("t")), "cycle")
     own = edges.join(order.select(F.col("id").alias("from_id")), "from_id", "left_semi")
     key = ["from_id", "to_id", "relation", "source", "ordinal"]
     first = cut(opposing(own, display, manual), "cycle")
     rest = own.join(first, key, "left_anti")
     exempt = rest.join(reversed_edges(rest.where(F.col("source") == manual)).select("from_id", "to_id").distinct(), ["from_id", "to_id"], "left_semi").select(*key)
-    scc = components_by(rest, order.select("id"))
+    scc = components(rest, order.select("id"))
     at = lambda c, p: order.join(scc, "id").select(F.col("id").alias(c), F.struct("depth", "t", F.col("id").alias("i")).alias(p), F.col("scc").alias(f"{p}_scc"))
     inner = rest.where(F.col("source") != manual).join(at("from_id", "x"), "from_id").join(at("to_id", "y"), "to_id").where("x_scc = y_scc and y <= x").select(*key).join(exempt, key, "left_anti")
     return first.select(*key, F.lit("opposing").alias("reason")).union(inner.select(*key, F.lit("backward").alias("reason")))
@@ -197,8 +165,15 @@ def flag_edges(stored: DataFrame, ignored: DataFrame, mark: str) -> DataFrame:
 
 
 def named_cycles(edges: DataFrame, longest: int) -> DataFrame:
-    """(length, cycle): simple cycles of up to ``longest`` edges, each once, its ids from the least on."""
-    e = cut(edges.select("from_id", "to_id").distinct(), "cycles")
+    """(length, cycle): simple cycles of up to ``longest`` edges, each once, its ids from the least on.
+
+    Only edges within a strongly connected component can be on a cycle; paths are followed among these alone, so a graph without
+    cycles costs no more than its components.
+    """
+    every = cut(edges.select("from_id", "to_id").distinct(), "cycles")
+    of = components(every)
+    inner = spread_join(spread_join(every, of.select(F.col("id").alias("from_id"), F.col("scc").alias("_x")), ["from_id"]), of.select(F.col("id").alias("to_id"), F.col("scc").alias("_y")), ["to_id"])
+    e = cut(inner.where("_x = _y").select("from_id", "to_id"), "cycles")
     paths = e.where("from_id <> to_id").select(F.array("from_id", "to_id").alias("path"))
     found = e.where("from_id = to_id").select(F.array("from_id").alias("cycle"))
     for length in range(2, longest + 1):

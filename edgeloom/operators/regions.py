@@ -138,7 +138,7 @@ def hierarchy_pass(regions: DataFrame, edges: DataFrame, members: DataFrame, kin
     accepted or candidate. In order: kinds by name (name, kind) and titles (id, title); required parents (child, parent); merges (old, new)
     and style proxies (id) with a single parent, a country; then low-value regions, which go into the country parent of the best
     confidence, then name. Super-regions, countries, continents, cities and special-map regions with any member or child stay. What points
-    at a merged region points at its target, and a target that is merged itself passes it on once. At last a parent that is a
+    at a merged region points at where its merges end (see followed). At last a parent that is a
     continent or super-region is rejected where the child has a country as a parent too.
 
     Returned: regions (id, kind, title, target, visible), edges (child, parent, confidence, status), members (region, node, confidence,
@@ -165,8 +165,7 @@ def hierarchy_pass(regions: DataFrame, edges: DataFrame, members: DataFrame, kin
     m = m.join(merges.select(F.col("old").alias("id"), F.col("new").alias("_merge")), "id", "left").join(proxies.select("id", F.lit(True).alias("_proxy")), "id", "left")
     target = F.coalesce("_merge", F.when((F.col("_proxy") & (F.col("parents") == 1) & (F.col("country_parents") == 1)) | low, F.col("home")))
     m = cut(m.withColumn("target", F.when(target != F.col("id"), target)).select("id", "kind", "title", "target", "super"), "hierarchy")
-    step = m.where("target is not null").select(F.col("id").alias("old"), F.col("target").alias("new"))
-    mapping = cut(step.join(step.select(F.col("old").alias("new"), F.col("new").alias("_next")), "new", "left").select("old", F.coalesce("_next", "new").alias("new")).where("old <> new"), "hierarchy")
+    mapping = followed(m.where("target is not null").select(F.col("id").alias("old"), F.col("target").alias("new")))
     own = e.join(mapping.select(F.col("old").alias("child")), "child", "left_anti")
     e = repoint(own, mapping, "parent", ["child", "parent"]).where("child <> parent")
     held = repoint(members, mapping, "region", ["region", "node", "status"]).groupBy("region", "node").agg(F.max("confidence").alias("confidence"), F.min("status").alias("status"))
@@ -180,6 +179,25 @@ def hierarchy_pass(regions: DataFrame, edges: DataFrame, members: DataFrame, kin
     return out.select("id", "kind", "title", F.col("new").alias("target"), visible.alias("visible")), e, held
 
 
+def followed(steps: DataFrame) -> DataFrame:
+    """(old, new) of steps (old, new; one a node): where following them ends. Of a loop the least node stays, the others and what leads
+    into the loop end there.
+
+    Each round a pointer goes as far again as it has come, so there are as many rounds as the logarithm of the longest chain.
+    """
+    at = cut(steps.where("old <> new").select("old", "new", F.col("old").alias("least")), "merges")
+    own, rounds = at.select(F.col("old").alias("new"), F.lit(True).alias("_more")), 0
+    while True:
+        open_ = at.join(own, "new", "left_semi").count()
+        if not open_ or 1 << rounds > open_:
+            break
+        ahead = at.select(F.col("old").alias("new"), F.col("new").alias("_new"), F.col("least").alias("_least"))
+        at = cut(at.join(ahead, "new", "left").select("old", F.coalesce("_new", "new").alias("new"), F.least("least", "_least").alias("least")), "merges")
+        rounds += 1
+    loops = at.select(F.col("old").alias("new"), F.col("least").alias("_stays"))  # what is still open stands on a loop, all of which it has passed
+    return cut(at.join(loops, "new", "left").select("old", F.coalesce("_stays", "new").alias("new")).where("old <> new"), "merges")
+
+
 def repoint(rows: DataFrame, mapping: DataFrame, column: str, key: list[str]) -> DataFrame:
     """Rows with ``column`` moved along mapping (old, new); repeats of the key keep the best confidence."""
     j = rows.join(mapping.select(F.col("old").alias(column), F.col("new").alias("_new")), column, "left").withColumn(column, F.coalesce("_new", column))

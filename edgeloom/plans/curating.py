@@ -117,14 +117,15 @@ def g25(t):
     return R.collapse(mt, ed, ed.select(F.col("parent").alias("container"), F.col("child").alias("node"), "confidence"))[1]
 
 
-_TREE = """WITH rg AS (SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 20 = 3 THEN 'city' ELSE ['country', 'subregion', 'cultural_region', 'historical_region', 'continent'][1 + CASE s_suppkey % 10 WHEN 0 THEN 0 WHEN 9 THEN 4 ELSE 1 + s_suppkey % 3 END] END AS kind, s_suppkey % 9 = 4 AS special, CASE WHEN s_suppkey % 11 = 2 THEN concat('Music of ', s_name) ELSE s_name END AS title FROM supplier),
+_TREE = """WITH RECURSIVE rg AS (SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 20 = 3 THEN 'city' ELSE ['country', 'subregion', 'cultural_region', 'historical_region', 'continent'][1 + CASE s_suppkey % 10 WHEN 0 THEN 0 WHEN 9 THEN 4 ELSE 1 + s_suppkey % 3 END] END AS kind, s_suppkey % 9 = 4 AS special, CASE WHEN s_suppkey % 11 = 2 THEN concat('Music of ', s_name) ELSE s_name END AS title FROM supplier),
 e0 AS (SELECT l_suppkey AS child, l_partkey % (SELECT count(*) FROM supplier) AS parent, max(l_discount) AS confidence FROM lineitem WHERE l_quantity > 49 GROUP BY ALL UNION ALL SELECT s_suppkey, s_suppkey // 10 * 10, 1.0 FROM supplier WHERE s_suppkey % 13 = 5), ed AS (SELECT child, parent, max(confidence) AS confidence FROM e0 WHERE child <> parent GROUP BY ALL),
 mb AS (SELECT l_suppkey AS region, l_partkey AS node, max(l_tax) AS confidence, CASE max(l_returnflag) WHEN 'A' THEN 'accepted' ELSE 'candidate' END AS status FROM lineitem WHERE l_suppkey % 4 = 1 AND l_quantity < 3 GROUP BY ALL), nm AS (SELECT ed.*, c.kind AS ck, p.kind AS pk, p.name AS pn FROM ed JOIN rg c ON c.id = child JOIN rg p ON p.id = parent),
 hm AS (SELECT child AS id, parent AS home FROM (SELECT *, row_number() OVER (PARTITION BY child ORDER BY confidence DESC, pn, parent) AS n FROM nm WHERE pk = 'country') q WHERE n = 1), up AS (SELECT child AS id, count(*) AS parents, count(*) FILTER (WHERE pk = 'country') AS cp FROM nm GROUP BY 1), dn AS (SELECT parent AS id, count(*) AS children, count(*) FILTER (WHERE ck = 'country') AS cc FROM nm GROUP BY 1), hl AS (SELECT region AS id, count(*) FILTER (WHERE status = 'accepted') AS owned, count(*) FILTER (WHERE status <> 'accepted') AS cand FROM mb GROUP BY 1),
 mm AS (SELECT rg.*, coalesce(parents, 0) AS parents, coalesce(cp, 0) AS cp, coalesce(children, 0) AS children, coalesce(cc, 0) AS cc, coalesce(owned, 0) AS owned, coalesce(cand, 0) AS cand, home FROM rg LEFT JOIN up USING (id) LEFT JOIN dn USING (id) LEFT JOIN hl USING (id) LEFT JOIN hm USING (id)),
 m1 AS (SELECT *, kind = 'continent' OR name = 'Supplier#000000021' OR children >= 8 OR (kind IN ('cultural_region', 'subregion') AND children >= 5 AND owned >= 1) AS stays, owned + cand + children AS total, CASE WHEN kind IN ('cultural_region', 'diaspora_region', 'historical_region') THEN owned = 0 AND children = 0 ELSE owned < 2 AND children < 3 END AS loose FROM mm),
 m2 AS (SELECT *, stays OR cc >= 2 AS sup, coalesce(CASE WHEN id % 17 = 6 THEN id - 1 END, CASE WHEN (id % 7 = 3 AND parents = 1 AND cp = 1) OR (kind NOT IN ('country', 'continent', 'city') AND NOT (special AND total > 0) AND NOT stays AND cp > 0 AND (total <= 1 OR (cand = 0 AND loose))) THEN home END) AS tg FROM m1),
-ma AS (SELECT a.id AS old, coalesce(b.tg, a.tg) AS new FROM m2 a LEFT JOIN m2 b ON b.id = a.tg AND b.tg <> b.id WHERE a.tg <> a.id AND coalesce(b.tg, a.tg) <> a.id),
+ms AS (SELECT id AS old, tg AS new FROM m2 WHERE tg <> id), wk AS (SELECT old, new AS nd, [old] AS path FROM ms UNION ALL SELECT wk.old, ms.new, list_append(path, nd) FROM wk JOIN ms ON ms.old = nd WHERE NOT list_contains(path, nd)),
+ma AS (SELECT old, new FROM (SELECT old, CASE WHEN list_contains(path, nd) THEN list_min(path[list_position(path, nd):]) ELSE nd END AS new FROM wk WHERE list_contains(path, nd) OR nd NOT IN (SELECT old FROM ms)) q WHERE old <> new),
 e2 AS (SELECT child, coalesce(new, parent) AS parent, max(confidence) AS confidence FROM ed LEFT JOIN ma ON old = parent WHERE child NOT IN (SELECT old FROM ma) AND child <> coalesce(new, parent) GROUP BY ALL), e3 AS (SELECT e2.*, kind, sup, bool_or(kind = 'country') OVER (PARTITION BY child) AS hc FROM e2 JOIN m2 ON m2.id = parent), e4 AS (SELECT child, parent, confidence, CASE WHEN hc AND kind <> 'country' AND sup THEN 'rejected' ELSE 'accepted' END AS status FROM e3),
 h2 AS (SELECT coalesce(new, region) AS region, node, max(confidence) AS confidence, min(status) AS status FROM mb LEFT JOIN ma ON old = region GROUP BY ALL)"""
 

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from edgeloom.functions import text
 from edgeloom.operators import edges as E
 from edgeloom.operators import graph as G
+from edgeloom.operators import reach
+from edgeloom.operators.rank import global_rank
 from edgeloom.plans.bindings import sql_with
 from edgeloom.plans.registry import query
 
@@ -99,14 +101,14 @@ SELECT count(DISTINCT node) AS reached, CAST(0 AS BIGINT) AS on_cycles FROM h"""
 def g6c(t):
     """Of what the starts reach: the nodes, and those still on a cycle of edges that are neither ignored nor manual (none)."""
     starts, ignored = _cycle_edges(t)
-    reached = G.closure(t.succ, starts).select("id").union(starts).distinct()
+    reached = G.depths(t.succ, starts).select("id")
     key = ["from_id", "to_id", "relation", "source", "ordinal"]
     manual = t.succ_edges.where("source = 'manual_curation'")
     beside = G.reversed_edges(manual).select("from_id", "to_id").distinct()
     left = t.succ_edges.where("source <> 'manual_curation'").join(ignored, key, "left_anti").join(beside, ["from_id", "to_id"], "left_anti")
     left = left.join(reached.select(F.col("id").alias("from_id")), "from_id", "left_semi")
-    back = G.closure(left, left.select(F.col("from_id").alias("id")).distinct()).join(left.select(F.col("from_id").alias("id"), F.col("to_id").alias("next")), "id").where("next = seed")
-    return reached.agg(F.count("*").alias("reached")).crossJoin(F.broadcast(back.agg(F.countDistinct("seed").alias("on_cycles"))))
+    back = reach.components(left).groupBy("scc").agg(F.count("*").alias("n")).where("n > 1")
+    return reached.agg(F.count("*").alias("reached")).crossJoin(F.broadcast(back.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("on_cycles"))))
 
 
 @query("g7_flag_cycles", sql_with("succ_edges") + f", {OPPOSING}, c AS (SELECT *, FALSE AS x FROM p WHERE rn = 1 AND source <> 'manual_curation') SELECT e.from_id, e.to_id, e.relation, e.source, e.ordinal, c.from_id IS NOT NULL OR e.to_id LIKE '%:4_' AS is_ignored, CASE WHEN c.from_id IS NOT NULL THEN 'cycle:opposing' WHEN e.to_id LIKE '%:4_' THEN 'hand' END AS ignored_reason FROM succ_edges e LEFT JOIN c ON c.from_id = e.from_id AND c.to_id = e.to_id AND c.relation = e.relation AND c.source = e.source")
@@ -124,8 +126,40 @@ def g8(t):
 
 @query("g9_closure", sql_with("succ", recursive=True) + ", h AS (SELECT from_id AS seed, from_id AS id FROM (SELECT DISTINCT from_id FROM succ) s UNION SELECT h.seed, e.to_id FROM h JOIN succ e ON e.from_id = h.id) SELECT seed, count(*) - 1 AS n, max(id) AS last FROM h WHERE seed <> id OR TRUE GROUP BY seed HAVING count(*) > 1")
 def g9(t):
-    c = G.closure(t.succ, t.succ.select(F.col("from_id").alias("id")).distinct())
-    return c.groupBy("seed").agg(F.count("*").alias("n"), F.greatest(F.max("id"), F.col("seed")).alias("last"))
+    """How much each node reaches and the greatest id of it, from reach labels."""
+    all_ = reach.reach_summary(reach.reach_index(t.succ), t.succ.select(F.col("from_id").alias("id")))
+    return all_.where("n > 1").select("seed", (F.col("n") - 1).alias("n"), F.col("most").alias("last"))
+
+
+#: The graph of all customers: a row of 1O nodes from customer to customer, a hub above the 5F nodes, and a ring of the 3O nodes.
+LINKED = """, byc AS (SELECT split_part(id, ':', 3) AS p, CAST(split_part(id, ':', 2) AS BIGINT) AS c, id FROM (SELECT from_id AS id FROM succ UNION SELECT to_id FROM succ) q), nx AS (SELECT id, p, lead(id) OVER (PARTITION BY p ORDER BY c) AS b, first_value(id) OVER (PARTITION BY p ORDER BY c) AS a FROM byc WHERE p IN ('1O', '3O')),
+linked AS (SELECT from_id, to_id FROM succ WHERE from_id LIKE '%F' UNION SELECT id, coalesce(b, CASE WHEN p = '3O' THEN a END) FROM nx WHERE b IS NOT NULL OR p = '3O' UNION SELECT 'hub', id FROM byc WHERE p = '5F')"""
+
+
+def _linked(t):
+    ids = t.succ.select(F.col("from_id").alias("id")).union(t.succ.select("to_id")).distinct().select("id", F.split_part("id", F.lit(":"), F.lit(3)).alias("p"), F.split_part("id", F.lit(":"), F.lit(2)).cast("long").alias("c"))
+    rows = global_rank(ids.where("p in ('1O', '3O')"), [F.asc("p"), F.asc("c")]).select("p", "id", "rank")
+    after = rows.select("p", (F.col("rank") - 1).alias("rank"), F.col("id").alias("b"))
+    start = rows.groupBy("p").agg(F.min_by("id", "rank").alias("a"))
+    steps = rows.join(after, ["p", "rank"], "left").join(F.broadcast(start), "p").select("id", F.coalesce("b", F.when(F.col("p") == "3O", F.col("a"))).alias("to_id")).where("to_id is not null")
+    return t.succ.where("from_id like '%F'").select("from_id", "to_id").union(steps).union(ids.where("p = '5F'").select(F.lit("hub"), "id")).distinct()
+
+
+REACHED = ", h AS (SELECT from_id AS seed, from_id AS id FROM (SELECT from_id FROM linked UNION SELECT to_id FROM linked) s UNION SELECT h.seed, e.to_id FROM h JOIN linked e ON e.from_id = h.id)"
+
+
+@query("g9_linked_reach", sql_with("succ", recursive=True) + LINKED + REACHED + " SELECT seed, count(*) AS n, min(id) AS least, max(id) AS most FROM h GROUP BY seed")
+def g9b(t):
+    """Rows of customers, a hub and a large ring: how much each node reaches, itself included."""
+    e = _linked(t)
+    return reach.reach_summary(reach.reach_index(e), e.select(F.col("from_id").alias("id")).union(e.select("to_id")))
+
+
+@query("g6_components", sql_with("succ", recursive=True) + LINKED + REACHED + " SELECT a.seed AS id, min(a.id) AS least, count(*) AS n FROM h a JOIN h b ON b.seed = a.id AND b.id = a.seed GROUP BY a.seed")
+def g6d(t):
+    """The strongly connected component of each node of that graph: its least node and its size."""
+    of = reach.components(_linked(t))
+    return of.join(of.groupBy("scc").agg(F.min("id").alias("least"), F.count("*").alias("n")), "scc").select("id", "least", "n")
 
 
 @query("g10_nearest_typed", sql_with("nodes", "edges", recursive=True) + """, h AS (SELECT id AS seed, id, 0 AS depth FROM nodes WHERE kind = 'part' UNION SELECT h.seed, e.from_id, h.depth + 1 FROM h JOIN (SELECT DISTINCT from_id, to_id FROM edges) e ON e.to_id = h.id WHERE h.depth < 8),
