@@ -89,7 +89,7 @@ def s7(t):
     own = t.part.select("p_brand", "p_partkey")
     sinks.rebuild(own, path, "p_brand")
     sinks.rebuild(own.where("p_brand = 'Brand#1' and p_partkey % 2 = 0"), path, "p_brand")
-    return t.spark.read.schema("p_partkey long, p_brand string").parquet(path).select("p_brand", "p_partkey")
+    return sinks.rebuilt(t.spark, path, own.schema)
 
 
 @query("s8_snapshot_log", sql_with("nodes", "edges") + """, s AS (SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(views) FROM nodes) AS with_views, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT from_id) FROM edges) AS parents) SELECT 'a' AS run, s.*, 'first' AS note FROM s UNION ALL SELECT 'b', s.*, 'second' FROM s""")

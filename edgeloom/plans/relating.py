@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from edgeloom.operators import aggregate as A
 from edgeloom.operators import lookup as L
 from edgeloom.operators import rank as R
+from edgeloom.operators.skew import spread_join
 from edgeloom.plans.bindings import sql_with
 from edgeloom.plans.registry import query
 
@@ -89,15 +90,17 @@ def j6(t):
 SELECT x.to_id AS a, y.to_id AS b, count(DISTINCT x.from_id) AS shared FROM edges x JOIN edges y ON x.from_id = y.from_id AND x.to_id < y.to_id WHERE x.relation = 'derivative' AND y.relation = 'derivative' GROUP BY 1, 2 HAVING count(DISTINCT x.from_id) > 1""")
 def j7(t):
     e = t.edges.where("relation = 'derivative'").select("from_id", "to_id").distinct()
+    # who has one parent shares no two; a parent of very many is dealt over several tasks
+    e = e.join(e.groupBy("to_id").count().where("count > 1").select("to_id"), "to_id", "left_semi")
     a, b = e.select("from_id", F.col("to_id").alias("a")), e.select("from_id", F.col("to_id").alias("b"))
-    return a.join(b, "from_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared > 1")
+    return spread_join(a, b, ["from_id"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared > 1")
 
 
-@query("j8_or_join", """SELECT DISTINCT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND ((a.p_name = b.p_name AND a.p_size = b.p_size) OR (a.p_brand = b.p_brand AND a.p_retailprice = b.p_retailprice))""")
+@query("j8_or_join", """WITH x AS (SELECT p_partkey AS b, min(p_partkey) OVER (PARTITION BY p_name, p_size) AS a FROM part UNION SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_retailprice) FROM part) SELECT a, b FROM x WHERE a < b""")
 def j8(t):
-    p = t.part
-    side = lambda n, *c: p.select(F.col("p_partkey").alias(n), *c)
-    by = lambda *c: side("a", *c).join(side("b", *c), list(c)).where("a < b").select("a", "b")
+    """Rows equal by one key or another: each with the first of its class, from which all pairs of a class follow."""
+    p = t.part.select(F.col("p_partkey").alias("b"), "p_name", "p_size", "p_brand", "p_retailprice")
+    by = lambda *c: spread_join(p, p.groupBy(*c).agg(F.min("b").alias("a")), list(c)).where("a < b").select("a", "b")
     return by("p_name", "p_size").union(by("p_brand", "p_retailprice")).distinct()
 
 
@@ -111,12 +114,12 @@ def j9(t):
     return k.join(k.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")), "key").select("id", "first", "n")
 
 
-@query("j10_token_candidates", """WITH tok AS (SELECT DISTINCT p_partkey, unnest(string_split(concat(p_name, ' ', lower(p_brand)), ' ')) AS w FROM part), al AS (SELECT DISTINCT p_type, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_size > 45)
+@query("j10_token_candidates", """WITH tok AS (SELECT DISTINCT p_partkey, unnest(string_split(concat(p_name, ' ', lower(p_brand)), ' ')) AS w FROM part), al AS (SELECT DISTINCT p_type, unnest(string_split(p_name, ' ')) AS w FROM part)
 SELECT DISTINCT p_partkey, p_type FROM tok JOIN al USING (w)""")
 def j10(t):
     tok = t.part.select("p_partkey", F.explode(F.split(F.concat_ws(" ", "p_name", F.lower("p_brand")), " ")).alias("w")).distinct()
-    al = t.part.where("p_size > 45").select("p_type", F.explode(F.split("p_name", " ")).alias("w")).distinct()
-    return tok.join(al, "w").select("p_partkey", "p_type").distinct()
+    al = t.part.select("p_type", F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    return spread_join(tok, al, ["w"]).select("p_partkey", "p_type").distinct()
 
 
 @query("j11_dictionary_join", """SELECT d.n_name, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer JOIN nation d ON d.n_nationkey = c_nationkey GROUP BY d.n_name""")

@@ -12,13 +12,15 @@ def _folder(t) -> str:
     return shared_path(t.spark, "stream")
 
 
-def _arriving(t, df, folder: str, parts: int = 3):
-    """df as a stream of ``parts`` files in order of time."""
+def _arriving(t, df, folder: str, parts: int = 3, file_rows: int = 500_000):
+    """df as a stream of ``parts`` batches in order of time; each is a folder of as many files, of about file_rows rows at most."""
     lo, hi = df.agg(F.min("event_id"), F.max("event_id")).first()
     step = max(1, (hi - lo + parts) // parts)
+    most = df.groupBy(F.expr(f"(event_id - {lo}) div {step}").alias("k")).count().agg(F.max("count")).first()[0]
+    files = -(-most // file_rows)
     for k in range(parts):
-        df.where(F.col("event_id").between(lo + k * step, lo + (k + 1) * step - 1)).coalesce(1).write.parquet(f"{folder}/in/{k}")
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in/*")
+        df.where(F.col("event_id").between(lo + k * step, lo + (k + 1) * step - 1)).repartition(files).write.parquet(f"{folder}/in/{k}")
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(f"{folder}/in/*")
 
 
 def _run(writer) -> None:
@@ -97,8 +99,9 @@ def st4(t):
     stream = J.error_counters(_arriving(t, t.events.where("event_type = 'error'"), folder))
 
     def merge(batch, batch_id):
-        kept = table.read(batch_id, table.touched(batch)).join(batch.select("user_id", "props"), ["user_id", "props"], "left_anti")
-        table.write(kept.select(*batch.columns).union(batch), batch_id)
+        touched = table.touched(batch, batch_id)
+        kept = table.read(batch_id, touched).join(batch.select("user_id", "props"), ["user_id", "props"], "left_anti")
+        table.write(kept.select(*batch.columns).union(batch), batch_id, touched)
 
     _run(stream.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", f"{folder}/cp"))
     return table.read()

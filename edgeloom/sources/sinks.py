@@ -1,10 +1,10 @@
 """Sinks: bounded work batches, rebuilt tables, snapshot logs."""
 
-import uuid
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from edgeloom.sources.manifest import ManifestTable
+
 
 def batches(states: DataFrame, edges: DataFrame, top_roots: int, per_root: int) -> tuple[DataFrame, DataFrame]:
     """Work batches: of the roots with most nodes, the first nodes by depth then id, and the edges between nodes of one batch."""
@@ -28,27 +28,22 @@ def export_batches(nodes: DataFrame, path: str) -> None:
 
 
 def rebuild(df: DataFrame, path: str, partition: str | None = None) -> None:
-    """Replace a derived table, or with ``partition`` only the partitions that df has.
+    """Replace a derived table, or with ``partition`` only the partitions that df has; ``rebuilt`` reads it.
 
-    A whole table is written beside the old one and then takes its place by renaming, so a failure while writing leaves the old table,
-    and one between the two renames leaves it complete beside the path. Partitions are staged and moved by Spark's dynamic overwrite.
+    The new files are written beside the old ones and put in force by the table's manifest, so a reader sees a whole table at any time,
+    and a failure leaves the old one. A null partition value is a partition of its own.
     """
-    if partition:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-        return
-    spark, mark = df.sparkSession, uuid.uuid4().hex
-    new, old, here = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path.rstrip('/')}-new-{mark}", f"{path.rstrip('/')}-old-{mark}", path.rstrip("/")))
-    df.write.parquet(new.toString())
-    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
-    had = fs.exists(here)
-    if had and not fs.rename(here, old):
-        raise OSError(f"cannot move {path}")
-    if not fs.rename(new, here):
-        if had:
-            fs.rename(old, here)
-        raise OSError(f"cannot move the new table to {path}")
-    if had:
-        fs.delete(old, True)
+    table = ManifestTable(df.sparkSession, path)
+    start = table.current()
+    number = start["batch"] + 1 if start else 0
+    keyed = df.withColumn("_part", F.coalesce(F.concat(F.lit("="), F.col(partition).cast("string")), F.lit("null")) if partition else F.lit("all"))
+    parts = table.stage(keyed, "_part")
+    table.commit((start["parts"] if start and partition else {}) | parts, number, start)
+
+
+def rebuilt(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table that ``rebuild`` has put in force last."""
+    return ManifestTable(spark, path).read(schema)
 
 
 def snapshot(nodes: DataFrame, edges: DataFrame, run: str, note: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Structured Streaming jobs: upserts of page changes, change feed, windows, counters, staleness alerts.
 
-Sinks that keep a table rewrite the hash buckets that a batch touches, below a folder named by the batch id, so a batch that runs
-again writes the same path. The final state equals the batch operators' result.
+Sinks that keep a table rewrite the hash buckets that a batch touches and commit them by a manifest, so a batch that runs again, killed
+or not, gives the same table. The final state equals the batch operators' result.
 """
 
 from collections.abc import Iterator
@@ -12,55 +12,59 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from edgeloom.operators.ingest import upsert
+from edgeloom.operators.staging import cut
+from edgeloom.sources.manifest import ManifestTable
 
 
 class StateTable:
-    """A keyed table in hash buckets, of which a batch rewrites only those that its keys fall into.
+    """A keyed table in hash buckets that split as they grow, of which a batch rewrites only those that its keys fall into.
 
-    Batch N writes folder/batch=N/bucket=B, whole buckets; it counts once Spark has marked it complete. A bucket's content is that of
-    its newest complete batch, so a batch id that runs again starts from the ones before it and writes the same place. The last
-    two versions of each bucket are kept, for readers that are under way, and older ones deleted.
+    A bucket has all keys whose hash ends in its bits; one that gets more than ``most`` rows is split by further bits when it is written, so
+    a task never writes much more, however large the table (only rows of one key stay together). The manifest names the live
+    files of every bucket. A batch that runs again starts from the version before it, whether or not it was committed.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, empty: DataFrame, key: list[str], buckets: int = 64):
-        self.spark, self.folder, self.empty, self.key, self.buckets = spark, folder.rstrip("/"), empty, key, buckets
+    def __init__(self, spark: SparkSession, folder: str, empty: DataFrame, key: list[str], most: int = 1_000_000):
+        self.spark, self.empty, self.key, self.most = spark, empty, key, most
+        self.table = ManifestTable(spark, folder)
 
-    def _list(self, path: str) -> list[str]:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    def _buckets(self, version: dict | None) -> list[tuple[str, int, int]]:
+        """(name, depth, bits) of all buckets; without any, one of all hashes."""
+        names = list(version["parts"]) if version else []
+        return [(n, *map(int, n.split("-"))) for n in names] or [("0-0", 0, 0)]
 
-    def _versions(self) -> dict[int, list[int]]:
-        """For each bucket the complete batches that wrote it, in order; as many as buckets times the versions that are kept."""
-        out: dict[int, list[int]] = {}
-        for batch in sorted(int(n.split("=")[1]) for n in self._list(self.folder) if n.startswith("batch=")):
-            names = self._list(self._path(batch))
-            for n in names if "_SUCCESS" in names else ():
-                if n.startswith("bucket="):
-                    out.setdefault(int(n.split("=")[1]), []).append(batch)
-        return out
+    def _placed(self, rows: DataFrame, buckets: list[tuple[str, int, int]]) -> DataFrame:
+        """rows with _hash and _bucket. The buckets are broadcast: there are about as many as rows of the table by ``most``."""
+        known = F.broadcast(self.spark.createDataFrame(buckets, "_bucket string, _depth int, _bits long"))
+        depths = F.array(*[F.lit(d) for d in sorted({d for _, d, _ in buckets})])
+        each = rows.withColumn("_hash", F.xxhash64(*self.key).bitwiseAND(F.lit((1 << 62) - 1))).withColumn("_depth", F.explode(depths))
+        return each.withColumn("_bits", F.expr("_hash & (shiftleft(1L, _depth) - 1)")).join(known, ["_depth", "_bits"]).drop("_depth", "_bits")
 
-    def _path(self, batch: int, bucket: int | None = None) -> str:
-        return f"{self.folder}/batch={batch:012d}" + ("" if bucket is None else f"/bucket={bucket}")
+    def touched(self, rows: DataFrame, batch: int) -> list[str]:
+        return sorted(r[0] for r in self._placed(rows.select(*self.key), self._buckets(self.table.before(batch))).select("_bucket").distinct().collect())
 
-    def bucket(self):
-        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+    def read(self, before: int | None = None, buckets: list[str] | None = None) -> DataFrame:
+        version = self.table.current() if before is None else self.table.before(before)
+        return self.table.read(self.empty.schema, version, buckets) if version else self.empty
 
-    def touched(self, rows: DataFrame) -> list[int]:
-        return sorted(r[0] for r in rows.select(self.bucket()).distinct().collect())
-
-    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-        newest = {b: [v for v in vs if before is None or v < before] for b, vs in self._versions().items() if buckets is None or b in buckets}
-        paths = [self._path(vs[-1], b) for b, vs in sorted(newest.items()) if vs]
-        return self.spark.read.schema(self.empty.schema).parquet(*paths) if paths else self.empty
-
-    def write(self, df: DataFrame, batch: int) -> None:
+    def write(self, df: DataFrame, batch: int, touched: list[str]) -> None:
         """df: all rows of the buckets that the batch touches."""
-        df.select(*self.empty.columns, self.bucket().alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._path(batch))
-        for b, versions in self._versions().items():
-            for old in [v for v in versions if v <= batch][:-2]:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(old, b))
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        start = self.table.before(batch)
+        buckets = [b for b in self._buckets(start) if b[0] in set(touched)]
+        placed = cut(self._placed(df.select(*self.empty.columns), buckets), "state") if buckets else None
+        counts = {r["_bucket"]: r["n"] for r in placed.groupBy("_bucket").agg(F.count("*").alias("n")).collect()} if buckets else {}
+        leaves = []
+        for name, depth, bits in buckets:
+            more = 0
+            while counts.get(name, 0) > self.most << more:
+                more += 1
+            leaves += [(f"{depth + more}-{bits | (k << depth)}", depth + more, bits | (k << depth)) for k in range(1 << more)]
+        parts = {n: {"files": []} for n, *_ in leaves}
+        if counts:
+            rows = self._placed(placed.drop("_hash", "_bucket"), leaves)
+            parts |= self.table.stage(rows.drop("_hash"), "_bucket")
+        old = start["parts"] if start else {}
+        self.table.commit({k: v for k, v in old.items() if k not in set(touched)} | parts, batch, start)
 
 
 def upsert_stream(changes: DataFrame, table: StateTable, checkpoint: str):
@@ -71,7 +75,8 @@ def upsert_stream(changes: DataFrame, table: StateTable, checkpoint: str):
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         last = batch.groupBy("id").agg(F.max_by(F.struct("hash", "fetched_at"), F.struct("fetched_at", "seq")).alias("v")).select("id", "v.hash", "v.fetched_at").persist()
-        table.write(upsert(table.read(batch_id, table.touched(last)), last).select(*table.empty.columns), batch_id)
+        touched = table.touched(last, batch_id)
+        table.write(upsert(table.read(batch_id, touched), last).select(*table.empty.columns), batch_id, touched)
         last.unpersist()
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
@@ -84,15 +89,15 @@ def children_stream(changes: DataFrame, children: StateTable, revisions: StateTa
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         last = batch.groupBy("id").agg(F.max_by("items", F.struct("fetched_at", "seq")).alias("items")).persist()
-        touched = children.touched(last)
+        touched, noted = children.touched(last, batch_id), revisions.touched(last, batch_id)
         stored = children.read(batch_id, touched)
         incoming = last.select("id", F.explode_outer(F.array_distinct("items")).alias("item"))
         kept = stored.join(last.select("id"), "id", "left_anti").select("id", "item")
         before = stored.where("item is not null").groupBy("id").agg(F.count("*").alias("before"))
         after = incoming.groupBy("id").agg(F.count("item").alias("after"))
         moved = after.join(before, "id", "left").select("id", F.lit(batch_id).cast("long").alias("batch"), F.coalesce("before", F.lit(0).cast("long")).alias("before"), "after").where("before <> after")
-        revisions.write(revisions.read(batch_id, touched).unionByName(moved), batch_id)
-        children.write(kept.union(incoming), batch_id)  # last: a batch that runs again still finds the children of before
+        revisions.write(revisions.read(batch_id, noted).unionByName(moved), batch_id, noted)
+        children.write(kept.union(incoming), batch_id, touched)  # last: a batch that runs again still finds the children of before
         last.unpersist()
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
