@@ -1,8 +1,12 @@
 """Rollups, evidence merges and weighted statistics."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.operators.staging import cut
+
 
 def rollup(df: DataFrame, key: list[str], counts: dict[str, Column], any_: dict[str, Column], distinct: dict[str, Column] = {}) -> DataFrame:
     """Per key: conditional counts, whether any row meets a condition, and exact distinct counts, in one pass."""
@@ -36,11 +40,27 @@ def weighted_stats(df: DataFrame, key: list[str], value: str, weight: str) -> Da
 
 
 def weighted_quantiles(df: DataFrame, key: list[str], value: str, weight: str, at: dict[str, float]) -> DataFrame:
-    """Lower step quantiles: the least value at which the running weight reaches a share of the total."""
+    """Lower step quantiles: the least value at which the running weight reaches a share of the total.
+
+    Selected in two passes, so that a group of all rows is no one task's sort: the values, their weights summed, are dealt by ranges of
+    (key, value) and written; weights are summed by range, which tells where each range starts, and only then running sums are taken
+    within ranges. Ranges of a key are as few as its values fill.
+    """
     each = df.groupBy(*key, value).agg(F.sum(weight).alias("_w"))
+    parts = cut(each.repartitionByRange(*key, value).withColumn("_part", F.spark_partition_id()), "quantiles")
+    sums = parts.groupBy(*key, "_part").agg(F.sum("_w").alias("_s"))
     own = Window.partitionBy(*key)
-    each = each.withColumn("_run", F.sum("_w").over(own.orderBy(value))).withColumn("_all", F.sum("_w").over(own))
-    return each.groupBy(*key).agg(*[F.min(F.when(F.col("_run") >= q * F.col("_all"), F.col(value))).alias(n) for n, q in at.items()])
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_s").over(own))
+    # a quantile lies in the first range of its key whose end reaches its share: other ranges are not summed up
+    reached = [(F.col("_before") < q * F.col("_all")) & (F.col("_before") + F.col("_s") >= q * F.col("_all")) for q in at.values()]
+    first = F.col("_before") == 0  # for shares that nothing has to reach
+    hit = sums.where(reduce(lambda x, y: x | y, reached, first))
+    same = F.expr(" and ".join(f"p.`{k}` <=> h.`{k}`" for k in [*key, "_part"]))
+    run = parts.alias("p").join(hit.alias("h"), same).select(*[f"p.{k}" for k in key], f"p.{value}", "p._w", "p._part", "h._before", "h._all")
+    run = run.withColumn("_run", F.col("_before") + F.sum("_w").over(Window.partitionBy(*key, "_part").orderBy(value)))
+    # sums in another order may miss a share that only the last value reaches by the last bit
+    last = F.max(F.when(F.col("_all").isNotNull(), F.col(value)))
+    return run.groupBy(*key).agg(*[F.coalesce(F.min(F.when(F.col("_run") >= q * F.col("_all"), F.col(value))), last).alias(n) for n, q in at.items()])
 
 
 def weighted_degree(pairs: DataFrame, weight: str = "n") -> DataFrame:

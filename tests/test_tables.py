@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from edgeloom.operators import textindex as I
+from edgeloom.operators import textsim as S
 from edgeloom.operators.extract import plain_text
 from edgeloom.operators.skew import spread_join
 from edgeloom.sources import manifest, sinks
@@ -118,3 +120,18 @@ def test_plain_text_is_whole_unless_asked(spark):
     page = "".join(f"'''Word{k}''' [[Title {k}|link{k}]] {{{{t}}}}<ref>x</ref>\n" for k in range(5000))
     got = spark.createDataFrame([(page,)], "text string").select(plain_text("text").alias("a"), plain_text("text", 32_000).alias("b")).first()
     assert len(page) > 100_000 and got["a"].split() == [w for k in range(5000) for w in (f"Word{k}", f"link{k}")] and got["b"] == got["a"][:32_000]
+
+
+def test_text_index_reads_only_its_words_partitions(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "The Blue Note", "blue blue note and more"), (2, "Red", "a note in blue, blue note"), (3, "blues", None), (4, "Blue note!", ""), (5, None, "nothing")], "id long, title string, text string")
+    built = I.build_index(docs, ["title", "text"], str(tmp_path / "i"), 16)
+    index, fields = I.open_index(spark, str(tmp_path / "i"), "long", 16), {"title": 2.0, "text": 1.0}
+    for q in ("blue note", "blue", "more nothing", "blue blue", "absent"):
+        want = [tuple(r) for r in S.search(docs, q, fields).collect()]
+        assert [tuple(r) for r in I.search(index, q, fields).collect()] == want == [tuple(r) for r in I.search(built, q, fields).collect()]
+    assert {(r["id"], r["n"]) for r in I.phrase(index, "blue note", "text").collect()} == {(1, 1), (2, 1)}
+    assert {(r["id"], r["n"]) for r in I.phrase(index, "blue blue", "text").collect()} == {(1, 1), (2, 1)}
+    plan = I.postings_of(index, ["blue"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,blue)" in plan
+    dirs = {f.rsplit("bucket=", 1)[1].split("/")[0] for f in I.postings_of(index, ["blue"]).select(F.input_file_name().alias("f")).toPandas()["f"]}
+    assert len(dirs) == 1
