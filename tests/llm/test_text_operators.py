@@ -383,6 +383,36 @@ def test_license_paragraphs(spark):
     assert sorted((g for g in got if g[2]), key=str) == sorted([(50, "mit", 1, 1), (50, "mit", 1, 1), (51, "gpl", 1, 2), (52, "mit", 1, 0), (54, "gpl,mit", 2, 1), (None, "mit", 1, 1)], key=str)
 
 
+HEADERS = {
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "agpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License.",
+    "gpl": GPL,
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "epl": "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at the web site.",
+    "zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "boost": "Distributed under the Boost Software License, Version 1.0. (See\naccompanying file LICENSE_1_0.txt or copy at the web site)",
+    "cc0": "To the extent possible under law, the author has waived all copyright\nand related or neighboring rights to this work.",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "apache": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.',
+    "reserved": "Copyright (c) 2020 Some Company. All rights reserved.",
+}
+
+
+def test_license_headers_and_sentences_like_them(spark):
+    """The usual headers of many licences, wrapped and in comments; sentences that share words with them are none of them."""
+    rows = [(k, f"Some words first.\n\n{text}\n\nMore words.") for k, (_, text) in enumerate(HEADERS.items())]
+    rows += [(100 + k, "/*\n" + "\n".join(" * " + x for x in text.split("\n")) + "\n */") for k, text in enumerate(HEADERS.values())]
+    none = ["All rights reserved seats were sold.", "The public library is free and open.", "He was granted permission to use the software for any purpose.", "The eclipse of the sun was made available to the public.", "A boost of the software version 1.0 was distributed.", "The author waived all rights."]
+    rows += [(200 + k, t) for k, t in enumerate(none)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").union(spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id") + 1000, "text"))
+    got = {r["doc_id"]: r["families"] for r in licenses.licenses(docs).where("doc_id < 1000").collect()}
+    assert {f: got[k] for k, f in enumerate(HEADERS)} == {f: f for f in HEADERS}
+    assert {f: got[100 + k] for k, f in enumerate(HEADERS)} == {f: f for f in HEADERS}
+    assert {t: got[200 + k] for k, t in enumerate(none)} == dict.fromkeys(none, "")
+
+
 def test_license_cues_lose_nothing():
     """Without its cue words no template keeps enough of its pairs."""
     p = licenses.LicenseParams()
