@@ -71,7 +71,8 @@ def region_kind(title: Column, source: Column) -> Column:
 
 
 def triage(rows: DataFrame, final: bool = False) -> DataFrame:
-    """rows (title, source_title, candidate_type, confidence) with status, kind, sure and reason.
+    """rows (title, source_title, candidate_type, confidence; suggested_name, if there is one, names the region first) with status, region,
+    kind, sure and reason.
 
     The first round accepts and rejects what is clear and leaves the rest to a review; the ``final`` one accepts what is plausible. A
     rule's confidence is the least: a candidate's own, if it is higher, stays, but for the first round's rejections.
@@ -113,5 +114,6 @@ def triage(rows: DataFrame, final: bool = False) -> DataFrame:
     out = F.when(*cases[0])
     for c in cases[1:]:
         out = out.when(*c)
+    given = F.nullif("suggested_name", F.lit("")) if "suggested_name" in rows.columns else F.lit(None).cast("string")
     sure = F.when((F.col("_t.status") == "reject") & F.lit(not final), F.col("_t.least")).otherwise(F.greatest(F.col("confidence"), F.col("_t.least")))
-    return rows.withColumn("_t", out).select(*rows.columns, "_t.status", place_name(title).alias("region"), "_t.kind", sure.alias("sure"), "_t.reason")
+    return rows.withColumn("_t", out).select(*rows.columns, "_t.status", F.coalesce(given, place_name(title)).alias("region"), "_t.kind", sure.alias("sure"), "_t.reason")

@@ -368,9 +368,9 @@ def q2b(t):
 
 _CANDIDATES = """SELECT p_partkey AS id, CASE p_partkey % 12 WHEN 0 THEN concat('Category:Music of ', p_name) WHEN 1 THEN concat('Music in ', p_name, ' County') WHEN 2 THEN concat(p_name, ' award') WHEN 3 THEN 'Music by city' WHEN 4 THEN concat('Ancient ', p_name) WHEN 5 THEN concat(p_name, ' folk music') WHEN 6 THEN concat('Music history of ', p_name)
 WHEN 7 THEN concat(p_name, ' (1850-1900)') WHEN 8 THEN 'Music of the Caribbean' WHEN 9 THEN concat('Indigenous ', p_name, ' music') WHEN 10 THEN concat(p_name, ' library') ELSE concat(p_name, ' music') END AS title, CASE p_size % 5 WHEN 0 THEN 'Category:Music by country' WHEN 1 THEN 'Styles of music' WHEN 2 THEN 'Music by city' WHEN 3 THEN 'X by state' END AS source_title,
-['music_region_page', 'music_region_category', 'region_container_category', 'regional_music_list', 'cultural_region_page', 'regional_genre_page', 'unknown_music_candidate', 'other'][1 + p_partkey % 8] AS candidate_type, p_size / 50.0::DOUBLE AS confidence FROM part"""
+['music_region_page', 'music_region_category', 'region_container_category', 'regional_music_list', 'cultural_region_page', 'regional_genre_page', 'unknown_music_candidate', 'other'][1 + p_partkey % 8] AS candidate_type, p_size / 50.0::DOUBLE AS confidence, CASE p_size % 4 WHEN 1 THEN concat('Land of ', p_name) WHEN 2 THEN '' END AS suggested_name FROM part"""
 _TRIAGED = f"""WITH c AS ({_CANDIDATES}), b AS (SELECT *, p AS t, CASE source_title WHEN 'Category:Music by country' THEN 'music by country' ELSE lower(coalesce(source_title, '')) END AS s, id % 12 AS k FROM (SELECT *, regexp_replace(lower(title), '^category:', '') AS p FROM c) q),
-n AS (SELECT *, CASE WHEN k IN (0, 1) THEN regexp_replace(t, '^music (of|in) ', '') WHEN k = 8 THEN 'caribbean' END AS region, CASE WHEN k = 1 THEN CASE WHEN s LIKE '%by city%' THEN 'city' ELSE 'subregion' END WHEN k = 4 THEN 'historical_region' WHEN k = 9 THEN 'cultural_region' WHEN s LIKE '%by country%' THEN 'country' WHEN s LIKE '%by state%' OR k = 8 THEN 'subregion' ELSE 'unknown' END AS kd FROM b)"""
+n AS (SELECT *, coalesce(nullif(suggested_name, ''), CASE WHEN k IN (0, 1) THEN regexp_replace(t, '^music (of|in) ', '') WHEN k = 8 THEN 'caribbean' END) AS region, CASE WHEN k = 1 THEN CASE WHEN s LIKE '%by city%' THEN 'city' ELSE 'subregion' END WHEN k = 4 THEN 'historical_region' WHEN k = 9 THEN 'cultural_region' WHEN s LIKE '%by country%' THEN 'country' WHEN s LIKE '%by state%' OR k = 8 THEN 'subregion' ELSE 'unknown' END AS kd FROM b)"""
 
 
 def _candidates(t):
@@ -380,7 +380,7 @@ def _candidates(t):
     title = F.element_at(F.array(*titles), (k % 12 + 1).cast("int"))
     source = F.element_at(F.array(*[F.lit(x) for x in ("Category:Music by country", "Styles of music", "Music by city", "X by state", None)]), (F.col("p_size") % 5 + 1).cast("int"))
     kind = F.element_at(F.array(*[F.lit(x) for x in ("music_region_page", "music_region_category", "region_container_category", "regional_music_list", "cultural_region_page", "regional_genre_page", "unknown_music_candidate", "other")]), (k % 8 + 1).cast("int"))
-    return t.part.select(k.alias("id"), title.alias("title"), source.alias("source_title"), kind.alias("candidate_type"), (F.col("p_size") / 50.0).alias("confidence"))
+    return t.part.select(k.alias("id"), title.alias("title"), source.alias("source_title"), kind.alias("candidate_type"), (F.col("p_size") / 50.0).alias("confidence"), F.when(F.col("p_size") % 4 == 1, cat("Land of ", name)).when(F.col("p_size") % 4 == 2, "").alias("suggested_name"))
 
 
 @query("q3_triage", _TRIAGED + """, x AS (SELECT *, id % 8 AS o, CASE WHEN k = 2 THEN ['reject', 'unknown', '0.96'] WHEN k = 3 THEN ['needs_review', 'unknown', '0.6'] WHEN id % 8 IN (0, 1) THEN ['accept', kd, '0.88'] WHEN id % 8 = 2 THEN ['needs_review', 'unknown', '0.72'] WHEN id % 8 = 3 THEN ['accept', 'unknown', '0.82'] WHEN id % 8 = 4 THEN ['needs_review', kd, '0.7']
