@@ -130,7 +130,7 @@ def cut_cells(sample: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return axes, cuts
 
 
-MARGIN = 12  # results kept beyond the k-th, so that the last place is decided by the exact products
+ROUNDING = 2.0**-51  # of a product of norms and the dimensions: more than two orders of summing can make of the same products
 FIRST = 128  # points verified before a query's first test
 
 
@@ -165,11 +165,13 @@ class Tree:
 
 
 def search(space: Space, k: int, leaf_rows: int, queries: np.ndarray, bound: np.ndarray, tied: np.ndarray, points: np.ndarray, ids: np.ndarray):
-    """For each query the ids found, best first and at most k + MARGIN, their products, the points verified, and whether the k-th
-    place is tied. bound: the k-th product known so far; tied: whether it is so already."""
+    """For each query the ids found, best first: k, and all others that rounding alone may set apart from the k-th; their products, the
+    points verified, and whether the k-th place is tied. bound: the k-th product known so far; tied: whether it is so already."""
     tree = Tree.build(space, leaf_rows, points, ids)
     projected = space.project(queries, True)
-    base = space.norm**2 + (queries * queries).sum(1)
+    own_norms = (queries * queries).sum(1)
+    base = space.norm**2 + own_norms
+    slack = ROUNDING * queries.shape[1] * space.norm * np.sqrt(own_norms)
     for i, q in enumerate(queries):
         tie, kth = bool(tied[i]), float(bound[i])
         limit = lambda: math.inf if tie or kth == -math.inf else space.stop * max(base[i] - 2 * kth, 0.0)  # noqa: B023, E731
@@ -180,10 +182,13 @@ def search(space: Space, k: int, leaf_rows: int, queries: np.ndarray, bound: np.
             done, step = done + len(own), step * 2
             scores = np.concatenate([best, (tree.points[own] * q).sum(1)])
             names = np.concatenate([found, tree.ids[own]])
-            top = np.lexsort((names, -scores))[: k + MARGIN]
+            top = np.lexsort((names, -scores))
+            full = len(top) > k
+            if full:
+                top = top[scores[top] >= scores[top[k - 1]] - slack[i]]
             best, found = scores[top], names[top]
-            if len(best) > k:
-                kth, tie = max(float(bound[i]), float(best[k - 1])), tie or best[k - 1] == best[k] >= bound[i]
+            if full:
+                kth, tie = max(float(bound[i]), float(best[k - 1])), tie or (len(best) > k and best[k] >= bound[i] - slack[i])
                 rows = rows[: max(done, int(np.searchsorted(r, limit())))]
         yield found, best, done, tie
 
@@ -274,7 +279,10 @@ def nearest(vectors: DataFrame, p: AnnParams = AnnParams()) -> DataFrame:
     either = first.unionByName(further)
     verified = either.groupBy("query").agg(F.sum("verified").alias("verified"))
     pairs = either.select("query", F.explode(F.arrays_zip("found", "best")).alias("f")).select("query", F.col("f.found").alias("cls"), F.col("f.best").alias("s"))
-    pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "cls"))).where(F.col("place") <= k + MARGIN).select("query", "cls")
+    own = Window.partitionBy("query").orderBy(F.desc("s"), "cls")
+    kept = F.nth_value("s", k).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    near = F.col("kth").isNull() | (F.col("s") >= F.col("kth") - ROUNDING * d * space.norm**2)
+    pairs = pairs.withColumn("kth", kept).where(near).select("query", "cls")
     # exact products on the original vectors, then the members of the classes
     a, b = classes.select(F.col("cls").alias("query"), F.col("x").alias("qx")), classes.select("cls", "x", "members")
     dot = F.expr("aggregate(zip_with(qx, x, (u, v) -> u * v), double(0), (s, v) -> s + v)")

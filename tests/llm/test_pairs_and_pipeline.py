@@ -3,6 +3,8 @@
 import random
 import re
 from collections import Counter, defaultdict
+from functools import reduce
+from operator import add
 
 import numpy as np
 import public_tokenizers
@@ -167,6 +169,20 @@ def test_nearest_ties_go_to_the_smallest_ids(spark):
     assert all(v[19:] == [i for i in range(400) if i % 20][:11] for v in got.values())
 
 
+def test_nearest_products_that_differ_by_rounding_only(spark):
+    """Hundreds of products that are equal but for their last bits: the order is that of the sums from left to right."""
+    rng = np.random.default_rng(12)
+    values = rng.normal(size=24)
+    rows = [(0, [1.0] * 24)] + [(i, rng.permutation(values).tolist()) for i in range(1, 900)] + [(i, (rng.permutation(values) - 1).tolist()) for i in range(901, 1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sums = {i: reduce(add, v, 0.0) if i else 0 for i, v in rows}  # from the left, as Spark adds (sum() would correct for rounding)
+    want = sorted((i for i in sums if i), key=lambda i: (-sums[i], i))[:20]
+    assert len({sums[i] for i in range(1, 900)}) > 5
+    for cell_rows in (8192, 100):
+        got = sorted((r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(df, neighbours.AnnParams(cell_rows=cell_rows)).where("query_id = 0").collect())
+        assert [(i, x) for _, i, x in got] == [(i, sums[i]) for i in want]
+
+
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
