@@ -148,9 +148,9 @@ def _trained(rows: DataFrame, p: FMParams) -> FMModel:
             yield pd.DataFrame({"x": [_known(terms, t).astype("<i4").tobytes() for t in b["text"]], "y": b["y"]})
 
     data = sorted((bytes(r["x"]), r["y"]) for r in rows.mapInPandas(encoded, "x binary, y int").collect())
-    found, y = [np.frombuffer(x, "<i4").astype(np.int64) for x, _ in data], np.array([y for _, y in data], float)
-    chosen = alone.copy()
-    chosen[often] |= interacting([(np.cumsum(often) - 1)[r[often[r]]] for r in found], y > 0, int(often.sum()), p)
+    found, y = [np.frombuffer(x, "<i4") for x, _ in data], np.array([y for _, y in data], float)
+    chosen, line = alone.copy(), (np.cumsum(often) - 1).astype(np.int32)
+    chosen[often] |= interacting([line[r[often[r]]] for r in found], y > 0, int(often.sum()), p)
     if not chosen.any():
         return none
     place = np.cumsum(chosen) - 1
@@ -167,26 +167,29 @@ def g_test(pos: np.ndarray, seen: np.ndarray, all_pos: int, n: int) -> np.ndarra
     return 2 * (part(pos, share * all_pos) + part(seen - pos, share * (n - all_pos)) + part(all_pos - pos, (1 - share) * all_pos) + part(n - all_pos - seen + pos, (1 - share) * (n - all_pos)))
 
 
-def interacting(rows: list[np.ndarray], positive: np.ndarray, size: int, p: FMParams, block: int = 512) -> np.ndarray:
+def interacting(rows: list[np.ndarray], positive: np.ndarray, size: int, p: FMParams, block: int = 256) -> np.ndarray:
     """Which of ``size`` terms are in a pair that tells the classes apart better than both its terms; exact counts of all pairs.
 
     The terms' number is bounded by the terms of a row over pair_share, the rows' by max_rows.
     """
-    x = np.zeros((len(rows), size), np.uint8)
-    for i, r in enumerate(rows):
-        x[i, r] = 1
     n, all_pos = len(rows), int(positive.sum())
-    own = g_test(x[positive].sum(0, dtype=float), x.sum(0, dtype=float), all_pos, n)
-    out = np.zeros(size, bool)
-    for i in range(0, size, block):
-        a = x[:, i : i + block].astype(np.float32)
-        for j in range(i, size, block):
-            b = x[:, j : j + block].astype(np.float32)
-            g = g_test((a[positive].T @ b[positive]).astype(float), (a.T @ b).astype(float), all_pos, n)
+    bits = np.zeros((size, -(-n // 8)), np.uint8)  # a line a term, positive rows first
+    for i, k in enumerate(np.argsort(~positive, kind="stable").tolist()):
+        bits[rows[k], i >> 3] |= 128 >> (i & 7)
+    bits, which = np.unique(bits, axis=0, return_inverse=True)  # terms of the same rows are alike
+    out = np.zeros(len(bits), bool)
+    some = lambda i: np.unpackbits(bits[i : i + block], axis=1, count=n).astype(np.float32)
+    own = np.concatenate([np.zeros(0), *(g_test(x[:, :all_pos].sum(1, dtype=float), x.sum(1, dtype=float), all_pos, n) for x in map(some, range(0, len(bits), block)))])
+    for i in range(0, len(bits), block):
+        a = some(i)
+        for j in range(i, len(bits), block):
+            b = a if j == i else some(j)
+            both = (a[:, :all_pos] @ b[:, :all_pos].T).astype(float)
+            g = g_test(both, both + a[:, all_pos:] @ b[:, all_pos:].T, all_pos, n)
             better = g - np.maximum(own[i : i + block, None], own[None, j : j + block]) >= p.min_pair_g
             out[i : i + block] |= better.any(1)
             out[j : j + block] |= better.any(0)
-    return out
+    return out[which.reshape(-1)]
 
 
 def _known(terms: np.ndarray, text: str | None) -> np.ndarray:
