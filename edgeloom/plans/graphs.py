@@ -91,7 +91,15 @@ def _cycle_edges(t):
     return starts, G.cycle_edges(starts, t.succ_edges, _ids(t).withColumn("title", F.col("id")), E.DISPLAY)
 
 
-@query("g6_cycle_edges")
+CYCLES = f""", {OPPOSING}, ids AS (SELECT from_id AS id FROM succ UNION SELECT to_id FROM succ), hd AS (SELECT min(id) AS id, 0 AS depth FROM ids GROUP BY split_part(id, ':', 2) UNION SELECT e.to_id, depth + 1 FROM hd JOIN succ e ON e.from_id = hd.id WHERE depth < 20),
+dp AS (SELECT id, min(depth) AS depth FROM hd GROUP BY id), f1 AS (SELECT from_id, to_id, relation, source, ordinal FROM p WHERE rn = 1 AND source <> 'manual_curation' AND from_id IN (SELECT id FROM dp)),
+rs AS (SELECT from_id, to_id, relation, source, ordinal FROM succ_edges WHERE from_id IN (SELECT id FROM dp) EXCEPT SELECT * FROM f1), ex AS (SELECT a.from_id, a.to_id FROM rs a JOIN rs b ON b.from_id = a.to_id AND b.to_id = a.from_id WHERE b.source = 'manual_curation'),
+hr AS (SELECT id AS seed, id AS node FROM dp UNION SELECT hr.seed, rs.to_id FROM hr JOIN rs ON rs.from_id = hr.node)
+SELECT from_id, to_id, relation, source, ordinal, 'opposing' AS reason FROM f1 UNION ALL SELECT r.from_id, r.to_id, relation, source, ordinal, 'backward' FROM rs r JOIN dp x ON x.id = r.from_id JOIN dp y ON y.id = r.to_id JOIN hr ON hr.seed = r.to_id AND hr.node = r.from_id
+WHERE source <> 'manual_curation' AND (y.depth, lower(y.id), y.id) <= (x.depth, lower(x.id), x.id) AND (r.from_id, r.to_id) NOT IN (SELECT (from_id, to_id) FROM ex)"""
+
+
+@query("g6_cycle_edges", sql_with("succ", "succ_edges", recursive=True) + CYCLES)
 def g6b(t):
     return _cycle_edges(t)[1]
 
