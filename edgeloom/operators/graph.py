@@ -135,6 +135,13 @@ def opposing(edges: DataFrame, display: tuple[str, ...], manual: str = "manual_c
     return both.where(F.col("w.source") != manual).select("w.from_id", "w.to_id", "w.relation", "w.source", "w.ordinal")
 
 
+def components_by(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, scc): strongly connected components of the ids, named by their least id."""
+    of = components(edges, ids)
+    least = of.groupBy("scc").agg(F.min("id").alias("least"))
+    return spread_join(of.join(ids.select("id").distinct(), "id", "left_semi"), least, ["scc"]).select("id", F.col("least").alias("scc"))
+
+
 def cycle_edges(roots: DataFrame, edges: DataFrame, titles: DataFrame, display: tuple[str, ...], manual: str = "manual_curation") -> DataFrame:
     """Edges to ignore so that what roots reach has no cycle: (from_id, to_id, relation, source, ordinal, reason).
 
