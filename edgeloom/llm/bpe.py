@@ -94,7 +94,7 @@ class TrieEncoder:
         got = self.apart.get(a << 32 | b)
         if got is None:
             got = self._kept_apart(a, b)
-            if len(self.apart) >= 1_000_000:
+            if len(self.apart) >= 300_000:
                 self.apart.clear()
             self.apart[a << 32 | b] = got
         return got
@@ -239,37 +239,33 @@ def _coders(path: str | None):
     return get
 
 
+_WORDS = 80_000
 _DIGESTS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
 def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256 of each whole text encoded and its ids decoded again; also token_ids, if asked.
 
-    A worker keeps, for each word of the trie, its ids and their decimal digits. A column of docs that has one of these names is
-    replaced.
+    A task keeps, for each of up to ``_WORDS`` words of the trie, its ids and their decimal digits, and is sent 1 MB of texts at a time.
+    A column of docs that has one of these names is replaced.
     """
-    bounded_batches(docs.sparkSession, 4 << 20)
+    bounded_batches(docs.sparkSession, 1 << 20)
     coder = _coders(path)
     parts: dict = {}
     names = [*_DIGESTS, *(["token_ids"] if with_ids else [])]
     schema = ", ".join(f"{c} {t}" for c, t in (_DIGESTS | {"token_ids": "array<int>"}).items() if c in names)
 
-    def part(word, known: dict) -> tuple[str, tuple]:
-        ids = known[word] if isinstance(word, str) else (word,)
-        return ",".join(map(str, ids)), ids
-
     @F.pandas_udf(schema)
     def digest(texts: pd.Series) -> pd.DataFrame:
         c = coder()
         each = [c.words(t) if t else [] for t in texts]
         words = {w for ws in each for w in ws}
         new = [w for w in words if w not in parts]
-        if len(parts) + len(new) > c.trie.max_words:
+        if len(parts) + len(new) > _WORDS:
             parts.clear()
             new = words
-        known = c.trie.encode({w for w in new if isinstance(w, str)})
-        for w in new:
-            parts[w] = part(w, known)
+        for w, ids in chain(c.trie._traverse([w for w in new if isinstance(w, str)]), ((w, (w,)) for w in new if not isinstance(w, str))):
+            parts[w] = (",".join(map(str, ids)), ids)
         token, out = c.v.tokens.__getitem__, []
         for ws in each:
             own = [parts[w] for w in ws]
