@@ -96,11 +96,11 @@ def j7(t):
     return spread_join(a, b, ["from_id"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared > 1")
 
 
-@query("j8_or_join", """WITH x AS (SELECT p_partkey AS b, min(p_partkey) OVER (PARTITION BY p_name, p_size) AS a FROM part UNION SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_retailprice) FROM part) SELECT a, b FROM x WHERE a < b""")
+@query("j8_or_join", """SELECT DISTINCT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND ((a.p_name = b.p_name AND a.p_size = b.p_size) OR (a.p_brand = b.p_brand AND a.p_retailprice = b.p_retailprice))""")
 def j8(t):
-    """Rows equal by one key or another: each with the first of its class, from which all pairs of a class follow."""
-    p = t.part.select(F.col("p_partkey").alias("b"), "p_name", "p_size", "p_brand", "p_retailprice")
-    by = lambda *c: spread_join(p, p.groupBy(*c).agg(F.min("b").alias("a")), list(c)).where("a < b").select("a", "b")
+    """All pairs equal by one key or another: the first of a class and its members would not tell which key a pair shares."""
+    side = lambda n, *c: t.part.select(F.col("p_partkey").alias(n), *c).distinct()
+    by = lambda *c: spread_join(side("a", *c), side("b", *c), list(c)).where("a < b").select("a", "b")
     return by("p_name", "p_size").union(by("p_brand", "p_retailprice")).distinct()
 
 

@@ -10,6 +10,7 @@ from edgeloom.operators import aggregate as A
 from edgeloom.operators import graph as G
 from edgeloom.operators import textsim as T
 from edgeloom.operators.rank import global_rank
+from edgeloom.plans import registry
 from edgeloom.sources import readers, sinks
 from edgeloom.streaming.jobs import StateTable
 
@@ -111,3 +112,10 @@ def test_global_rank_counts_on(spark):
     rows = global_rank(df, [F.desc("v"), F.asc("id")]).collect()
     order = sorted(range(1000), key=lambda i: (-(i % 37), i))
     assert {r["id"]: r["rank"] for r in rows} == {i: k + 1 for k, i in enumerate(order)} and {r["total"] for r in rows} == {1000}
+
+
+def test_or_join_gives_every_pair_and_no_other(spark, tmp_path):
+    rows = [(k, "red ring", 1, f"b{k}", 1.0) for k in (1, 2, 3)] + [(4, "nut", 2, "b1", 1.0), (5, "nut", 3, "b1", 1.0), (6, None, 1, None, 1.0), (7, None, 1, None, 1.0), (1, "red ring", 1, "b1", 1.0)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int, p_brand string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(map(tuple, registry.queries()["j8_or_join"](spark, str(tmp_path)).select("a", "b").collect()))
+    assert got == [(1, 2), (1, 3), (1, 4), (1, 5), (2, 3), (4, 5)]
