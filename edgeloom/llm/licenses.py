@@ -1,18 +1,19 @@
 """License scan of paragraphs: sparse word n-gram logistic regression, a calibrated unknown class, and template comparison.
 
 DataFrame and SQL functions only. A paragraph ends at an empty line or at a line that ends a sentence; other line breaks are wraps,
-and its lines are joined, without the marks that comments begin lines with. Its features are its lower-cased words, pairs and
-triples of words, hashed to a fixed width. A prediction of the regression stands if the paragraph also holds ``least_overlap`` of
+and its lines are joined, without the marks that comments begin lines with. A prediction of the regression stands if the paragraph also holds ``least_overlap`` of
 the word pairs of one of the family's templates; a template of a few words must also end the paragraph.
 
 Candidates are the paragraphs that can pass that comparison: each template has cue words, so many that a paragraph without any of
 them misses too many of the template's pairs. So the cues lose no result, and only candidates are scored.
 
-A multinomial logistic regression with an L1 penalty (Spark's own) is fitted on the templates, on pieces of them, on candidates
-that hold nearly all of a template, and, as the unknown class, on candidates that are far from every template and on plain
-paragraphs; candidates and documents come from bounded samples. The probability that a prediction needs is calibrated on the
-half of the far candidates that was not learned from: the highest probability that a family gets there, and
-``least_probability`` at least.
+A multinomial logistic regression with an L1 penalty (Spark's own) is fitted on the templates, on pieces of them, on all candidates
+that hold nearly all of a template, and, as the unknown class, on the candidates that are far from every template and on the templates'
+single words. No sample is taken: candidates of equal words are one row with a weight, and the weights are scaled so that those of the
+candidates together are ``candidate_weight`` at most, which keeps a family that a large table hardly names learnable. Paragraphs that
+are no candidates are never scored and not learned from. The features are the words, pairs and triples of the templates, hashed; what no
+template holds speaks for no family. The probability that a prediction needs is calibrated on the half of the far candidates that was
+not learned from: the highest probability that a family gets there, and ``least_probability`` at least.
 
 Null and empty texts have no paragraphs and no licences. Every row of the documents gives one row, from its own text: repeated rows
 are scanned alike and each counts its own paragraphs once, and so are rows that share an id. A probability or overlap of exactly
@@ -25,7 +26,7 @@ from functools import reduce
 from operator import or_
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,12 +70,14 @@ SHORT = 4
 COMMON = "a and any by can except file free in is it may modify not of or person source terms the this to under use version with without work you".split()
 
 
+_TASK_ROWS = 20_000  # of the regression's rows
+
+
 @dataclass(frozen=True)
 class LicenseParams:
-    """sample_rows: documents whose paragraphs teach the unknown class, and candidates that are learned from (about, by a hash)."""
+    """candidate_weight: what all candidates of a kind (far from every template, or sure) weigh at most beside the templates' rows."""
 
-    sample_rows: int = 400
-    sample_candidates: int = 4_000
+    candidate_weight: int = 4_000
     features: int = 1 << 15
     penalty: float = 2e-4
     least_probability: float = 0.5
@@ -148,28 +151,41 @@ def text_key():
     return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
 
 
-def train(docs: DataFrame, found: DataFrame, p: LicenseParams = LicenseParams()):
-    """The fitted model, the families in the order of its classes, and the probability needed; found: candidates of docs."""
-    families = [UNKNOWN, *sorted({f for f, _ in TEMPLATES})]
-    known = docs.sparkSession.createDataFrame(list(TEMPLATES), "family string, text string").withColumn("words", words(F.col("text")))
-
-    def sampled(df: DataFrame, n: int, *by: str) -> DataFrame:
-        return df.where(F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < int((1 << 30) * min(1.0, n / max(df.count(), 1))))
-
-    best = F.greatest(*[F.col(f"overlaps.{f}") for f in families[1:]])
-    drawn = sampled(found, p.sample_candidates, "doc_id", "text_key", "paragraph").withColumn("best", best)
-    far = drawn.where(F.col("best") < p.far_overlap).select(F.lit(UNKNOWN).alias("family"), "words", (F.pmod(F.xxhash64(F.concat_ws(" ", "words")), F.lit(2)) == 0).alias("teach"))
-    named = F.element_at(F.array(*[F.lit(f) for f in families[1:]]), F.array_position(F.array(*[F.col(f"overlaps.{f}") for f in families[1:]]), F.col("best")).cast("int"))
-    sure = drawn.where(F.col("best") >= p.sure_overlap).select(named.alias("family"), "words", F.lit(True).alias("teach")).distinct()
-    plain = sampled(docs, p.sample_rows, "doc_id", "text").select(F.explode(paragraphs("text")).alias("line")).withColumn("words", words(F.col("line")))
-    plain = plain.where((F.size("words") > 0) & ~F.arrays_overlap("words", F.lit(cue_words(p.least_overlap)))).select(F.lit(UNKNOWN).alias("family"), "words", F.lit(True).alias("teach"))
+def lessons(found: DataFrame, p: LicenseParams = LicenseParams()) -> tuple[DataFrame, int]:
+    """(family, words, teach, weight) of all that is learned from or, without teach, calibrated on, and the number of rows about."""
+    families = sorted({f for f, _ in TEMPLATES})
+    each = [F.col(f"overlaps.{f}") for f in families]
+    found = stage(found.groupBy("words").agg(F.count("*").alias("n"), F.first("overlaps").alias("overlaps")).withColumn("best", F.greatest(*each)), "license-sentences")
+    is_far, is_sure = F.col("best") < p.far_overlap, F.col("best") >= p.sure_overlap
+    rows, n_far, n_sure = found.agg(F.count("*"), F.sum(F.when(is_far, F.col("n"))), F.count_if(is_sure)).first()
+    share = lambda n: F.lit(min(1.0, p.candidate_weight / max(n or 0, 1)))
+    far = found.where(is_far).select(F.lit(UNKNOWN).alias("family"), "words", (F.pmod(F.xxhash64(F.concat_ws(" ", "words")), F.lit(2)) == 0).alias("teach"), (F.col("n") * share(n_far)).alias("weight"))
+    named = F.element_at(F.array(*[F.lit(f) for f in families]), F.array_position(F.array(*each), F.col("best")).cast("int"))
+    sure = found.where(is_sure).select(named.alias("family"), "words", F.lit(True).alias("teach"), share(n_sure).alias("weight"))
+    single = sorted({w for _, t in TEMPLATES for w in t.split()})
+    known = found.sparkSession.createDataFrame([*TEMPLATES, *((UNKNOWN, w) for w in single)], "family string, text string").withColumn("words", words(F.col("text"))).drop("text")
     cut = F.explode(F.expr("flatten(transform(sequence(0, greatest(size(words) - 4, 0)), i -> array(slice(words, i + 1, 4), slice(words, i + 1, size(words)), slice(words, 1, size(words) - i))))"))
-    pieces = known.select("family", cut.alias("words"), F.lit(True).alias("teach"))
+    pieces = known.where(F.col("family") != UNKNOWN).select("family", cut.alias("words"))
+    own = known.union(pieces).withColumns({"teach": F.lit(True), "weight": F.lit(1.0)})
+    return own.union(far).union(sure), rows
+
+
+def _features(p: LicenseParams):
+    """Rows with words to rows with features: which of the templates' words, pairs and triples they hold."""
+    hashing = HashingTF(inputCol="_grams", outputCol="_hashed", numFeatures=p.features, binary=True)
+    runs = lambda w: [" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+    places = sorted({hashing.indexOf(g) for _, t in TEMPLATES for g in runs(t.split())})
+    kept = VectorSlicer(inputCol="_hashed", outputCol="features", indices=places)
+    return lambda df: kept.transform(hashing.transform(df.withColumn("_grams", grams(F.col("words"))))).drop("_grams", "_hashed")
+
+
+def train(found: DataFrame, p: LicenseParams = LicenseParams()):
+    """The fitted model, the families in the order of its classes, and the probability needed; found: all candidates."""
+    families = [UNKNOWN, *sorted({f for f, _ in TEMPLATES})]
     index = F.element_at(F.create_map(*[x for k, f in enumerate(families) for x in (F.lit(f), F.lit(float(k)))]), F.col("family"))
-    hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=p.features, binary=True)
-    rows = known.select("family", "words", F.lit(True).alias("teach")).union(pieces).union(plain).union(far).union(sure)
-    rows = hashing.transform(rows.withColumns({"grams": grams(F.col("words")), "label": index})).select("family", "teach", "features", "label").coalesce(2).cache()
-    model = LogisticRegression(maxIter=40, regParam=p.penalty, elasticNetParam=1.0, family="multinomial").fit(rows.where("teach").select("features", "label"))
+    rows, n = lessons(found, p)
+    rows = _features(p)(rows).select("teach", "weight", "features", index.alias("label")).coalesce(2 + n // _TASK_ROWS).cache()
+    model = LogisticRegression(maxIter=40, regParam=p.penalty, elasticNetParam=1.0, family="multinomial", weightCol="weight").fit(rows.where("teach").select("features", "label", "weight"))
     held = model.transform(rows.where(~F.col("teach"))).select((1 - F.element_at(vector_to_array("probability"), 1)).alias("p"))
     most = held.agg(F.max("p")).first()[0]
     rows.unpersist()
@@ -179,9 +195,8 @@ def train(docs: DataFrame, found: DataFrame, p: LicenseParams = LicenseParams())
 def scan(docs: DataFrame, p: LicenseParams = LicenseParams()) -> DataFrame:
     """One row for each paragraph with a licence: doc_id, text_key, paragraph (from 0), family, probability, overlap."""
     found = stage(candidates(docs, p), "license-candidates")
-    model, families, need = train(docs, found, p)
-    hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=p.features, binary=True)
-    scored = model.transform(hashing.transform(found)).withColumn("probabilities", F.slice(vector_to_array("probability"), 2, len(families) - 1))
+    model, families, need = train(found, p)
+    scored = model.transform(_features(p)(found)).withColumn("probabilities", F.slice(vector_to_array("probability"), 2, len(families) - 1))
     place = F.array_position("probabilities", F.array_max("probabilities")).cast("int")
     overlaps = F.array(*[F.col(f"overlaps.{f}") for f in families[1:]])
     scored = scored.select("doc_id", "text_key", "paragraph", F.element_at(F.lit(families[1:]), place).alias("family"), F.array_max("probabilities").alias("probability"), F.element_at(overlaps, place).alias("overlap"))

@@ -422,6 +422,17 @@ def test_license_cues_lose_nothing():
         assert sum(not cues & set(x.split()) for x in pairs) < p.least_overlap * len(pairs)
 
 
+def test_licenses_learn_from_every_candidate(spark):
+    """However many candidates there are, each is learned from or calibrated on, and together they weigh as much as is set."""
+    far = [(k, f"The library had permission number {k % 6000} to be free.") for k in range(7000)]
+    docs = spark.createDataFrame([*far, (8000, "Released under the MIT License.")], "doc_id long, text string")
+    rows, _ = licenses.lessons(licenses.candidates(docs))
+    rows = [r for r in rows.collect() if r["family"] == licenses.UNKNOWN and len(r["words"]) > 1]
+    assert {r["words"][5] for r in rows} == {str(k) for k in range(6000)}
+    assert abs(sum(r["weight"] for r in rows) - licenses.LicenseParams().candidate_weight) < 1e-6
+    assert 0.4 < sum(r["teach"] for r in rows) / len(rows) < 0.6
+
+
 def test_licenses_run_no_python(spark):
     plan = licenses.licenses(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
