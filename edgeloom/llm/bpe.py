@@ -243,10 +243,30 @@ _WORDS = 80_000
 _DIGESTS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def _digested(c: Coder, parts: dict, texts, most: int, with_ids: bool) -> list[tuple]:
+    """The digests of each text. parts: of up to about ``most`` words known so far, their ids' digits and their ids."""
+    each = [c.words(t) if t else [] for t in texts]
+    words = set().union(*each)
+    new = words.difference(parts)
+    if len(parts) + len(new) > most:
+        parts.clear()
+        new = words
+    for w, ids in chain(c.trie._traverse([w for w in new if isinstance(w, str)]), ((w, (w,)) for w in new if not isinstance(w, str))):
+        parts[w] = (",".join(map(str, ids)), ids)
+    token, out = c.v.tokens.__getitem__, []
+    for ws in each:
+        own = list(map(parts.__getitem__, ws))
+        ids = list(chain.from_iterable([p[1] for p in own]))
+        digits = hashlib.sha256(",".join([p[0] for p in own]).encode()).hexdigest()
+        decoded = b"".join(map(token, ids)).decode("utf-8", "replace")
+        out.append((len(ids), digits, hashlib.sha256(decoded.encode()).hexdigest(), *([np.array(ids, np.int32)] if with_ids else [])))
+    return out
+
+
+def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False, most: int = _WORDS) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256 of each whole text encoded and its ids decoded again; also token_ids, if asked.
 
-    A task keeps, for each of up to ``_WORDS`` words of the trie, its ids and their decimal digits, and is sent 1 MB of texts at a time.
+    A task keeps, for each of up to ``most`` words of the trie, its ids and their decimal digits, and is sent 1 MB of texts at a time.
     A column of docs that has one of these names is replaced.
     """
     bounded_batches(docs.sparkSession, 1 << 20)
@@ -257,23 +277,7 @@ def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
 
     @F.pandas_udf(schema)
     def digest(texts: pd.Series) -> pd.DataFrame:
-        c = coder()
-        each = [c.words(t) if t else [] for t in texts]
-        words = {w for ws in each for w in ws}
-        new = [w for w in words if w not in parts]
-        if len(parts) + len(new) > _WORDS:
-            parts.clear()
-            new = words
-        for w, ids in chain(c.trie._traverse([w for w in new if isinstance(w, str)]), ((w, (w,)) for w in new if not isinstance(w, str))):
-            parts[w] = (",".join(map(str, ids)), ids)
-        token, out = c.v.tokens.__getitem__, []
-        for ws in each:
-            own = [parts[w] for w in ws]
-            ids = list(chain.from_iterable([p[1] for p in own]))
-            digits = hashlib.sha256(",".join([p[0] for p in own]).encode()).hexdigest()
-            decoded = b"".join(map(token, ids)).decode("utf-8", "replace")
-            out.append((len(ids), digits, hashlib.sha256(decoded.encode()).hexdigest(), *([np.array(ids, np.int32)] if with_ids else [])))
-        return pd.DataFrame(out, columns=names)
+        return pd.DataFrame(_digested(coder(), parts, texts, most, with_ids), columns=names)
 
     made = docs.withColumn("_bpe", digest("text"))
     return made.withColumns({c: F.col(f"_bpe.{c}") for c in names}).drop("_bpe")

@@ -230,6 +230,21 @@ def _broken(b: bytes) -> bool:
     return False
 
 
+def test_bpe_digests_keep_words_between_batches():
+    """Words kept from earlier batches are not worked out again; however few are kept, the digests are the same."""
+    coder = bpe.Coder(public_tokenizers.path(bpe.DEFAULT_VOCABULARY))
+    batches = [["one two three", "", None], ["two three four<|endoftext|> \u00e9\u00e9"], ["five two"]]
+    made = []
+    traverse = coder.trie._traverse
+    coder.trie._traverse = lambda ws: made.extend(ws) or traverse(ws)
+    few, many = {}, {}
+    some = [bpe._digested(coder, few, b, 2, True) for b in batches]
+    made.clear()
+    all_ = [bpe._digested(coder, many, b, 100, True) for b in batches]
+    assert sorted(made) == sorted(set(made))
+    assert [[(*r[:3], r[3].tolist()) for r in b] for b in some] == [[(*r[:3], r[3].tolist()) for r in b] for b in all_]
+
+
 def test_bpe_query(spark):
     t = reference()
     for docs in (spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), odd(spark), odd(spark).limit(0)):
