@@ -116,16 +116,30 @@ class IdTable:
     def __init__(self):
         self.place: dict = {}
         self.ids, self.begin, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
 
     def add(self, keys: list, ids: np.ndarray, size: np.ndarray) -> None:
         self.place.update(zip(keys, range(len(self.size), len(self.size) + len(keys))))
         self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
         self.ids = np.concatenate([self.ids, ids])
         self.size = np.concatenate([self.size, size])
+        self.uses = np.concatenate([self.uses, np.zeros(len(size), np.int64)])
 
     def find(self, keys: list) -> np.ndarray:
         """The keys' places; -1: not here."""
-        return np.fromiter(map(self.place.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        at = np.fromiter(map(self.place.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        self.uses += np.bincount(at[at >= 0], minlength=len(self.uses))
+        return at
+
+    def most_used(self, most_ids: int) -> "IdTable":
+        """A table of the half that was asked for most often; an empty one, if that half holds over most_ids ids."""
+        out = IdTable()
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: len(self.uses) // 2])
+        if self.size[kept].sum() <= most_ids:
+            keys = list(self.place)
+            out.add([keys[k] for k in kept.tolist()], self.gather(kept)[0], self.size[kept])
+            out.uses = self.uses[kept] // 2
+        return out
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the keys at these places one after another, and where each key's begin, with their end."""
@@ -139,7 +153,7 @@ class Encoder:
 
     A text is cut into chunks, runs without white space and the blank before them, or white space before such a one; no word of the
     pre-tokenizer goes beyond a chunk. New chunks are cut into words, and new words encoded. The ids of up to most chunks and
-    words, and max_ids ids, are kept.
+    words, and max_ids ids, are kept; beyond that, the half of them that is used least is given up.
     """
 
     def __init__(self, path: str, most: int = 300_000, max_ids: int = 3_000_000):
@@ -161,7 +175,7 @@ class Encoder:
         each = [[t] if t.isascii() and t[1:].isalpha() and (t[0] == " " or t[0].isalpha()) else self.words.pieces(t) for t in texts]
         flat = list(itertools.chain.from_iterable(each))
         if len(self.pieces.place) > self.most or len(self.pieces.ids) > self.max_ids:
-            self.pieces = IdTable()
+            self.pieces = self.pieces.most_used(self.max_ids // 2)
         unknown = list(set(flat).difference(self.pieces.place))
         if unknown:
             made = self.tokenizer.encode(unknown, is_pretokenized=True, add_special_tokens=False)
@@ -177,7 +191,7 @@ class Encoder:
         each = [self.cut(t) for t in texts]
         flat = list(itertools.chain.from_iterable(each))
         if len(self.chunks.place) > self.most or len(self.chunks.ids) > self.max_ids:
-            self.chunks = IdTable()
+            self.chunks = self.chunks.most_used(self.max_ids // 2)
         at = self.chunks.find(flat)
         new = np.flatnonzero(at < 0)
         if len(new):

@@ -276,6 +276,17 @@ def test_token_encoder_equals_the_library():
     assert encoder.batch([]) == []
 
 
+def test_token_encoder_keeps_the_words_in_use():
+    """When its tables are full, words that keep coming are not encoded anew; ids stay those of the library."""
+    encoder = token_files.Encoder(public_tokenizers.path(token_files.DEFAULT_VOCABULARY), most=40)
+    learned, learn = [], encoder._learn
+    encoder._learn = lambda new: learned.extend(new) or learn(new)
+    for k in range(20):
+        text = "often often always always" + "".join(f" word{k}x{i}" for i in range(15))
+        assert encoder.batch([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert learned.count(" always") == 1 and learned.count(" often") == 1
+
+
 def test_token_files(spark):
     t = reference()
     runs = spark.createDataFrame([(1, "a" + " " * 1_000_000 + "b"), (2, " " * 3_000_000), (3, "<|endoftext|>" * 3), (4, "x" * 300_000)], "doc_id long, text string")
