@@ -16,7 +16,7 @@ other in any order, and an id that many rows share is dealt over several files.
 
 import itertools
 import os
-import re
+import string
 import struct
 import uuid
 import zlib
@@ -31,8 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from edgeloom.llm.bpe import Words
-from edgeloom.llm.common import bounded_batches, discard, scratch, stage
+from edgeloom.llm.common import bounded_batches, discard, scratch, stage, utf8
 
 MAGIC = b"ELTOKEN1"
 HEAD = struct.Struct("<8sqqqq")
@@ -106,15 +105,40 @@ def load_tokenizer(path: str) -> Tokenizer:
     return out
 
 
-_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
-_OTHER_SPACE = re.compile("[\x1c-\x1f]").search  # white space to this module, not to the pre-tokenizer
+def _table(*byte_values) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(itertools.chain(*byte_values))] = True
+    return out
+
+
+_WHITE = _table(range(9, 14), b" ")
+_MAYBE_WHITE = _table(range(9, 14), b" ", range(0x1C, 0x20))
+_PUNCTUATION = _table(string.punctuation.encode())
+_LETTER = _table(string.ascii_letters.encode())
+_LEAD = _table(range(0xC3, 0xCA), (0xD0, 0xD1))  # first bytes of Latin and Cyrillic letters, but for multiplication and division signs
+_SECOND = _table(set(range(0x80, 0xC0)) - {0x97, 0xB7})
+_WIDE_WHITE = np.array([int.from_bytes(chr(c).encode(), "big") for c in (0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)])
+_LATIN_WHITE = np.array([0xC285, 0xC2A0])
+
+
+def cuts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in UTF-8 bytes where the pre-tokenizer of byte-level vocabularies (``bpe.PATTERN``) begins a word, whatever stands around:
+    before white space that follows none, and before punctuation that follows a letter. Places where that is not sure are left out."""
+    space = np.flatnonzero(_WHITE[data[1:]] & ~_MAYBE_WHITE[data[:-1]]) + 1
+    wide = np.flatnonzero(data[space - 1] >= 0x80)
+    at = space[wide]
+    three = sum(data[np.maximum(at - k, 0)].astype(np.int64) << 8 * (k - 1) for k in (1, 2, 3))
+    space = np.delete(space, wide[np.isin(three, _WIDE_WHITE) | np.isin(three & 0xFFFF, _LATIN_WHITE)])
+    mark = np.flatnonzero(_PUNCTUATION[data[1:]]) + 1
+    last, before = data[mark - 1], data[np.maximum(mark - 2, 0)]
+    return space, mark[_LETTER[last] | (_LEAD[before] & _SECOND[last])]
 
 
 class IdTable:
-    """The ids of strings (or of given ids), side by side in one array."""
+    """The ids of strings, side by side in one array."""
 
     def __init__(self):
-        self.place: dict = {}
+        self.place: dict[str, int] = {}
         self.ids, self.begin, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.uses = np.zeros(0, np.int64)
 
@@ -127,9 +151,7 @@ class IdTable:
 
     def find(self, keys: list) -> np.ndarray:
         """The keys' places; -1: not here."""
-        at = np.fromiter(map(self.place.get, keys, itertools.repeat(-1)), np.int64, len(keys))
-        self.uses += np.bincount(at[at >= 0], minlength=len(self.uses))
-        return at
+        return np.fromiter(map(self.place.get, keys, itertools.repeat(-1)), np.int64, len(keys))
 
     def most_used(self, most_ids: int) -> "IdTable":
         """A table of the half that was asked for most often; an empty one, if that half holds over most_ids ids."""
@@ -149,57 +171,58 @@ class IdTable:
 
 
 class Encoder:
-    """Whole texts to ids by the tokenizers library, which is given each distinct word of a worker's texts once.
+    """Whole texts to ids by the tokenizers library, which is given each distinct chunk of a worker's texts once.
 
-    A text is cut into chunks, runs without white space and the blank before them, or white space before such a one; no word of the
-    pre-tokenizer goes beyond a chunk. New chunks are cut into words, and new words encoded. The ids of up to most chunks and
-    words, and max_ids ids, are kept; beyond that, the half of them that is used least is given up.
+    The texts' bytes are cut into chunks by numpy, only where the pre-tokenizer begins a word in any case; Arrow numbers the distinct
+    ones, and the library encodes those that are new, as words of one text. A text that holds a special token is one chunk. The ids
+    of up to most chunks, and max_ids ids, are kept; beyond that, the half of them that is used least is given up.
     """
 
-    def __init__(self, path: str, most: int = 300_000, max_ids: int = 3_000_000):
+    def __init__(self, path: str, most: int = 400_000, max_ids: int = 3_000_000):
         self.tokenizer = load_tokenizer(path)
-        self.words = Words({t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()})
+        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.most, self.max_ids = most, max_ids
-        self.chunks, self.pieces = IdTable(), IdTable()
-
-    def cut(self, text: str | None) -> list:
-        """Chunks of a text; special tokens come as their ids."""
-        if not text:
-            return []
-        if _OTHER_SPACE(text) or any(s in text for s in self.words.specials):
-            return self.words(text)
-        return _CHUNK(text)
-
-    def _learn(self, new: set) -> None:
-        texts, given = [w for w in new if isinstance(w, str)], [w for w in new if not isinstance(w, str)]
-        each = [[t] if t.isascii() and t[1:].isalpha() and (t[0] == " " or t[0].isalpha()) else self.words.pieces(t) for t in texts]
-        flat = list(itertools.chain.from_iterable(each))
-        if len(self.pieces.place) > self.most or len(self.pieces.ids) > self.max_ids:
-            self.pieces = self.pieces.most_used(self.max_ids // 2)
-        unknown = list(set(flat).difference(self.pieces.place))
-        if unknown:
-            made = self.tokenizer.encode(unknown, is_pretokenized=True, add_special_tokens=False)
-            self.pieces.add(unknown, np.array(made.ids, "<u4"), np.bincount(np.array(made.word_ids, np.int64), minlength=len(unknown)))
-        ids, end = self.pieces.gather(self.pieces.find(flat))
-        size = np.diff(end[np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])])
-        self.chunks.add([*texts, *given], np.concatenate([ids, np.array(given, "<u4")]), np.concatenate([size, np.ones(len(given), np.int64)]))
-
-    def batch(self, texts: list) -> list[np.ndarray]:
+        self.chunks = IdTable()
+
+    def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where the chunks of texts begin, and the end of the last."""
+        begins = np.zeros(len(data) + 1, bool)
+        if len(data):
+            for places in cuts(data):
+                begins[places] = True
+            raw = data.tobytes()
+            for special in self.specials:
+                at = raw.find(special)
+                while at >= 0:
+                    row = int(np.searchsorted(offsets, at, "right"))
+                    begins[offsets[row - 1] : offsets[row]] = False
+                    at = raw.find(special, int(offsets[row]))
+        begins[offsets] = True
+        return np.flatnonzero(begins)
+
+    def _learn(self, new: list) -> None:
+        made = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+        self.chunks.add(new, np.array(made.ids, "<u4"), np.bincount(np.array(made.word_ids, np.int64), minlength=len(new)))
+
+    def batch(self, texts: list | pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
-        if not texts:
+        if not len(texts):
             return []
-        each = [self.cut(t) for t in texts]
-        flat = list(itertools.chain.from_iterable(each))
+        data, offsets = utf8(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        starts = self.starts(data, offsets)
+        chunks = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        distinct, which = chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), chunks.indices.to_numpy()
         if len(self.chunks.place) > self.most or len(self.chunks.ids) > self.max_ids:
             self.chunks = self.chunks.most_used(self.max_ids // 2)
-        at = self.chunks.find(flat)
+        at = self.chunks.find(distinct)
         new = np.flatnonzero(at < 0)
         if len(new):
-            missing = [flat[i] for i in new.tolist()]
-            self._learn(set(missing))
-            at[new] = self.chunks.find(missing)
-        ids, end = self.chunks.gather(at)
-        return np.split(ids, end[np.cumsum([len(x) for x in each], dtype=np.int64)][:-1])
+            at[new] = len(self.chunks.size) + np.arange(len(new))
+            self._learn([distinct[i] for i in new.tolist()])
+        self.chunks.uses[at] += np.bincount(which, minlength=len(at))
+        ids, end = self.chunks.gather(at[which])
+        return np.split(ids, end[np.searchsorted(starts, offsets[1:-1])])
 
 
 @lru_cache(maxsize=1)
@@ -223,7 +246,7 @@ def _encoded(docs: DataFrame, bounds: np.ndarray, path: str, end_id: int) -> Dat
         for b in batches:
             doc_ids = b.column(0).to_pylist()
             n, out, own = [], [], []
-            for ids in encode.batch(b.column(1).to_pylist()):
+            for ids in encode.batch(b.column(1)):
                 x = np.append(ids, np.uint32(end_id)).astype("<u4")
                 n.append(len(x))
                 out.append(squeeze.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()))
@@ -246,9 +269,10 @@ def _blocks(rows: DataFrame, most: int) -> DataFrame:
 
         def out():
             x = np.concatenate(ids)
-            seen, count = np.unique(x, return_counts=True)
+            count = np.bincount(x)
+            seen = np.flatnonzero(count)
             planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()
-            counts = np.stack([seen.astype("<i8"), count.astype("<i8")]).tobytes()
+            counts = np.stack([seen.astype("<i8"), count[seen].astype("<i8")]).tobytes()
             values = [[part], [block], [len(x)], [np.array(doc_ids, "<i8").tobytes()], [np.array(sizes, "<i8").tobytes()], [squeeze.compress(planes)], [counts]]
             types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], ["part", "block", "n", "doc_ids", "sizes", "ids", "counts"])

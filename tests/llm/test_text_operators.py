@@ -287,6 +287,29 @@ def test_token_encoder_keeps_the_words_in_use():
     assert learned.count(" always") == 1 and learned.count(" often") == 1
 
 
+def test_token_encoder_cuts_only_where_a_word_begins():
+    """All kinds of white space, letters and marks beside each other, also over row borders; special tokens; Arrow columns and slices."""
+    rng = random.Random(3)
+    signs = [*map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))]
+    signs += [*" \n\t'.*_-aZs1éßÿ×÷ĉɿжз҃җ٣λ日、—“", "'s", "'ll", "n't", "\u0301", "😀", "<|endoftext|>", "<|endof"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(12))) for _ in range(20_000)] + [a + b + c for a in signs for b in signs for c in (" ", " x", ".", "  y")]
+    want = [e.ids for e in reference().encode_batch(texts, add_special_tokens=False)]
+    encoder = token_files.Encoder(public_tokenizers.path(token_files.DEFAULT_VOCABULARY), 5_000)
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(texts, kind)
+        assert [x.tolist() for k in range(0, len(texts), 1000) for x in encoder.batch(column.slice(k, 1000))] == want
+
+
+def test_token_encoder_gives_the_library_a_word_once_whatever_mark_follows():
+    encoder = token_files.Encoder(public_tokenizers.path(token_files.DEFAULT_VOCABULARY))
+    learned, learn = [], encoder._learn
+    encoder._learn = lambda new: learned.extend(new) or learn(new)
+    for text in ("a word, a word. a été*** \nword|", "a word; an été... and word!", None):
+        want = encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert encoder.batch([text])[0].tolist() == want
+    assert learned.count(" word") == 1 and learned.count(" été") == 1 and not any(w.startswith(" word") and w != " word" for w in learned)
+
+
 def test_token_files(spark):
     t = reference()
     runs = spark.createDataFrame([(1, "a" + " " * 1_000_000 + "b"), (2, " " * 3_000_000), (3, "<|endoftext|>" * 3), (4, "x" * 300_000)], "doc_id long, text string")
