@@ -1,11 +1,13 @@
 """Jobs that must not fill the disk nor repeat what is known: what is laid down, shuffled and left behind."""
 
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
 from test_scenarios import edge_frame, titles
 
 from edgeloom.operators import graph as G
+from edgeloom.operators import textsim as T
 from edgeloom.operators.staging import clustered, cut
 
 
@@ -45,3 +47,17 @@ def test_affinity_with_a_source_dealt_over_salts(spark, monkeypatch):
         assert ("a" in {r["src"] for r in heavy.collect()}) == (target == 2)
         assert shuffles(free.groupBy("src", "_salt").count()) == 0
     assert got[0] == got[1] and ("b8", "q") in got[0]
+
+
+def test_tfidf_by_bounds_and_in_passes(spark, monkeypatch):
+    """Few listed terms, many passes: the same weights as with all terms listed; and the texts' bag is not shuffled again."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(k, " ".join(f"w{int(rng.paretovariate(0.7)) % 40}" for _ in range(rng.randrange(60)))) for k in range(60)] + [(3, "w1 w2 more")], "id long, text string")
+    bag = T.term_bag(docs, {"text": 1.0})
+    got = []
+    for listed, rows in ((200_000, 10**8), (3, 40)):
+        monkeypatch.setattr(T, "LISTED", listed)
+        monkeypatch.setattr(T, "PASS", rows)
+        got.append({(r["id"], r["term"]): round(r["w"], 9) for r in T.tfidf(bag, most=7).collect()})
+    assert got[0] == got[1] and len(got[0]) > 300 and max(Counter(k for k, _ in got[0]).values()) == 7
+    assert shuffles(bag) == 1
