@@ -61,3 +61,17 @@ def test_tfidf_by_bounds_and_in_passes(spark, monkeypatch):
         got.append({(r["id"], r["term"]): round(r["w"], 9) for r in T.tfidf(bag, most=7).collect()})
     assert got[0] == got[1] and len(got[0]) > 300 and max(Counter(k for k, _ in got[0]).values()) == 7
     assert shuffles(bag) == 1
+
+
+def test_merge_scores_of_all_kinds_of_candidates(spark):
+    """Each kind of candidate, several keys, keys that are held twice, and pairs that no candidate is made of."""
+    frame = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    pairs = frame([("a", "b", 0.9), ("a", "c", 0.83)], "a string, b string, similarity double")
+    aliases = frame([*[(i, f"m{k}") for i in "ad" for k in range(2)], *[(i, f"n{k}") for i in "bc" for k in range(5)], ("a", "o"), ("b", "o")], "id string, alias string")
+    equal = frame([("a", "b"), ("x", "y")], "a string, b string")
+    parents = frame([("a", "p1"), ("a", "p2"), ("b", "p1"), ("b", "p1"), ("b", "p2"), ("c", "p3"), ("d", None)], "id string, key string")
+    children = frame([(i, k) for i in "ad" for k in range(9)] + [("e", 1)], "id string, key int")
+    scores = T.merge_scores(pairs, aliases, {"parents": parents, "children": children}, equal, frame([("b", "e")], "a string, b string"))
+    got = {(r["a"], r["b"]): r["score"] for r in scores.collect()}
+    assert got == {("a", "b"): round(0.52 * 0.9 + 0.22 + 0.08 + 0.025 * 3, 8), ("a", "d"): round(0.08 * 2 + 0.02 * 4, 8), ("b", "c"): 0.24, ("b", "e"): 0.18}
+    assert "Aggregate" not in scores._jdf.queryExecution().optimizedPlan().toString()  # pairs of aliases are never summed
