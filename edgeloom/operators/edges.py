@@ -1,8 +1,13 @@
 """Edge projections: active rows, effective relations, and the detail, traversal and neighbour views of raw and reviewed edges."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.operators.skew import spread_join
+from edgeloom.operators.staging import cut
+
 # The relation vocabulary.
 DISPLAY = ("subgenre", "derivative", "fusion_genre", "regional_scene")
 INVERTED = ("broader_genres", "fusion_components", "source_genres")
@@ -83,3 +88,33 @@ def client_tracks(tracks: DataFrame, blocked: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     return out.withColumn("position", F.row_number().over(Window.partitionBy("id").orderBy("ordinal", "track_id")) - 1).select("id", "track_id", "url", "video", "position")
+
+
+ENTRIES = 100_000  # other children of all parents of a child that are held in one row
+PASS = 500_000_000  # list entries that one pass shuffles
+
+
+def shared_parents(edges: DataFrame) -> DataFrame:
+    """(a, b, shared): children a < b of edges (from_id, to_id) that have more than one parent in common, and how many.
+
+    The pairs of a parent's children are not shuffled one by one: each child gets its parents' lists of children after it, and what
+    stands in several of them is next to itself when they are sorted. A child of very many others has them in parts by a hash. Children
+    are taken in passes, so the disk that is needed holds the lists of one pass and what was found.
+    """
+    e = cut(edges.select("from_id", "to_id").distinct(), "children")
+    # who has one parent shares no two
+    e = cut(e.join(e.groupBy("to_id").count().where("count > 1").select("to_id"), "to_id", "left_semi"), "children")
+    sizes = cut(e.groupBy("from_id").agg(F.count("*").alias("n")), "children")
+    most = spread_join(e, sizes, ["from_id"]).groupBy("to_id").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    passes = -(-(sizes.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 1) // PASS)
+    part = F.pmod(F.xxhash64("to_id"), F.lit(-(-most // ENTRIES) or 1)).cast("int")
+    lists = cut(e.groupBy("from_id", part.alias("part")).agg(F.sort_array(F.collect_list("to_id")).alias("children")), "children")
+
+    def found(k: int) -> DataFrame:
+        own = e.where(F.pmod(F.xxhash64("to_id", F.lit(2)), F.lit(passes)) == k).select("from_id", F.col("to_id").alias("a"))
+        after = spread_join(own, lists, ["from_id"]).select("a", "part", F.filter("children", lambda b: b > F.col("a")).alias("children"))
+        each = after.where(F.size("children") > 0).repartition("a", "part").groupBy("a", "part").agg(F.sort_array(F.flatten(F.collect_list("children"))).alias("c"))
+        again = each.select("a", "part", F.explode(F.filter("c", lambda b, i: (i > 0) & (b == F.get("c", i - 1)))).alias("b"))
+        return again.groupBy("a", "part", "b").agg((F.count("*") + 1).alias("shared")).select("a", "b", "shared")
+
+    return found(0) if passes <= 1 else reduce(DataFrame.union, [cut(found(k), "shared") for k in range(passes)])

@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from edgeloom.operators import aggregate as A
+from edgeloom.operators import edges as E
 from edgeloom.operators import lookup as L
 from edgeloom.operators import rank as R
 from edgeloom.operators.skew import spread_join
+from edgeloom.operators.staging import cut
 from edgeloom.plans.bindings import sql_with
 from edgeloom.plans.registry import query
 
@@ -89,19 +91,34 @@ def j6(t):
 @query("j7_shared_parents", sql_with("edges") + """
 SELECT x.to_id AS a, y.to_id AS b, count(DISTINCT x.from_id) AS shared FROM edges x JOIN edges y ON x.from_id = y.from_id AND x.to_id < y.to_id WHERE x.relation = 'derivative' AND y.relation = 'derivative' GROUP BY 1, 2 HAVING count(DISTINCT x.from_id) > 1""")
 def j7(t):
-    e = t.edges.where("relation = 'derivative'").select("from_id", "to_id").distinct()
-    # who has one parent shares no two; a parent of very many is dealt over several tasks
-    e = e.join(e.groupBy("to_id").count().where("count > 1").select("to_id"), "to_id", "left_semi")
-    a, b = e.select("from_id", F.col("to_id").alias("a")), e.select("from_id", F.col("to_id").alias("b"))
-    return spread_join(a, b, ["from_id"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared > 1")
+    e = t.links.where("relation = 'derivative'").select("from_id", "to_id")
+    return E.shared_parents(e)
 
 
 @query("j8_or_join", """SELECT DISTINCT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND ((a.p_name = b.p_name AND a.p_size = b.p_size) OR (a.p_brand = b.p_brand AND a.p_retailprice = b.p_retailprice))""")
 def j8(t):
-    """All pairs equal by one key or another: the first of a class and its members would not tell which key a pair shares."""
-    side = lambda n, *c: t.part.select(F.col("p_partkey").alias(n), *c).distinct()
-    by = lambda *c: spread_join(side("a", *c), side("b", *c), list(c)).where("a < b").select("a", "b")
-    return by("p_name", "p_size").union(by("p_brand", "p_retailprice")).distinct()
+    """All pairs equal by one key or another: the first of a class and its members would not tell which key a pair shares.
+
+    The pairs grow with the square of a class, so they are not shuffled to find what both keys give: the second key leaves out what the
+    first gives. Only parts of several different rows, whose pairs can come about in several ways, have theirs made distinct.
+    """
+    keys = (("p_name", "p_size"), ("p_brand", "p_retailprice"))
+    rows = t.part.select("p_partkey", *keys[0], *keys[1]).distinct()
+    several = cut(rows.groupBy("p_partkey").count().where("count > 1").select("p_partkey"), "several")
+    side = lambda df, end: df.select(F.col("p_partkey").alias(end), *[F.col(c).alias(f"{c}_{end}") for k in keys for c in k])
+    same = lambda k: F.coalesce(F.expr(" and ".join(f"{c}_a = {c}_b" for c in k)), F.lit(False))
+
+    def pairs(a, b):
+        def by(k):
+            a_side = side(a, "a").select("*", *[F.col(f"{c}_a").alias(c) for c in k])
+            return spread_join(a_side, side(b, "b").select("*", *[F.col(f"{c}_b").alias(c) for c in k]), list(k)).where("a < b")
+
+        return by(keys[0]).select("a", "b").union(by(keys[1]).where(~same(keys[0])).select("a", "b"))
+
+    if several.isEmpty():
+        return pairs(rows, rows)
+    once, more = rows.join(several, "p_partkey", "left_anti"), rows.join(several, "p_partkey", "left_semi")
+    return pairs(once, once).union(pairs(once, more).union(pairs(more, rows)).distinct())
 
 
 @query("j9_normalised_join", sql_with("names") + """

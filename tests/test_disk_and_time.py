@@ -6,9 +6,11 @@ from collections import Counter
 from pyspark.sql import functions as F
 from test_scenarios import edge_frame, titles
 
+from edgeloom.operators import edges as E
 from edgeloom.operators import graph as G
 from edgeloom.operators import textsim as T
 from edgeloom.operators.staging import clustered, cut
+from edgeloom.plans import registry
 
 
 def shuffles(df) -> int:
@@ -75,3 +77,33 @@ def test_merge_scores_of_all_kinds_of_candidates(spark):
     got = {(r["a"], r["b"]): r["score"] for r in scores.collect()}
     assert got == {("a", "b"): round(0.52 * 0.9 + 0.22 + 0.08 + 0.025 * 3, 8), ("a", "d"): round(0.08 * 2 + 0.02 * 4, 8), ("b", "c"): 0.24, ("b", "e"): 0.18}
     assert "Aggregate" not in scores._jdf.queryExecution().optimizedPlan().toString()  # pairs of aliases are never summed
+
+
+def test_shared_parents_of_lists_in_parts(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(f"p{rng.randrange(12)}", f"c{rng.randrange(40)}") for _ in range(300)] + [("hub", f"c{k}") for k in range(40)] + [("p1", None), (None, "c1"), ("p2", "lone")]
+    df = spark.createDataFrame(edges, "from_id string, to_id string")
+    held: dict = {}
+    for p, c in set(edges):
+        if p is not None and c is not None:
+            held.setdefault(c, set()).add(p)
+    want = {(a, b): len(held[a] & held[b]) for a in held for b in held if a < b and len(held[a] & held[b]) > 1}
+    for entries, most in ((100_000, 10**8), (50, 10**8), (50, 400)):
+        monkeypatch.setattr(E, "ENTRIES", entries)
+        monkeypatch.setattr(E, "PASS", most)
+        out = E.shared_parents(df)
+        assert {(r["a"], r["b"]): r["shared"] for r in out.collect()} == want
+        assert shuffles(out) <= 3
+
+
+def test_or_join_does_not_shuffle_its_pairs(spark, tmp_path):
+    """Distinct parts need no sum over pairs; a part of several rows still has each pair once."""
+    kinds = "p_partkey long, p_name string, p_size int, p_brand string, p_retailprice double"
+    rows = [(k, f"n{k % 3}", k % 2, f"b{k % 4}", float(k % 2)) for k in range(40)] + [(50, None, 1, "b1", None), (51, None, 1, "b1", 1.0)]
+    want = lambda rows: sorted({(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and ((None not in (x[1], y[1]) and x[1:3] == y[1:3]) or (None not in (x[4], y[4]) and x[3:] == y[3:]))})
+    for name, own in (("once", rows), ("several", [*rows, (3, "n1", 1, "b2", 0.0), (4, "n0", 0, "b3", 1.0), (50, "n1", 1, "b2", 0.0)])):
+        spark.createDataFrame(own, kinds).write.parquet(f"{tmp_path}/{name}/part.parquet")
+        out = registry.queries()["j8_or_join"](spark, f"{tmp_path}/{name}")
+        assert sorted(map(tuple, out.select("a", "b").collect())) == want(own)
+        if name == "once":
+            assert "Aggregate [a#" not in out._jdf.queryExecution().optimizedPlan().toString()
