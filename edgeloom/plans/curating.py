@@ -7,6 +7,8 @@ from edgeloom.operators import edges as E
 from edgeloom.operators import graph as G
 from edgeloom.operators import regions as R
 from edgeloom.operators import triage as T
+from edgeloom.operators.staging import cut
+from edgeloom.plans import graphs
 from edgeloom.plans.bindings import sql_with
 from edgeloom.plans.graphs import TREE
 from edgeloom.plans.registry import query
@@ -191,7 +193,11 @@ def _index(t):
 SELECT e.to_id AS id, e.from_id AS parent_id, e.relation, e.source, e.ordinal, array_to_string(list_append(st.path_titles, n.title), ' / ') AS titles, y.year FROM shown e JOIN st ON st.id = e.from_id JOIN nodes n ON n.id = e.to_id LEFT JOIN y ON y.id = e.from_id WHERE st.depth = 3 AND NOT list_contains(st.path_ids, e.to_id)""")
 def g29(t):
     y = t.lineitem.groupBy(F.concat(F.lit("s:"), "l_suppkey").alias("id")).agg(F.min(F.year("l_shipdate")).alias("year"))
-    return R.reachable_parents(_index(t).where("depth = 4"), t.nodes, y).select("id", "parent_id", "relation", "source", "ordinal", "titles", "year")
+    # only parents of depth 3 count, so no deeper states are worked out
+    shown = cut(graphs.shown(t), "shown")
+    top = G.reachability(graphs.roots(t), shown, t.nodes, 3)
+    index = G.parent_index(top, shown, graphs.roots(t), t.nodes).where("depth = 4").withColumn("path", F.array_join("path_ids", ">"))
+    return R.reachable_parents(index.drop("path_ids"), t.nodes, y).select("id", "parent_id", "relation", "source", "ordinal", "titles", "year")
 
 
 @query("g30_regional_variants", """WITH b AS (SELECT p_partkey AS base FROM part WHERE p_partkey % 4 = 0), a AS (SELECT p_partkey AS base, p_partkey + p_size AS variant, p_brand AS region, p_size % 3 AS rank, 0 AS k FROM part UNION ALL SELECT p_partkey, p_partkey + p_size, p_type, p_size % 2, 1 FROM part UNION ALL SELECT p_partkey, p_partkey + 1, p_name, 0, 2 FROM part),

@@ -8,6 +8,7 @@ from test_scenarios import edge_frame, titles
 
 from edgeloom.operators import edges as E
 from edgeloom.operators import graph as G
+from edgeloom.operators import regions as R
 from edgeloom.operators import textsim as T
 from edgeloom.operators.staging import clustered, cut
 from edgeloom.plans import registry
@@ -107,3 +108,15 @@ def test_or_join_does_not_shuffle_its_pairs(spark, tmp_path):
         assert sorted(map(tuple, out.select("a", "b").collect())) == want(own)
         if name == "once":
             assert "Aggregate [a#" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_titles_of_paths_without_a_row_for_each_step(spark):
+    index = [("c", "b", "sub", None, 0, "a>b>c"), ("d", "b", "sub", "x", 1, "a>b>d"), ("a", "root", "root", "root", 0, "a"), ("e", "?", "sub", "x", 0, "?>e"), ("?", "!", "sub", "x", 0, "!>?")]
+    df = spark.createDataFrame(index, "id string, parent_id string, relation string, source string, ordinal int, path string")
+    nodes = titles(spark, list("abcde"))
+    name = {r["id"]: r["title"] for r in nodes.collect()}
+    out = R.reachable_parents(df, nodes, spark.createDataFrame([("b", 1999)], "id string, year int"))
+    got = {r["id"]: (r["titles"], r["year"]) for r in out.collect()}
+    of = lambda ids: " / ".join(name[i] for i in ids)
+    assert got == {"c": (of("abc"), 1999), "d": (of("abd"), 1999), "a": (of("a"), None), "e": (of("e"), None)}
+    assert "Generate posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
