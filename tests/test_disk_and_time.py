@@ -8,6 +8,7 @@ from test_scenarios import edge_frame, titles
 
 from edgeloom.operators import edges as E
 from edgeloom.operators import graph as G
+from edgeloom.operators import reach as Reach
 from edgeloom.operators import regions as R
 from edgeloom.operators import textsim as T
 from edgeloom.operators.staging import clustered, cut
@@ -120,3 +121,31 @@ def test_titles_of_paths_without_a_row_for_each_step(spark):
     of = lambda ids: " / ".join(name[i] for i in ids)
     assert got == {"c": (of("abc"), 1999), "d": (of("abd"), 1999), "a": (of("a"), None), "e": (of("e"), None)}
     assert "Generate posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reach_of_small_pieces_beside_a_large_one(spark, monkeypatch):
+    """Pieces that fit a row, one that is too large and one that is too long for the rounds: the same as by search."""
+    rng = random.Random(9)
+    edges = [(f"s{k}:{rng.randrange(6)}", f"s{k}:{rng.randrange(6)}") for k in range(30) for _ in range(6)]
+    edges += [(f"big{k}", f"big{k * 7 % 30}") for k in range(30)] + [("big0", f"big{k}") for k in range(30)] + [(f"row{k:02}", f"row{k + 1:02}") for k in range(25)] + [("alone", None), (None, "end"), ("é", "z"), ("z", "é")]
+    to: dict = {}
+    for a, b in edges:
+        for v in (a, b):
+            to.setdefault(v, set())
+        to[a].add(b)
+    del to[None]
+
+    def reached(v):
+        seen, todo = {v}, [v]
+        while todo:
+            todo += [w for w in to[todo.pop()] if w is not None and w not in seen and not seen.add(w)]
+        return len(seen), min(seen), max(seen)
+
+    monkeypatch.setattr(Reach, "SMALL", 12)
+    monkeypatch.setattr(Reach, "ROUNDS", 2)
+    calls = []
+    index = Reach.reach_index
+    monkeypatch.setattr(Reach, "reach_index", lambda e: calls.append(e.count()) or index(e))
+    df = spark.createDataFrame(edges, "from_id string, to_id string")
+    got = {r["seed"]: (r["n"], r["least"], r["most"]) for r in Reach.summary(df, spark.createDataFrame([(v,) for v in to], "id string")).collect()}
+    assert got == {v: reached(v) for v in to} and len(calls) == 1 and 30 <= calls[0] < 150
